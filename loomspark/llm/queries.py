@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, packing, toxicity
+from . import chat, exact_dedup, langid, near_dedup, packing, toxicity
 from .common import crc32_mod, table
 
 
@@ -48,6 +48,10 @@ WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.n = w.n AND p.turns = w.turns)
 """
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), threshold=85)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), digest=True)
 
@@ -72,7 +76,7 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_chat, op5_exact_dedup, op9_langid)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_chat, op4_near_dedup, op5_exact_dedup, op9_langid)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,9 @@ documents are known: the likelihood of those, through the noisy-or, trains the s
 and the model then says which sentences of a document offend.
 
 Sentences end at ``.``, ``!``, ``?``, ``;``, ``|`` or a line end. Words are runs of letters,
-lower-cased, hashed into 2**18 slots; a sentence has a word or hasn't.
+lower-cased. A word counts as itself and by its first four and six letters, so that inflected and
+compound forms share evidence; these features are hashed into 2**18 slots, and a sentence has a
+slot or hasn't.
 """
 
 from __future__ import annotations
@@ -29,8 +31,9 @@ _SENTENCE = re.compile(r"[^.!?;|\r\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def _slot(word: str) -> int:
-    return xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) & (SLOTS - 1)
+def _slots(word: str) -> list[int]:
+    forms = [word, *[f"^{word[:k]}" for k in (4, 6) if len(word) > k]]
+    return [xxhash.xxh32_intdigest(f.encode("utf-8", "surrogatepass")) & (SLOTS - 1) for f in forms]
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
@@ -40,7 +43,9 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
 
 @dataclass(frozen=True)
 class Model:
-    """Weights by slot (only those that aren't 0) and the bias of a sentence."""
+    """Weights by slot (only those that aren't 0) and the bias of a sentence.
+
+    A word's features add up, so a sentence is scored by its distinct words."""
 
     weights: dict[int, float]
     bias: float
@@ -57,7 +62,7 @@ class Model:
                     if x is None:
                         if len(words) > 300_000:
                             words.clear()
-                        x = words[w] = self.weights.get(_slot(w), 0.0)
+                        x = words[w] = sum(self.weights.get(f, 0.0) for f in _slots(w))
                     if x:
                         z[k] += x
             # log(1 - p) of a sentence is -log(1 + e**z)
@@ -67,12 +72,14 @@ class Model:
         return scores, found
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_rows: int = 8_000, least_docs: int = 3, rounds: int = 300, l2: float = 2e-4, step: float = 0.2) -> Model:
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_rows: int = 8_000, least_docs: int = 6, rounds: int = 300, shrink: float = 5e-3, step: float = 0.1) -> Model:
     """Trains on at most about ``max_rows`` labelled rows, chosen by a hash of the id so that
     the choice doesn't hang on order or partitions. Rows with a null label are left out; null
-    text counts as empty. Words in fewer than ``least_docs`` of the rows get no weight. Without
+    text counts as empty. Slots in fewer than ``least_docs`` toxic rows get no weight. Without
     rows of both labels the model scores everything by its prior of almost 0.
 
+    Weights stay at 0 or above and shrink by ``shrink`` a round, so most are 0 in the end.
+
     Executors turn texts into slots; the driver gets integers only, of the sample.
     """
     rows = labelled.where(F.col(label_col).isNotNull()).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("y"), F.xxhash64(id_col).alias("h"))
@@ -85,16 +92,16 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", i
         for piece in pieces(batches):
             bags, sizes = [], []
             for text in piece.column(0).to_pylist():
-                own = [sorted({_slot(w) for w in _WORD.findall(text[a:b].lower())}) for a, b in sentences(text)]
+                own = [sorted({f for w in _WORD.findall(text[a:b].lower()) for f in _slots(w)}) for a, b in sentences(text)]
                 bags.append([x for s in own for x in s])
                 sizes.append([len(s) for s in own])
             yield pa.RecordBatch.from_arrays([pa.array(bags, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32())), piece.column(1)], ["slots", "sizes", "y"])
 
     got = sample.mapInArrow(features, "slots array<int>, sizes array<int>, y int").toArrow()
-    return _train(got, least_docs, rounds, l2, step)
+    return _train(got, least_docs, rounds, shrink, step)
 
 
-def _train(got: pa.Table, least_docs: int, rounds: int, l2: float, step: float) -> Model:
+def _train(got: pa.Table, least_docs: int, rounds: int, shrink: float, step: float) -> Model:
     y = np.asarray(got.column("y").to_pylist(), float)
     if len(set(y.tolist())) < 2:
         return Model({}, -8.0)
@@ -103,8 +110,8 @@ def _train(got: pa.Table, least_docs: int, rounds: int, l2: float, step: float)
     slots, per_sentence, sentences_of = flat("slots").astype(np.int64), flat("sizes").astype(np.int64), size("sizes")
     doc_of_sentence = np.repeat(np.arange(len(y)), sentences_of)
     sentence = np.repeat(np.arange(len(per_sentence)), per_sentence)
-    # In a canonical order, so that sums don't hang on the order in which rows came.
-    pairs = np.unique(doc_of_sentence[sentence] * SLOTS + slots)
+    toxic = y[doc_of_sentence[sentence]] == 1
+    pairs = np.unique(doc_of_sentence[sentence][toxic] * SLOTS + slots[toxic])
     often = np.bincount(pairs % SLOTS, minlength=SLOTS)
     known = np.flatnonzero(often >= least_docs)
     column = np.full(SLOTS, -1)
@@ -123,10 +130,11 @@ def _train(got: pa.Table, least_docs: int, rounds: int, l2: float, step: float)
         # d log-likelihood / dz: p (1 - P) / P where the label is 1, -p where it is 0.
         pull = np.where(y == 1, np.exp(-less) / np.maximum(whole, 1e-12), -1.0) * weigh
         grad_z = pull[doc_of_sentence] / (1 + np.exp(-z))
-        grad = np.append(np.bincount(col, grad_z[sentence], minlength=len(known)) / len(y) - l2 * w, grad_z.sum() / len(y))
+        grad = np.append(np.bincount(col, grad_z[sentence], minlength=len(known)) / len(y), grad_z.sum() / len(y))
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = step * (m / (1 - 0.9**at)) / (np.sqrt(v / (1 - 0.999**at)) + 1e-6)
-        w, bias = w + move[:-1], bias + move[-1]
+        # Words only add evidence; shrinking takes those without enough of their own to 0.
+        w, bias = np.maximum(w + move[:-1] - shrink, 0), bias + move[-1]
     return Model({int(s): float(x) for s, x in zip(known, w, strict=True) if abs(x) > 1e-3}, float(bias))
 
 

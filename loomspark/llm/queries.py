@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, langid, near_dedup, packing, toxicity
+from . import bpe, chat, exact_dedup, langid, near_dedup, packing, sstable, toxicity
 from .common import crc32_mod, table
 
 
@@ -64,6 +64,17 @@ FROM d
 """
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer file on this machine; it is at the same place on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), digest=True)
+
+
 def langid_model(spark: SparkSession, sf_dir: str) -> langid.Profiles:
     """Prototypes from the documents that aren't held out."""
     return langid.fit(table(spark, sf_dir, "documents").where(crc32_mod("doc_id", 3) != 1))
@@ -75,8 +86,13 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = sstable.write(table(spark, sf_dir, "documents"), tokenizer_path())
+    return sstable.read(manifest, digest=True).drop("shard")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_chat, op4_near_dedup, op5_exact_dedup, op9_langid)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_chat, op4_near_dedup, op5_exact_dedup, op6_bpe, op9_langid, op10_sstable)}
 
 
 def oracle_sql() -> dict[str, str]:

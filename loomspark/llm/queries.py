@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, langid, near_dedup, packing, sstable, toxicity
+from . import ann, bpe, chat, exact_dedup, langid, main_text, near_dedup, packing, sstable, toxicity
 from .common import crc32_mod, table
 
 
@@ -75,6 +75,16 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), digest=True)
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.neighbours(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = main_text.main_text(table(spark, sf_dir, "pages"), carry={"url": F.col("url")})
+    return found.select("page_id", "url", "text", "n_chars")
+
+
 def langid_model(spark: SparkSession, sf_dir: str) -> langid.Profiles:
     """Prototypes from the documents that aren't held out."""
     return langid.fit(table(spark, sf_dir, "documents").where(crc32_mod("doc_id", 3) != 1))
@@ -92,7 +102,7 @@ def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_chat, op4_near_dedup, op5_exact_dedup, op6_bpe, op9_langid, op10_sstable)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_chat, op4_near_dedup, op5_exact_dedup, op6_bpe, op7_ann, op8_main_text, op9_langid, op10_sstable)}
 
 
 def oracle_sql() -> dict[str, str]:

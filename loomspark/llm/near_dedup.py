@@ -8,8 +8,10 @@
    the registers rejects hopeless pairs, the full sets decide the rest, and confirmed links make
    components.
 4. Rest: buckets that now lie in one component hold no news. In the others, representatives of
-   different components are compared by their registers, in blocks of bounded size; only pairs
-   whose likelihood admits the threshold leave the task. Full sets decide again.
+   different components are compared in blocks of bounded size, each pair in the first band that
+   it shares only: first by the likelihood of their registers, then by their shingles cut to 16
+   bits, which bound the similarity from above. What the bound admits, in practice the links,
+   leaves the task, and full sets decide again.
 
 Nothing caps buckets, partners or candidates. A pair at similarity 0.85 shares no band with
 odds of about 7e-9 (32 bands of 5 registers), and the likelihood test rejects a true link with
@@ -67,7 +69,9 @@ def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             hashes, offsets = shingle_sets(piece.column("text").to_pylist(), width)
-            yield pa.RecordBatch.from_arrays([piece.column("_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes.view(np.int64)))], ["_id", "shingles"])
+            top = (hashes >> np.uint64(48)).astype(np.uint16)
+            short = [np.unique(top[a:b]).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([piece.column("_id"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes.view(np.int64))), pa.array(short, pa.binary())], ["_id", "shingles", "short"])
 
     return run
 
@@ -97,45 +101,66 @@ def _filter_pairs(threshold: float):
     return run
 
 
-def _compare_cells(threshold: float):
+def _compare_cells(threshold: int):
     """Rows sorted by cell (band, key, i, j): pairs of different components, one from block i and
-    one from block j, that their registers admit. A cell has about 2 * BLOCK rows at most."""
-    sketch = SetSketch()
+    one from block j, that may be similar enough. A cell has about 2 * BLOCK rows at most."""
+    sketch, share = SetSketch(), threshold / 100
 
     def cell(rows: list) -> Iterator[tuple[int, int]]:
-        ids, n, comp, block, regs = (np.array([r[k] for r in rows]) if k < 4 else np.frombuffer(b"".join(r[4] for r in rows), np.int16).reshape(-1, sketch.m) for k in range(5))
+        comp = np.array([r[2] for r in rows])
         if (comp == comp[0]).all():
             return
-        i, j = rows[0][5], rows[0][6]
+        ids, n, block = (np.array([r[k] for r in rows]) for k in (0, 1, 3))
+        regs = np.frombuffer(b"".join([r[4] for r in rows]), np.int16).reshape(-1, sketch.m)
+        i, j, band = rows[0][5:8]
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        short: dict[int, np.ndarray] = {}
+        marked = np.zeros(1 << 16, bool)
         for x in left.tolist():
             other = right[(comp[right] != comp[x]) & ((right > x) if i == j else True)]
-            # Cheap cuts first: sizes, then the number of equal registers.
-            other = other[np.minimum(n[other], n[x]) >= threshold * np.maximum(n[other], n[x]) - 1e-9]
+            # Cheap cuts first: sizes, the number of equal registers, the band.
+            other = other[np.minimum(n[other], n[x]) >= share * np.maximum(n[other], n[x]) - 1e-9]
+            if not len(other):
+                continue
+            equal = regs[other] == regs[x]
+            keep = equal.sum(axis=1) >= sketch.m * (share - 0.25)
+            keep &= equal.reshape(len(other), -1, BAND_ROWS).all(axis=2).argmax(axis=1) == band
+            other = other[keep]
+            if not len(other):
+                continue
+            other = other[_plausible(sketch, np.broadcast_to(regs[x], (len(other), sketch.m)), regs[other], np.full(len(other), n[x]), n[other], share)]
             if not len(other):
                 continue
-            same = (regs[other] == regs[x]).sum(axis=1)
-            other = other[same >= sketch.m * (threshold - 0.25)]
-            if len(other):
-                full = np.broadcast_to(regs[x], (len(other), sketch.m))
-                good = other[_plausible(sketch, full, regs[other], np.full(len(other), n[x]), n[other], threshold)]
-                yield from ((min(ids[x], ids[y]), max(ids[x], ids[y])) for y in good.tolist())
+            own = np.frombuffer(rows[x][9], np.uint16)
+            marked[own] = True
+            for y in other.tolist():
+                if y not in short:
+                    short[y] = np.frombuffer(rows[y][9], np.uint16)
+                # Shingles that fall together in 16 bits could all be in the other set as well.
+                both = int(marked[short[y]].sum()) + min(int(n[x]) - len(own), int(n[y]) - len(short[y]))
+                both = min(both, int(n[x]), int(n[y]))
+                if 100 * both >= threshold * (int(n[x]) + int(n[y]) - both):
+                    yield min(ids[x], ids[y]), max(ids[x], ids[y])
+            marked[own] = False
+
+    def batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows, out = None, [], []
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("_id", "n", "comp", "block", "regs", "i", "j", "band", "key")]
+        for got in batches:
+            columns = [got.column(c).to_pylist() for c in ("_id", "n", "comp", "block", "regs", "i", "j", "band", "key", "short")]
             for r in zip(*columns, strict=True):
-                if r[5:] != at:
+                if r[5:9] != at:
                     out.extend(cell(rows) if len(rows) > 1 else ())
-                    at, rows = r[5:], []
+                    at, rows = r[5:9], []
                 rows.append(r)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([int(a) for a, _ in out], pa.int64()), pa.array([int(b) for _, b in out], pa.int64())], ["a", "b"])
+                yield batch(out)
                 out = []
         out.extend(cell(rows) if len(rows) > 1 else ())
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([int(a) for a, _ in out], pa.int64()), pa.array([int(b) for _, b in out], pa.int64())], ["a", "b"])
+            yield batch(out)
 
     return run
 
@@ -183,7 +208,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = written(slots.join(heads, ["band", "key"]), "buckets")
 
     wanted = members.select("_id").distinct()
-    sets = written(source.join(wanted, "_id", "left_semi").mapInArrow(_sets(width), "_id bigint, shingles array<bigint>").dropDuplicates(["_id"]), "shingles")
+    sets = written(source.join(wanted, "_id", "left_semi").mapInArrow(_sets(width), "_id bigint, shingles array<bigint>, short binary").dropDuplicates(["_id"]), "shingles")
     some = written(reps.join(wanted, "_id", "left_semi").select("_id", "n", "regs"), "registers")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -206,9 +231,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = rest.withColumn("block", F.pmod(F.xxhash64("_id"), F.col("blocks")).cast("int"))
     # A row goes to the cells of its block with each other block of its bucket.
     cells = rest.select("_id", "band", "key", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_o"))
-    cells = cells.select("_id", "band", "key", "comp", "block", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j")).join(some, "_id")
+    cells = cells.select("_id", "band", "key", "comp", "block", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j")).join(some, "_id").join(sets.select("_id", "short"), "_id")
     cells = cells.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j", "_id")
-    late = cells.select("_id", "n", "comp", "block", "regs", "i", "j", "band", "key").mapInArrow(_compare_cells(share), "a bigint, b bigint").distinct()
+    late = cells.select("_id", "n", "comp", "block", "regs", "i", "j", "band", "key", "short").mapInArrow(_compare_cells(threshold), "a bigint, b bigint").distinct()
     more = written(confirmed(late), "links")
     comps = written(components(wanted, links.union(more)), "components")
 

@@ -8,7 +8,7 @@ blanks and other than ASCII percent-encoded. What doesn't parse is null.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,11 +22,16 @@ RESEARCH_SITES = ("arxiv.org", "pubmed.ncbi.nlm.nih.gov", "nature.com")
 BLOCKED_KINDS = ("image", "media", "font")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once and whose expression isn't repeated in the plan."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _percent(part: Column, more: str = "") -> Column:
     """Percent-encodes all but printable ASCII, and the characters in ``more``."""
     unsafe = rf"[^\x21-\x7E]|[{re.escape(more)}]" if more else r"[^\x21-\x7E]"
     one = lambda c: F.when(c.rlike(unsafe), F.regexp_replace(F.hex(F.encode(c, "utf-8")), "(..)", "%$1")).otherwise(c)
-    return F.when(part.rlike(unsafe), F.array_join(F.transform(F.split(part, ""), one), "")).otherwise(part)
+    return _let(part, lambda p: F.when(p.rlike(unsafe), F.array_join(F.transform(F.split(p, ""), one), "")).otherwise(p))
 
 
 def scheme(url: Column) -> Column:
@@ -57,7 +62,8 @@ def _dots(path: Column) -> Column:
 
 def path(url: Column) -> Column:
     p = F.regexp_extract(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
-    return _dots(F.when(p == "", F.lit("/")).otherwise(_percent(p, '"<>`{}')))
+    plain = lambda v: ~v.rlike(r"""[^\x21-\x7E]|["<>`{}]|/(?:\.|%2[eE]){1,2}(?:/|$)""")
+    return _let(F.coalesce(F.nullif(p, F.lit("")), F.when(p.isNotNull(), F.lit("/"))), lambda v: F.when(plain(v), v).otherwise(_let(_percent(v, '"<>`{}'), _dots)))
 
 
 def query(url: Column) -> Column:
@@ -220,32 +226,36 @@ def ipv4_number(ip: Column) -> Column:
 def public_ipv4(ip: Column) -> Column:
     """FIL12 for IPv4: not private, loopback, link-local, documentation, shared, benchmark,
     multicast, reserved or broadcast. Null if it isn't an address."""
-    n, inside = ipv4_number(ip), []
+    nets = []
     for net in PRIVATE_V4:
         address, bits = net.split("/")
         a = int.from_bytes(bytes(map(int, address.split("."))), "big")
-        inside.append(n.between(a, a + (1 << (32 - int(bits))) - 1))
-    return F.when(n.isNotNull(), ~_any(inside))
+        nets.append((a, a + (1 << (32 - int(bits))) - 1))
+    return _let(ipv4_number(ip), lambda n: F.when(n.isNotNull(), ~_any([n.between(a, b) for a, b in nets])))
 
 
 def admitted(url: Column) -> Column:
     """FIL13: a struct (url, error). Blanks around go; without a scheme it is https; other
     schemes, local names and private addresses are errors. The URL stays as it was written."""
+    def judged(raw: Column) -> Column:
+        def error(h: Column) -> Column:
+            return (
+                F.when(F.coalesce(F.trim(url), F.lit("")) == "", F.lit("empty url"))
+                .when(~scheme(raw).isin("http", "https"), F.lit("unsupported scheme"))
+                .when(h.isNull(), F.lit("invalid url"))
+                .when((h == "localhost") | h.endswith(".localhost") | ~F.coalesce(public_ipv4(h), F.lit(True)), F.lit("host is not allowed"))
+            )
+
+        return _let(_let(host(raw), error), lambda e: F.struct(F.when(e.isNull(), raw).alias("url"), e.alias("error")))
+
     raw = F.trim(url)
-    raw = F.when(raw.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), raw).otherwise(F.concat(F.lit("https://"), raw))
-    h = host(raw)
-    error = (
-        F.when(F.coalesce(F.trim(url), F.lit("")) == "", F.lit("empty url"))
-        .when(~scheme(raw).isin("http", "https"), F.lit("unsupported scheme"))
-        .when(h.isNull(), F.lit("invalid url"))
-        .when((h == "localhost") | h.endswith(".localhost"), F.lit("host is not allowed"))
-        .when(~public_ipv4(h), F.lit("host is not allowed"))
-    )
-    return F.struct(F.when(error.isNull(), raw).alias("url"), error.alias("error"))
+    return _let(F.when(raw.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), raw).otherwise(F.concat(F.lit("https://"), raw)), judged)
 
 
 def blocked_resource(kind: Column, url: Column, ad_hosts: Sequence[str], block_media: bool = True) -> Column:
     """FIL11: the reason for which a page's resource is blocked, null if it isn't."""
-    h = F.coalesce(host(url), F.lit(""))
-    private = (h == "localhost") | h.endswith(".localhost") | F.coalesce(~public_ipv4(h), F.lit(False))
-    return F.when(private, F.lit("private_host")).when(F.lit(block_media) & F.lower(kind).isin(*BLOCKED_KINDS), F.lit("media")).when(_any([h.contains(a) for a in ad_hosts]), F.lit("ad"))
+    def reason(h: Column) -> Column:
+        private = (h == "localhost") | h.endswith(".localhost") | F.coalesce(~public_ipv4(h), F.lit(False))
+        return F.when(private, F.lit("private_host")).when(F.lit(block_media) & F.lower(kind).isin(*BLOCKED_KINDS), F.lit("media")).when(_any([h.contains(a) for a in ad_hosts]), F.lit("ad"))
+
+    return _let(F.coalesce(host(url), F.lit("")), reason)

@@ -57,7 +57,8 @@ def bundles(texts: list[str | None], dims: int, seed: int) -> tuple[np.ndarray,
         slot = np.where(own, cp & np.uint32(SLOTS - 1), 32).astype(np.int64)
         keep = np.ones(len(slot), bool)
         keep[1:] = own[1:] | own[:-1]  # one blank for each run
-        slot = np.concatenate(([32], slot[keep], [32])) if own[keep][0] else np.concatenate((slot[keep], [32]))
+        slot, ends = slot[keep], own[keep]
+        slot = np.pad(slot, (int(ends[0]), int(ends[-1])), constant_values=32)
         gram = (slot[:-2] << 24) | (slot[1:-1] << 12) | slot[2:]
         codes.append(gram)
         owner.append(np.full(len(gram), i, np.int64))

@@ -81,7 +81,7 @@ class Node:
             return False
         if self.tag == "header":  # an article's own header holds its headline
             up = self.parent
-            while up is not None and up.tag not in ("article", "main"):
+            while up is not None and up.tag not in ("article", "main") and not up.names & {"article", "entry", "post", "story"}:
                 up = up.parent
             return up is None
         return bool(self.names & UNWANTED) and not self.names & WANTED
@@ -259,7 +259,7 @@ def extract(page: str | None) -> str:
     best = up or best
     if best.parent is None or best.tag in ("body", "html"):
         return "\n".join(_blocks(best))
-    least = max(10.0, best.points * 0.2)
+    share = best.points * 0.2
     keep = []
     for other in best.parent.children:
         if other is best:
@@ -268,10 +268,10 @@ def extract(page: str | None) -> str:
             continue
         else:
             links = other.linked / other.size if other.size else 0
-            bonus = best.points * 0.2 if other.names and other.names == best.names else 0
+            alike = bool(other.names) and other.names == best.names
             prose = other.tag == "p" and ((other.size > 80 and links < 0.25) or (0 < other.size <= 80 and links == 0 and re.search(r"[.!?](\s|$)", " ".join(_blocks(other)))))
             headline = other.tag in ("h1", "h2", "h3") and links < 0.25
-            if other.points + bonus >= least or prose or headline:
+            if other.points >= (share if alike else max(10.0, share)) or prose or headline:
                 keep.append(other)
     return "\n".join(x for k in keep for x in _blocks(k))
 

@@ -72,7 +72,7 @@ class Model:
         return scores, found
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_rows: int = 8_000, least_docs: int = 6, rounds: int = 300, shrink: float = 5e-3, step: float = 0.1) -> Model:
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_rows: int = 8_000, least_docs: int = 8, rounds: int = 300, shrink: float = 2e-3, step: float = 0.2) -> Model:
     """Trains on at most about ``max_rows`` labelled rows, chosen by a hash of the id so that
     the choice doesn't hang on order or partitions. Rows with a null label are left out; null
     text counts as empty. Slots in fewer than ``least_docs`` toxic rows get no weight. Without

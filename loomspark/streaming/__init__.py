@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def file_stream(spark: SparkSession, folder: str, per_trigger: int = 1) -> DataFrame:
-    """Parquet files as they come; the schema is that of the files there now."""
-    return spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
+def file_stream(spark: SparkSession, folder: str, per_trigger: int = 1, name: str = "*.parquet") -> DataFrame:
+    """Parquet files of a folder as they come, those whose name fits; their schema is that of the
+    ones there now."""
+    schema = spark.read.option("pathGlobFilter", name).option("recursiveFileLookup", True).parquet(folder).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).option("pathGlobFilter", name).option("recursiveFileLookup", True).parquet(folder)
 
 
 def progress(events: DataFrame, key: str = "request_id", ts: str = "ts", late: str = "10 minutes") -> DataFrame:
@@ -30,9 +32,9 @@ def sessions(events: DataFrame, key: str, ts: str = "ts", gap: str = "30 minutes
     return events.withWatermark(ts, late).groupBy(F.session_window(ts, gap), key).agg(F.count(F.lit(1)).alias("n"))
 
 
-def limited(requests: DataFrame, per_minute: int, key: str = "key", ts: str = "ts", idle_s: int = 300) -> DataFrame:
+def limited(requests: DataFrame, per_minute: int, key: str = "key", ts: str = "ts", idle_s: int = 300, late: str = "10 minutes") -> DataFrame:
     """STM3: the sliding limiter with state: let in unless the key had ``per_minute`` let in within
-    60 seconds; keys idle for ``idle_s`` are forgotten. requests: key string, ts timestamp."""
+    60 seconds; keys idle for ``idle_s`` of event time are forgotten, rows later than ``late`` go."""
 
     def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -40,20 +42,21 @@ def limited(requests: DataFrame, per_minute: int, key: str = "key", ts: str = "t
             return
         recent = list(state.get[0]) if state.exists else []
         for frame in frames:
-            frame = frame.sort_values(ts, kind="stable")
+            frame = frame.sort_values("ts", kind="stable")
             ok = []
-            for t in frame[ts]:
+            for t in frame["ts"]:
                 now = t.timestamp()
                 recent = [x for x in recent if now - x < 60]
                 ok.append(len(recent) < per_minute)
                 if ok[-1]:
                     recent.append(now)
-            yield pd.DataFrame({"key": k[0], "ts": frame[ts], "allowed": ok})
+            yield pd.DataFrame({"key": k[0], "ts": frame["ts"], "allowed": ok})
         state.update((recent,))
-        state.setTimeoutDuration(idle_s * 1000)
+        last = max(recent, default=0.0)
+        state.setTimeoutTimestamp(max(int((last + idle_s) * 1000), state.getCurrentWatermarkMs() + 1))
 
-    rows = requests.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("ts")).withColumnRenamed("ts", ts)
-    return rows.groupBy("key").applyInPandasWithState(fold, "key string, ts timestamp, allowed boolean", "recent array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = requests.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("ts")).withWatermark("ts", late)
+    return rows.groupBy("key").applyInPandasWithState(fold, "key string, ts timestamp, allowed boolean", "recent array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def at_most_once(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], trigger: dict | None = None):

@@ -13,7 +13,11 @@ from ..operators import jobs as J
 from . import query, table
 
 NOW_SQL = "TIMESTAMP '1995-06-15 12:00:00'"
-NOW = F.expr(NOW_SQL)
+
+
+def _now():
+    return F.expr(NOW_SQL)
+
 
 JOBS = """SELECT o_orderkey AS id, 'https://site' || CAST(o_custkey % 50 AS STRING) || '.example.com/' AS url,
  CASE WHEN o_orderpriority LIKE '1%' THEN 'batch_scrape' ELSE 'crawl' END AS job_type,
@@ -88,12 +92,12 @@ CLAIMABLE = f"""SELECT t.*, j.max_concurrency FROM tasks t JOIN jobs j ON j.id =
 
 @query("jon1_claimable", _sql(f"SELECT id, crawl_id, status FROM ({CLAIMABLE})"))
 def jon1_claimable(spark, sf_dir):
-    return J.claimable(*_frames(spark, sf_dir), NOW).select("id", "crawl_id", "status")
+    return J.claimable(*_frames(spark, sf_dir), _now()).select("id", "crawl_id", "status")
 
 
 @query("crw5_claim", _sql(f"SELECT id, crawl_id, depth, attempts + 1 AS attempts, epoch({NOW_SQL} + INTERVAL 90 SECOND)::BIGINT AS lease_expires_at FROM (SELECT *, row_number() OVER (PARTITION BY crawl_id ORDER BY next_attempt_at, created_at, id) AS r FROM ({CLAIMABLE})) WHERE r = 1"))
 def crw5_claim(spark, sf_dir):
-    return J.claim(*_frames(spark, sf_dir), NOW).select("id", "crawl_id", "depth", "attempts", _epoch("lease_expires_at"))
+    return J.claim(*_frames(spark, sf_dir), _now()).select("id", "crawl_id", "depth", "attempts", _epoch("lease_expires_at"))
 
 
 DELAY = "CAST(least(300, 5 * pow(2, least(attempts - 1, 6))) AS BIGINT)"
@@ -112,14 +116,14 @@ def dat2_backoff(spark, sf_dir):
     ),
 )
 def crw7_failure_retry(spark, sf_dir):
-    d = J.after_failure(*_frames(spark, sf_dir), NOW)
+    d = J.after_failure(*_frames(spark, sf_dir), _now())
     return d.select("id", "attempts", "status", _epoch("next_attempt_at"), F.col("finished_at").isNotNull().alias("ended"))
 
 
 @query("crw6_success", _sql("SELECT id, CASE WHEN status = 'active' AND id % 3 = 0 THEN 'completed' ELSE status END AS status, CASE WHEN status = 'active' AND id % 3 = 0 THEN 'page' END AS result FROM tasks"))
 def crw6_success(spark, sf_dir):
     t = _frames(spark, sf_dir)[1]
-    return J.after_success(t, t.where("id % 3 = 0").select("id", F.lit("page").alias("result")), NOW).select("id", "status", "result")
+    return J.after_success(t, t.where("id % 3 = 0").select("id", F.lit("page").alias("result")), _now()).select("id", "status", "result")
 
 
 @query("crw8_completion", _sql("SELECT id FROM jobs WHERE status IN ('queued', 'scraping') AND NOT EXISTS (SELECT 1 FROM tasks t WHERE t.crawl_id = jobs.id AND t.status IN ('queued', 'active'))"))
@@ -136,18 +140,18 @@ def jon5_existence(spark, sf_dir):
 @query("crw12_cancel", _sql(f"SELECT id, CASE WHEN hit THEN 'cancelled' ELSE status END AS status, cancel_requested OR hit AS cancel_requested, epoch(CASE WHEN hit THEN coalesce(finished_at, {NOW_SQL}) ELSE finished_at END)::BIGINT AS finished_at FROM (SELECT *, id % 2 = 0 AND status IN ('queued', 'scraping') AS hit FROM jobs)"))
 def crw12_cancel(spark, sf_dir):
     j = _frames(spark, sf_dir)[0]
-    return J.cancelled(j, j.where("id % 2 = 0"), NOW).select("id", "status", "cancel_requested", _epoch("finished_at"))
+    return J.cancelled(j, j.where("id % 2 = 0"), _now()).select("id", "status", "cancel_requested", _epoch("finished_at"))
 
 
 @query("crw15_expiry", _sql(f"SELECT id FROM jobs WHERE NOT (expires_at <= {NOW_SQL} AND status IN ('completed', 'cancelled'))"))
 def crw15_expiry(spark, sf_dir):
-    return J.unexpired(_frames(spark, sf_dir)[0], NOW).select("id")
+    return J.unexpired(_frames(spark, sf_dir)[0], _now()).select("id")
 
 
 @query("jon9_cascade", _sql(f"SELECT id, crawl_id FROM tasks WHERE crawl_id IN (SELECT id FROM jobs WHERE NOT (expires_at <= {NOW_SQL} AND status IN ('completed', 'cancelled')))"))
 def jon9_cascade(spark, sf_dir):
     j, t = _frames(spark, sf_dir)
-    return J.cascade(J.unexpired(j, NOW), t, "crawl_id").select("id", "crawl_id")
+    return J.cascade(J.unexpired(j, _now()), t, "crawl_id").select("id", "crawl_id")
 
 
 @query("crw13_idempotency", "SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1 AS accepted FROM events")
@@ -238,7 +242,7 @@ def win2_latest_n(spark, sf_dir):
 @query("mon1_due", f"SELECT o_orderkey AS id, epoch({NOW_SQL} + (60 + o_custkey % 100) * INTERVAL 1 SECOND)::BIGINT AS next_run_at FROM orders WHERE o_custkey % 3 <> 0 AND o_orderdate <= {NOW_SQL}")
 def mon1_due(spark, sf_dir):
     m = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 3 != 0).alias("enabled"), F.col("o_orderdate").alias("next_run_at"), (60 + F.col("o_custkey") % 100).alias("schedule_seconds"))
-    return workflows.due(m, NOW).select("id", _epoch("next_run_at"))
+    return workflows.due(m, _now()).select("id", _epoch("next_run_at"))
 
 
 @query("mon3_update", "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'new' ELSE s_name END AS name, s_acctbal AS bal FROM supplier")
@@ -282,8 +286,8 @@ def agt2_agent_cancel(spark, sf_dir):
 
 @query("dat7_session_ttl", _sql(f"SELECT id, {NOW_SQL} >= created_at + INTERVAL 600 SECOND OR coalesce({NOW_SQL} >= last_task_started_at + INTERVAL 10 SECOND, false) AS expired, {NOW_SQL} <= created_at + INTERVAL 4 HOUR AS handoff FROM jobs"))
 def dat7_session_ttl(spark, sf_dir):
-    e = workflows.session_expired(NOW, F.col("created_at"), F.col("last_task_started_at"), F.lit(600), F.lit(10))
-    return _frames(spark, sf_dir)[0].select("id", e.alias("expired"), workflows.handoff_valid(NOW, F.col("created_at")).alias("handoff"))
+    e = workflows.session_expired(_now(), F.col("created_at"), F.col("last_task_started_at"), F.lit(600), F.lit(10))
+    return _frames(spark, sf_dir)[0].select("id", e.alias("expired"), workflows.handoff_valid(_now(), F.col("created_at")).alias("handoff"))
 
 
 @query("src4_cache_lookup", _sql(f"SELECT id, coalesce(created_at >= {NOW_SQL} - INTERVAL 30 DAY AND expires_at > {NOW_SQL} AND (id % 2 = 1 OR page_limit > 4), false) AS hit FROM jobs"))
@@ -291,7 +295,7 @@ def src4_cache_lookup(spark, sf_dir):
     j = _frames(spark, sf_dir)[0]
     cache = j.select(F.col("id").alias("cache_key"), F.col("url").alias("page"), F.col("created_at").alias("fetched_at"), "expires_at", F.when(F.col("page_limit") > 4, F.lit("s")).alias("screenshot"))
     ask = j.select("id", F.col("id").alias("cache_key"), F.lit(30 * 86_400).alias("max_age_s"), (F.col("id") % 2 == 0).alias("screenshot"))
-    return workflows.cache_lookup(ask, cache, NOW).select("id", "hit")
+    return workflows.cache_lookup(ask, cache, _now()).select("id", "hit")
 
 
 @query("src5_cache_upsert", _sql(f"SELECT id AS cache_key, CASE WHEN id % 2 = 0 THEN 'fresh' ELSE url END AS page, epoch(CASE WHEN id % 2 = 0 THEN {NOW_SQL} + INTERVAL 7 DAY ELSE expires_at END)::BIGINT AS expires_at FROM jobs"))
@@ -299,7 +303,7 @@ def src5_cache_upsert(spark, sf_dir):
     j = _frames(spark, sf_dir)[0]
     cache = j.select(F.col("id").alias("cache_key"), F.col("url").alias("page"), F.col("created_at").alias("fetched_at"), "expires_at")
     fresh = j.where("id % 2 = 0").select(F.col("id").alias("cache_key"), F.lit("fresh").alias("page"))
-    return workflows.cache_upsert(cache, fresh, NOW).select("cache_key", "page", _epoch("expires_at"))
+    return workflows.cache_upsert(cache, fresh, _now()).select("cache_key", "page", _epoch("expires_at"))
 
 
 @query("err1_taxonomy", _sql("SELECT id, CASE error_code WHEN 'fetch_failed' THEN 502 WHEN 'blocked' THEN 403 ELSE 500 END AS status, CASE error_code WHEN 'fetch_failed' THEN 'fetch_failed' WHEN 'blocked' THEN 'blocked_by_policy' ELSE 'internal_error' END AS code, coalesce(error_code = 'fetch_failed', false) AS retryable FROM tasks"))

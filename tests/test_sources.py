@@ -93,3 +93,12 @@ def test_entry_has_a_query_for_each_sql(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     df = entry.entry(spark)
     assert df.columns == ["page_id", "host", "title", "language", "markdown_chars", "quality"] and df.count() == 20
+
+
+def test_entry_can_be_read_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], cwd=root, check=True, timeout=120)

@@ -28,7 +28,7 @@ def summary(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.count_if("quality_passed").alias("quality_pass_count"),
         _rate(F.count_if("quality_passed"), n).alias("quality_pass_rate"),
         F.bround(F.avg("quality_score"), 4).alias("average_quality_score"),
-        *[percentile("elapsed_ms", p / 100).alias(f"p{p}_elapsed_ms") for p in (50, 95, 99)],
+        *[percentile("elapsed_ms", p / 100).cast("bigint").alias(f"p{p}_elapsed_ms") for p in (50, 95, 99)],
         _rate(ok * 60000, F.sum("elapsed_ms"), 2).alias("successful_pages_per_minute"),
         F.count("error").alias("error_count"),
     )

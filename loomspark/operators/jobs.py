@@ -78,7 +78,7 @@ def results(tasks: DataFrame, offset: int = 0, limit: int = 100) -> DataFrame:
     ended = tasks.where(F.col("status").isin("completed", "failed"))
     order = Window.partitionBy("crawl_id").orderBy(F.col("finished_at").asc_nulls_last(), "id")
     total = ended.groupBy("crawl_id").agg(F.count(F.lit(1)).alias("_total"))
-    page = ended.withColumn("position", F.row_number().over(order) - 1).where(f"position >= {offset} and position < {offset + limit}")
+    page = ended.withColumn("position", (F.row_number().over(order) - 1).cast("bigint")).where(f"position >= {offset} and position < {offset + limit}")
     return page.join(total, "crawl_id").withColumn("next", F.when(F.col("_total") > offset + limit, F.lit(offset + limit))).drop("_total")
 
 

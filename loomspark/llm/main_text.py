@@ -51,7 +51,8 @@ UNWANTED = frozenset(
 WANTED = frozenset("article body content entry main post story text".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: Attributes in order, each a whole name with its value; quoted values are passed over whole.
+_ATTR = re.compile(r"""([^\s"'/=>][^\s/=>]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _NAME = re.compile(r"[A-Za-z][a-z]*")
 
 
@@ -70,7 +71,7 @@ class Node:
                 name = name.lower()
                 if name in ("class", "id", "role"):
                     found.update(x.lower() for x in _NAME.findall(a or b or c))
-                elif name == "hidden" or (a or b or c).lower() == "true":
+                elif name == "hidden" or (name == "aria-hidden" and (a or b or c).strip().lower() == "true"):
                     self.hidden = True
             self.names = frozenset(found)
 

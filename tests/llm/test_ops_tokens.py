@@ -171,6 +171,21 @@ def test_main_text_siblings():
     assert main_text.extract(page).split("\n") == ["Title", para, para, para, para]
 
 
+def test_main_text_attributes_are_whole_names():
+    para = "A paragraph of the story, with commas, and enough words to give its parent points."
+    for page in (
+        f'<body style="overflow-x:hidden"><p>{para}</p></body>',
+        f'<body><div id=content style="overflow:hidden"><p>{para}</p></div></body>',
+        f'<body><article data-id="search" title="a hidden class=menu"><p>{para}</p></article></body>',
+        f"<body><div title='id=\"search\" hidden' data-role=menu><p>{para}</p></div></body>",
+    ):
+        assert main_text.extract(page) == para
+    links = '<a href="/hidden-gems.html">One</a> <a href="/p?id=search">two</a> <a href=/guide/hidden-costs>three</a>'
+    assert main_text.extract(f"<article><p>{para} {links}</p></article>") == f"{para} One two three"
+    gone = "".join(f"<div {a}><p>{para} Not this.</p></div>" for a in ("hidden", "HIDDEN=''", 'aria-hidden="true"', "class=sidebar", 'title="x"id="comments"', "role = 'search'"))
+    assert main_text.extract(f"<body><div aria-hidden=false><p>{para}</p>{gone}</div></body>") == para
+
+
 def test_main_text_column(spark):
     df = spark.createDataFrame([(1, None, "u"), (1, "<p>x", None)], "page_id long, html string, url string").withColumn("text", F.lit(3))
     got = main_text.main_text(df, carry={"url": F.col("url")}).collect()

@@ -7,7 +7,9 @@ over the parts, centres by the weighted least squares that this loss gives.
 
 A search scans four-bit codes against a table of 16 scores per part and query, takes the best
 ``rerank`` of each scanned chunk, and computes their exact cosine in double precision on the
-original vectors.
+original vectors. That is a first batch: a vector's cosine is at most its quantised score plus the
+norm of its residual, so every vector whose sum reaches the exact score of the last one wanted is
+reranked too. Nothing else can be among the nearest, and the answer is exact.
 
 Equal vectors are scanned once, with the least ids that could be asked for, so a vector that a
 third of the rows hold costs no more than another. Rows are dealt into blocks and queries into
@@ -61,6 +63,13 @@ class Quantiser:
                 break
         return code
 
+    def reach(self, x: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """What the score of each coded vector can lack for a query of unit length: the norm of its
+        residual, and a little for single-precision scores."""
+        parts = code.shape[1]
+        lost = np.sqrt(((self.parts(x) - self.centres[np.arange(parts)[None, :], code]) ** 2).sum(axis=(1, 2)))
+        return lost + (parts + 2) * 2.0**-22 * (1 + lost)
+
     def table(self, queries: np.ndarray) -> np.ndarray:
         """Score of each centre for each query: queries x (parts * 16)."""
         return np.einsum("qsd,skd->qsk", self.parts(queries), self.centres).reshape(len(queries), -1).astype(np.float32)
@@ -123,7 +132,8 @@ def neighbours(
     An empty table gives an empty result.
 
     The quantiser is fitted on about ``sample`` vectors, those least by a hash of the id; every
-    vector is coded and scanned.
+    vector is coded and scanned, and the result is that of exact search. ``rerank`` sizes the first
+    batch of exact scores and cuts nothing.
     """
     spark = vectors.sparkSession
     kind = "query_id bigint, rank int, " + f"{id_col} bigint, score double"
@@ -168,19 +178,27 @@ def neighbours(
             x, a, names = _unit(_matrix(base.column("v"), dims)), _unit(_matrix(ask.column("v"), dims)), ask.column("q").to_pylist()
             codes, tables = model.codes(x), model.table(a)
             parts = codes.shape[1]
-            found: list[list[np.ndarray]] = [[] for _ in names]
+            reach = model.reach(x, codes)
+            scores = np.empty((len(a), len(x)), np.float32)
             for at in range(0, len(x), chunk):
                 own = codes[at : at + chunk]
                 hot = np.zeros((len(own), parts * CENTRES), np.float32)
                 hot[np.arange(len(own))[:, None], np.arange(parts) * CENTRES + own] = 1
                 for qa in range(0, len(a), 256):
-                    scores = tables[qa : qa + 256] @ hot.T
-                    best = np.argpartition(-scores, rerank - 1, axis=1)[:, :rerank] if len(own) > rerank else np.tile(np.arange(len(own)), (len(scores), 1))
-                    for r, b in enumerate(best):
-                        found[qa + r].append(b + at)
+                    scores[qa : qa + 256, at : at + chunk] = tables[qa : qa + 256] @ hot.T
             for q, name in enumerate(names):
-                near = np.concatenate(found[q])
+                near = []
+                for at in range(0, len(x), chunk):
+                    part = scores[q, at : at + chunk]
+                    near.append((np.argpartition(-part, rerank - 1)[:rerank] if len(part) > rerank else np.arange(len(part))) + at)
+                near = np.concatenate(near)
                 exact = (x[near] * a[q]).sum(axis=1)
+                if len(near) < len(x):
+                    bar = np.partition(exact, -k - 1)[-k - 1] if len(exact) > k else -np.inf
+                    more = scores[q] + reach >= bar
+                    more[near] = False
+                    more = np.flatnonzero(more)
+                    near, exact = np.concatenate([near, more]), np.concatenate([exact, (x[more] * a[q]).sum(axis=1)])
                 top = np.lexsort((first[near], -exact))[: k + 1]
                 out_q += [name] * len(top)
                 out_ids += [ids[near[t]] for t in top]

@@ -126,6 +126,20 @@ def test_neighbours_are_exact_where_all_are_reranked(spark):
     assert ann.neighbours(df.where("vec_id < 4"), df.where("vec_id = 0")).count() == 1
 
 
+def test_neighbours_among_near_equal_vectors(spark):
+    rng = np.random.default_rng(14)
+    v = rng.normal(size=(3000, 16))
+    group = rng.permutation(3000)[:1000]  # a third of the rows: one vector with a little noise
+    v[group] = v[group[0]] + 0.01 * rng.normal(size=(1000, 16))
+    ids = list(range(3000))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in zip(ids, v, strict=True)], "vec_id long, embedding array<double>")
+    asked = [i for i in ids if i % 50 == 0]
+    got = {}
+    for r in ann.neighbours(df, df.where("vec_id % 50 = 0")).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {q: [i for i, _ in w] for q, w in brute(ids, v, asked, 5).items()}
+
+
 def test_quantiser_prefers_small_parallel_residuals():
     rng = np.random.default_rng(13)
     x = rng.normal(size=(3000, 16))

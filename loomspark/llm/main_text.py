@@ -7,7 +7,8 @@ their own, and their blocks become the text.
 
 Before scoring, what can't be article text goes: scripts, styles, forms, navigation, headers,
 footers and sidebars of the page, dialogs, and boxes whose class, id or role names them as
-menus, adverts, notices, sharing bars or reader comments.
+menus, adverts, notices, sharing bars or reader comments. A form that encloses the article, as on
+pages that stand in one form, is opened: only its controls and labels go.
 
 Blocks in page order, joined by a line end. White space inside a block is one space.
 """
@@ -156,13 +157,41 @@ def _plain(text: str) -> str:
     return " ".join(html.unescape(text).split()) if "&" in text else " ".join(text.split())
 
 
-def _clean(node: Node) -> None:
+def _clean(root: Node) -> None:
     """Takes unwanted parts out, with an explicit stack: pages may be deep."""
-    todo = [node]
+    forms, todo = [], [root]
     while todo:
         node = todo.pop()
-        node.children = [c for c in node.children if isinstance(c, str) or not c.unwanted()]
+        if node.tag == "form":
+            forms.append(node)
+        node.children = [c for c in node.children if isinstance(c, str) or (c.tag == "form" and not c.hidden) or not c.unwanted()]
         todo += [c for c in node.children if not isinstance(c, str)]
+    if forms:
+        _open_forms(root, forms)
+
+
+def _open_forms(root: Node, forms: list[Node]) -> None:
+    """Takes forms out, but opens those that hold the page's text: an article or main element, two
+    or more long paragraphs, or half of the page's text outside links. Controls and labels are out
+    already."""
+    order = _measure(root)
+    held: dict[int, int] = {}  # long paragraphs within
+    for node in reversed(order):
+        own = node.size - node.linked if node.tag in ("p", "pre", "blockquote", "li", "dd") else sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        inner = sum(held.get(id(c), 0) for c in node.children if not isinstance(c, str))
+        # An article or main element counts like two paragraphs, if it has text.
+        held[id(node)] = 2 if node.tag in ("article", "main") and node.size else inner or int(own >= 80)
+    whole = root.size - root.linked
+    parents = {}
+    for form in forms:
+        prose = form.size - form.linked
+        if held[id(form)] >= 2 or (prose >= 25 and 2 * prose >= whole):
+            form.tag, form.names = "div", frozenset()
+            form.children = [c for c in form.children if isinstance(c, str) or c.tag not in ("legend", "datalist")]
+        else:
+            parents[id(form.parent)] = form.parent
+    for node in parents.values():
+        node.children = [c for c in node.children if isinstance(c, str) or c.tag != "form"]
 
 
 def _measure(root: Node) -> list[Node]:

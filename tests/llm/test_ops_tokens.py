@@ -200,6 +200,21 @@ def test_main_text_attributes_are_whole_names():
     assert main_text.extract(f"<body><div aria-hidden=false><p>{para}</p>{gone}</div></body>") == para
 
 
+def test_main_text_in_a_form():
+    para = "A paragraph of the story, with commas, and enough words to give its parent points."
+    controls = '<label>Name of the reader</label><input name=q><select><option>One</select><button>Send it</button>'
+    wide = f'<body><form id="aspnetForm" class="search">{{}}</form><footer>Foot</footer></body>'
+    assert main_text.extract(wide.format(f"<h1>Title</h1><div><p>{para}</p>{controls}<p>{para}</p></div>")).split("\n") == ["Title", para, para]
+    assert main_text.extract(wide.format(f"{controls}<article><h1>Title</h1><p>Short.</p></article>")).split("\n") == ["Title", "Short."]
+    assert main_text.extract(wide.format(f"{controls}{para}<br>{para}")) == f"{para} {para}"
+    inner = f'<form class="search"><p>Search in all of our articles, please</p>{controls}</form>'
+    assert main_text.extract(wide.format(f"{inner}<div><p>{para}</p><p>{para}</p></div>")).split("\n") == [para, para]
+    sign = "<form><p>Sign up for our letter, and get all of the news, once a week.</p><input></form>"
+    assert main_text.extract(f"<article><p>{para}</p>{sign}<p>{para}</p>{inner}</article>").split("\n") == [para, para]
+    assert main_text.extract(f"<body><div><p>{para}</p></div><form hidden><article><p>{para} No.</p></article></form></body>") == para
+    assert main_text.extract("<form>" * 5000 + f"<p>{para}") == para
+
+
 def test_main_text_column(spark):
     df = spark.createDataFrame([(1, None, "u"), (1, "<p>x", None)], "page_id long, html string, url string").withColumn("text", F.lit(3))
     got = main_text.main_text(df, carry={"url": F.col("url")}).collect()

@@ -8,7 +8,10 @@ their own, and their blocks become the text.
 Before scoring, what can't be article text goes: scripts, styles, forms, navigation, headers,
 footers and sidebars of the page, dialogs, and boxes whose class, id or role names them as
 menus, adverts, notices, sharing bars or reader comments. A form that encloses the article, as on
-pages that stand in one form, is opened: only its controls and labels go.
+pages that stand in one form, is opened: only its controls and labels go. Headings, paragraphs,
+list items, cells and inline elements aren't boxes: their names, often made from their own words,
+drop nothing unless they say advert. Inside an article a box goes only if a whole name says what
+it is, as in ``comment-list``; one word of it, as in ``section-header``, isn't enough.
 
 Blocks in page order, joined by a line end. White space inside a block is one space.
 """
@@ -17,7 +20,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -48,6 +52,19 @@ IMPLIED = {
 UNWANTED = frozenset(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer header masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted related respond share sharing shoutbox sidebar social sponsor sponsored subscribe toolbar complementary contentinfo search".split()
 )
+#: Inside an article, words one of which a whole name must hold ...
+BOXES = frozenset(
+    "ad ads advert advertisement adverts advertising breadcrumb breadcrumbs comment comments commentlist complementary contentinfo disqus menu menubar modal nav navbar navigation newsletter pager pagination popup promoted related respond share sharing shoutbox sidebar social sponsor sponsored toolbar".split()
+)
+#: ... and words that may stand beside these in it.
+BESIDE = frozenset("area articles banner bar block bottom box button buttons container form icons inner items left links list media outer panel posts right section slot top unit widget widgets wrap wrapper".split())
+#: Notices about cookies: a name of both.
+COOKIES = frozenset("cookie cookies".split())
+NOTICES = frozenset("banner bar consent modal notice popup".split())
+ADVERTS = frozenset("ad ads advert advertisement adverts advertising sponsored".split())
+#: Elements of the text itself, as are all that aren't blocks.
+HEADS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+TEXT = HEADS | frozenset("blockquote dd dt figcaption li p pre summary td th tr".split())
 #: Words that speak for a box even so.
 WANTED = frozenset("article body content entry main post story text".split())
 
@@ -60,21 +77,22 @@ _NAME = re.compile(r"[A-Za-z][a-z]*")
 class Node:
     """An element; its children are elements and strings."""
 
-    __slots__ = ("tag", "names", "hidden", "children", "parent", "points", "size", "linked")
+    __slots__ = ("tag", "names", "whole", "hidden", "children", "parent", "points", "size", "linked")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = "") -> None:
         self.tag, self.parent, self.children = tag, parent, []
-        self.names, self.hidden = frozenset(), False
+        self.names, self.whole, self.hidden = frozenset(), frozenset(), False
         self.points, self.size, self.linked = 0.0, 0, 0
         if attributes:
-            found = set()
+            found, whole = set(), set()
             for name, a, b, c in _ATTR.findall(attributes):
                 name = name.lower()
                 if name in ("class", "id", "role"):
                     found.update(x.lower() for x in _NAME.findall(a or b or c))
+                    whole.update((a or b or c).split())
                 elif name == "hidden" or (name == "aria-hidden" and (a or b or c).strip().lower() == "true"):
                     self.hidden = True
-            self.names = frozenset(found)
+            self.names, self.whole = frozenset(found), frozenset(whole)
 
     def unwanted(self) -> bool:
         if self.tag in DROPPED or self.hidden:
@@ -82,11 +100,26 @@ class Node:
         if self.tag in ("html", "body", "main", "article"):
             return False
         if self.tag == "header":  # an article's own header holds its headline
-            up = self.parent
-            while up is not None and up.tag not in ("article", "main") and not up.names & {"article", "entry", "post", "story"}:
-                up = up.parent
-            return up is None
-        return bool(self.names & UNWANTED) and not self.names & WANTED
+            return not self._within(lambda up: up.names & {"article", "entry", "post", "story"})
+        if self.tag in TEXT or self.tag not in BLOCK:
+            return self.tag not in HEADS and any(x.lower() in ADVERTS for x in self.whole)
+        if not self.names & UNWANTED or self.names & WANTED:
+            return False
+        return any(map(_box, self.whole)) or not self._within(lambda up: up.tag != "body" and up.whole & {"article", "entry", "post", "story"})
+
+    def _within(self, named: Callable[[Node], object]) -> bool:
+        """In an article or main element, or in one that ``named`` takes for an article."""
+        up = self.parent
+        while up is not None and up.tag not in ("article", "main") and not named(up):
+            up = up.parent
+        return up is not None
+
+
+@lru_cache(65_536)
+def _box(name: str) -> bool:
+    """Whether a whole class, id or role names a menu, advert, sharing bar, notice or comment box."""
+    words = {x.lower() for x in _NAME.findall(name)}
+    return bool(words & BOXES) and words <= BOXES | BESIDE or bool(words & COOKIES and words & NOTICES)
 
 
 def parse(text: str) -> Node:

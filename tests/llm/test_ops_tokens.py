@@ -215,6 +215,18 @@ def test_main_text_in_a_form():
     assert main_text.extract("<form>" * 5000 + f"<p>{para}") == para
 
 
+def test_main_text_names_of_the_text_itself():
+    para = "A paragraph of the story, with commas, and enough words to give its parent points."
+    heads = [f'<h2 id="{x}">{x}</h2>' for x in ("related-work", "social-impact", "search", "informed-consent")] + ['<h3 id="comment-syntax">comment-syntax</h3>']
+    body = f'<p>{para}</p>' + "".join(heads) + f'<div class="section-header"><h2>Part</h2></div><p class="ad-hoc">{para}</p><ul><li class="menu-item">Soup</li></ul><p>Call <code><span class="token comment">sharing()</span></code></p>'
+    want = [para, "related-work", "social-impact", "search", "informed-consent", "comment-syntax", "Part", para, "Soup", "Call sharing()"]
+    boxes = "".join(f"<div {a}><p>{para} Not this.</p></div>" for a in ("class=comment-list", 'id="comments"', "role=navigation", 'class="x ad-container"', "class=shareButtons", "class=cookie-notice", "class=sidebar")) + f'<p class="advertisement">{para} Nor this.</p>'
+    for page in (f"<article>{body}{boxes}</article>", f"<main>{boxes}<div>{body}</div></main>", f'<body><div class="post">{body}{boxes}</div><div class="site-sidebar"><p>{para} No.</p></div></body>'):
+        assert main_text.extract(page).split("\n") == want
+    # Outside an article one word is enough, as before.
+    assert main_text.extract(f'<body class="post"><div><p>{para}</p><div class="widget-search-area"><p>{para} No.</p></div></div></body>') == para
+
+
 def test_main_text_column(spark):
     df = spark.createDataFrame([(1, None, "u"), (1, "<p>x", None)], "page_id long, html string, url string").withColumn("text", F.lit(3))
     got = main_text.main_text(df, carry={"url": F.col("url")}).collect()

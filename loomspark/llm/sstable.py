@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import bisect
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -221,10 +222,14 @@ class Encoder:
         split = []
         for text in texts:
             text = text or ""
-            # The tokenizer lowers case itself; doing it here only makes more chunks alike. Not
-            # where Python's rules look at neighbours, nor where it could make a special token.
+            # The tokenizer lowers case itself, after NFC; doing it here only makes more chunks alike.
+            # Not where Python's rules look at neighbours, nor where it could make a special token,
+            # nor where NFC changes the text or its lower case (some marks compose with small
+            # letters only), for then the order counts.
             if "Σ" not in text and "İ" not in text and "<|" not in text:
-                text = text.lower()
+                lower = text.lower()
+                if text.isascii() or (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", lower)):
+                    text = lower
             split.append(text.replace("\n", " ").split(" "))
         new = list(set().union(*split).difference(known)) if split else []
         fresh = []

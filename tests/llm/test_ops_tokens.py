@@ -40,6 +40,16 @@ def test_bpe_equals_the_library(library):
     assert coder.encode(None) == (b"", "")
 
 
+def test_shard_encoder_equals_the_library(library):
+    coder = sstable.Encoder(queries.tokenizer_path())
+    marks = [chr(c) for c in range(0x300, 0x36F)]
+    letters = [chr(c) for c in [*range(0x41, 0x5B), *range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)] if chr(c).lower() != chr(c)]
+    texts = ["H\u0331aw", "J\u030can", "T\u0308a W\u030a Y\u030a", "\u03aa\u0301 \u0391\u0342", "\u212a \u212b E\u0301COLE", "\u00c9COLE \u00dcber Stra\u1e9eE", *odd_texts()]
+    texts += [" ".join(f"{x}{m}aw" for m in marks) for x in letters]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)] == want
+
+
 def test_every_token_of_the_vocabulary_is_its_own_encoding(library):
     coder = bpe.WordBpe(queries.tokenizer_path())
     words = [t[:-4] for t in coder.tokens.values() if t.endswith("</w>") and t[:-4].isascii() and t[:-4].isalpha()]

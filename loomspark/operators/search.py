@@ -59,6 +59,19 @@ def concatenated(pages: DataFrame, key: str, order: str = "ord", chars: int | No
     return pages.groupBy(key).agg((F.substring(joined, 1, chars) if chars else joined).alias("context"))
 
 
+def sections(pages: DataFrame, key: str, order: str = "ord") -> DataFrame:
+    """STR9 for keys of any size: (key, order, tie, section), a row per page and nothing cut. The
+    sections of a key in order of ``order`` (null last) and ``tie``, put together as they are, give
+    its context: all but the first begin with the rule. The join is by key, with a table of one row
+    a key: adaptive execution broadcasts it if it is small, else splits hot keys."""
+    rows = pages.select(key, order, text.source_section(F.col("url"), F.col("markdown")).alias("section")).where(F.col("section").isNotNull())
+    rows = rows.withColumn("tie", F.row_number().over(Window.partitionBy(key, order).orderBy("section")))
+    least = rows.groupBy(F.col(key).alias("_k")).agg(F.min(order).alias("_first"))
+    joined = rows.join(least, F.col(key).eqNullSafe(F.col("_k")))
+    first = F.col(order).eqNullSafe(F.col("_first")) & (F.col("tie") == 1)
+    return joined.select(key, order, "tie", F.when(first, F.col("section")).otherwise(F.concat(F.lit("\n\n---\n\n"), "section")).alias("section"))
+
+
 def document(title: Column, url: Column, markdown: Column, status: Column, language: Column) -> Column:
     """JSN2: the JSON envelope of a page."""
     meta = F.struct(title.alias("title"), language.alias("language"), url.alias("sourceURL"), url.alias("url"), status.alias("statusCode"))

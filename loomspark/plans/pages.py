@@ -294,6 +294,16 @@ def str9_concatenation(spark, sf_dir):
     return search.concatenated(d, "source")
 
 
+@query("str9_whole_concatenation", """
+WITH s AS (SELECT source, doc_id AS ord, '# Source: ' || source || '/' || doc_id || chr(10) || chr(10) || coalesce(text, '') AS t FROM documents)
+SELECT source, ord, row_number() OVER (PARTITION BY source, ord ORDER BY t)::INT AS tie,
+       CASE WHEN row_number() OVER (PARTITION BY source ORDER BY ord, t) = 1 THEN '' ELSE chr(10) || chr(10) || '---' || chr(10) || chr(10) END || t AS section
+FROM s WHERE t IS NOT NULL""")
+def str9_whole_concatenation(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("ord"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("url"), F.coalesce("text", F.lit("")).alias("markdown"))
+    return search.sections(d, "source")
+
+
 @query("str11_lenient_json", "SELECT event_id, json_extract_string(props, '$.k') AS k, NULL::VARCHAR AS missing FROM events")
 def str11_lenient_json(spark, sf_dir):
     reply = F.concat(F.lit("Here it is: "), "props", F.lit(" as asked."))

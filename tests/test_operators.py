@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from loomspark.operators import evaluation, frontier, jobs, workflows
+from loomspark.operators import evaluation, frontier, jobs, search, workflows
 
 T0 = datetime(2026, 1, 1, 12)
 TASK = "id long, crawl_id long, url string, status string, attempts int, next_attempt_at timestamp, lease_expires_at timestamp, created_at timestamp, started_at timestamp, finished_at timestamp, result string, error_code string, error_message string, dedup_key string, depth int"
@@ -116,3 +116,28 @@ def test_sessions_and_cache(spark):
     cache = spark.createDataFrame([("k", "page", T0 - timedelta(seconds=50), T0 + timedelta(days=1), None)], "cache_key string, page string, fetched_at timestamp, expires_at timestamp, screenshot string")
     ask = spark.createDataFrame([("k", 60, False), ("k", 40, False), ("k", 60, True), ("z", 60, False)], "cache_key string, max_age_s int, screenshot boolean")
     assert sorted(r["hit"] for r in workflows.cache_lookup(ask, cache, NOW).collect()) == [False, False, False, True]
+
+
+def test_whole_concatenation_cuts_nothing(spark):
+    from loomspark import plans
+
+    sf = "/root/testdata/sf0.001"
+    rows = sorted((r["source"], r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf}/documents.parquet").select("source", "doc_id", "text").collect())
+    want = {}
+    for source, doc_id, t in rows:
+        want.setdefault(source, []).append(f"# Source: {source}/{doc_id}\n\n{t}")
+    want = {k: "\n\n---\n\n".join(v) for k, v in want.items()}
+    assert max(map(len, want.values())) > 24_000
+    got = {}
+    for r in plans.QUERIES["str9_whole_concatenation"](spark, sf).orderBy("ord", "tie").collect():
+        got[r["source"]] = got.get(r["source"], "") + r["section"]
+    assert got == want
+
+
+def test_sections_with_ties_and_nulls(spark):
+    df = spark.createDataFrame([(k, o, u, "m") for k in ("a", None) for o, u in ((2, "x"), (1, "z"), (1, "y"), (1, "y"), (None, "w"))] + [("n", None, "v", "m")], "k string, ord int, url string, markdown string")
+    got = {}
+    for r in search.sections(df, "k").orderBy(F.asc_nulls_last("ord"), "tie").collect():
+        got[r["k"]] = got.get(r["k"], "") + r["section"]
+    of = lambda *urls: "\n\n---\n\n".join(f"# Source: {u}\n\nm" for u in urls)
+    assert got == {"a": of(*"yyzxw"), None: of(*"yyzxw"), "n": of("v")}

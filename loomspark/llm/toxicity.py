@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import pieces
 
 SLOTS = 1 << 18
+#: A slot in so large a share of the toxic rows, and in so many of them, may have a weight.
+SHARE, FLOOR = 0.02, 3
 _SENTENCE = re.compile(r"[^.!?;|\r\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -74,19 +76,24 @@ class Model:
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_rows: int = 8_000, least_docs: int = 8, rounds: int = 300, shrink: float = 2e-3, step: float = 0.2) -> Model:
     """Trains on at most about ``max_rows`` labelled rows, chosen by a hash of the id so that
-    the choice doesn't hang on order or partitions. Rows with a null label are left out; null
-    text counts as empty. Slots in fewer than ``least_docs`` toxic rows get no weight. Without
-    rows of both labels the model scores everything by its prior of almost 0.
+    the choice doesn't hang on order or partitions: toxic ones, of which half of them may be (more
+    if there aren't so many others), then others. Rows with a null label are left out; null text
+    counts as empty. Slots in fewer than ``least_docs`` toxic rows get no weight; where these are a
+    larger share of the toxic rows than ``SHARE``, that share counts, but ``FLOOR`` at least.
+    Without rows of both labels the model scores everything by its prior of almost 0.
 
     Weights stay at 0 or above and shrink by ``shrink`` a round, so most are 0 in the end.
 
     Executors turn texts into slots; the driver gets integers only, of the sample.
     """
     rows = labelled.where(F.col(label_col).isNotNull()).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("y"), F.xxhash64(id_col).alias("h"))
-    n = rows.count()
+    n, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("y") == 1).cast("bigint")), F.lit(0))).first()
     if not n:
         return Model({}, -8.0)
-    sample = rows.where(F.pmod("h", F.lit(1 << 40)) < float(1 << 40) * min(1.0, max_rows / n)).select("text", "y")
+    wanted = min(toxic, max(max_rows // 2, max_rows - (n - toxic)))
+    share = lambda take, of: float(1 << 40) * min(1.0, take / max(1, of))
+    limit = F.when(F.col("y") == 1, share(wanted, toxic)).otherwise(share(max_rows - wanted, n - toxic))
+    sample = rows.where(F.pmod("h", F.lit(1 << 40)) < limit).select("text", "y")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
@@ -113,7 +120,7 @@ def _train(got: pa.Table, least_docs: int, rounds: int, shrink: float, step: flo
     toxic = y[doc_of_sentence[sentence]] == 1
     pairs = np.unique(doc_of_sentence[sentence][toxic] * SLOTS + slots[toxic])
     often = np.bincount(pairs % SLOTS, minlength=SLOTS)
-    known = np.flatnonzero(often >= least_docs)
+    known = np.flatnonzero(often >= min(least_docs, max(FLOOR, SHARE * (y == 1).sum())))
     column = np.full(SLOTS, -1)
     column[known] = np.arange(len(known))
     keep = column[slots] >= 0

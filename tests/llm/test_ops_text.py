@@ -231,3 +231,16 @@ def test_toxicity(spark):
     assert toxicity.score(test.limit(0), model).count() == 0
     one_class = toxicity.fit(df.where("toxic = 0"))
     assert toxicity.score(test, one_class).where("score >= 0.5").count() == 0
+
+
+def test_toxicity_where_toxic_labels_are_rare(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(300)]
+    plain = lambda: " ".join(rng.choice(words) for _ in range(12)) + "."
+    # 60 toxic rows of 3,000, four with each bad word: no more than a tenth of them in a uniform sample.
+    bad = [f"zq{c}xwvy" for c in "abcdefghijklmno"]
+    rows = [(i, f"{plain()} {plain()}" + (f" {rng.choice(words)} {bad[i // 50 % 15]} {rng.choice(words)}." if i % 50 == 0 else ""), int(i % 50 == 0)) for i in range(3000)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"), max_rows=300)
+    test = spark.createDataFrame([(i, f"{plain()} {w} {rng.choice(words)}.") for i, w in enumerate(bad)] + [(100 + i, plain()) for i in range(100)], "doc_id long, text string")
+    found = {r["doc_id"] for r in toxicity.score(test, model).where("score >= 0.5").collect()}
+    assert len([i for i in found if i < 100]) >= 14 and len([i for i in found if i >= 100]) <= 5

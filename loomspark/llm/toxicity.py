@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, written
 
 SLOTS = 1 << 18
 #: A slot in so large a share of the toxic rows, and in so many of them, may have a weight.
@@ -74,26 +74,53 @@ class Model:
         return scores, found
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_rows: int = 8_000, least_docs: int = 8, rounds: int = 300, shrink: float = 2e-3, step: float = 0.2) -> Model:
-    """Trains on at most about ``max_rows`` labelled rows, chosen by a hash of the id so that
+def sampled(docs: DataFrame, labels: DataFrame | None = None, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_rows: int = 8_000) -> DataFrame:
+    """(text, y, h): the documents to learn from, at most about ``max_rows``, written in the
+    shared folder. h: a hash of the id, by which they are chosen.
+
+    Only ids and labels are joined and counted, over all rows; the texts of the chosen ids are
+    then picked out of ``docs`` where they lie, by a broadcast of those ids.
+    """
+    labels = docs if labels is None else labels
+    labels = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
+    ids = docs.select(F.col(id_col).alias("_id")).join(labels, "_id").distinct().withColumn("h", F.pmod(F.xxhash64("_id"), F.lit(1 << 40)))
+    n, toxic = ids.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("y") == 1).cast("bigint")), F.lit(0))).first()
+    wanted = min(toxic, max(max_rows // 2, max_rows - (n - toxic)))
+    share = lambda take, of: float(1 << 40) * min(1.0, take / max(1, of))
+    limit = F.when(F.col("y") == 1, share(wanted, toxic)).otherwise(share(max_rows - wanted, n - toxic))
+    chosen = ids.where(F.col("h") < limit)
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # Bounded: about max_rows ids.
+    return written(texts.join(F.broadcast(chosen), "_id").groupBy("_id", "y", "h").agg(F.min("text").alias("text")).select("text", "y", "h"), "labelled")
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame | None = None, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", max_rows: int = 8_000, max_chars: int = 32_000_000, least_docs: int = 8, rounds: int = 300, shrink: float = 2e-3, step: float = 0.2
+) -> Model:
+    """Trains on at most about ``max_rows`` labelled documents, chosen by a hash of the id so that
     the choice doesn't hang on order or partitions: toxic ones, of which half of them may be (more
-    if there aren't so many others), then others. Rows with a null label are left out; null text
-    counts as empty. Slots in fewer than ``least_docs`` toxic rows get no weight; where these are a
-    larger share of the toxic rows than ``SHARE``, that share counts, but ``FLOOR`` at least.
-    Without rows of both labels the model scores everything by its prior of almost 0.
+    if there aren't so many others), then others; of either label those of least hash that hold
+    ``max_chars // 2`` characters together (one at least), which bounds the driver's memory where
+    texts are long. ``labels``: a table of id and label; the columns of ``docs`` by default.
+
+    Left out: rows with a null id or label, and ids in one of the two tables only. An id repeated
+    in ``labels`` has the greatest of its labels; one repeated in ``docs`` counts once, with the
+    least of its texts. Null text counts as empty. Slots in fewer than ``least_docs`` toxic
+    documents get no weight; where these are a larger share of the toxic ones than ``SHARE``, that
+    share counts, but ``FLOOR`` at least. Without documents of both labels (empty tables too) the
+    model scores everything by its prior of almost 0.
 
     Weights stay at 0 or above and shrink by ``shrink`` a round, so most are 0 in the end.
 
     Executors turn texts into slots; the driver gets integers only, of the sample.
     """
-    rows = labelled.where(F.col(label_col).isNotNull()).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("y"), F.xxhash64(id_col).alias("h"))
-    n, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("y") == 1).cast("bigint")), F.lit(0))).first()
-    if not n:
-        return Model({}, -8.0)
-    wanted = min(toxic, max(max_rows // 2, max_rows - (n - toxic)))
-    share = lambda take, of: float(1 << 40) * min(1.0, take / max(1, of))
-    limit = F.when(F.col("y") == 1, share(wanted, toxic)).otherwise(share(max_rows - wanted, n - toxic))
-    sample = rows.where(F.pmod("h", F.lit(1 << 40)) < limit).select("text", "y")
+    rows = sampled(docs, labels, text_col, label_col, id_col, max_rows)
+    # At most about max_rows rows of two numbers.
+    lengths = rows.select("y", "h", F.length("text").alias("n")).toArrow().to_pandas().sort_values(["y", "h"])
+    before = lengths.groupby("y")["n"].cumsum() - lengths["n"]
+    beyond = lengths[before >= max(1, max_chars // 2)].groupby("y")["h"].min().to_dict()
+    for y, h in beyond.items():
+        rows = rows.where((F.col("y") != int(y)) | (F.col("h") < int(h)))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
@@ -104,7 +131,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", i
                 sizes.append([len(s) for s in own])
             yield pa.RecordBatch.from_arrays([pa.array(bags, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32())), piece.column(1)], ["slots", "sizes", "y"])
 
-    got = sample.mapInArrow(features, "slots array<int>, sizes array<int>, y int").toArrow()
+    got = rows.select("text", "y").mapInArrow(features, "slots array<int>, sizes array<int>, y int").toArrow()
     return _train(got, least_docs, rounds, shrink, step)
 
 
@@ -114,17 +141,18 @@ def _train(got: pa.Table, least_docs: int, rounds: int, shrink: float, step: flo
         return Model({}, -8.0)
     flat = lambda c: got.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
     size = lambda c: np.asarray(pc.list_value_length(got.column(c)).to_pylist())
-    slots, per_sentence, sentences_of = flat("slots").astype(np.int64), flat("sizes").astype(np.int64), size("sizes")
-    doc_of_sentence = np.repeat(np.arange(len(y)), sentences_of)
-    sentence = np.repeat(np.arange(len(per_sentence)), per_sentence)
-    toxic = y[doc_of_sentence[sentence]] == 1
-    pairs = np.unique(doc_of_sentence[sentence][toxic] * SLOTS + slots[toxic])
+    slots, per_sentence, sentences_of = flat("slots"), flat("sizes"), size("sizes")
+    doc_of_sentence = np.repeat(np.arange(len(y), dtype=np.int32), sentences_of)
+    sentence = np.repeat(np.arange(len(per_sentence), dtype=np.int32), per_sentence)
+    toxic = (y == 1)[doc_of_sentence][sentence]
+    pairs = np.unique(doc_of_sentence[sentence[toxic]].astype(np.int64) * SLOTS + slots[toxic])
     often = np.bincount(pairs % SLOTS, minlength=SLOTS)
     known = np.flatnonzero(often >= min(least_docs, max(FLOOR, SHARE * (y == 1).sum())))
-    column = np.full(SLOTS, -1)
+    column = np.full(SLOTS, -1, np.int32)
     column[known] = np.arange(len(known))
     keep = column[slots] >= 0
     sentence, col = sentence[keep], column[slots[keep]]
+    del slots, toxic, keep, got
 
     w, bias = np.zeros(len(known)), -7.0
     m, v, at = np.zeros(len(known) + 1), np.zeros(len(known) + 1), 0

@@ -5,12 +5,13 @@
 3. Only rows of a (length, prefix hash) that occurs twice have their full text hashed, and the
    groups of (length, prefix hash, full hash) are the groups of equal texts.
 
-No text is shuffled at any step, only lengths, hashes and ids. Which (length, prefix hash)
-values survive step 2 reaches the scan of step 3 as a bitmap of fixed size, broadcast; a false
-positive there costs one more hash and changes no result. Counts and least ids are aggregated
-before each shuffle, so a group holding a third of the rows sends one row per task. The last
-join, from rows to their group, has narrow rows and no consumer that needs its partitioning, so
-adaptive execution can split a hot group.
+The first scan counts (length, prefix hash) values, aggregated before the shuffle: a group holding
+a third of the rows is one row per task, and lengths are counted from these counts. Which values
+survive step 2 reaches the second scan as a bitmap of fixed size, broadcast; a false positive
+there costs one more hash and changes no result. The second scan writes ids and hashes; from there
+on only rows of surviving groups move, and only lengths, hashes and ids of them. The last join,
+from rows to their group, has no consumer that needs its partitioning, so adaptive execution can
+split a hot group.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch, bitmap, marked, one_of_each
 
-#: Bits of the survivors' bitmap: 2 MB, whatever the input.
-BITMAP_BITS = 1 << 24
+PREFIX = 256
+_KEY = ["_n", "_p", "_h"]
 
 
 def normalised(text: str | Column) -> Column:
@@ -31,7 +32,26 @@ def normalised(text: str | Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 256, digest: bool = False) -> DataFrame:
+def _keys(text: Column, prefix: int) -> list[Column]:
+    return [F.length(text).alias("_n"), F.xxhash64(F.substring(text, 1, prefix)).alias("_p")]
+
+
+def _hashes(docs: DataFrame, id_col: str, text_col: str, prefix: int, every: bool, scratch: Scratch) -> DataFrame:
+    """(_id, _n, _p, _maybe, _h): a row for each row; _h, the full hash, where the row's text may
+    have an equal (_maybe), or for all rows if ``every``."""
+    rows = docs.select(F.col(id_col).alias("_id"), normalised(text_col).alias("_t"))
+    counts = scratch.write(rows.select(*_keys(F.col("_t"), prefix)).groupBy("_n", "_p").agg(F.count(F.lit(1)).alias("_c")), "prefixes")
+    lengths = counts.groupBy("_n").agg(F.sum("_c").alias("_c")).where("_c > 1").select("_n")
+    again = counts.join(lengths, "_n", "left_semi").where("_c > 1")
+    bits = scratch.write(bitmap(again, "_n", "_p"), "collisions")
+    near = marked(rows.select("_id", *_keys(F.col("_t"), prefix), "_t"), bits, "_n", "_p")
+    full = F.unhex(F.sha2("_t", 256))
+    near = scratch.write(near.select("_id", "_n", "_p", "_maybe", (full if every else F.when(F.col("_maybe"), full)).alias("_h")), "hashes")
+    scratch.drop("prefixes", "collisions")
+    return near
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, digest: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept (and text_sha256 if ``digest``).
 
     Of equal texts the row with the smallest id stays. Null text counts as empty. Null ids sort
@@ -39,41 +59,49 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated with one id form a group in which each has kept = true, as each has that id.
     An empty table gives an empty result; other columns of ``docs`` are not read.
     """
-    norm = normalised(text_col)
-    rows = docs.select(F.col(id_col).alias("_id"), norm.alias("_t"))
-    keys = rows.select(F.length("_t").alias("_n"), F.xxhash64(F.substring("_t", 1, prefix)).alias("_p"))
-
-    lengths = keys.groupBy("_n").count().where("count > 1").select("_n")
-    again = keys.join(lengths, "_n", "left_semi").groupBy("_n", "_p").count().where("count > 1")
-    slot = F.pmod(F.xxhash64("_n", "_p"), F.lit(BITMAP_BITS)).cast("bigint")
-    bitmap = written(again.select(slot.alias("_s")).groupBy(F.bitmap_bucket_number("_s").alias("_b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_s")).alias("_bits")), "collisions")
-
-    near = rows.select(
-        "_id",
-        F.length("_t").alias("_n"),
-        F.xxhash64(F.substring("_t", 1, prefix)).alias("_p"),
-        "_t",
-    ).withColumn("_s", slot)
-    # Bounded: at most BITMAP_BITS / 32,768 = 512 rows of 4 KB each.
-    near = near.join(F.broadcast(bitmap), F.bitmap_bucket_number("_s") == F.col("_b"), "left")
-    maybe = F.expr("coalesce(shiftright(cast(conv(hex(substring(_bits, cast(bitmap_bit_position(_s) div 8 + 1 as int), 1)), 16, 10) as int), cast(bitmap_bit_position(_s) % 8 as int)) & 1 = 1, false)")
-    full = F.sha2("_t", 256)
-    near = near.select("_id", "_n", "_p", F.when(maybe, full).alias("_h"), *([full.alias("text_sha256")] if digest else []))
-
-    groups = near.where("_h is not null").groupBy("_n", "_p", "_h").agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
-    out = near.join(groups, ["_n", "_p", "_h"], "left")
-    alone = F.col("group_size").isNull()
-    keep = F.when(alone, F.col("_id")).otherwise(F.col("keep_id"))
+    near = _hashes(docs, id_col, text_col, prefix, digest, Scratch(docs.sparkSession))
+    some = near.where("_maybe")
+    groups = some.groupBy(*_KEY).agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    alone = [F.lit(None).cast(near.schema["_id"].dataType).alias("keep_id"), F.lit(None).cast("bigint").alias("group_size")]
+    out = some.join(groups, _KEY, "left").select("_id", "_h", "keep_id", "group_size").union(near.where("not _maybe").select("_id", "_h", *alone))
+    keep = F.when(F.col("group_size").isNull(), F.col("_id")).otherwise(F.col("keep_id"))
     return out.select(
         F.col("_id").alias(id_col),
         keep.alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),
         F.col("_id").eqNullSafe(keep).alias("kept"),
-        *(["text_sha256"] if digest else []),
+        *([F.lower(F.hex("_h")).alias("text_sha256")] if digest else []),
     )
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns as they were."""
-    ids = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_keep")).distinct()
-    return docs.join(ids, docs[id_col].eqNullSafe(ids["_keep"]), "left_semi")
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each group of equal texts, all columns as they were.
+
+    It is a row with the group's smallest id (null ids last); of several rows with that id and
+    text, the one whose columns have the least hash, and one of those that are alike in all.
+    Rows with one id but different texts are judged each by its own text. Null text counts as
+    empty; an empty table gives an empty result.
+
+    A row whose id occurs once, in a group of its own or as its smallest id, stays where it is
+    read: only the others, found by a bitmap of their ids, are hashed again and joined.
+    """
+    scratch = Scratch(docs.sparkSession)
+    near = _hashes(docs, id_col, text_col, prefix, False, scratch)
+    # Rows of a group by id first, so that repeats of the id that stays are known.
+    by_id = near.where("_maybe").groupBy(*_KEY, "_id").agg(F.count(F.lit(1)).alias("_c"))
+    first = F.min(F.struct(F.col("_id").isNull().alias("_no"), "_id", "_c")).alias("_first")
+    groups = by_id.groupBy(*_KEY).agg(first, F.sum("_c").alias("_size")).where("_size > 1")
+    groups = scratch.write(groups.select(*_KEY, F.col("_first._id").alias("_keep"), F.col("_first._c").alias("_repeats")), "groups")
+    lost = near.where("_maybe").join(groups, _KEY).where("not (_id <=> _keep) or _repeats > 1").select("_id")
+    repeated = near.groupBy("_id").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1 or _id is null").select("_id")
+    bits = scratch.write(bitmap(lost.union(repeated), "_id"), "doubtful")
+    scratch.drop("hashes")
+
+    names = [f"_k{i}" for i in range(len(docs.columns))]
+    own_id, own_text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
+    rows = marked(docs.toDF(*names), bits, own_id)
+    clear, doubtful = rows.where("not _maybe").select(*names), rows.where("_maybe")
+    doubtful = doubtful.withColumn("_t", normalised(own_text)).select(*names, *_keys(F.col("_t"), prefix), F.unhex(F.sha2("_t", 256)).alias("_h"))
+    judged = doubtful.join(groups, _KEY, "left").where(f"_repeats is null or {own_id} <=> _keep")
+    one = judged.where("_repeats is null or _repeats = 1").select(*names)
+    return clear.union(one).union(one_of_each(judged.where("_repeats > 1"), _KEY, names)).toDF(*docs.columns)

@@ -5,7 +5,7 @@
 2. Texts with equal sets form a class; from here on only classes take part. A class is named by a
    number of its own, not by an id, so rows repeated with one id but other texts keep their sets.
 3. Leaders: in each bucket (classes with an equal band key) the others are compared with the one
-   of least number, so a bucket of n sends n - 1 pairs, however large. Joint likelihood of the
+   of least id, so a bucket of n sends n - 1 pairs, however large. Joint likelihood of the
    registers rejects hopeless pairs, the full sets decide the rest, and confirmed links make
    components.
 4. Rest: a bucket of two, or one whose other members now lie in one component, holds no news. In
@@ -199,6 +199,10 @@ def components(nodes: DataFrame, edges: DataFrame, scratch: Scratch | None = Non
     return nodes.join(labels.select("_id", "comp"), "_id", "left").select("_id", F.coalesce("comp", "_id").alias("comp"))
 
 
+def _labels(scratch: Scratch) -> list[str]:
+    return [name for name in scratch.paths if name.startswith("labels-")]
+
+
 def _links(source: DataFrame, classes: DataFrame, threshold: int, width: int, scratch: Scratch) -> DataFrame:
     """(a, b): links between classes, enough of them to make the components."""
     share, write = threshold / 100, scratch.write
@@ -206,11 +210,12 @@ def _links(source: DataFrame, classes: DataFrame, threshold: int, width: int, sc
     size = BAND_ROWS * 2  # bytes of a band
     # The band is part of what is hashed and stands in the key's lower bits.
     own = F.substring("regs", F.col("b") * size + 1, F.lit(size))
-    slots = classes.select("cls", "regs", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("b"))
-    slots = slots.select("cls", F.shiftleft(F.xxhash64("b", own), _BAND_BITS).bitwiseOR(F.col("b").cast("bigint")).alias("key"))
-    # A bucket needs two members; its leader is the least class.
-    heads = write(slots.groupBy("key").agg(F.min("cls").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1"), "heads")
-    members = write(marked(slots, write(bitmap(heads, "key"), "bits"), "key").where("_maybe").join(heads, "key").select("key", "cls", "lead", "size"), "buckets")
+    slots = classes.select("cls", "rep", "regs", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("b"))
+    slots = slots.select("cls", "rep", F.shiftleft(F.xxhash64("b", own), _BAND_BITS).bitwiseOR(F.col("b").cast("bigint")).alias("key"))
+    # A bucket needs two members; its leader is the class of least id, of several the least class.
+    heads = write(slots.groupBy("key").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1"), "heads")
+    members = write(marked(slots, write(bitmap(heads, "key"), "bits"), "key").where("_maybe").join(heads, "key").select("key", "cls", "size", (F.col("rep") == F.col("least")).alias("first")), "members")
+    members = write(members.drop("first").join(members.where("first").groupBy("key").agg(F.min("cls").alias("lead")), "key"), "buckets")
     wanted = members.select("cls").distinct()
     some = write(marked(classes, write(bitmap(members, "cls"), "bits"), "cls").where("_maybe").join(wanted, "cls", "left_semi").select("cls", "rep", "n", "s1", "s2", "regs"), "registers")
     names = some.select(F.col("rep").alias("_id"), "n", "s1", "s2", "cls")
@@ -239,7 +244,9 @@ def _links(source: DataFrame, classes: DataFrame, threshold: int, width: int, sc
     rest = members.where("size > 2 and cls <> lead").select("key", "cls").join(first, "cls")
     parts = rest.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("kinds"))
     blocks = lambda c: F.ceil(c / F.lit(BLOCK)).cast("int")
+    # Written, so that a join with it can be split where a bucket is large.
     parts = parts.where("kinds > 1").select("key", F.col("top.comp").alias("major"), blocks(F.col("top.c")).alias("inside"), blocks(F.col("all") - F.col("top.c")).alias("outside"))
+    parts = write(parts, "parts")
     rest = rest.join(parts, "key")
     deal = lambda n: F.pmod(F.xxhash64("cls"), n).cast("int")
     major, every = F.col("comp") == F.col("major"), F.col("inside") + F.col("outside")
@@ -250,11 +257,11 @@ def _links(source: DataFrame, classes: DataFrame, threshold: int, width: int, sc
     cells = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "cls")
     late = cells.select("cls", "n", "comp", "block", "regs", "i", "j", "key", "short").mapInArrow(_compare_cells(threshold), "a bigint, b bigint").distinct()
     found = write(links.union(confirmed(write(late, "late"))), "all-links")
-    scratch.drop("heads", "bits", "buckets", "registers", "shingles", "plausible", "links", "first", "labels-1", "late")
+    scratch.drop("heads", "bits", "members", "buckets", "parts", "registers", "shingles", "plausible", "links", "first", "late", *_labels(scratch))
     return found
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80, width: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80, width: int = 5, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (least id reachable over links
     of a similarity of ``threshold`` per cent or more), kept (id = component_id).
 
@@ -262,9 +269,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words has one shingle. Texts of equal sets are linked. Rows repeated with one id, whatever
     their texts, count as one document with the links of each; a row with a null id has no link,
     component_id null and kept true. An empty table gives an empty result; other columns of
-    ``docs`` aren't read.
+    ``docs`` aren't read. The result is read from the tables "rows" and "components" of
+    ``scratch``; the others are deleted.
     """
-    scratch = Scratch(docs.sparkSession)
+    scratch = scratch or Scratch(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("text"))
     marks = scratch.write(source.mapInArrow(_sketches(width), "_id bigint, n bigint, s1 bigint, s2 bigint, regs binary"), "sketches")
     # Of equal sets, registers are equal too.
@@ -282,7 +290,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comps = components(nodes, linked, scratch).select(F.col("_id").alias("cls"), "comp").join(classes.select("cls", "rep"), "cls")
     least = comps.groupBy("comp").agg(F.min("rep").alias("_least"))
     least = scratch.write(comps.join(least, "comp").select("cls", "_least"), "components")
-    scratch.drop("classes", "all-links", "edges", *[n for n in scratch.paths if n.startswith("labels-")])
+    scratch.drop("classes", "all-links", "edges", *_labels(scratch))
 
     out = rows.join(least, "cls", "left")
     comp = F.when(F.col("cls").isNull(), F.col("_id")).otherwise(F.coalesce("_least", "rep"))
@@ -300,9 +308,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     others, found by a bitmap of their ids, are joined.
     """
     scratch = Scratch(docs.sparkSession)
-    found = near_duplicates(docs, id_col, text_col, threshold, width).where(F.col(id_col).isNotNull())
+    found = near_duplicates(docs, id_col, text_col, threshold, width, scratch).where(F.col(id_col).isNotNull())
     fate = found.groupBy(F.col(id_col).alias("_id")).agg(F.min("kept").alias("_stays"), F.count(F.lit(1)).alias("_rows")).where("not _stays or _rows > 1")
     fate = scratch.write(fate.select(F.col("_id").alias("_of"), "_stays"), "fate")
+    scratch.drop("rows", "components")
     names = [f"_k{i}" for i in range(len(docs.columns))]
     own = F.col(names[docs.columns.index(id_col)]).cast("bigint")
     rows = marked(docs.toDF(*names).withColumn("_of", own), scratch.write(bitmap(fate, "_of"), "doubtful"), "_of")

@@ -47,6 +47,32 @@ def test_exact_dedup_edges(spark):
     assert sorted(r["doc_id"] for r in left.collect()) == [1, 2, 3] and "source" in left.columns
 
 
+def kept_rows(df):
+    return sorted((str(r["doc_id"]), str(r["text"])) for r in df.collect())
+
+
+def test_exact_deduplicated_keeps_rows_not_ids(spark):
+    rows = [(1, "a"), (0, "a"), (1, "b"), (5, "z"), (5, "z"), (None, "a"), (None, "q"), (None, "q"), (7, "z  z"), (6, "z\nz"), (8, None), (9, "")]
+    left = exact_dedup.deduplicated(docs_of(spark, rows))
+    assert left.columns == docs_of(spark, rows).columns
+    assert kept_rows(left) == sorted([("0", "a"), ("1", "b"), ("5", "z"), ("None", "q"), ("6", "z\nz"), ("8", "None")])
+    assert exact_dedup.deduplicated(docs_of(spark, rows).limit(0)).count() == 0
+    # The same rows in another order and other partitions give the same rows.
+    assert kept_rows(exact_dedup.deduplicated(docs_of(spark, rows[::-1]).repartition(3))) == kept_rows(left)
+
+
+def test_exact_deduplicated_matches_brute_force(spark):
+    rng = random.Random(21)
+    rows = [(rng.choice([None, *range(40)]), rng.choice(["a", "b ", "b", "b\t", "c", "c  d", "c d", "", None, *[f"t{i}" for i in range(30)]])) for _ in range(250)]
+    norm = lambda t: re.sub("[\x20\x09-\x0d]+", " ", t or "")
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[norm(t)].append(i)
+    want = sorted((str(min((i for i in g if i is not None), default=None)), t) for t, g in groups.items())
+    got = exact_dedup.deduplicated(docs_of(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), norm(r["text"])) for r in got) == want
+
+
 def brute_components(texts, threshold, width=5):
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = []
@@ -93,6 +119,59 @@ def test_near_dedup_edges(spark):
     assert near_dedup.near_duplicates(docs_of(spark, [(1, "")]).limit(0)).count() == 0
 
 
+def brute_near(rows, threshold=85):
+    """(component of each row, whether its id is that), where rows of one id are one document."""
+    sizes, comps = brute_components([t for _, t in rows], threshold)
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    first = {}
+    for k, (i, _) in enumerate(rows):
+        if i is None:
+            continue
+        joined = [j for j in range(len(rows)) if rows[j][0] is not None and sizes[j] and sizes[k] and comps[j] == comps[k]]
+        for j in [*joined, *([first.setdefault(i, k)] if sizes[k] else [])]:
+            a, b = find(j), find(k)
+            root[max(a, b)] = min(a, b)
+    least = defaultdict(list)
+    for k, (i, _) in enumerate(rows):
+        least[find(k)].append(i)
+    return sizes, [None if i is None else i if not sizes[k] else min(x for x in least[find(k)] if x is not None) for k, (i, _) in enumerate(rows)]
+
+
+def test_near_dedup_of_repeated_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a), (5, b), (7, a + " x"), (8, b + " x"), (9, "other words of no one else"), (9, "other words of no one else"), (9, a.replace("a", "c")), (10, a.replace("a", "c") + " x"), (None, b), (5, ""), (12, None)]
+    got = sorted(map(str, (tuple(r) for r in near_dedup.near_duplicates(docs_of(spark, rows), threshold=85).collect())))
+    sizes, comps = brute_near(rows)
+    assert got == sorted(str((i, sizes[k], comps[k], i == comps[k])) for k, (i, _) in enumerate(rows))
+    assert comps[:8] == [5, 5, 5, 5, 9, 9, 9, 9]
+    left = near_dedup.deduplicated(docs_of(spark, rows), threshold=85)
+    ids = [r["doc_id"] for r in left.collect()]
+    assert sorted(map(str, ids)) == sorted(["5", "9", "12", "None"]) and left.columns == docs_of(spark, rows).columns
+    assert kept_rows(near_dedup.deduplicated(docs_of(spark, rows[::-1]).repartition(3), threshold=85)) == kept_rows(left)
+    assert near_dedup.deduplicated(docs_of(spark, rows).limit(0)).count() == 0
+
+
+def test_near_dedup_of_repeated_ids_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    rng = random.Random(22)
+    bases = [[f"w{rng.randrange(300)}" for _ in range(rng.randint(4, 70))] for _ in range(12)]
+    rows = []
+    for _ in range(150):
+        words = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 0, 1, 2, 9])):
+            words[rng.randrange(len(words))] = f"w{rng.randrange(300)}"
+        rows.append((rng.choice([None, *range(90)]), " ".join(words)))
+    sizes, comps = brute_near(rows)
+    got = sorted(map(str, (tuple(r) for r in near_dedup.near_duplicates(docs_of(spark, rows), threshold=85).collect())))
+    assert got == sorted(str((i, sizes[k], comps[k], i == comps[k])) for k, (i, _) in enumerate(rows))
+
+
 def test_setsketch():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
@@ -138,6 +217,20 @@ def test_boundaries_are_optimal():
     assert packing.boundaries(np.array([]), np.array([]), 3) == []
 
 
+def test_boundaries_of_many_lengths():
+    rng = np.random.default_rng(23)
+    lengths = np.cumsum(rng.integers(1, 9, 400))
+    counts = rng.integers(1, 50, 400)
+    f = np.full(401, np.inf)  # the plain recurrence, every split of every level
+    f[0] = 0
+    docs = np.concatenate(([0], np.cumsum(counts)))
+    for _ in range(7):
+        f = np.array([0, *[min(f[i] + lengths[j - 1] * (docs[j] - docs[i]) for i in range(j)) for j in range(1, 401)]])
+    ends = packing.boundaries(lengths, counts, 7)
+    at = np.searchsorted(ends, lengths)
+    assert (np.array(ends)[at] * counts).sum() == f[400]
+
+
 def test_packing(spark):
     rng = random.Random(5)
     texts = [None, "", *[" ".join("w" for _ in range(rng.choice([1, 2, 3, 9, 10, 50, 7000]))) for _ in range(120)]]
@@ -158,6 +251,13 @@ def test_packing(spark):
     assert packing.pack(docs_of(spark, [(None, "a"), (1, "a"), (1, "a")])).count() == 3
 
 
+def test_packing_deals_out_one_repeated_row(spark):
+    df = docs_of(spark, [(1, "a b")] * 900 + [(2, "a b c")] * 100)
+    rows = packing.pack(df, budget=30, buckets=2, shard_rows=50).collect()
+    assert sorted((r["doc_id"], r["n_tokens"], r["bucket_len"]) for r in rows) == [(1, 2, 2)] * 900 + [(2, 3, 3)] * 100
+    assert len({(r["bucket"], r["batch"], r["slot"]) for r in rows}) == 1000
+
+
 @pytest.mark.parametrize("chunk", [2, 256])
 def test_chat(spark, chunk):
     rng = random.Random(6)
@@ -177,6 +277,11 @@ def test_chat(spark, chunk):
             want[i] = (len(c), len(same), "".join(f"<|im_start|>{clean(r)}\n{clean(x)}<|im_end|>\n" for r, x in c))
     assert got == want
     assert chat.render(df.limit(0)).count() == 0
+    blank = [(7, None, r, x) for r in ("u", "a", None) for x in ("abcde", "abcd", "abcdf", "b", "", None, "zz", "é")]
+    rng.shuffle(blank)
+    one = chat.render(spark.createDataFrame(blank, "conv_id long, turn long, role string, text string"), chunk=chunk).collect()
+    order = sorted(blank, key=lambda r: (r[2] is not None, r[2] or "", r[3] is not None, r[3] or ""))
+    assert [(r["conv_id"], r["n_turns"], r["chat"]) for r in one] == [(7, 24, "".join(f"<|im_start|>{r or ''}\n{x or ''}<|im_end|>\n" for _, _, r, x in order))]
     nulls = spark.createDataFrame([(None, 1, "u", "a"), (None, None, "u", None), (2, 1, None, None)], "conv_id long, turn long, role string, text string")
     assert chat.render(nulls).count() == 2
 

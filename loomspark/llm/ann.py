@@ -5,19 +5,23 @@ bits. For an inner product, the part of the residual that is parallel to the vec
 so codes and centres minimise ``|r|**2 + (eta - 1) * <r, x>**2``: codes by coordinate descent
 over the parts, centres by the weighted least squares that this loss gives.
 
-A search scans four-bit codes against a table of 16 scores per part and query, takes the best
-``rerank`` of each scanned chunk, and computes their exact cosine in double precision on the
-original vectors. That is a first batch: a vector's cosine is at most its quantised score plus the
-norm of its residual, so every vector whose sum reaches the exact score of the last one wanted is
-reranked too. Nothing else can be among the nearest, and the answer is exact.
+A search packs two codes into a byte and scans them against a table of the 256 scores that such a
+byte can have, for each pair of parts and query: one addition per byte, vector and query. It takes
+the best ``rerank`` of each block of vectors and computes their exact cosine in double precision on
+the original vectors. That is a first batch: a vector's cosine is at most its quantised score plus
+the norm of its residual, so every vector whose sum reaches the exact score of the last one wanted
+is reranked too. Nothing else can be among the nearest, and the answer is exact.
 
 Equal vectors are scanned once, with the least ids that could be asked for, so a vector that a
-third of the rows hold costs no more than another. Rows are dealt into blocks and queries into
-blocks; a task holds one of each, bounded in size, and sends a few rows per query.
+third of the rows hold costs no more than another. Vectors are dealt into blocks of bounded size
+and each is coded once, where its block is; queries, a small part of the rows, go to all blocks, and
+stream past each in batches. A task holds one block and one batch and sends a few rows per query.
+Work grows with vectors times queries; vectors are shuffled once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 PART, CENTRES = 2, 16
 
 
@@ -74,6 +80,33 @@ class Quantiser:
         """Score of each centre for each query: queries x (parts * 16)."""
         return np.einsum("qsd,skd->qsk", self.parts(queries), self.centres).reshape(len(queries), -1).astype(np.float32)
 
+    def byte_tables(self, queries: np.ndarray) -> np.ndarray:
+        """Score of each byte of packed codes for each query: bytes x 256 x queries."""
+        t = self.table(queries).reshape(len(queries), -1, CENTRES).transpose(1, 2, 0)
+        if len(t) % 2:
+            t = np.concatenate((t, np.zeros((1, *t.shape[1:]), np.float32)))
+        return (t[0::2, :, None, :] + t[1::2, None, :, :]).reshape(len(t) // 2, CENTRES * CENTRES, -1)
+
+
+def packed(codes: np.ndarray) -> np.ndarray:
+    """Two codes a byte, the earlier part in the upper bits; bytes x n, so that a byte's column is
+    read in one run."""
+    if codes.shape[1] % 2:
+        codes = np.pad(codes, ((0, 0), (0, 1)))
+    return np.ascontiguousarray((codes[:, 0::2] << 4 | codes[:, 1::2]).T)
+
+
+def scanned(tables: np.ndarray, codes: np.ndarray, chunk: int) -> np.ndarray:
+    """Quantised scores, queries x n, of packed codes: table look-ups and additions only."""
+    n = codes.shape[1]
+    out = np.empty((tables.shape[2], n), np.float32)
+    for at in range(0, n, chunk):
+        total = tables[0][codes[0, at : at + chunk]]
+        for t, c in zip(tables[1:], codes[1:], strict=True):
+            total += t[c[at : at + chunk]]
+        out[:, at : at + chunk] = total.T
+    return out
+
 
 def fit(x: np.ndarray, eta: float = 3.0, rounds: int = 8, seed: int = 11) -> Quantiser:
     """Centres for unit vectors x (a bounded sample)."""
@@ -109,8 +142,7 @@ def fit(x: np.ndarray, eta: float = 3.0, rounds: int = 8, seed: int = 11) -> Qua
     return Quantiser(centres, eta)
 
 
-def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
 
 
@@ -120,92 +152,109 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+class Block:
+    """Vectors of one block, coded, and the search among them."""
+
+    def __init__(self, model: Quantiser, ids: list[list[int]], x: np.ndarray) -> None:
+        self.model, self.ids, self.x = model, ids, x
+        self.first = np.array([i[0] for i in ids])
+        codes = model.codes(x)
+        self.codes, self.reach = packed(codes), model.reach(x, codes)
+
+    def nearest(self, a: np.ndarray, k: int, rerank: int, chunk: int) -> Iterator[list[tuple[list[int], float]]]:
+        """For each query, the k vectors of greatest cosine: their ids and that, ties to smaller ids."""
+        scores, n = scanned(self.model.byte_tables(a), self.codes, chunk), len(self.x)
+        for q, score in zip(a, scores, strict=True):
+            near = np.argpartition(-score, rerank - 1)[:rerank] if n > rerank else np.arange(n)
+            exact = (self.x[near] * q).sum(axis=1)
+            if len(near) < n:
+                bar = np.partition(exact, -k)[-k] if len(exact) >= k else -np.inf
+                more = score + self.reach >= bar
+                more[near] = False
+                more = np.flatnonzero(more)
+                near, exact = np.concatenate([near, more]), np.concatenate([exact, (self.x[more] * q).sum(axis=1)])
+            yield [(self.ids[near[t]], float(exact[t])) for t in np.lexsort((self.first[near], -exact))[:k]]
+
+
 def neighbours(
-    vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = 8_192, eta: float = 3.0, rerank: int = 64, block_rows: int = 8_192, block_queries: int = 2_048, chunk: int = 2_048
+    vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = 8_192, eta: float = 3.0, rerank: int = 64, block_rows: int = 16_384, block_queries: int = 256, chunk: int = 512
 ) -> DataFrame:
     """(query_id, rank from 1, id, score): the k of ``vectors`` nearest to each of ``queries`` by
     cosine, itself (its id) excepted; nearest first, ties to smaller ids, fewer if there are fewer.
 
     Both sides have the columns ``id_col`` and ``vec_col``; others aren't read. Vectors that are
-    null, empty, zero, of another length than most, or hold a null, NaN or infinity take no part,
-    nor do rows with a null id; rows repeated with one id count once for each different vector.
-    An empty table gives an empty result.
+    null, empty, zero, or hold a null, NaN or infinity take no part, nor do rows with a null id;
+    a vector has a cosine with those of its own length only; rows repeated with one id count once
+    for each different vector. An empty table gives an empty result.
 
-    The quantiser is fitted on about ``sample`` vectors, those least by a hash of the id; every
-    vector is coded and scanned, and the result is that of exact search. ``rerank`` sizes the first
-    batch of exact scores and cuts nothing.
+    A quantiser is fitted for each length that queries have, on about ``sample`` vectors, those
+    least by a hash of the id; every vector is coded and scanned, and the result is that of exact
+    search. ``rerank`` sizes the first batch of exact scores and cuts nothing.
     """
-    spark = vectors.sparkSession
+    spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession)
     kind = "query_id bigint, rank int, " + f"{id_col} bigint, score double"
-    common = vectors.where(F.size(vec_col) > 0).groupBy(F.size(vec_col).alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not common:
-        return spark.createDataFrame([], kind)
-    dims = common[0]["d"]
 
     def valid(df: DataFrame) -> DataFrame:
         v = F.col(vec_col)
-        ok = (F.size(v) == dims) & F.col(id_col).isNotNull()
-        df = df.where(ok).where(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))).where(F.exists(v, lambda x: x != 0))
-        return df.select(F.col(id_col).cast("bigint").alias("id"), v.cast("array<double>").alias("v")).distinct()
+        df = df.where((F.size(v) > 0) & F.col(id_col).isNotNull()).where(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))).where(F.exists(v, lambda x: x != 0))
+        # -0.0 equals 0.0 as a component, but not as a key.
+        return df.select(F.col(id_col).cast("bigint").alias("id"), F.transform(v, lambda x: x.cast("double") + 0.0).alias("v")).distinct()
 
-    rows, asked = valid(vectors), valid(queries)
-    total = rows.count()
-    if not total:
+    asked = scratch.write(valid(queries), "asked")
+    keys = asked.groupBy("v").agg(F.min("id").alias("q"))
+    dims = [r["d"] for r in asked.select(F.size("v").alias("d")).distinct().collect()]
+    rows = scratch.write(valid(vectors.where(F.size(vec_col).isin(dims))).withColumn("d", F.size("v")), "vectors")
+    totals = {r["d"]: r["count"] for r in rows.groupBy("d").count().collect()}
+    if not totals:
         return spark.createDataFrame([], kind)
-    picked = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < float(1 << 40) * min(1.0, sample / total)).select("v").toArrow()
-    picked = picked if picked.num_rows else rows.limit(1).select("v").toArrow()
-    fitted = _matrix(picked.column("v"), dims)
-    model = fit(_unit(fitted[np.lexsort(fitted.T)]), eta)
+    models = {}
+    for d, total in totals.items():
+        of = rows.where(F.col("d") == d).select("v", F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("h"))
+        picked = of.where(F.col("h") < float(1 << 40) * min(1.0, sample / total)).select("v").toArrow()
+        picked = picked if picked.num_rows else of.orderBy("h").limit(1).select("v").toArrow()
+        fitted = _matrix(picked.column("v").combine_chunks(), d)
+        models[d] = fit(_unit(fitted[np.lexsort(fitted.T)]), eta)
 
     # Equal vectors once, with the k + 1 least ids: no more can be among the k of any query.
     least = rows.withColumn("_r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("_r") <= k + 1)
     least = least.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    keys = asked.groupBy("v").agg(F.min("id").alias("q"))
-    n_keys = keys.count()
-    row_blocks, query_blocks = -(-total // block_rows), max(1, -(-n_keys // block_queries))
-    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = least.select(deal(F.element_at("ids", 1), row_blocks).alias("i"), every(query_blocks).alias("j"), F.lit(None).cast("bigint").alias("q"), "ids", "v")
-    right = keys.select(every(row_blocks).alias("i"), deal(F.col("q"), query_blocks).alias("j"), "q", F.lit(None).cast("array<bigint>").alias("ids"), "v")
-
-    def scan(table: pa.Table) -> pa.Table:
-        side = table.column("q").combine_chunks().is_null().to_numpy(zero_copy_only=False)
-        base, ask = table.filter(pa.array(side)), table.filter(pa.array(~side))
-        out_q, out_ids, out_score = [], [], []
-        if base.num_rows and ask.num_rows:
-            ids = base.column("ids").to_pylist()
-            first = np.array([x[0] for x in ids])
-            x, a, names = _unit(_matrix(base.column("v"), dims)), _unit(_matrix(ask.column("v"), dims)), ask.column("q").to_pylist()
-            codes, tables = model.codes(x), model.table(a)
-            parts = codes.shape[1]
-            reach = model.reach(x, codes)
-            scores = np.empty((len(a), len(x)), np.float32)
-            for at in range(0, len(x), chunk):
-                own = codes[at : at + chunk]
-                hot = np.zeros((len(own), parts * CENTRES), np.float32)
-                hot[np.arange(len(own))[:, None], np.arange(parts) * CENTRES + own] = 1
-                for qa in range(0, len(a), 256):
-                    scores[qa : qa + 256, at : at + chunk] = tables[qa : qa + 256] @ hot.T
-            for q, name in enumerate(names):
-                near = []
-                for at in range(0, len(x), chunk):
-                    part = scores[q, at : at + chunk]
-                    near.append((np.argpartition(-part, rerank - 1)[:rerank] if len(part) > rerank else np.arange(len(part))) + at)
-                near = np.concatenate(near)
-                exact = (x[near] * a[q]).sum(axis=1)
-                if len(near) < len(x):
-                    bar = np.partition(exact, -k - 1)[-k - 1] if len(exact) > k else -np.inf
-                    more = scores[q] + reach >= bar
-                    more[near] = False
-                    more = np.flatnonzero(more)
-                    near, exact = np.concatenate([near, more]), np.concatenate([exact, (x[more] * a[q]).sum(axis=1)])
-                top = np.lexsort((first[near], -exact))[: k + 1]
-                out_q += [name] * len(top)
-                out_ids += [ids[near[t]] for t in top]
-                out_score += exact[top].tolist()
-        return pa.table({"q": pa.array(out_q, pa.int64()), "ids": pa.array(out_ids, pa.list_(pa.int64())), "score": pa.array(out_score, pa.float64())})
-
-    met = left.unionByName(right).groupBy("i", "j").applyInArrow(scan, "q bigint, ids array<bigint>, score double")
+    blocks = F.element_at(F.create_map(*[F.lit(x) for d, n in totals.items() for x in (d, -(-n // block_rows))]), F.size("v"))
+    left = least.select(F.size("v").alias("d"), F.pmod(F.xxhash64(F.element_at("ids", 1)), blocks).cast("int").alias("i"), F.lit(None).cast("bigint").alias("q"), "ids", "v")
+    right = keys.where(F.size("v").isin(list(totals))).select(F.size("v").alias("d"), F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)).alias("i"), "q", F.lit(None).cast("array<bigint>").alias("ids"), "v")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks one after the other, each with its vectors first and then its queries."""
+        at, block, ids, held = None, None, [], []
+
+        def found(names: list[int], a: np.ndarray) -> pa.RecordBatch:
+            out = [(name, i, score) for name, near in zip(names, block.nearest(a, k + 1, rerank, chunk), strict=True) for i, score in near]
+            q, near, scores = zip(*out, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(near, pa.list_(pa.int64())), pa.array(scores, pa.float64())], ["q", "ids", "score"])
+
+        for batch in batches:
+            d, i = batch.column("d").to_numpy(), batch.column("i").to_numpy()
+            cuts = np.flatnonzero((np.diff(d) != 0) | (np.diff(i) != 0)) + 1
+            for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(d)], strict=True):
+                if start == end:
+                    continue
+                part = batch.slice(start, end - start)
+                if (d[start], i[start]) != at:
+                    at, block, ids, held = (d[start], i[start]), None, [], []
+                base = part.column("q").is_null().to_numpy(zero_copy_only=False)
+                if base.any():
+                    own = part.filter(pa.array(base))
+                    ids += own.column("ids").to_pylist()
+                    held.append(_unit(_matrix(own.column("v"), int(at[0]))))
+                ask = part.filter(pa.array(~base))
+                if ask.num_rows and held:
+                    block = Block(models[int(at[0])], ids, np.concatenate(held))
+                    ids, held = [], []
+                for k0 in range(0, ask.num_rows if block else 0, block_queries):
+                    some = ask.slice(k0, block_queries)
+                    yield found(some.column("q").to_pylist(), _unit(_matrix(some.column("v"), int(at[0]))))
+
+    dealt = left.unionByName(right).repartition("d", "i").sortWithinPartitions("d", "i", F.col("q").isNotNull())
+    met = dealt.mapInArrow(search, "q bigint, ids array<bigint>, score double")
     met = met.select("q", "score", F.explode("ids").alias("id"))
     best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     met = met.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1)

@@ -30,10 +30,13 @@ def prefixes(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     """(_conv, _at, _role, _text, h1, h2): every turn with the hash of the conversation up to it.
 
     Turns go by number, then role and text; nulls first. Rows repeated in all four columns count
-    once. Positions count from 1 whatever the numbers are.
+    once. Positions count from 1 whatever the numbers are. ``chunk`` numbers, and all turns of
+    equal numbers, make a task's work at most; turns without a number are dealt by their text.
     """
     rows = turns.select(F.col(conv_col).alias("_conv"), F.col(turn_col).cast("bigint").alias("_turn"), F.col(role_col).alias("_role"), F.col(text_col).alias("_text")).distinct()
-    rows = rows.withColumn("_chunk", F.floor(F.col("_turn") / chunk))
+    # Turns without a number are cut by role and first letters, which keeps their order.
+    numbered = F.col("_turn").isNotNull()
+    rows = rows.withColumn("_chunk", F.struct(F.floor(F.col("_turn") / chunk).alias("n"), F.when(~numbered, F.col("_role")).alias("r"), F.when(~numbered, F.substring("_text", 1, 4)).alias("t")))
     inside = Window.partitionBy("_conv", "_chunk").orderBy("_turn", "_role", "_text")
     rows = rows.withColumn("_in", F.row_number().over(inside))
     sizes = rows.groupBy("_conv", "_chunk").agg(F.count(F.lit(1)).alias("_c"))

@@ -10,18 +10,22 @@ footers and sidebars of the page, dialogs, and boxes whose class, id or role nam
 menus, adverts, notices, sharing bars or reader comments. A form that encloses the article, as on
 pages that stand in one form, is opened: only its controls and labels go. Headings, paragraphs,
 list items, cells and inline elements aren't boxes: their names, often made from their own words,
-drop nothing unless they say advert. Inside an article a box goes only if a whole name says what
-it is, as in ``comment-list``; one word of it, as in ``section-header``, isn't enough.
+drop nothing unless they say advert. A box goes if a whole name says what it is, as in
+``comment-list``, ``main-nav`` or ``cookie-text``; outside an article one word of it is enough, as
+in ``widget-search-area``, unless another word, as in ``post-related``, speaks for it. A box that
+holds the page's article, main element or headline is kept whatever one of its words says, as it
+may be a layout's (``content-sidebar-wrap``). An article element named as a comment is one.
 
 Blocks in page order, joined by a line end. White space inside a block is one space.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,6 +42,8 @@ BLOCK = frozenset(
 DROPPED = frozenset("head script style noscript template svg math iframe object embed canvas audio video form nav footer aside dialog button select textarea input label menu title".split())
 #: Start tags that end an open paragraph.
 ENDS_P = BLOCK - frozenset("body html tbody td tfoot th thead tr".split())
+#: Elements across which no paragraph is ended.
+_P_BOUNDS = ("td", "th", "table", "button", "caption", "object")
 #: A start tag of the key ends an open element of the values, up to the nearest of the bounds.
 IMPLIED = {
     "li": (("li",), ("ul", "ol", "menu")),
@@ -52,19 +58,25 @@ IMPLIED = {
 UNWANTED = frozenset(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer header masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted related respond share sharing shoutbox sidebar social sponsor sponsored subscribe toolbar complementary contentinfo search".split()
 )
-#: Inside an article, words one of which a whole name must hold ...
+#: Words one of which a whole name must hold ...
 BOXES = frozenset(
     "ad ads advert advertisement adverts advertising breadcrumb breadcrumbs comment comments commentlist complementary contentinfo disqus menu menubar modal nav navbar navigation newsletter pager pagination popup promoted related respond share sharing shoutbox sidebar social sponsor sponsored toolbar".split()
 )
 #: ... and words that may stand beside these in it.
-BESIDE = frozenset("area articles banner bar block bottom box button buttons container form icons inner items left links list media outer panel posts right section slot top unit widget widgets wrap wrapper".split())
+BESIDE = frozenset(
+    "area articles banner bar block body bottom box button buttons container content entry even footer form header icons inner item items left links list main media meta odd outer panel post posts primary right secondary section site slot text thread top tree unit widget widgets wrap wrapper".split()
+)
+#: Reader comments: an article element of such a name is one.
+COMMENTS = frozenset("comment comments commentlist disqus respond shoutbox".split())
 #: Notices about cookies: a name of both.
 COOKIES = frozenset("cookie cookies".split())
-NOTICES = frozenset("banner bar consent modal notice popup".split())
+NOTICES = frozenset("banner bar consent info message modal notice policy popup text".split())
 ADVERTS = frozenset("ad ads advert advertisement adverts advertising sponsored".split())
 #: Elements of the text itself, as are all that aren't blocks.
 HEADS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 TEXT = HEADS | frozenset("blockquote dd dt figcaption li p pre summary td th tr".split())
+#: Names of articles.
+ARTICLES = frozenset("article entry post story".split())
 #: Words that speak for a box even so.
 WANTED = frozenset("article body content entry main post story text".split())
 
@@ -77,12 +89,13 @@ _NAME = re.compile(r"[A-Za-z][a-z]*")
 class Node:
     """An element; its children are elements and strings."""
 
-    __slots__ = ("tag", "names", "whole", "hidden", "children", "parent", "points", "size", "linked")
+    __slots__ = ("tag", "names", "whole", "hidden", "children", "parent", "points", "size", "linked", "depth", "holds")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = "") -> None:
         self.tag, self.parent, self.children = tag, parent, []
         self.names, self.whole, self.hidden = frozenset(), frozenset(), False
         self.points, self.size, self.linked = 0.0, 0, 0
+        self.depth, self.holds = parent.depth + 1 if parent else 0, None
         if attributes:
             found, whole = set(), set()
             for name, a, b, c in _ATTR.findall(attributes):
@@ -94,32 +107,42 @@ class Node:
                     self.hidden = True
             self.names, self.whole = frozenset(found), frozenset(whole)
 
-    def unwanted(self) -> bool:
+    def unwanted(self, inside: bool, headed: bool, holds: Callable[[Node], bool]) -> bool:
+        """Whether it can't be article text. inside: in an article or main element, or in one that
+        is named as an article; headed: the same, or in any element with such a word; holds:
+        whether an article is in it."""
         if self.tag in DROPPED or self.hidden:
             return True
-        if self.tag in ("html", "body", "main", "article"):
+        if self.tag == "article":
+            return self._comment()
+        if self.tag in ("html", "body", "main"):
             return False
         if self.tag == "header":  # an article's own header holds its headline
-            return not self._within(lambda up: up.names & {"article", "entry", "post", "story"})
+            return not headed
         if self.tag in TEXT or self.tag not in BLOCK:
             return self.tag not in HEADS and any(x.lower() in ADVERTS for x in self.whole)
-        if not self.names & UNWANTED or self.names & WANTED:
+        if not self.names & UNWANTED:
+            return False
+        sure = any(map(_box, self.whole))
+        if not sure and (inside or self.names & WANTED):
             return False
-        return any(map(_box, self.whole)) or not self._within(lambda up: up.tag != "body" and up.whole & {"article", "entry", "post", "story"})
+        # What no word speaks for goes whole; a name that could be a layout's, if no article is in it.
+        return (sure and not self.names & WANTED) or not holds(self)
+
+    def _comment(self) -> bool:
+        return any(_box(x) and _words(x) & COMMENTS for x in self.whole)
 
-    def _within(self, named: Callable[[Node], object]) -> bool:
-        """In an article or main element, or in one that ``named`` takes for an article."""
-        up = self.parent
-        while up is not None and up.tag not in ("article", "main") and not named(up):
-            up = up.parent
-        return up is not None
+
+@lru_cache(65_536)
+def _words(name: str) -> frozenset[str]:
+    return frozenset(x.lower() for x in _NAME.findall(name))
 
 
 @lru_cache(65_536)
 def _box(name: str) -> bool:
     """Whether a whole class, id or role names a menu, advert, sharing bar, notice or comment box."""
-    words = {x.lower() for x in _NAME.findall(name)}
-    return bool(words & BOXES) and words <= BOXES | BESIDE or bool(words & COOKIES and words & NOTICES)
+    words = _words(name)
+    return bool(words & BOXES) and words <= BOXES | BESIDE or bool(words & COOKIES) and words <= COOKIES | NOTICES | BESIDE and bool(words & NOTICES)
 
 
 def parse(text: str) -> Node:
@@ -127,6 +150,24 @@ def parse(text: str) -> Node:
     a stray end tag is passed over, an open paragraph ends where a block begins."""
     root = Node("html", None)
     top, at, n = root, 0, len(text)
+    #: Open elements by tag, outermost first; and all open blocks. So no search walks up the tree.
+    opened: dict[str, list[Node]] = {"html": [root]}
+    blocks = [root]
+
+    def nearest(tags: tuple[str, ...]) -> Node | None:
+        return max((opened[t][-1] for t in tags if opened.get(t)), key=lambda x: x.depth, default=None)
+
+    def closed(node: Node) -> Node:
+        """Closes ``node`` and all that is open in it; its parent is on top then."""
+        x = top
+        while True:
+            opened[x.tag].pop()
+            if blocks[-1] is x:
+                blocks.pop()
+            if x is node:
+                return node.parent
+            x = x.parent
+
     while at < n:
         m = _TAG.search(text, at)
         if m is None:
@@ -141,64 +182,79 @@ def parse(text: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            node = top
-            while node is not None and node.tag != tag:
-                # A block's end tag closes what is open in it; an inline one stops at a block.
-                if tag not in BLOCK and node.tag in BLOCK:
-                    node = None
-                    break
-                node = node.parent
-            if node is not None and node.parent is not None:
-                top = node.parent
+            node = nearest((tag,))
+            # A block's end tag closes what is open in it; an inline one stops at a block.
+            if node is not None and node.parent is not None and (tag in BLOCK or node.depth > blocks[-1].depth):
+                top = closed(node)
             elif tag == "br":
                 top.children.append(Node("br", top))
             continue
         if tag == "html":
             continue
         if tag in ENDS_P:
-            node = top
-            while node is not None and node.tag != "p" and node.tag not in ("td", "th", "table", "button", "caption", "object"):
-                node = node.parent
-            if node is not None and node.tag == "p":
-                top = node.parent
+            node, bound = nearest(("p",)), nearest(_P_BOUNDS)
+            if node is not None and (bound is None or node.depth > bound.depth):
+                top = closed(node)
         if tag in IMPLIED:
             ended, bounds = IMPLIED[tag]
-            node, close = top, None
-            while node is not None and node.tag not in bounds:
-                if node.tag in ended:
-                    close = node
-                    if tag != "tr":
-                        break
-                node = node.parent
-            if close is not None:
-                top = close.parent
+            bound = nearest(bounds)
+            depth = bound.depth if bound is not None else -1
+            if tag == "tr":  # the row itself, with its cells
+                places = [(opened[t], bisect.bisect_right(opened[t], depth, key=lambda x: x.depth)) for t in ended if opened.get(t)]
+                node = min((nodes[k] for nodes, k in places if k < len(nodes)), key=lambda x: x.depth, default=None)
+            else:
+                node = nearest(ended)
+            if node is not None and node.depth > depth:
+                top = closed(node)
         node = Node(tag, top, m[3] or "")
         top.children.append(node)
         if tag in VOID:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(text, at)
+            end = _raw_end(tag).search(text, at)
             node.children.append(text[at : end.start() if end else n])
             at = end.end() if end else n
             continue
         if not (m[3] or "").endswith("/") or tag in BLOCK:
             top = node
+            opened.setdefault(tag, []).append(node)
+            if tag in BLOCK:
+                blocks.append(node)
     return root
 
 
+@cache
+def _raw_end(tag: str) -> re.Pattern[str]:
+    return re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I)
+
+
 def _plain(text: str) -> str:
     return " ".join(html.unescape(text).split()) if "&" in text else " ".join(text.split())
 
 
 def _clean(root: Node) -> None:
     """Takes unwanted parts out, with an explicit stack: pages may be deep."""
-    forms, todo = [], [root]
+
+    def holds(node: Node) -> bool:
+        """An article that isn't a comment, a main element or a headline within; found for all
+        elements of the page at the first question."""
+        if root.holds is None:
+            order = _preorder(root)
+            for x in reversed(order):
+                x.holds = any(c.holds or c.tag in ("main", "h1") or (c.tag == "article" and not c._comment()) for c in x.children if not isinstance(c, str))
+        return node.holds
+
+    forms, todo = [], [(root, False, False)]
     while todo:
-        node = todo.pop()
+        node, inside, headed = todo.pop()
         if node.tag == "form":
             forms.append(node)
-        node.children = [c for c in node.children if isinstance(c, str) or (c.tag == "form" and not c.hidden) or not c.unwanted()]
-        todo += [c for c in node.children if not isinstance(c, str)]
+        if node.tag in ("article", "main"):
+            inside = headed = True
+        inside = inside or (node.tag != "body" and bool(node.whole & ARTICLES))
+        headed = headed or bool(node.names & ARTICLES)
+        node.children = [c for c in node.children if isinstance(c, str) or (c.tag == "form" and not c.hidden) or not c.unwanted(inside, headed, holds)]
+        todo += [(c, inside, headed) for c in node.children if not isinstance(c, str)]
     if forms:
         _open_forms(root, forms)
 
@@ -227,13 +283,18 @@ def _open_forms(root: Node, forms: list[Node]) -> None:
         node.children = [c for c in node.children if isinstance(c, str) or c.tag != "form"]
 
 
-def _measure(root: Node) -> list[Node]:
-    """Elements in page order; fills in size and linked (characters of text, and in links)."""
+def _preorder(root: Node) -> list[Node]:
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
         todo += [c for c in reversed(node.children) if not isinstance(c, str)]
+    return order
+
+
+def _measure(root: Node) -> list[Node]:
+    """Elements in page order; fills in size and linked (characters of text, and in links)."""
+    order = _preorder(root)
     for node in reversed(order):
         own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
         inner = [c for c in node.children if not isinstance(c, str)]
@@ -331,7 +392,7 @@ def extract(page: str | None) -> str:
             continue
         else:
             links = other.linked / other.size if other.size else 0
-            alike = bool(other.names) and other.names == best.names
+            alike = other.tag == "article" == best.tag or (bool(other.names) and other.names == best.names)
             prose = other.tag == "p" and ((other.size > 80 and links < 0.25) or (0 < other.size <= 80 and links == 0 and re.search(r"[.!?](\s|$)", " ".join(_blocks(other)))))
             headline = other.tag in ("h1", "h2", "h3") and links < 0.25
             if other.points >= (share if alike else max(10.0, share)) or prose or headline:

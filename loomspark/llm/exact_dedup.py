@@ -59,9 +59,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated with one id form a group in which each has kept = true, as each has that id.
     An empty table gives an empty result; other columns of ``docs`` are not read.
     """
-    near = _hashes(docs, id_col, text_col, prefix, digest, Scratch(docs.sparkSession))
+    scratch = Scratch(docs.sparkSession)
+    near = _hashes(docs, id_col, text_col, prefix, digest, scratch)
     some = near.where("_maybe")
-    groups = some.groupBy(*_KEY).agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    # Written, so that the join with it can be split where a group is large.
+    groups = scratch.write(some.groupBy(*_KEY).agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1"), "groups")
     alone = [F.lit(None).cast(near.schema["_id"].dataType).alias("keep_id"), F.lit(None).cast("bigint").alias("group_size")]
     out = some.join(groups, _KEY, "left").select("_id", "_h", "keep_id", "group_size").union(near.where("not _maybe").select("_id", "_h", *alone))
     keep = F.when(F.col("group_size").isNull(), F.col("_id")).otherwise(F.col("keep_id"))

@@ -153,10 +153,10 @@ def unescaped(text: Column) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([None if t is None else _html.unescape(t) for t in texts.to_pylist()], pa.string())
 
-    return run(text)
+    # Most texts have none, and needn't leave the JVM's memory as text.
+    some = F.when(text.contains("&"), text)
+    return F.coalesce(run(some), text)
 
 
 def escaped(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-
-

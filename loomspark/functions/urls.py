@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_HEAD = r"^\s*([A-Za-z][A-Za-z0-9+.\-]*)://(?:[^/?#@\s]*@)?([^/?#:\s]+)(?::(\d*))?(?=[/?#]|\s*$)"
+_HEAD = r"^\s*([A-Za-z][A-Za-z0-9+.\-]*)://(?:[^/?#@\s]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:\s]+)(?::(\d*))?(?=[/?#]|\s*$)"
 _NONE: Sequence[str] = ()
 
 # What takes part in the public-address policy and the search categories.
@@ -136,13 +136,14 @@ def scoped_links(links: Column, base: Column, search: str | None = None, ignore_
     return F.when(host(base).isNull(), links).otherwise(F.array_distinct(found))
 
 
-def site_map(sitemap: Column, anchors: Column, base: Column, limit: int = 100, mode: str = "include", ignore_sitemap: bool = False, **options) -> Column:
+def site_map(sitemap: Column, anchors: Column, base: Column, limit: int | Column = 100, mode: str = "include", ignore_sitemap: bool = False, **options) -> Column:
     """URL3, URL4, SET1, LIM1: a struct (links, provider). Each source is cut to the limit before
     the scope filter, the union after it; with nothing left, the start URL stands alone."""
     mode = "skip" if ignore_sitemap else mode
     if mode not in ("skip", "include", "only"):
         raise ValueError(f"sitemap must be skip, include or only, not {mode}")
     empty = F.array().cast("array<string>")
+    limit = F.lit(limit) if isinstance(limit, int) else limit
     cut = lambda x: F.slice(F.coalesce(x, empty), 1, limit)
     a = cut(sitemap) if mode != "skip" else empty
     b = cut(anchors) if mode != "only" else empty
@@ -234,22 +235,67 @@ def public_ipv4(ip: Column) -> Column:
     return _let(ipv4_number(ip), lambda n: F.when(n.isNotNull(), ~_any([n.between(a, b) for a, b in nets])))
 
 
+def _groups6(ip: Column) -> Column:
+    """The eight numbers of an IPv6 address (array<int>); null if it isn't one."""
+    v4 = F.regexp_extract(ip, r":(\d+\.\d+\.\d+\.\d+)$", 1)
+    number = ipv4_number(v4)
+    tail = F.concat(F.lower(F.hex(F.shiftright(number, 16))), F.lit(":"), F.lower(F.hex(number.bitwiseAND(65535))))
+    plain = F.when(v4 == "", F.lower(ip)).otherwise(F.concat(F.lower(F.substr(ip, F.lit(1), F.length(ip) - F.length(v4))), tail))
+    list_ = lambda c: F.filter(F.split(c, ":"), lambda g: g != "")
+
+    def numbers(s: Column) -> Column:
+        short = s.contains("::")
+        left, right = list_(F.substring_index(s, "::", 1)), F.when(short, list_(F.substring_index(s, "::", -1))).otherwise(F.array().cast("array<string>"))
+        n = F.size(left) + F.size(right)
+        fill = F.array_repeat(F.lit("0"), F.greatest(8 - n, F.lit(0)))
+        whole = F.concat(left, F.when(short, fill).otherwise(F.array().cast("array<string>")), right)
+        # One gap at most, which stands for one group or more; no lone colon at an end.
+        shape = s.rlike(r"^[0-9a-f:]+$") & ~s.rlike(r":::|::.*::|^:(?!:)|(?<!:):$") & F.when(short, n <= 7).otherwise(n == 8)
+        ok = shape & F.forall(whole, lambda g: F.length(g) <= 4)
+        return F.when(ok, F.transform(whole, lambda g: F.conv(g, 16, 10).cast("int")))
+
+    return _let(plain, numbers)
+
+
+def public_ipv6(ip: Column) -> Column:
+    """FIL12 for IPv6: not loopback, unique local, link-local, unspecified, multicast or a mapped
+    IPv4 address that isn't public. Null if it isn't an address."""
+
+    def judged(g: Column) -> Column:
+        at = lambda i: F.get(g, F.lit(i))
+        zeros = lambda n: F.forall(F.slice(g, 1, n), lambda x: x == 0)
+        mapped = zeros(5) & (at(5) == 65535)
+        dotted = F.concat_ws(".", *[x.cast("string") for i in (6, 7) for x in (F.shiftright(at(i), 8), at(i).bitwiseAND(255))])
+        bad = (zeros(7) & at(7).isin(0, 1)) | (at(0).bitwiseAND(0xFE00) == 0xFC00) | (at(0).bitwiseAND(0xFFC0) == 0xFE80) | (at(0).bitwiseAND(0xFF00) == 0xFF00) | (mapped & ~public_ipv4(dotted))
+        return F.when(g.isNotNull(), ~bad)
+
+    return _let(_groups6(ip), judged)
+
+
+def public_ip(ip: Column) -> Column:
+    """FIL12: for either kind of address; null for what is none."""
+    return F.coalesce(public_ipv4(ip), public_ipv6(ip))
+
+
 def admitted(url: Column) -> Column:
-    """FIL13: a struct (url, error). Blanks around go; without a scheme it is https; other
-    schemes, local names and private addresses are errors. The URL stays as it was written."""
+    """FIL13: a struct (url, error, message). Blanks around go; what begins with neither http:// nor
+    https:// is given https://, other schemes too; local names and private IPv4 addresses are
+    blocked (an address in brackets is judged where names are resolved). The URL stays as it was
+    written."""
+
     def judged(raw: Column) -> Column:
         def error(h: Column) -> Column:
             return (
-                F.when(F.coalesce(F.trim(url), F.lit("")) == "", F.lit("empty url"))
-                .when(~scheme(raw).isin("http", "https"), F.lit("unsupported scheme"))
-                .when(h.isNull(), F.lit("invalid url"))
-                .when((h == "localhost") | h.endswith(".localhost") | ~F.coalesce(public_ipv4(h), F.lit(True)), F.lit("host is not allowed"))
+                F.when(F.coalesce(F.trim(url), F.lit("")) == "", F.struct(F.lit("invalid_url").alias("e"), F.lit("URL is required").alias("m")))
+                .when(h.isNull(), F.struct(F.lit("invalid_url").alias("e"), F.lit("Only http and https URLs are supported").alias("m")))
+                .when((h == "localhost") | h.endswith(".localhost"), F.struct(F.lit("blocked_by_policy").alias("e"), F.lit("Localhost URLs are not allowed").alias("m")))
+                .when(~F.coalesce(public_ipv4(h), F.lit(True)), F.struct(F.lit("blocked_by_policy").alias("e"), F.lit("Private network URLs are not allowed").alias("m")))
             )
 
-        return _let(_let(host(raw), error), lambda e: F.struct(F.when(e.isNull(), raw).alias("url"), e.alias("error")))
+        return _let(_let(host(raw), error), lambda x: F.struct(F.when(x.isNull(), raw).alias("url"), x["e"].alias("error"), x["m"].alias("message")))
 
     raw = F.trim(url)
-    return _let(F.when(raw.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), raw).otherwise(F.concat(F.lit("https://"), raw)), judged)
+    return _let(F.when(raw.rlike(r"^https?://"), raw).otherwise(F.concat(F.lit("https://"), raw)), judged)
 
 
 def blocked_resource(kind: Column, url: Column, ad_hosts: Sequence[str], block_media: bool = True) -> Column:

@@ -51,18 +51,22 @@ def case_scores(checks: DataFrame) -> DataFrame:
     return checks.groupBy("name").agg(F.bround(F.avg(F.col("passed").cast("int")), 4).alias("score"), F.count_if("passed").alias("passed_checks"), F.count(F.lit(1)).alias("total_checks"), F.max(F.when(F.col("check") == "request_succeeded", F.col("passed"))).alias("succeeded"))
 
 
-def gates(scores: DataFrame, least_overall: float, least_case: float, most_failures: int) -> DataFrame:
-    """AGG10: a row for each gate: name, passed, expected, actual, failed_cases."""
-    bad = F.when(F.col("score") < least_case, F.col("name"))
-    one = scores.agg(F.avg("score").alias("o"), F.array_sort(F.collect_list(bad)).alias("f"), F.count_if(~F.coalesce("succeeded", F.lit(False))).alias("r"))
+def gates(scores: DataFrame, least_overall: float, least_case: float, most_failures: int, names: int = 1_000) -> DataFrame:
+    """AGG10: a row for each gate: name, passed, expected, actual, failed_cases: the names of those
+    that failed, the first ``names`` of them in order; ``actual`` counts all."""
+    bad = F.col("score") < least_case
+    one = scores.agg(F.avg("score").alias("o"), F.count_if(bad).alias("n"), F.count_if(~F.coalesce("succeeded", F.lit(False))).alias("r"))
+    # Least names are picked in each partition before they meet.
+    worst = scores.where(bad).select("name").orderBy("name").limit(names).agg(F.array_sort(F.collect_list("name")).alias("f"))
     none = F.array().cast("array<string>")
     row = lambda name, ok, want, got, failed: F.struct(F.lit(name).alias("gate"), ok.alias("passed"), F.lit(float(want)).alias("expected"), got.cast("double").alias("actual"), failed.alias("failed_cases"))
     overall = F.coalesce("o", F.lit(0.0))
-    return one.select(
+    # One row on either side.
+    return one.crossJoin(F.broadcast(worst)).select(
         F.inline(
             F.array(
                 row("minimum_overall_score", overall >= least_overall, least_overall, F.bround(overall, 4), none),
-                row("minimum_case_score", F.size("f") == 0, least_case, F.size("f"), F.col("f")),
+                row("minimum_case_score", F.col("n") == 0, least_case, F.col("n"), F.col("f")),
                 row("maximum_request_failures", F.col("r") <= most_failures, most_failures, F.col("r"), none),
             )
         )

@@ -16,35 +16,59 @@ from ..functions import urls
 from . import jobs as J
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local session, as in tests, may have none set
+    and then takes one of its machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
+
+        folder = f"{tempfile.gettempdir()}/checkpoints"
+    return folder.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    spark: SparkSession = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-
-            folder = f"{tempfile.gettempdir()}/checkpoints"
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
-def crawl(pages: DataFrame, jobs: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = (), full_url: bool = False, similar: bool = True, ignore_query: bool = False, **scope: bool) -> DataFrame:
+def crawl(
+    pages: DataFrame, jobs: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = (), full_url: bool = False, similar: bool = True, ignore_query: bool = False, sitemaps: DataFrame | None = None, sitemap: str = "include", **scope: bool
+) -> DataFrame:
     """(crawl_id, url, dedup_key, depth, ord) of every task of every job.
 
-    pages: url, links (array<string>, absolute). jobs: id, url, page_limit, max_depth. The scope
-    of a link is judged from the page it stands on, not from the start URL.
+    pages: url, links (array<string>, absolute). jobs: id, url, page_limit, max_depth and, if they
+    have it, job_type, of which only ``crawl`` expands. sitemaps: url (that of the sitemap),
+    locations (array<string>). The scope of a link is judged from the page it stands on, not from
+    the start URL. A task's page is that with its URL, else the least of those with its key.
+
+    Each page gives what ``urls.site_map`` does with the job's page limit. The sitemap of a site
+    counts at depth 0 only, by the mode (skip, include, only); with ``only``, deeper pages give
+    nothing.
     """
     key = lambda c: urls.similarity_key(c, similar)
     tasks = checkpointed(jobs.select(F.col("id").alias("crawl_id"), "url", key(F.col("url")).alias("dedup_key"), F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("ord")))
-    found_at = pages.select(key(F.col("url")).alias("_key"), F.col("links")).dropDuplicates(["_key"])
-    deepest = jobs.agg(F.max("max_depth")).first()[0] or 0
+    at = pages.select(key(F.col("url")).alias("_key"), F.col("url").alias("_page"), "links")
+    grows = jobs.where("job_type = 'crawl'") if "job_type" in jobs.columns else jobs
+    limits = grows.select(F.col("id").alias("crawl_id"), F.col("page_limit").alias("_limit"), F.col("max_depth").alias("_deepest"))
+    none = F.lit(None).cast("array<string>")
+    deepest = min(grows.agg(F.max("max_depth")).first()[0] or 0, 1 if sitemap == "only" else 1 << 30)
     for depth in range(deepest):
-        frontier = tasks.where(F.col("depth") == depth).join(jobs.where(F.col("max_depth") > depth).select(F.col("id").alias("crawl_id")), "crawl_id", "left_semi")
-        kept = urls.scoped_links(F.col("links"), F.col("url"), ignore_query=ignore_query, **scope)
-        found = frontier.join(found_at, F.col("dedup_key") == F.col("_key")).select("crawl_id", F.col("ord").alias("_from"), F.posexplode(kept).alias("_i", "url"))
+        frontier = tasks.where(F.col("depth") == depth).join(limits.where(F.col("_deepest") > depth), "crawl_id")
+        met = frontier.join(at, F.col("dedup_key") == F.col("_key"), "left")
+        own = F.min_by("links", F.struct(F.col("_page") != F.col("url"), "_page")).alias("links")
+        met = met.groupBy("crawl_id", "url", "ord", "_limit").agg(own)
+        if sitemaps is not None and depth == 0:
+            s = sitemaps.select(F.col("url").alias("_at"), "locations")
+            met = met.withColumn("_at", urls.sitemap_url(F.col("url"))).join(s, "_at", "left")
+        else:
+            met = met.withColumn("locations", none)
+        mapped = urls.site_map(F.col("locations"), F.col("links"), F.col("url"), limit=F.col("_limit"), mode=sitemap if depth == 0 else "skip", ignore_query=ignore_query, **scope)
+        found = met.select("crawl_id", F.col("ord").alias("_from"), F.posexplode(mapped["links"]).alias("_i", "url"))
         found = found.where(urls.allowed_by_patterns(F.col("url"), include, exclude, full_url))
         found = found.select("crawl_id", "url", key(F.col("url")).alias("dedup_key"), F.lit(depth + 1).alias("depth"), (F.lit((depth + 1) << 48) + (F.col("_from") % (1 << 32)) * 65536 + F.col("_i")).cast("bigint").alias("ord"))
         new = checkpointed(J.admit(tasks, found, jobs))

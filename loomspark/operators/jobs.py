@@ -65,10 +65,22 @@ def status(jobs: DataFrame, tasks: DataFrame) -> DataFrame:
     return jobs.join(counts(tasks).withColumnRenamed("crawl_id", "id"), "id", "left").select("id", "url", "status", *zero)
 
 
-def envelope(jobs: DataFrame, tasks: DataFrame) -> DataFrame:
-    """JSN3: the status names of the outer interface; credits are the pages completed."""
-    s = F.when(F.col("status").isin("queued", "running"), F.lit("scraping")).otherwise(F.col("status"))
-    return status(jobs, tasks).select("id", s.alias("status"), "total", "completed", F.col("completed").alias("credits_used"))
+def envelope(jobs: DataFrame, tasks: DataFrame, resource: str = "crawl", offset: int = 0, limit: int = 100) -> DataFrame:
+    """JSN3: a job's status as it is sent: id, success, status (under its outer name), total,
+    completed, credits_used (the pages completed), expires_at, data (the documents of this page of
+    results, at most 100) and next, the path of a page after it; and all of it as JSON in body."""
+    limit = max(1, min(100, limit))
+    page = results(tasks, offset, limit)
+    data = F.transform(F.array_sort(F.collect_list(F.when(F.col("result").isNotNull(), F.struct("position", "result")))), lambda x: x["result"])
+    page = page.groupBy(F.col("crawl_id").alias("id")).agg(data.alias("_data"), F.max("next").alias("_next"))
+    found = status(jobs, tasks).join(jobs.select("id", "expires_at"), "id").join(page, "id", "left")
+    named = F.when(F.col("status").isin("queued", "running"), F.lit("scraping")).otherwise(F.col("status"))
+    path = F.when(F.col("_next").isNotNull(), F.concat(F.lit(f"/v2/{resource}/"), F.col("id").cast("string"), F.lit("?skip="), F.col("_next").cast("string"), F.lit(f"&limit={limit}")))
+    empty = F.array().cast("array<string>")
+    out = found.select("id", F.lit(True).alias("success"), named.alias("status"), "total", "completed", F.col("completed").alias("credits_used"), "expires_at", F.coalesce("_data", empty).alias("data"), path.alias("next"))
+    documents = F.transform("data", lambda d: F.coalesce(F.try_parse_json(d), F.parse_json(F.lit("null"))))
+    body = F.struct("success", F.col("id").cast("string").alias("id"), "status", "total", "completed", F.col("credits_used").alias("creditsUsed"), rfc3339(F.col("expires_at")).alias("expiresAt"), documents.alias("data"), "next")
+    return out.withColumn("body", F.to_json(body, {"ignoreNullFields": "false"}))
 
 
 def results(tasks: DataFrame, offset: int = 0, limit: int = 100) -> DataFrame:
@@ -171,8 +183,48 @@ def cascade(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
     return children.join(parents.select(F.col("id").alias(key)), key, "left_semi")
 
 
+def enqueued(requests: DataFrame, now: Column, days: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """CRW1: requests (id, url, options as columns of the jobs table, any of which may be missing) to
+    (jobs, tasks, refused): a queued job and its task of depth 0 for each that is admitted; the
+    others with their problems. Of requests repeated with one id the first (by URL) counts."""
+    from ..functions import urls
+    from .validation import problems
+
+    defaults = {"page_limit": F.lit(10), "max_depth": F.lit(2), "max_retries": F.lit(2), "delay_ms": F.lit(0).cast("bigint"), "max_concurrency": F.lit(10), "sitemap": F.lit("include"), "job_type": F.lit("crawl")}
+    have = {c: F.coalesce(F.col(c), d) if c in requests.columns else d for c, d in defaults.items()}
+    rows = requests.withColumns(have).withColumn("_a", urls.admitted(F.col("url")))
+    rows = rows.withColumn(
+        "problems",
+        problems(
+            (F.col("_a")["error"].isNotNull(), "url"),
+            (F.col("page_limit") < 1, "page_limit"),
+            (F.col("max_depth") < 0, "max_depth"),
+            (F.col("max_retries") < 0, "max_retries"),
+            (~F.col("delay_ms").between(0, 60_000), "delay"),
+            (F.col("max_concurrency") < 1, "max_concurrency"),
+            (~F.col("sitemap").isin("skip", "include", "only"), "sitemap"),
+        ),
+    )
+    ok = first_wins(rows.where(F.size("problems") == 0), ["id"], ["url"]).where("accepted")
+    none = F.lit(None).cast("timestamp")
+    jobs = ok.select("id", F.col("_a")["url"].alias("url"), "job_type", F.lit("queued").alias("status"), *[c for c in defaults if c != "job_type"], F.lit(False).alias("cancel_requested"), now.alias("created_at"), none.alias("started_at"), none.alias("last_task_started_at"), none.alias("finished_at"), retention(now, days).alias("expires_at"))
+    tasks = jobs.select(F.col("id").alias("crawl_id"), "url", urls.similarity_key(F.col("url")).alias("dedup_key"), F.lit(0).alias("depth"), F.lit("queued").alias("status"), F.lit(0).alias("attempts"), F.col("created_at").alias("next_attempt_at"), "created_at")
+    return jobs, tasks, rows.where(F.size("problems") > 0).select("id", F.col("url"), "problems")
+
+
+def uploads_used(uploads: DataFrame, uses: DataFrame, minutes: int = 15) -> DataFrame:
+    """SRC21: uses (upload_id, used_at, use_id) of uploads (id, created_at, data) with ``error``: the
+    first use of a complete upload within its minutes is let through (null), the others are
+    ``unknown``, ``expired``, ``incomplete`` or ``consumed``. A use that is refused consumes nothing."""
+    u = uploads.select(F.col("id").alias("upload_id"), F.col("created_at").alias("_since"), F.col("data").isNotNull().alias("_whole"))
+    early = F.when(F.col("_since").isNull(), F.lit("unknown")).when(F.col("used_at") >= F.col("_since") + F.make_dt_interval(mins=F.lit(minutes)), F.lit("expired")).when(~F.col("_whole"), F.lit("incomplete"))
+    judged = uses.join(u, "upload_id", "left").withColumn("_early", early)
+    w = Window.partitionBy("upload_id", F.col("_early").isNull()).orderBy("used_at", "use_id")
+    return judged.withColumn("error", F.coalesce("_early", F.when(F.row_number().over(w) > 1, F.lit("consumed")))).drop("_since", "_whole", "_early")
+
+
 def first_wins(events: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """CRW13, CRW14, JON7, SET4, SRC21: the first row of each key is accepted, others conflict."""
+    """CRW13, CRW14, JON7, SET4: the first row of each key is accepted, others conflict."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return events.withColumn("accepted", F.row_number().over(w) == 1)
 

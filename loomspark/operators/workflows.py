@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
 import json
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as X
 from .jobs import seconds
@@ -18,21 +20,42 @@ from .jobs import seconds
 
 def with_previous(checks: DataFrame) -> DataFrame:
     """WIN1, JON6: completed checks (monitor_id, finished_at, id, text, json) with the text and
-    JSON of the one before, ``''`` and ``{}`` for the first."""
+    JSON of the completed one before, ``''`` and ``{}`` for the first. Where there's a column
+    ``status``, checks of another status neither come out nor count."""
+    if "status" in checks.columns:
+        checks = checks.where("status = 'completed'")
     w = Window.partitionBy("monitor_id").orderBy("finished_at", "id")
     return checks.withColumns({"before_text": F.coalesce(F.lag("text").over(w), F.lit("")), "before_json": F.coalesce(F.lag("json").over(w), F.lit("{}"))})
 
 
+def _alike(a: object, b: object) -> bool:
+    """Equal in value and kind, also inside arrays: 1, 1.0 and true are three values."""
+    todo = [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        if type(x) is not type(y):
+            return False
+        if isinstance(x, list):
+            if len(x) != len(y):
+                return False
+            todo += zip(x, y, strict=True)
+        elif isinstance(x, dict):
+            if x.keys() != y.keys():
+                return False
+            todo += [(v, y[k]) for k, v in x.items()]
+        elif x != y:
+            return False
+    return True
+
+
 def _changes(before: object, after: object) -> list[dict]:
     """JSN1, with an explicit stack."""
     out, todo = [], [("", before, after)]
     while todo:
         path, a, b = todo.pop()
-        if type(a) is type(b) and a == b:
-            continue
         if isinstance(a, dict) and isinstance(b, dict):
             todo += [(f"{path}/{k}", a.get(k), b.get(k)) for k in sorted({*a, *b}, reverse=True)]
-        elif a != b or isinstance(a, bool) != isinstance(b, bool):
+        elif not _alike(a, b):
             out.append({"path": path or "/", "before": json.dumps(a), "after": json.dumps(b)})
     return out
 
@@ -78,37 +101,24 @@ def latest(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
-# Validation: array<string> of what is wrong, empty if nothing is.
-
-
-def problems(*checks: tuple[Column, str]) -> Column:
-    return F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for bad, name in checks]))
-
+def owned(rows: DataFrame, credential: Column) -> DataFrame:
+    """FIL10: rows whose ``owner_key`` is that of the credential; without one, those of nobody."""
+    return rows.where(F.col("owner_key") == X.owner_key(credential))
 
-def monitor_problems(name: Column, schedule_seconds: Column, url: Column) -> Column:
-    """MON4."""
-    from ..functions.urls import admitted
 
-    return problems((~F.octet_length(F.coalesce(name, F.lit(""))).between(1, 200), "name"), (~schedule_seconds.between(60, 31_536_000), "schedule"), (admitted(url)["error"].isNotNull(), "url"))
+def run_checks(monitors: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
+    """MON5: requests (monitor_id, check_id, credential) to queued checks (id, monitor_id, status,
+    created_at), for monitors (id, owner_key) of that owner only."""
+    m = monitors.select(F.col("id").alias("monitor_id"), "owner_key")
+    own = requests.join(m, "monitor_id").where(F.col("owner_key") == X.owner_key(F.col("credential")))
+    return own.select(F.col("check_id").alias("id"), "monitor_id", F.lit("queued").alias("status"), now.alias("created_at"))
 
 
-def agent_problems(prompt: Column, urls: Column, credits: Column) -> Column:
-    """AGT3."""
-    return problems((~F.octet_length(F.coalesce(prompt, F.lit(""))).between(1, 20_000), "prompt"), (F.size(urls) > 100, "urls"), (~credits.between(1, 100) | (credits < F.size(urls)), "credits"))
-
-
-def scrape_problems(options: dict[str, Column]) -> Column:
-    """FIL15: waiting time, delay, concurrency, idempotency key, proxy."""
-    rules = {
-        "wait_ms": lambda c: ~c.between(0, 60_000),
-        "delay": lambda c: ~((c > 0) & (c <= 60)),
-        "max_concurrency": lambda c: ~c.between(1, 100),
-        "idempotency_key": lambda c: ~c.rlike(r"^[0-9a-fA-F]{8}(?:-?[0-9a-fA-F]{4}){3}-?[0-9a-fA-F]{12}$"),
-        "proxy": lambda c: ~c.rlike(r"^(?:https?|socks5)://[^\s/]+"),
-    }
-    if unknown := set(options) - set(rules):
-        raise ValueError(f"unknown options: {sorted(unknown)}")
-    return problems(*[(c.isNotNull() & rules[k](c), k) for k, c in options.items()])
+def check_history(monitors: DataFrame, checks: DataFrame, credential: Column, n: int = 100) -> DataFrame:
+    """MON5: the owner's checks, newest first, the last n of each monitor, with their position."""
+    own = checks.join(owned(monitors, credential).select(F.col("id").alias("monitor_id")), "monitor_id", "left_semi")
+    w = Window.partitionBy("monitor_id").orderBy(F.desc("created_at"), F.desc("id"))
+    return own.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n)
 
 
 # Agents.
@@ -176,39 +186,62 @@ def rolling_count(requests: DataFrame, key: str = "key", ts: str = "ts", window_
     return requests.withColumn("in_window", F.count(F.lit(1)).over(w))
 
 
-def limiter(requests: DataFrame, per_minute: int = 120, concurrency: int = 16, key: str = "key", ts: str = "ts", until: str = "active_until") -> DataFrame:
-    """WIN4 exactly: a decision for each request: ``ok``, ``concurrency`` or ``rate``, and the
-    seconds after which to try again. Rejected requests leave no trace, so each decision hangs on
-    the ones before: a fold per key, whose state is what was let in within a minute or is active.
+class Limits:
+    """The limiter's state of one key: when requests were let in within a minute, and until when
+    those that run are active. Times are microseconds."""
+
+    def __init__(self, per_minute: int, concurrency: int, recent: Iterable[int] = (), active: Iterable[int] = ()) -> None:
+        self.per_minute, self.concurrency = per_minute, concurrency
+        self.recent, self.active = deque(recent), list(active)
+        heapq.heapify(self.active)
+
+    def decide(self, now: int, until: int | None = None) -> tuple[str, int]:
+        """(``ok``, ``concurrency`` or ``rate``, seconds after which to try again). What is rejected
+        leaves no trace; concurrency is judged first; a request counts for less than 60 seconds."""
+        while self.recent and now - self.recent[0] >= 60_000_000:
+            self.recent.popleft()
+        while self.active and self.active[0] <= now:
+            heapq.heappop(self.active)
+        if len(self.active) >= self.concurrency:
+            return "concurrency", 0
+        if len(self.recent) >= self.per_minute:
+            return "rate", max(1, 60 - (now - self.recent[0]) // 1_000_000)
+        self.recent.append(now)
+        if until is not None:
+            heapq.heappush(self.active, until)
+        return "ok", 0
 
-    Rows are sorted by key and time inside partitions and folded as a stream, so no key is held
-    in memory as a whole.
+
+def limiter(requests: DataFrame, per_minute: int = 120, concurrency: int = 16, key: str = "key", ts: str = "ts", until: str = "active_until") -> DataFrame:
+    """WIN4 exactly: ``requests`` with a decision for each: ``ok``, ``concurrency`` or ``rate``, and
+    the seconds after which to try again (``retry_after``). Rejected requests leave no trace, so each
+    decision hangs on the ones before: a fold per key, whose state is what was let in within a
+    minute or is active.
+
+    Rows are sorted by key and time inside partitions and folded as a stream, so no key is held in
+    memory as a whole. Requests of one instant go by the hash of their other columns, so that a
+    rerun decides alike. A null key is a key like others; rows with a null time come first in it
+    and are rejected as ``rate`` without a trace; a null end is never active.
     """
-    names = [c for c in requests.columns if not c.startswith("_")]
-    rows = requests.select(*names).repartition(key).sortWithinPartitions(key, ts)
-    kind = requests.select(*names).schema.add("decision", "string").add("retry_after", "long")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, recent, active = None, [], []
-        for frame in frames:
-            decision, retry = [], []
-            for k, t, end in zip(frame[key], frame[ts], frame[until], strict=True):
-                if k != current:
-                    current, recent, active = k, [], []
-                recent = [x for x in recent if (t - x).total_seconds() < 60]
-                active = [x for x in active if x > t]
-                wait = 0
-                if len(active) >= concurrency:
-                    what = "concurrency"
-                elif len(recent) >= per_minute:
-                    what, wait = "rate", max(1, 60 - int((t - recent[0]).total_seconds()))
-                else:
-                    what = "ok"
-                    recent.append(t)
-                    if not pd.isna(end):
-                        active.append(end)
-                decision.append(what)
-                retry.append(wait)
-            yield frame.assign(decision=decision, retry_after=retry)
-
-    return rows.mapInPandas(run, kind)
+    names = list(requests.columns)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    plain = [c for c in names if requests.schema[c].dataType.typeName() not in ("map", "variant")]
+    # Keys are compared by a rank-free image of theirs that has no null and no loss of kind.
+    image = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
+    rows = requests.select(F.struct(*names).alias("_row"), image.alias("_key"), micros(ts).alias("_at"), micros(until).alias("_until"), F.xxhash64(*plain).alias("_tie"))
+    rows = rows.repartition("_key").sortWithinPartitions("_key", "_at", "_tie")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state = None, None
+        for batch in batches:
+            decisions, waits = [], []
+            for k, at, end in zip(*[batch.column(c).to_pylist() for c in ("_key", "_at", "_until")], strict=True):
+                if state is None or k != current:
+                    current, state = k, Limits(per_minute, concurrency)
+                decision, wait = ("rate", 1) if at is None else state.decide(at, end)
+                decisions.append(decision)
+                waits.append(wait)
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(decisions, pa.string()), pa.array(waits, pa.int64())], ["_row", "decision", "retry_after"])
+
+    out = rows.mapInArrow(run, StructType().add("_row", rows.schema["_row"].dataType).add("decision", "string").add("retry_after", "long"))
+    return out.select("_row.*", "decision", "retry_after")

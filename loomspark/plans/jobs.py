@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import html, text
-from ..operators import frontier, search, workflows
+from ..operators import frontier, search, validation, workflows
 from ..operators import jobs as J
 from . import query, table
 
@@ -64,9 +64,21 @@ def crw9_status(spark, sf_dir):
     return J.status(*_frames(spark, sf_dir))
 
 
-@query("jsn3_envelope", _sql(f"SELECT j.id, CASE WHEN j.status = 'queued' THEN 'scraping' ELSE j.status END AS status, coalesce(total, 0) AS total, coalesce(completed, 0) AS completed, coalesce(completed, 0) AS credits_used FROM jobs j LEFT JOIN ({COUNTS}) c ON c.crawl_id = j.id"))
+@query(
+    "jsn3_envelope",
+    _sql(
+        f""", u AS (SELECT * FROM tasks QUALIFY count(*) OVER (PARTITION BY id) = 1), d AS (SELECT crawl_id, id, status, row_number() OVER (PARTITION BY crawl_id ORDER BY finished_at NULLS LAST, id) AS r, count(*) OVER (PARTITION BY crawl_id) AS n FROM u WHERE status IN ('completed', 'failed')),
+ p AS (SELECT crawl_id, coalesce(string_agg(CASE WHEN status = 'completed' THEN '{{{{"n":' || id || '}}}}' END, ';' ORDER BY r) FILTER (WHERE r <= 2), '') AS data, max(n) AS n FROM d GROUP BY 1)
+ SELECT j.id, true AS success, CASE WHEN j.status = 'queued' THEN 'scraping' ELSE j.status END AS status, coalesce(total, 0) AS total, coalesce(completed, 0) AS completed, coalesce(completed, 0) AS credits_used, epoch(expires_at)::BIGINT AS expires_at,
+ coalesce(p.data, '') AS data, CASE WHEN p.n > 2 THEN '/v2/crawl/' || j.id || '?skip=2&limit=2' END AS next FROM jobs j LEFT JOIN ({COUNTS.replace('FROM tasks', 'FROM u')}) c ON c.crawl_id = j.id LEFT JOIN p ON p.crawl_id = j.id"""
+    ).replace("{{", "{").replace("}}", "}"),
+)
 def jsn3_envelope(spark, sf_dir):
-    return J.envelope(*_frames(spark, sf_dir))
+    j, t = _frames(spark, sf_dir)
+    # Some ids of the stand-in repeat, which a task's id doesn't.
+    t = t.join(t.groupBy("id").count().where("count = 1"), "id", "left_semi")
+    t = t.withColumn("result", F.when(F.col("status") == "completed", F.concat(F.lit('{"n":'), F.col("id").cast("string"), F.lit("}"))))
+    return J.envelope(j, t, limit=2).drop("body").withColumns({"data": F.array_join("data", ";"), "expires_at": F.unix_timestamp("expires_at")})
 
 
 @query("srt1_pagination", _sql("SELECT crawl_id, id, position, CASE WHEN n > 3 THEN 3 END AS next FROM (SELECT crawl_id, id, row_number() OVER (PARTITION BY crawl_id ORDER BY finished_at NULLS LAST, id) - 1 AS position, count(*) OVER (PARTITION BY crawl_id) AS n FROM tasks WHERE status IN ('completed', 'failed')) WHERE position >= 1 AND position < 3"))
@@ -131,6 +143,28 @@ def crw8_completion(spark, sf_dir):
     return J.drained(*_frames(spark, sf_dir)).select("id")
 
 
+@query("jon4_anti_join", _sql("SELECT id FROM jobs WHERE status IN ('queued', 'scraping') AND NOT EXISTS (SELECT 1 FROM tasks t WHERE t.crawl_id = jobs.id AND t.id % 5 = 0 AND t.status IN ('queued', 'active'))"))
+def jon4_anti_join(spark, sf_dir):
+    j, t = _frames(spark, sf_dir)
+    return J.drained(j, t.where("id % 5 = 0")).select("id")
+
+
+@query("jon2_correlated_count", _sql(f"SELECT t.id FROM tasks t JOIN jobs j ON j.id = t.crawl_id WHERE NOT cancel_requested AND j.status IN ('queued', 'scraping') AND t.status = 'queued' AND (SELECT count(*) FROM tasks o WHERE o.crawl_id = j.id AND o.status = 'active') < j.max_concurrency"))
+def jon2_correlated_count(spark, sf_dir):
+    # Leases that hold, tasks that are due, no throttle: only the count of active tasks decides.
+    j, t = _frames(spark, sf_dir)
+    t = t.withColumns({"lease_expires_at": _now() + F.expr("INTERVAL 1 HOUR"), "next_attempt_at": _now()})
+    return J.claimable(j.withColumn("last_task_started_at", F.lit(None).cast("timestamp")), t, _now()).select("id")
+
+
+@query("win5_throttle", _sql(f"SELECT t.id FROM tasks t JOIN jobs j ON j.id = t.crawl_id WHERE NOT cancel_requested AND j.status IN ('queued', 'scraping') AND t.status = 'queued' AND j.id % 4 * 1000 >= j.delay_ms"))
+def win5_throttle(spark, sf_dir):
+    # The last task began so many seconds ago.
+    j, t = _frames(spark, sf_dir)
+    j = j.withColumns({"last_task_started_at": _now() - F.make_dt_interval(secs=(F.col("id") % 4).cast("decimal(18,6)")), "max_concurrency": F.lit(100)})
+    return J.claimable(j, t.where("status = 'queued'").withColumn("next_attempt_at", _now()), _now()).select("id")
+
+
 @query("jon5_existence", _sql("SELECT DISTINCT l_orderkey + 5 AS id FROM lineitem WHERE l_orderkey + 5 IN (SELECT id FROM jobs)"))
 def jon5_existence(spark, sf_dir):
     j, t = _frames(spark, sf_dir)
@@ -181,13 +215,53 @@ def crw2_batch(spark, sf_dir):
     return J.batch_seed(requests).select("crawl_id", "url")
 
 
-@query("crw3_frontier")
+#: Page n of a site links to pages 2n and 2n + 1 and back to the start; the sitemap names page 7.
+GRAPH = "SELECT k, CASE WHEN k = 1 THEN 'https://site' || s || '.org/' ELSE 'https://site' || s || '.org/p' || k END AS url, s FROM generate_series(1, 40) a(k), generate_series(0, 9) b(s)"
+
+
+@query(
+    "crw3_frontier",
+    """WITH RECURSIVE w AS (SELECT s AS crawl_id, 1::BIGINT AS k, 0 AS depth FROM generate_series(0, 9) t(s)
+ UNION SELECT crawl_id, n, depth + 1 FROM (SELECT w.*, unnest(CASE WHEN depth = 0 AND crawl_id % 3 > 0 THEN [7, 2 * k, 2 * k + 1] ELSE [2 * k, 2 * k + 1] END) AS n FROM w WHERE k <= 40 AND depth < crawl_id % 5 AND crawl_id <> 4)),
+m AS (SELECT crawl_id, k, min(depth) AS depth FROM w GROUP BY 1, 2)
+SELECT crawl_id, CASE WHEN k = 1 THEN 'https://site' || crawl_id || '.org/' ELSE 'https://site' || crawl_id || '.org/p' || k END AS url, depth FROM m""",
+)
 def crw3_frontier(spark, sf_dir):
-    pages = html.extracted(table(spark, sf_dir, "pages"), ["anchors"])
-    # Anchors lead to paths that no page has; pages of one host are linked in a ring besides.
-    ring = pages.select("url", F.concat("anchors", F.array("url")).alias("links"))
-    jobs = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", F.lit(5).alias("page_limit"), F.lit(2).alias("max_depth"))
-    return frontier.crawl(ring, jobs, entire_domain=True).select("crawl_id", "url", "depth")
+    at = lambda s, k: F.when(k == 1, F.concat(F.lit("https://site"), s.cast("string"), F.lit(".org/"))).otherwise(F.concat(F.lit("https://site"), s.cast("string"), F.lit(".org/p"), k.cast("string")))
+    grid = spark.range(10).withColumnRenamed("id", "s").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(40))))
+    s, k = F.col("s"), F.col("k")
+    links = F.array(at(s, 2 * k), at(s, 2 * k + 1), at(s, F.lit(1)), F.lit("https://elsewhere.org/"))
+    pages = grid.select(at(s, k).alias("url"), links.alias("links"))
+    maps = spark.range(10).where("id % 3 > 0").select(F.concat(F.lit("https://site"), F.col("id").cast("string"), F.lit(".org/sitemap.xml")).alias("url"), F.array(at(F.col("id"), F.lit(7))).alias("locations"))
+    job = F.when(F.col("id") == 4, F.lit("batch_scrape")).otherwise(F.lit("crawl"))
+    jobs = spark.range(10).select("id", at(F.col("id"), F.lit(1)).alias("url"), job.alias("job_type"), F.lit(1000).alias("page_limit"), (F.col("id") % 5).cast("int").alias("max_depth"))
+    return frontier.crawl(pages, jobs, entire_domain=True, sitemaps=maps).select("crawl_id", "url", "depth")
+
+
+@query("crw3_sitemap_only", "SELECT s AS crawl_id, p AS url, CASE WHEN p LIKE '%/' THEN 0 ELSE 1 END AS depth FROM (SELECT s, unnest(CASE WHEN s % 3 > 0 THEN ['https://site' || s || '.org/', 'https://site' || s || '.org/p7'] ELSE ['https://site' || s || '.org/'] END) AS p FROM generate_series(0, 9) t(s))")
+def crw3_sitemap_only(spark, sf_dir):
+    at = F.concat(F.lit("https://site"), F.col("id").cast("string"), F.lit(".org/"))
+    pages = spark.range(10).select(at.alias("url"), F.array(F.concat(at, F.lit("p2"))).alias("links"))
+    maps = spark.range(10).where("id % 3 > 0").select(F.concat(at, F.lit("sitemap.xml")).alias("url"), F.array(F.concat(at, F.lit("p7"))).alias("locations"))
+    jobs = spark.range(10).select("id", at.alias("url"), F.lit(1000).alias("page_limit"), F.lit(3).alias("max_depth"))
+    return frontier.crawl(pages, jobs, sitemaps=maps, sitemap="only").select("crawl_id", "url", "depth")
+
+
+@query(
+    "crw1_enqueue",
+    f"""WITH r AS (SELECT o_orderkey AS id, ['https://a.org/x', 'b.org', 'http://localhost/', ' '][o_orderkey % 4 + 1] AS url, o_custkey % 5 - 1 AS page_limit, ['skip', 'only', 'all', NULL][o_custkey % 4 + 1] AS sitemap FROM orders),
+ p AS (SELECT *, array_to_string(list_filter([CASE WHEN id % 4 >= 2 THEN 'url' END, CASE WHEN page_limit < 1 THEN 'page_limit' END, CASE WHEN sitemap = 'all' THEN 'sitemap' END], lambda x: x IS NOT NULL), ',') AS problems FROM r)
+ SELECT id, problems, CASE WHEN problems = '' THEN CASE WHEN id % 4 = 1 THEN 'https://' ELSE '' END || url END AS url, CASE WHEN problems = '' THEN coalesce(sitemap, 'include') END AS sitemap, CASE WHEN problems = '' THEN 'http://' || ['a.org/x', 'b.org/'][id % 4 + 1] END AS dedup_key,
+ CASE WHEN problems = '' THEN epoch({NOW_SQL} + INTERVAL 7 DAY)::BIGINT END AS expires_at FROM p""",
+)
+def crw1_enqueue(spark, sf_dir):
+    n, c = F.col("o_orderkey"), F.col("o_custkey")
+    nth = lambda i, *v: F.element_at(F.array(*[F.lit(x) for x in v]), (i % len(v) + 1).cast("int"))
+    asked = table(spark, sf_dir, "orders").select(n.alias("id"), nth(n, "https://a.org/x", "b.org", "http://localhost/", " ").alias("url"), (c % 5 - 1).alias("page_limit"), nth(c, "skip", "only", "all", None).alias("sitemap"))
+    jobs, tasks, refused = J.enqueued(asked, _now())
+    in_ = jobs.join(tasks.select(F.col("crawl_id").alias("id"), "dedup_key"), "id").select("id", F.lit("").alias("problems"), "url", "sitemap", "dedup_key", _epoch("expires_at"))
+    none = lambda kind: F.lit(None).cast(kind)
+    return in_.union(refused.select("id", F.array_join("problems", ","), none("string"), none("string"), none("string"), none("bigint")))
 
 
 @query("dat1_retention", _sql("SELECT id, epoch(created_at + INTERVAL 7 DAY)::BIGINT AS until, strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') AS created FROM jobs"))
@@ -217,6 +291,18 @@ def win1_previous(spark, sf_dir):
     return d.select(F.col("monitor_id").alias("conv_id"), F.col("id").alias("turn"), "before_text")
 
 
+@query("jon6_as_of", "SELECT conv_id, turn, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS before_text FROM conversations WHERE turn % 3 <> 1")
+def jon6_as_of(spark, sf_dir):
+    c = _checks(spark, sf_dir).withColumn("status", F.when(F.col("id") % 3 == 1, F.lit("failed")).otherwise(F.lit("completed")))
+    return workflows.with_previous(c).select(F.col("monitor_id").alias("conv_id"), F.col("id").alias("turn"), "before_text")
+
+
+@query("mon2_check_diffs", "SELECT conv_id, turn, coalesce(lag(text) OVER w, '') <> text OR lag(role) OVER w IS NULL OR lag(role) OVER w <> role AS changed FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def mon2_check_diffs(spark, sf_dir):
+    c = _checks(spark, sf_dir).withColumn("json", F.regexp_replace("json", r',"n":\d+', ""))
+    return workflows.check_diffs(c).select(F.col("monitor_id").alias("conv_id"), F.col("id").alias("turn"), "changed")
+
+
 LINES = "CASE WHEN {x} = '' THEN [] ELSE list_sort(list_distinct(string_split({x}, chr(10)))) END"
 
 
@@ -254,21 +340,21 @@ def mon3_update(spark, sf_dir):
 @query("mon4_admission", "SELECT s_suppkey, array_to_string(list_filter([CASE WHEN s_suppkey % 4 = 0 THEN 'name' END, CASE WHEN s_suppkey % 100 < 60 THEN 'schedule' END], lambda x: x IS NOT NULL), ',') AS problems FROM supplier")
 def mon4_admission(spark, sf_dir):
     name = F.when(F.col("s_suppkey") % 4 == 0, F.lit("")).otherwise(F.col("s_name"))
-    p = workflows.monitor_problems(name, F.col("s_suppkey") % 100, F.lit("example.com"))
+    p = validation.monitor_problems(name, F.col("s_suppkey") % 100, F.lit("example.com"))
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(p, ",").alias("problems"))
 
 
 @query("agt3_admission", "SELECT s_suppkey, array_to_string(list_filter([CASE WHEN s_suppkey % 4 = 0 THEN 'prompt' END, CASE WHEN s_suppkey % 120 NOT BETWEEN 1 AND 100 OR s_suppkey % 120 < 2 THEN 'credits' END], lambda x: x IS NOT NULL), ',') AS problems FROM supplier")
 def agt3_admission(spark, sf_dir):
     prompt = F.when(F.col("s_suppkey") % 4 == 0, F.lit("")).otherwise(F.col("s_name"))
-    p = workflows.agent_problems(prompt, F.array(F.lit("a"), F.lit("b")), F.col("s_suppkey") % 120)
+    p = validation.agent_problems(prompt, F.array(F.lit("a"), F.lit("b")), F.col("s_suppkey") % 120)
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(p, ",").alias("problems"))
 
 
 @query("fil15_validators", "SELECT event_id, array_to_string(list_filter([CASE WHEN value * 1000 NOT BETWEEN 0 AND 60000 THEN 'wait_ms' END, CASE WHEN NOT (value > 0 AND value <= 60) THEN 'delay' END, 'idempotency_key'], lambda x: x IS NOT NULL), ',') AS problems FROM events")
 def fil15_validators(spark, sf_dir):
     v = F.col("value")
-    p = workflows.scrape_problems({"wait_ms": v * 1000, "delay": v, "idempotency_key": F.col("event_type")})
+    p = validation.scrape_problems({"wait_ms": v * 1000, "delay": v, "idempotency_key": F.col("event_type")})
     return table(spark, sf_dir, "events").select("event_id", F.array_join(p, ",").alias("problems"))
 
 

@@ -57,13 +57,6 @@ def url3_site_map(spark, sf_dir):
     return p.select("page_id", m.alias("m")).select("page_id", F.array_join("m.links", " ").alias("links"), "m.provider")
 
 
-@query("url4_sitemap_only", "SELECT page_id, url AS links, 'html_links' AS provider FROM pages")
-def url4_sitemap_only(spark, sf_dir):
-    none = F.lit(None).cast("array<string>")
-    m = urls.site_map(none, none, F.col("url"), mode="only")
-    return table(spark, sf_dir, "pages").select("page_id", m.alias("m")).select("page_id", F.array_join("m.links", " ").alias("links"), "m.provider")
-
-
 @query("url5_link_objects", f"WITH {LINKS} SELECT page_id, len(links) AS n, links[1] AS first_url FROM links")
 def url5_link_objects(spark, sf_dir):
     p = html.extracted(table(spark, sf_dir, "pages"), ["anchors"]).withColumn("o", urls.link_objects(F.col("anchors")))
@@ -91,7 +84,7 @@ def fil5_path_patterns(spark, sf_dir):
 @query("fil7_domain_filter", f"SELECT page_id, url FROM pages WHERE ({HOST} = 'example.com' OR ends_with({HOST}, '.example.com') OR ends_with({HOST}, '.example.org')) AND NOT (ends_with({HOST}, '.ththth.example.com') OR starts_with({HOST}, 'zz.'))")
 def fil7_domain_filter(spark, sf_dir):
     keep = urls.domain_allowed(F.col("url"), ["www.example.com", "Example.org"], ["ththth.example.com"])
-    return table(spark, sf_dir, "pages").where(keep & ~(urls.host(F.col("url")) == "ththth.example.com") | (keep & (urls.host(F.col("url")) == "ththth.example.com"))).select("page_id", "url")
+    return table(spark, sf_dir, "pages").where(keep).select("page_id", "url")
 
 
 @query("fil8_category", f"SELECT page_id, CASE WHEN ends_with(lower({PATH}), '.pdf') THEN 'pdf' WHEN ends_with({HOST}, 'example.org') THEN 'research' END AS category FROM pages")
@@ -99,11 +92,6 @@ def fil8_category(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.category(F.col("url"), [("pdf", ()), ("github", ()), ("research", ("example.org",))]).alias("category"))
 
 
-@query("fil13_admission", f"SELECT page_id, url, NULL::VARCHAR AS error FROM pages WHERE {HOST} <> ''")
-def fil13_admission(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", urls.admitted(F.concat(F.lit(" "), "url", F.lit(" "))).alias("a")).select("page_id", "a.url", "a.error")
-
-
 @query(
     "fil12_public_ip",
     """
@@ -124,11 +112,6 @@ def fil11_resource_block(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", urls.blocked_resource(kind, u, ["tracker.example"]).alias("reason"))
 
 
-@query("fil1_formats", "SELECT url, html AS \"rawHtml\", NULL::VARCHAR AS markdown FROM pages")
-def fil1_formats(spark, sf_dir):
-    return search.formats(table(spark, sf_dir, "pages").withColumnRenamed("html", "rawHtml"), ["raw_html", "MARKDOWN"])
-
-
 @query("rob1_robots", f"SELECT page_id, NOT (regexp_matches({PATH}, '^/de') AND NOT regexp_matches({PATH}, '^/de/1')) AND NOT ends_with({PATH}, '.html') AS allowed FROM pages")
 def rob1_robots(spark, sf_dir):
     body = F.lit("# rules\nUser-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /de\nAllow: /de/1\nDisallow: /*.html$\n")
@@ -173,21 +156,11 @@ def htm4_markdown_words(spark, sf_dir):
     return m.select("page_id", F.when(bare.startswith(twice), F.substr(bare, F.length(twice) + 1)).otherwise(bare).alias("words"))
 
 
-@query("htm13_root_links", "SELECT page_id, 0::BIGINT AS n FROM pages")
-def htm13_root_links(spark, sf_dir):
-    return html.extracted(table(spark, sf_dir, "pages"), ["links"]).select("page_id", F.size("links").cast("bigint").alias("n"))
-
-
 @query("htm14_anchors", f"WITH {LINKS} SELECT page_id, i - 1 AS ord, links[i] AS link FROM (SELECT page_id, links, unnest(range(1, len(links) + 1)) AS i FROM links)")
 def htm14_anchors(spark, sf_dir):
     return html.extracted(table(spark, sf_dir, "pages"), ["anchors"]).select("page_id", F.posexplode("anchors").alias("ord", "link")).withColumn("ord", F.col("ord").cast("bigint"))
 
 
-@query("htm15_images", "SELECT page_id, 0::BIGINT AS n FROM pages")
-def htm15_images(spark, sf_dir):
-    return html.extracted(table(spark, sf_dir, "pages"), ["images"]).select("page_id", F.size("images").cast("bigint").alias("n"))
-
-
 @query("htm16_attributes", "SELECT page_id, 'nav > ul a' AS selector, 'href' AS attribute, len(x)::BIGINT AS n, x[1] AS first_value FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS x FROM pages) UNION ALL SELECT page_id, 'meta', 'charset', 1, 'utf-8' FROM pages")
 def htm16_attributes(spark, sf_dir):
     a = html.attributes(table(spark, sf_dir, "pages"), [("nav > ul a", "href"), ("meta", "charset")])
@@ -208,17 +181,6 @@ def htm18_quality_score(spark, sf_dir):
     return d.select("doc_id", F.round(s, 6).alias("score"))
 
 
-@query("htm20_blank_pages", f"SELECT page_id, 'empty_content' AS error FROM pages WHERE trim({ROOT_TEXT}) = ''")
-def htm20_blank_pages(spark, sf_dir):
-    return html.extracted(table(spark, sf_dir, "pages"), ["markdown"]).where(text.trimmed(F.col("markdown")) == "").select("page_id", F.lit("empty_content").alias("error"))
-
-
-@query("htm21_data_url", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'data:image/png;base64,' || event_type ELSE 'data:x,' || event_type END AS screenshot FROM events")
-def htm21_data_url(spark, sf_dir):
-    raw = F.when(F.col("event_id") % 2 == 0, F.col("event_type")).otherwise(F.concat(F.lit("data:x,"), "event_type"))
-    return table(spark, sf_dir, "events").select("event_id", F.when(raw.startswith("data:"), raw).otherwise(F.concat(F.lit("data:image/png;base64,"), raw)).alias("screenshot"))
-
-
 ESC = "replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
 
 
@@ -232,13 +194,6 @@ def htm12_blank_collapse(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.collapsed(text.blank_collapsed(markdown_col())).alias("collapsed"))
 
 
-@query("htm23_enrichment", f"SELECT page_id, 0::BIGINT AS n_images, nullif({TITLE}, '') AS json_title, 1::BIGINT AS n_attributes FROM pages")
-def htm23_enrichment(spark, sf_dir):
-    p = html.extracted(table(spark, sf_dir, "pages"), ["title", "markdown"])
-    e = search.enriched(p, ["images", "summary", "attributes", "json"], schema={"properties": {"title": {"type": "string"}}}, selectors=[("meta", "charset")])
-    return e.select("page_id", F.size("images").cast("bigint").alias("n_images"), F.col("json")["title"].alias("json_title"), F.size("attributes").cast("bigint").alias("n_attributes"))
-
-
 @query("str1_collapse", f"SELECT doc_id, {SPACES.format(x='text')} AS collapsed FROM documents")
 def str1_collapse(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.collapsed(F.col("text")).alias("collapsed"))
@@ -325,11 +280,6 @@ def str15_hash_keys(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", text.owner_key(F.col("event_type")).alias("owner"), k.alias("cache_key"))
 
 
-@query("str14_hmac")
-def str14_hmac(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", text.hmac_sha256(F.col("props"), "secret").alias("signature"))
-
-
 @query("str18_endpoint", "SELECT n_nationkey, 'https://' || lower(n_name) || CASE n_nationkey % 3 WHEN 0 THEN '' WHEN 1 THEN '/v1' ELSE '/x' END || CASE WHEN n_nationkey % 3 = 1 THEN '/chat/completions' ELSE '/v1/chat/completions' END AS endpoint FROM nation")
 def str18_endpoint(spark, sf_dir):
     base = F.concat(F.lit("https://"), F.lower("n_name"), F.element_at(F.array(F.lit("/"), F.lit("/v1"), F.lit("/x")), F.col("n_nationkey") % 3 + 1))

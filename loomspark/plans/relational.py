@@ -15,23 +15,6 @@ def rel_pricing_summary(spark, sf_dir):
     return li.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), revenue.alias("revenue"), F.count(F.lit(1)).alias("n"))
 
 
-@query("jon4_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-def jon4_anti_join(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
-
-
-@query("jon2_correlated_count", "SELECT c_custkey FROM customer c WHERE (SELECT count(*) FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'O') < 3")
-def jon2_correlated_count(spark, sf_dir):
-    n = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
-    return table(spark, sf_dir, "customer").select("c_custkey").join(n, "c_custkey", "left").where(F.coalesce("n", F.lit(0)) < 3).select("c_custkey")
-
-
-@query("jon6_as_of", "SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS previous FROM orders")
-def jon6_as_of(spark, sf_dir):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.lag("o_orderkey").over(w).alias("previous"))
-
-
 @query("rel_region_revenue", "SELECT r_name, round(sum(o_totalprice), 2) AS total, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY r_name")
 def rel_region_revenue(spark, sf_dir):
     t = lambda n: table(spark, sf_dir, n)

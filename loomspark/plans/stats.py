@@ -83,13 +83,6 @@ def agg4_request_counters(spark, sf_dir):
     return E.request_counters(table(spark, sf_dir, "events").select((200 + F.col("event_id") % 400).alias("status"), F.floor("value").cast("bigint").alias("elapsed_ms")))
 
 
-@query("agg13_job_health", "SELECT user_id, count(*) AS total, count(*) FILTER (WHERE event_id % 3 = 0) AS processing, count(*) FILTER (WHERE event_id % 3 = 1) AS failed, count(*) - count(*) FILTER (WHERE event_id % 3 < 2) AS completed FROM events GROUP BY user_id")
-def agg13_job_health(spark, sf_dir):
-    n = F.count(F.lit(1))
-    busy, bad = F.count_if(F.col("event_id") % 3 == 0), F.count_if(F.col("event_id") % 3 == 1)
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(n.alias("total"), busy.alias("processing"), bad.alias("failed"), (n - busy - bad).alias("completed"))
-
-
 @query("snk3_prometheus", "SELECT '# TYPE events_' || event_type || ' counter' || chr(10) || 'events_' || event_type || ' ' || count(*) AS text FROM events GROUP BY event_type")
 def snk3_prometheus(spark, sf_dir):
     m = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("value"))
@@ -101,7 +94,16 @@ def win4_rolling_count(spark, sf_dir):
     return workflows.rolling_count(table(spark, sf_dir, "events"), "user_id").select("event_id", "in_window")
 
 
-@query("win4_limiter")
+#: One request at a time: a list of what was let in, kept for as long as it can count.
+LIMITER = """WITH RECURSIVE e AS (SELECT event_id, user_id AS k, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT k, 0::BIGINT AS i, []::BIGINT[] AS let_in, NULL::BIGINT AS event_id, '' AS decision, 0::BIGINT AS retry_after FROM (SELECT DISTINCT k FROM e)
+ UNION ALL SELECT k, i, CASE WHEN decision = 'ok' THEN list_append(near, t) ELSE near END, event_id, decision, CASE WHEN decision = 'rate' THEN greatest(1, 60 - (t - list_min(minute)) // 1000000) ELSE 0 END
+ FROM (SELECT *, CASE WHEN len(near) >= 2 THEN 'concurrency' WHEN len(minute) >= 1 THEN 'rate' ELSE 'ok' END AS decision
+  FROM (SELECT *, list_filter(near, lambda x: t - x < 60000000) AS minute FROM (SELECT r.k, e.i, e.t, e.event_id, list_filter(r.let_in, lambda x: x + 1800000000 > e.t) AS near FROM r JOIN e ON e.k = r.k AND e.i = r.i + 1))))
+SELECT event_id, decision, retry_after FROM r WHERE i > 0"""
+
+
+@query("win4_limiter", LIMITER)
 def win4_limiter(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("key"), "ts", (F.col("ts") + F.expr("INTERVAL 30 MINUTES")).alias("active_until"))
     return workflows.limiter(e, per_minute=1, concurrency=2).select("event_id", "decision", "retry_after")
@@ -113,11 +115,6 @@ def win6_engine_choice(spark, sf_dir):
     return E.chosen_engine(c, "user_id").where("engine is not null").select("user_id", "engine", "score")
 
 
-@query("win7_last_wins", "SELECT user_id, max(event_id) AS event_id FROM events e WHERE event_type = (SELECT max(event_type) FROM events x WHERE x.user_id = e.user_id) GROUP BY user_id")
-def win7_last_wins(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max(F.struct("event_type", "event_id")).alias("m")).select("user_id", "m.event_id")
-
-
 @query("jsn6_payload", "SELECT event_id, event_type AS title, 'http' AS provider, true AS rendered, 200 AS status FROM events")
 def jsn6_payload(spark, sf_dir):
     meta = F.struct(F.lit("http").alias("provider"), F.lit(True).alias("rendered"), F.lit(200).alias("statusCode"))
@@ -125,38 +122,30 @@ def jsn6_payload(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", E.payload(body).alias("p")).select("event_id", "p.*")
 
 
-@query("jsn4_actions", "SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS scripts, count(*) FILTER (WHERE event_type = 'view') AS pdfs FROM events GROUP BY user_id")
-def jsn4_actions(spark, sf_dir):
-    from ..operators.search import actions
-
-    kind = F.when(F.col("event_type") == "click", F.lit("executeJavascript")).when(F.col("event_type") == "view", F.lit("pdf")).otherwise(F.lit("wait"))
-    g = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(F.struct(kind.alias("type"), F.col("event_id").alias("value"))).alias("o"))
-    a = g.select("user_id", actions(F.col("o")).alias("a"))
-    return a.select("user_id", F.size("a.javascriptReturns").cast("bigint").alias("scripts"), F.size("a.pdfs").cast("bigint").alias("pdfs"))
-
-
-@query("jsn2_documents", "SELECT doc_id, source AS title, lang AS language FROM documents")
-def jsn2_documents(spark, sf_dir):
-    from ..operators.search import document
-
-    j = document(F.col("source"), F.lit("u"), F.col("text"), F.lit(200), F.col("lang"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.get_json_object(j, "$.metadata.title").alias("title"), F.get_json_object(j, "$.metadata.language").alias("language"))
-
+@query("set3_key_union", """SELECT event_id, array_to_string(list_filter(['/' || event_type, '/both/x', CASE WHEN event_id % 2 = 0 THEN '/n' END, CASE WHEN event_id % 3 > 0 THEN '/same' END, '/zz'], lambda x: x IS NOT NULL), ' ') AS paths FROM (SELECT event_id, '!' || event_type AS event_type FROM events)""")
+def set3_key_union(spark, sf_dir):
+    n = F.col("event_id")
+    # Keys of either side; 1 and 1.0 differ, as do [1] and [true].
+    kind = F.concat(F.lit('"!'), "event_type", F.lit('"'))
+    before = F.concat(F.lit("{"), kind, F.lit(': 1, "both": {"x": 1, "y": [2]}, "n": '), F.when(n % 2 == 0, F.lit("1")).otherwise(F.lit("1.0")), F.lit(', "same": [1, {"q": null}]}'))
+    after = F.concat(F.lit('{"zz": "", "both": {"y": [2], "x": 2}, "n": 1.0, "same": ['), F.when(n % 3 == 0, F.lit("1")).otherwise(F.lit("true")), F.lit(', {"q": null}]}'))
+    d = workflows.json_changes(before, after)
+    return table(spark, sf_dir, "events").select(n, d.alias("d")).select("event_id", F.array_join(F.transform("d", lambda x: x["path"]), " ").alias("paths"))
 
-@query("jsn5_search_documents", "SELECT doc_id, doc_id % 2 = 0 AS scraped, source AS title FROM documents")
-def jsn5_search_documents(spark, sf_dir):
-    from ..operators.search import search_document
 
-    j = search_document(F.col("source"), F.lit("u"), F.lit("d"), F.when(F.col("doc_id") % 2 == 0, F.coalesce("text", F.lit(""))))
-    return table(spark, sf_dir, "documents").select("doc_id", F.get_json_object(j, "$.markdown").isNotNull().alias("scraped"), F.get_json_object(j, "$.title").alias("title"))
+@query("agg12_first_seen", "SELECT user_id, event_type AS url, row_number() OVER (PARTITION BY user_id ORDER BY min(event_id)) - 1 AS ord FROM events GROUP BY user_id, event_type")
+def agg12_first_seen(spark, sf_dir):
+    from ..operators.jobs import batch_seed
 
+    asked = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"])
+    r = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(asked.alias("urls"))
+    return batch_seed(r).select(F.col("crawl_id").alias("user_id"), "url", F.col("ord").cast("bigint").alias("ord"))
 
-@query("set3_key_union", "SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS keys FROM events GROUP BY user_id")
-def set3_key_union(spark, sf_dir):
-    g = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set(F.when(F.col("event_id") % 2 == 0, F.col("event_type"))).alias("a"), F.collect_set(F.when(F.col("event_id") % 2 == 1, F.col("event_type"))).alias("b"))
-    return g.select("user_id", F.array_join(F.array_sort(F.array_union("a", "b")), ",").alias("keys"))
 
+@query("agg13_job_health", "SELECT user_id, count(*) AS total, count(*) FILTER (WHERE event_id % 3 = 1) AS failed, count(*) FILTER (WHERE event_id % 3 = 2) AS completed, count(*) FILTER (WHERE event_id % 3 = 0) AS processing FROM events GROUP BY user_id")
+def agg13_job_health(spark, sf_dir):
+    from ..operators.jobs import counts
 
-@query("agg12_first_seen", "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type")
-def agg12_first_seen(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+    state = F.element_at(F.array(F.lit("active"), F.lit("failed"), F.lit("completed")), (F.col("event_id") % 3 + 1).cast("int"))
+    c = counts(table(spark, sf_dir, "events").select(F.col("user_id").alias("crawl_id"), state.alias("status")))
+    return c.select(F.col("crawl_id").alias("user_id"), "total", "failed", "completed", (F.col("total") - F.col("failed") - F.col("completed")).alias("processing"))

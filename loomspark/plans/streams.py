@@ -1,4 +1,4 @@
-"""Queries that replay events as a stream, drain it and read the sink."""
+"""Queries that replay events as a stream of several micro-batches, drain it and read the sink."""
 
 from __future__ import annotations
 
@@ -8,24 +8,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import streaming
-from . import query
+from ..operators.frontier import shared_folder
+from . import query, table
+
+#: The events come in files of so many days each, one micro-batch a file.
+DAYS = 6
+FIRST = "2024-01-01"
 
 
 def _folder(spark) -> str:
     """A new path in the folder that driver and executors share."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        found = f"{tempfile.gettempdir()}/checkpoints"
-    return f"{found.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _events(spark, sf_dir: str) -> DataFrame:
-    stream = streaming.file_stream(spark, sf_dir, name="events.parquet")
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    """The events as a stream whose files are in order of time."""
+    rows, folder = table(spark, sf_dir, "events"), _folder(spark)
+    part = F.floor(F.datediff("ts", F.lit(FIRST)) / DAYS)
+    for p in [r[0] for r in rows.select(part.alias("p")).distinct().orderBy("p").collect()]:
+        rows.where(part == p).coalesce(1).write.mode("append").parquet(folder)
+    return streaming.file_stream(spark, folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def drained(df: DataFrame, mode: str = "append") -> DataFrame:
@@ -42,10 +44,26 @@ def drained(df: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{folder}/out")
 
 
+BATCH = f"date_diff('day', DATE '{FIRST}', ts) // {DAYS}"
+
+
 @query("stm1_progress", "SELECT DISTINCT event_type || '/' || CAST(user_id AS VARCHAR) AS request_id FROM events")
 def stm1_progress(spark, sf_dir):
     e = _events(spark, sf_dir).select(F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("request_id"), "ts")
-    return drained(streaming.progress(e, late="1000 days")).select("request_id")
+    return drained(streaming.progress(e, late="40 days")).select("request_id")
+
+
+@query(
+    "stm1_feed",
+    f"""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS job_id, 'r' || (event_id % 700) AS r, event_type = 'error' AND event_id % 4 = 0 AS terminal, {BATCH} AS b FROM events),
+first AS (SELECT job_id, min(b) AS b0, min(b) FILTER (WHERE terminal) AS b1 FROM e GROUP BY 1),
+seen AS (SELECT e.job_id, r, min(e.b) AS b FROM e JOIN first f ON f.job_id = e.job_id AND (b1 IS NULL OR e.b <= b1) GROUP BY 1, 2)
+SELECT s.job_id, CASE WHEN s.b = b0 THEN 'catchup' ELSE 'document' END AS type, count(*) AS pages FROM seen s JOIN first f USING (job_id) GROUP BY 1, 2 UNION ALL SELECT job_id, 'done', 0 FROM first WHERE b1 IS NOT NULL""",
+)
+def stm1_feed(spark, sf_dir):
+    n = F.col("event_id")
+    e = _events(spark, sf_dir).select(F.col("user_id").alias("job_id"), F.concat(F.lit("r"), (n % 700).cast("string")).alias("request_id"), "ts", ((F.col("event_type") == "error") & (n % 4 == 0)).alias("terminal"))
+    return drained(streaming.feed(e, late="1 hour", keep_s=40 * 86_400)).groupBy("job_id", "type").agg(F.sum(F.size("request_ids")).alias("pages"))
 
 
 @query("stm_windowed", "SELECT event_type, epoch(date_trunc('hour', ts))::BIGINT AS hour, count(*) AS n FROM events GROUP BY 1, 2")
@@ -54,14 +72,44 @@ def stm_windowed(spark, sf_dir):
     return w.select("event_type", F.unix_timestamp("window.start").alias("hour"), "n")
 
 
-@query("stm3_limited")
+def _greedy(seconds: int) -> str:
+    """Of each user's events those let in: the first, then the first so many seconds later."""
+    return f"""WITH RECURSIVE e AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) AS i FROM events),
+a AS (SELECT user_id, min(ts) AS ts FROM e GROUP BY 1 UNION ALL SELECT user_id, min(ts) AS ts FROM (SELECT e.user_id, e.ts FROM a JOIN e ON e.user_id = a.user_id AND e.ts >= a.ts + INTERVAL {seconds} SECOND) GROUP BY 1)"""
+
+
+@query("stm3_limited", f"{_greedy(60)} SELECT CAST(e.user_id AS VARCHAR) AS key, epoch_us(e.ts) AS us, a.ts IS NOT NULL AND i = 1 AS allowed FROM e LEFT JOIN a ON a.user_id = e.user_id AND a.ts = e.ts")
 def stm3_limited(spark, sf_dir):
-    return drained(streaming.limited(_events(spark, sf_dir), 1, "user_id"))
+    got = drained(streaming.limited(_events(spark, sf_dir), 1, "user_id"))
+    return got.select("key", F.unix_micros("ts").alias("us"), "allowed")
+
+
+@query(
+    "stm4_timers",
+    f"{_greedy(1800)}, c AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS attempts FROM a) SELECT CAST(user_id AS VARCHAR) AS task_id, 'lease_expired' AS event, epoch_us(ts + INTERVAL 1800 SECOND) AS us, attempts::INT AS attempts FROM c WHERE epoch_ms(ts + INTERVAL 1800 SECOND) < (SELECT epoch_ms(max(ts) - INTERVAL 10 MINUTE) FROM events)",
+)
+def stm4_timers(spark, sf_dir):
+    e = _events(spark, sf_dir).select(F.col("user_id").alias("task_id"), F.lit("claimed").alias("event"), "ts")
+    got = drained(streaming.task_timers(e, lease_s=1800))
+    return got.select("task_id", "event", F.unix_micros("at").alias("us"), "attempts")
+
+
+@query(
+    "stm5_sessions",
+    """WITH e AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 6 HOUR AS gap FROM events),
+s AS (SELECT user_id, ts, count(*) FILTER (WHERE gap) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e),
+g AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL 6 HOUR AS b, count(*) AS n FROM s GROUP BY user_id, k)
+SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(a) AS started, epoch_us(b) AS ended, 'idle' AS reason, n FROM g WHERE epoch_ms(b) < (SELECT epoch_ms(max(ts) - INTERVAL 2 HOUR) FROM events)""",
+)
+def stm5_sessions(spark, sf_dir):
+    got = drained(streaming.sessions(_events(spark, sf_dir), "user_id", gap_s=6 * 3600, ttl_s=60 * 86_400))
+    return got.select("key", F.unix_micros("started_at").alias("started"), F.unix_micros("ended_at").alias("ended"), "reason", "n")
 
 
-@query("stm6_at_most_once", "SELECT count(*) AS n FROM events")
+@query("stm6_at_most_once", f"SELECT {BATCH} AS batch, count(*) AS n, count(DISTINCT event_id) AS different FROM events GROUP BY 1")
 def stm6_at_most_once(spark, sf_dir):
     folder = _folder(spark)
-    write = lambda batch, i: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={i}")
-    streaming.at_most_once(_events(spark, sf_dir), f"{folder}/state", write).awaitTermination()
-    return spark.read.parquet(f"{folder}/out").agg(F.count(F.lit(1)).alias("n"))
+    streaming.worker(_events(spark, sf_dir), f"{folder}/state", f"{folder}/out", lambda b: b.select("event_id")).awaitTermination()
+    # Done again from the beginning, as after the loss of the checkpoint, each batch replaces itself.
+    streaming.worker(_events(spark, sf_dir), f"{folder}/again", f"{folder}/out", lambda b: b.select("event_id")).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").groupBy(F.col("batch").cast("bigint").alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("different"))

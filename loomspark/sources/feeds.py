@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dom, html, text, urls
+from ..operators.frontier import checkpointed
 
 
 def sitemap_locations(body: Column, limit: int) -> Column:
@@ -64,9 +65,43 @@ def web_results(pages: DataFrame, limit: int, body: str = "payload") -> DataFram
     return pages.select("*", F.posexplode(boxes(F.col(body))).alias("ord", "_x")).select("*", urls.unwrapped(F.col("_x.href")).alias("url"), "_x.title", "_x.description").drop("_x")
 
 
-def fetched(pages: DataFrame, wanted: DataFrame) -> DataFrame:
-    """SRC1 without a network: the pages table in the place of fetching."""
-    return pages.join(wanted.select("url"), "url", "left_semi")
+def _joined(base: Column, link: Column) -> Column:
+    @F.arrow_udf("string")
+    def run(bases: pa.Array, links: pa.Array) -> pa.Array:
+        return pa.array([dom.join(b or "", x or "") for b, x in zip(bases.to_pylist(), links.to_pylist(), strict=True)], pa.string())
+
+    # Not deterministic, so that it stays a column of its own: it can't stand in a lambda.
+    return run.asNondeterministic()(base, link)
+
+
+def fetched(pages: DataFrame, wanted: DataFrame, hops: int = 10) -> DataFrame:
+    """SRC1 without a network: ``wanted`` (url) with final_url, status, html, error and message, from
+    a table of what the servers say: pages (url, status, location, html; the last three may be
+    missing or null). Redirects (3xx with a location) are followed, ``hops`` of them at most, and each
+    target is admitted anew; another status than 2xx, or no such page, is ``fetch_failed``.
+    """
+    have = lambda c, d: F.coalesce(F.col(c), d) if c in pages.columns else d
+    none = F.lit(None).cast("string")
+    said = pages.select(F.col("url").alias("_at"), have("status", F.lit(200)).alias("_status"), have("location", none).alias("_location"), have("html", none).alias("_html")).dropDuplicates(["_at"])
+    start = wanted.select("url").distinct().withColumn("_a", urls.admitted(F.col("url")))
+    at = start.select("url", F.col("_a.url").alias("_at"), F.col("_a.error").alias("error"), F.col("_a.message").alias("message"))
+    done = None
+    for hop in range(hops + 1):
+        met = at.where("error is null").join(said, "_at", "left")
+        moved = (F.col("_status").between(300, 399)) & F.col("_location").isNotNull()
+        ended = met.where(~F.coalesce(moved, F.lit(False)) | F.lit(hop == hops))
+        fine = F.coalesce(F.col("_status").between(200, 299), F.lit(False))
+        why = F.when(F.col("_status").isNull(), F.lit("no such page")).when(moved, F.lit("too many redirects")).otherwise(F.concat(F.lit("HTTP "), F.col("_status").cast("string")))
+        ended = ended.select("url", F.col("_at").alias("final_url"), F.col("_status").alias("status"), F.when(fine, F.col("_html")).alias("html"), F.when(~fine, F.lit("fetch_failed")).alias("error"), F.when(~fine, why).alias("message"))
+        refused = at.where("error is not null").select("url", F.col("_at").alias("final_url"), F.lit(None).cast("int").alias("status"), none.alias("html"), "error", "message")
+        done = ended.unionByName(refused) if done is None else done.unionByName(ended).unionByName(refused)
+        if hop == hops:
+            break
+        further = met.where(moved).withColumn("_to", _joined(F.col("_at"), F.col("_location"))).withColumn("_a", urls.admitted(F.col("_to")))
+        at = checkpointed(further.select("url", F.coalesce("_a.url", "_at").alias("_at"), F.col("_a.error").alias("error"), F.col("_a.message").alias("message")))
+        if at.isEmpty():
+            break
+    return done
 
 
 def webhook(events: DataFrame, key: str, names: tuple[str, ...] = ("started", "page", "completed", "failed")) -> DataFrame:
@@ -77,12 +112,18 @@ def webhook(events: DataFrame, key: str, names: tuple[str, ...] = ("started", "p
     return out.withColumn("signature", text.hmac_sha256(F.col("body"), key))
 
 
-def report(results: DataFrame, folder: str) -> None:
-    """SNK2: rows as JSON lines and as a Markdown table, each a folder of part files."""
+def report(results: DataFrame, folder: str, order: list[str] | None = None) -> None:
+    """SNK2: rows as JSON lines (samples) and as a Markdown table (summary), each a folder of part
+    files whose names are in the order of the lines: head, rule, then the rows by ``order`` (all
+    columns by default); and the table's columns and number of rows as JSON (report)."""
+    order = order or results.columns
     results.write.mode("overwrite").json(f"{folder}/samples")
     head = "| " + " | ".join(results.columns) + " |\n| " + " | ".join("---" for _ in results.columns) + " |"
-    row = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in results.columns]), F.lit(" |"))
-    lines = results.sparkSession.createDataFrame([(0, head)], "o int, value string").union(results.select(F.lit(1), row))
-    lines.orderBy("o").select("value").write.mode("overwrite").text(f"{folder}/summary")
-
-
+    cell = lambda c: F.regexp_replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), r"[\r\n]+", " ")
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in results.columns]), F.lit(" |"))
+    keys = F.struct(*[F.col(c) for c in order])
+    lines = results.select(keys.alias("k"), row.alias("value"))
+    first = results.sparkSession.createDataFrame([(head,)], "value string").select(F.lit(None).cast(lines.schema["k"].dataType).alias("k"), "value")
+    # Nulls first, so that the head leads; parts are ranges of the order.
+    first.unionByName(lines).orderBy(F.asc_nulls_first("k")).select("value").write.mode("overwrite").text(f"{folder}/summary")
+    results.agg(F.count(F.lit(1)).alias("rows"), F.lit(",".join(results.columns)).alias("columns")).write.mode("overwrite").json(f"{folder}/report")

@@ -1,4 +1,9 @@
-"""Structured Streaming counterparts of the polling loops."""
+"""Structured Streaming counterparts of the polling loops.
+
+State is kept per key and by event time: timers fire as the watermark passes them, so a replay
+gives what the first run gave. Rows of a key that come in one micro-batch are put in order of time
+before they are judged, whatever chunks they come in.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.jobs import LEASE_SECONDS
+from ..operators.workflows import Limits
+
 
 def file_stream(spark: SparkSession, folder: str, per_trigger: int = 1, name: str = "*.parquet") -> DataFrame:
     """Parquet files of a folder as they come, those whose name fits; their schema is that of the
@@ -18,54 +26,170 @@ def file_stream(spark: SparkSession, folder: str, per_trigger: int = 1, name: st
 
 
 def progress(events: DataFrame, key: str = "request_id", ts: str = "ts", late: str = "10 minutes") -> DataFrame:
-    """STM1: each finished page once, with a bounded memory of the keys seen."""
+    """STM1, the pages alone: each finished page once, with a bounded memory of the keys seen."""
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
+def _after(state: GroupState, us: int) -> None:
+    """Sets the timer, after the watermark as it must be."""
+    state.setTimeoutTimestamp(max(us // 1000, state.getCurrentWatermarkMs() + 1))
+
+
+def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """The rows of one key in this micro-batch, by time (``us``, microseconds, which hang on no time
+    zone); one frame, as chunks come in any order."""
+    return pd.concat(list(frames), ignore_index=True).sort_values("us", kind="stable")
+
+
+def feed(events: DataFrame, key: str = "job_id", late: str = "10 minutes", keep_s: int = 3600) -> DataFrame:
+    """STM1, the protocol: events (job_id, request_id or null, ts, terminal boolean) to messages
+    (job_id, type, request_ids, at). What is there when a job is first seen comes as one
+    ``catchup``; after that each page not sent yet is a ``document``; the row that ends a job gives
+    ``done``, after which nothing follows. State of a job is its sent ids; it goes ``keep_s`` of
+    event time after its last row.
+    """
+
+    def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        sent, done = (set(state.get[0]), state.get[1]) if state.exists else (set(), False)
+        rows, out = _in_order(frames), []
+        at = int(rows["us"].max())
+        if not done:
+            fresh = [r for r in dict.fromkeys(rows["request_id"].dropna()) if r not in sent]
+            out = [("document", [r], at) for r in fresh] if state.exists else [("catchup", fresh, at)]
+            sent.update(fresh)
+            if done := bool(rows["terminal"].any()):
+                out.append(("done", [], at))
+        state.update((sorted(sent), done))
+        _after(state, at + keep_s * 1_000_000)
+        yield pd.DataFrame({"job_id": [k[0]] * len(out), "type": [o[0] for o in out], "request_ids": [o[1] for o in out], "at": [o[2] for o in out]})
+
+    rows = events.select(F.col(key).cast("string").alias("job_id"), F.col("request_id").cast("string").alias("request_id"), "ts", F.unix_micros("ts").alias("us"), F.coalesce("terminal", F.lit(False)).alias("terminal")).where("ts is not null").withWatermark("ts", late)
+    out = rows.groupBy("job_id").applyInPandasWithState(fold, "job_id string, type string, request_ids array<string>, at bigint", "sent array<string>, done boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.withColumn("at", F.timestamp_micros("at"))
+
+
 def windowed(events: DataFrame, key: str, ts: str = "ts", width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts and sums of event-time windows, late rows beyond the watermark left out."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, width), key).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-def sessions(events: DataFrame, key: str, ts: str = "ts", gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
-    """STM5: spans of activity that a gap ends."""
-    return events.withWatermark(ts, late).groupBy(F.session_window(ts, gap), key).agg(F.count(F.lit(1)).alias("n"))
+def sessions(events: DataFrame, key: str, ts: str = "ts", gap_s: int = 1800, ttl_s: int = 14_400, late: str = "2 hours") -> DataFrame:
+    """STM5: (key, started_at, ended_at, reason, n): spans of activity. A session ends ``gap_s``
+    after its last activity (``idle``) or ``ttl_s`` after its start (``ttl``), whichever is first; what
+    comes at that moment or later starts another. Ended sessions come out once the watermark has
+    passed their end, or with the rows that show it."""
+
+    def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        start, last, n = state.get if state.exists else (None, None, 0)
+        gap, ttl, out = gap_s * 1_000_000, ttl_s * 1_000_000, []
+
+        def end() -> int:
+            return min(last + gap, start + ttl)
+
+        def close() -> None:
+            out.append((start, end(), "ttl" if start + ttl <= last + gap else "idle", n))
+
+        if state.hasTimedOut:
+            close()
+            state.remove()
+        else:
+            for now in _in_order(frames)["us"].tolist():
+                if start is not None and now >= end():
+                    close()
+                    start = None
+                if start is None:
+                    start, last, n = now, now, 0
+                last, n = max(now, last), n + 1
+            state.update((start, last, n))
+            _after(state, end())
+        yield pd.DataFrame({"key": [k[0]] * len(out), **{c: [o[i] for o in out] for i, c in enumerate(("started_at", "ended_at", "reason", "n"))}})
+
+    rows = events.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("ts"), F.unix_micros(ts).alias("us")).where("ts is not null").withWatermark("ts", late)
+    out = rows.groupBy("key").applyInPandasWithState(fold, "key string, started_at bigint, ended_at bigint, reason string, n bigint", "start bigint, last bigint, n bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.withColumns({c: F.timestamp_micros(c) for c in ("started_at", "ended_at")})
 
 
 def limited(requests: DataFrame, per_minute: int, key: str = "key", ts: str = "ts", idle_s: int = 300, late: str = "10 minutes") -> DataFrame:
     """STM3: the sliding limiter with state: let in unless the key had ``per_minute`` let in within
-    60 seconds; keys idle for ``idle_s`` of event time are forgotten, rows later than ``late`` go."""
+    60 seconds; keys idle for ``idle_s`` of event time are forgotten, rows later than ``late`` go, as
+    do rows without a time. A null key is a key like others."""
 
     def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        recent = list(state.get[0]) if state.exists else []
-        for frame in frames:
-            frame = frame.sort_values("ts", kind="stable")
-            ok = []
-            for t in frame["ts"]:
-                now = t.timestamp()
-                recent = [x for x in recent if now - x < 60]
-                ok.append(len(recent) < per_minute)
-                if ok[-1]:
-                    recent.append(now)
-            yield pd.DataFrame({"key": k[0], "ts": frame["ts"], "allowed": ok})
-        state.update((recent,))
-        last = max(recent, default=0.0)
-        state.setTimeoutTimestamp(max(int((last + idle_s) * 1000), state.getCurrentWatermarkMs() + 1))
-
-    rows = requests.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("ts")).withWatermark("ts", late)
-    return rows.groupBy("key").applyInPandasWithState(fold, "key string, ts timestamp, allowed boolean", "recent array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+        limits = Limits(per_minute, 1 << 62, state.get[0] if state.exists else ())
+        times = _in_order(frames)["us"].tolist()
+        ok = [limits.decide(t)[0] == "ok" for t in times]
+        state.update((list(limits.recent),))
+        _after(state, times[-1] + idle_s * 1_000_000)
+        yield pd.DataFrame({"key": [k[0]] * len(times), "ts": times, "allowed": ok})
+
+    rows = requests.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("ts"), F.unix_micros(ts).alias("us")).where("ts is not null").withWatermark("ts", late)
+    out = rows.groupBy("key").applyInPandasWithState(fold, "key string, ts bigint, allowed boolean", "recent array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.withColumn("ts", F.timestamp_micros("ts"))
+
+
+def task_timers(events: DataFrame, lease_s: int = LEASE_SECONDS, late: str = "10 minutes", ended_s: int = 3600) -> DataFrame:
+    """STM4: events (task_id, event, ts) to the timers that fire: (task_id, event, at, attempts).
+
+    ``claimed`` gives a lease and counts an attempt, ``renewed`` prolongs it; a lease that runs out
+    fires ``lease_expired``, and the task may be claimed again; before, a claim doesn't count. ``failed`` waits the delay of its
+    attempts and then fires ``retry_due``. ``finished`` ends a task: what follows doesn't count. A
+    timer that a later row of the batch overtakes fires before that row counts.
+    """
+
+    def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        phase, until, attempts = state.get if state.exists else ("queued", 0, 0)
+        out, last = [], until
+
+        def fire() -> None:
+            nonlocal phase
+            out.append(({"active": "lease_expired", "waiting": "retry_due"}[phase], until, attempts))
+            phase = "queued"
+
+        if state.hasTimedOut:
+            if phase in ("active", "waiting"):
+                fire()
+            else:
+                state.remove()
+        else:
+            rows = _in_order(frames)
+            for now, event in zip(rows["us"].tolist(), rows["event"].tolist(), strict=True):
+                last = now
+                if phase in ("active", "waiting") and now >= until:
+                    fire()
+                if phase == "finished":
+                    continue
+                if event == "claimed" and phase == "queued":
+                    phase, until, attempts = "active", now + lease_s * 1_000_000, attempts + 1
+                elif event == "renewed" and phase == "active":
+                    until = now + lease_s * 1_000_000
+                elif event == "failed" and phase == "active":
+                    phase, until = "waiting", now + 1_000_000 * min(300, 5 * 2 ** min(max(attempts - 1, 0), 6))
+                elif event == "finished":
+                    phase = "finished"
+        if state.exists or not state.hasTimedOut:
+            state.update((phase, until, attempts))
+            _after(state, until if phase in ("active", "waiting") else last + ended_s * 1_000_000)
+        yield pd.DataFrame({"task_id": [k[0]] * len(out), **{c: [o[i] for o in out] for i, c in enumerate(("event", "at", "attempts"))}})
+
+    rows = events.select(F.col("task_id").cast("string").alias("task_id"), "event", "ts", F.unix_micros("ts").alias("us")).where("ts is not null").withWatermark("ts", late)
+    out = rows.groupBy("task_id").applyInPandasWithState(fold, "task_id string, event string, at bigint, attempts int", "phase string, until bigint, attempts int", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.withColumn("at", F.timestamp_micros("at"))
 
 
 def at_most_once(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], trigger: dict | None = None):
-    """STM2, STM6: a batch loop whose ``write(batch, batch_id)`` must do nothing for an id that it
-    has done; the checkpoint remembers how far the stream was read."""
+    """STM6: a batch loop whose ``write(batch, batch_id)`` must do nothing for an id that it has
+    done; the checkpoint remembers how far the stream was read."""
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def leases(tasks: DataFrame, lease_s: int = 90, late: str = "10 minutes") -> DataFrame:
-    """STM4: heartbeats (task_id, ts) to spans of a lease; a span that ends without another
-    heartbeat is a lease that ran out."""
-    return tasks.withWatermark("ts", late).groupBy(F.session_window("ts", f"{lease_s} seconds"), "task_id").agg(F.count(F.lit(1)).alias("heartbeats")).select("task_id", F.col("session_window.end").alias("expired_at"), "heartbeats")
+def worker(stream: DataFrame, checkpoint: str, folder: str, process: Callable[[DataFrame], DataFrame], trigger: dict | None = None):
+    """STM2: claims what has come, processes it and keeps the result under the batch's own name in
+    ``folder``; a batch that is tried again replaces its own result and no other. ``trigger``: how
+    often to look, ``{"processingTime": "500 milliseconds"}`` for a loop without end."""
+    return at_most_once(stream, checkpoint, lambda batch, i: process(batch).write.mode("overwrite").parquet(f"{folder}/batch={i}"), trigger)

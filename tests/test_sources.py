@@ -87,6 +87,117 @@ def test_streams(spark, tmp_path):
     assert got == [(0, 6)]
 
 
+def _replayed(spark, folder, name, batches, schema, make, mode="append"):
+    """Each batch is a file and a micro-batch of its own; the query is started anew for each, so
+    that state comes back from the checkpoint."""
+    into = folder / name
+    out = []
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame([(*r[:-1], f"2026-01-01 {r[-1]}") for r in rows], schema).withColumn("ts", F.to_timestamp("ts"))
+        df.coalesce(1).write.mode("append").parquet(str(into / "in"))
+        got = []
+        q = make(streaming.file_stream(spark, str(into / "in"))).writeStream.outputMode(mode).foreachBatch(lambda b, _, got=got: got.extend(tuple(r) for r in b.collect())).option("checkpointLocation", str(into / "state")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+        out.append(sorted(got, key=str))
+    return out
+
+
+def test_feed_over_several_batches_and_restarts(spark, tmp_path):
+    page = lambda job, request, at, last=False: (job, request, last, at)
+    got = _replayed(
+        spark,
+        tmp_path,
+        "feed",
+        [
+            [page("a", "r2", "10:00:02"), page("a", "r1", "10:00:01"), page("b", "x", "10:00:01", True)],
+            [page("a", "r2", "10:00:02"), page("a", "r3", "10:00:05"), page("b", "late", "10:00:06")],
+            [page("a", "r4", "10:00:07"), page("a", None, "10:00:08", True)],
+            [page("a", "r5", "10:00:09"), page("c", None, "10:00:09")],
+        ],
+        "job_id string, request_id string, terminal boolean, ts string",
+        streaming.feed,
+    )
+    short = [[(r[0], r[1], r[2]) for r in b] for b in got]
+    assert short == [
+        [("a", "catchup", ["r1", "r2"]), ("b", "catchup", ["x"]), ("b", "done", [])],
+        [("a", "document", ["r3"])],
+        [("a", "document", ["r4"]), ("a", "done", [])],
+        [("c", "catchup", [])],
+    ]
+
+
+def test_limiter_stream_keeps_state_and_forgets_idle_keys(spark, tmp_path):
+    got = _replayed(
+        spark,
+        tmp_path,
+        "limited",
+        [
+            [("k", "10:00:30"), ("k", "10:00:00"), ("k", "10:00:59"), (None, "10:00:00"), (None, "10:00:01"), (None, "10:00:02")],
+            [("k", "10:01:00"), ("k", "10:01:01"), ("l", "10:01:01")],
+            [("z", "11:00:00")],
+            [("k", "10:01:30"), ("z", "11:00:01"), ("z", "11:00:02")],  # the first is later than the watermark
+        ],
+        "key string, ts string",
+        lambda s: streaming.limited(s, 2, late="10 minutes"),
+    )
+    short = [sorted((r[0] or "", f"{r[1]:%H:%M:%S}", r[2]) for r in b) for b in got]
+    assert short == [
+        [("", "10:00:00", True), ("", "10:00:01", True), ("", "10:00:02", False), ("k", "10:00:00", True), ("k", "10:00:30", True), ("k", "10:00:59", False)],
+        [("k", "10:01:00", True), ("k", "10:01:01", False), ("l", "10:01:01", True)],
+        [("z", "11:00:00", True)],
+        [("z", "11:00:01", True), ("z", "11:00:02", False)],
+    ]
+
+
+def test_task_timers_fire_by_event_time(spark, tmp_path):
+    got = _replayed(
+        spark,
+        tmp_path,
+        "timers",
+        [
+            [("t", "claimed", "10:00:00"), ("t", "renewed", "10:01:00"), ("u", "claimed", "10:00:00"), ("u", "failed", "10:00:10"), ("v", "claimed", "10:00:00"), ("v", "finished", "10:00:20")],
+            [("w", "claimed", "10:30:00")],  # the watermark passes the others' timers
+            [("t", "claimed", "10:31:00"), ("t", "failed", "10:31:30"), ("t", "claimed", "10:31:39"), ("t", "claimed", "10:31:41"), ("w", "finished", "10:31:00")],
+            [("x", "claimed", "12:00:00")],
+        ],
+        "task_id string, event string, ts string",
+        streaming.task_timers,
+    )
+    short = [sorted((r[0], r[1], f"{r[2]:%H:%M:%S}", r[3]) for r in b) for b in got]
+    assert short == [
+        [],
+        [("t", "lease_expired", "10:02:30", 1), ("u", "retry_due", "10:00:15", 1)],
+        [("t", "retry_due", "10:31:40", 2)],  # a claim before that doesn't count
+        [("t", "lease_expired", "10:33:11", 3)],
+    ]
+
+
+def test_sessions_end_by_gap_or_by_age(spark, tmp_path):
+    minutes = [f"10:{m:02d}:00" for m in range(0, 60, 10)]
+    got = _replayed(
+        spark,
+        tmp_path,
+        "sessions",
+        [[("a", minutes[0]), ("b", minutes[0])], [("a", m) for m in minutes[1:]], [("c", "13:00:00")]],
+        "key string, ts string",
+        lambda s: streaming.sessions(s, "key", gap_s=900, ttl_s=1800, late="1 hour"),
+    )
+    short = [sorted((r[0], f"{r[1]:%H:%M}", f"{r[2]:%H:%M}", r[3], r[4]) for r in b) for b in got]
+    assert short[0] == [] and short[1] == [("a", "10:00", "10:30", "ttl", 3)]
+    assert short[2] == [("a", "10:30", "11:00", "ttl", 3), ("b", "10:00", "10:15", "idle", 1)]
+
+
+def test_worker_replaces_the_result_of_a_batch_tried_again(spark, tmp_path):
+    for i in range(3):
+        spark.range(i * 10, i * 10 + 10).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run = lambda state: streaming.worker(streaming.file_stream(spark, str(tmp_path / "in")), str(tmp_path / state), str(tmp_path / "out"), lambda b: b.withColumn("x", F.col("id") * 2)).awaitTermination(120)
+    run("state")
+    run("state")  # nothing is left to do
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 30
+    run("lost")  # without its memory it does all again, into the same places
+    assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("x")).first()[0] == 2 * sum(range(30))
+
+
 def test_entry_has_a_query_for_each_sql(spark):
     import __spark_entry__ as entry
 

@@ -221,7 +221,7 @@ class Encoder:
 
     #: Entries of the newer memory; when full it becomes the older, from which entries move up
     #: again. Longer ones than ``LONG`` characters aren't remembered, so its bytes are bounded.
-    REMEMBERED, LONG = 200_000, 48
+    REMEMBERED, LONG = 400_000, 48
     #: Characters whose kind no version of Unicode changes, as NFC and lower case leave them.
     _PLAIN = re.compile("[\\t\\n\\r -@[-~\u00a1-\u00bf\u00df-\u00ff]*")
     _PIECES = re.compile("[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+|'(?:[stmd]|re|ve|ll)|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]|[^\\t\\n\\r a-z0-9\u00aa\u00b2\u00b3\u00b5\u00b9\u00ba\u00bc-\u00be\u00df-\u00f6\u00f8-\u00ff]+")

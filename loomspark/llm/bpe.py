@@ -51,6 +51,8 @@ class WordBpe:
     #: Words of a worker's newer memory; when full it becomes the older one, from which words
     #: still in use move up again.
     REMEMBERED = 300_000
+    #: Longer words aren't remembered, so that the memories' bytes are bounded too.
+    LONG = 64
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -169,12 +171,16 @@ class WordBpe:
                 texts.append(part)
                 continue
             words = self.PIECES.findall(self.normalise(part))
-            for w in set(words).difference(known) if len(words) > 64 else [w for w in words if w not in known]:
+            new = set(words).difference(known) if len(words) > 64 else {w for w in words if w not in known}
+            for w in new:
                 known[w] = older.get(w) or self._word(w)
             if words:
                 got = [known[w] for w in words]
                 ids.extend([g[0] for g in got])
                 texts.extend([g[1] for g in got])
+            for w in new:
+                if len(w) > self.LONG:
+                    del known[w]
         return b"".join(ids), " ".join(texts)
 
     def decode(self, ids: bytes) -> str:

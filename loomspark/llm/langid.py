@@ -25,6 +25,8 @@ SLOTS = 4096
 UNDETERMINED = "und"
 #: Distinct trigrams bundled at once; bounds the worker's memory.
 _GRAMS = 4096
+#: Trigrams looked at together, of one long text or several; bounds it too.
+_SEGMENT = 1 << 20
 
 _tables: dict[tuple[int, int], np.ndarray] = {}
 _letter: np.ndarray | None = None
@@ -44,34 +46,54 @@ def _vectors(dims: int, seed: int) -> np.ndarray:
     return _tables[dims, seed]
 
 
+def _slots(text: str | None) -> np.ndarray | None:
+    """Letter vectors of a text, in order, as int16; 32, a blank, for each run of other characters
+    and at both ends. None if it has no letter."""
+    cp = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    own = _letters()[cp]
+    if not own.any():
+        return None
+    slot = np.where(own, cp & np.uint32(SLOTS - 1), 32).astype(np.int16)
+    keep = np.ones(len(slot), bool)
+    keep[1:] = own[1:] | own[:-1]  # one blank for each run
+    slot, ends = slot[keep], own[keep]
+    return np.pad(slot, (int(ends[0]), int(ends[-1])), constant_values=32)
+
+
 def bundles(texts: list[str | None], dims: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(float32 bundle of each text, whether it has a letter)."""
-    table, letter = _vectors(dims, seed), _letters()
-    out, some, codes, owner = np.zeros((len(texts), dims), np.float32), np.zeros(len(texts), bool), [], []
+    """(float32 bundle of each text, whether it has a letter). A text of any length is bundled in
+    segments of ``_SEGMENT`` trigrams."""
+    table = _vectors(dims, seed)
+    out, some = np.zeros((len(texts), dims), np.float32), np.zeros(len(texts), bool)
+    held: list[tuple[int, np.ndarray]] = []
+
+    def add() -> None:
+        low, n = held[0][0], held[-1][0] - held[0][0] + 1
+        grams, where = np.unique(np.concatenate([x for _, x in held]), return_inverse=True)
+        owner = np.repeat([i - low for i, _ in held], [len(x) for _, x in held])
+        for start in range(0, len(grams), _GRAMS):
+            g = grams[start : start + _GRAMS]
+            bound = np.roll(table[g >> 24], 2, axis=1) * np.roll(table[(g >> 12) & (SLOTS - 1)], 1, axis=1) * table[g & (SLOTS - 1)]
+            inside = slice(None) if len(g) == len(grams) else (where >= start) & (where < start + len(g))
+            count = np.bincount(owner[inside] * len(g) + where[inside] - start, minlength=n * len(g)).reshape(n, len(g))
+            out[low : low + n] += count.astype(np.float32) @ bound.astype(np.float32)
+        held.clear()
+
+    size = 0
     for i, text in enumerate(texts):
-        cp = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        own = letter[cp]
-        if not own.any():
+        slot = _slots(text)
+        if slot is None:
             continue
         some[i] = True
-        slot = np.where(own, cp & np.uint32(SLOTS - 1), 32).astype(np.int64)
-        keep = np.ones(len(slot), bool)
-        keep[1:] = own[1:] | own[:-1]  # one blank for each run
-        slot, ends = slot[keep], own[keep]
-        slot = np.pad(slot, (int(ends[0]), int(ends[-1])), constant_values=32)
-        gram = (slot[:-2] << 24) | (slot[1:-1] << 12) | slot[2:]
-        codes.append(gram)
-        owner.append(np.full(len(gram), i, np.int64))
-    if not codes:
-        return out, some
-    grams, where = np.unique(np.concatenate(codes), return_inverse=True)
-    owner = np.concatenate(owner)
-    for start in range(0, len(grams), _GRAMS):
-        g = grams[start : start + _GRAMS]
-        bound = np.roll(table[g >> 24], 2, axis=1) * np.roll(table[(g >> 12) & (SLOTS - 1)], 1, axis=1) * table[g & (SLOTS - 1)]
-        inside = slice(None) if len(g) == len(grams) else (where >= start) & (where < start + len(g))
-        count = np.bincount(owner[inside] * len(g) + where[inside] - start, minlength=len(texts) * len(g)).reshape(len(texts), len(g))
-        out += count.astype(np.float32) @ bound.astype(np.float32)
+        for start in range(0, len(slot) - 2, _SEGMENT):
+            part = slot[start : start + _SEGMENT + 2].astype(np.int64)
+            held.append((i, (part[:-2] << 24) | (part[1:-1] << 12) | part[2:]))
+            size += len(part) - 2
+            if size >= _SEGMENT:
+                add()
+                size = 0
+    if held:
+        add()
     return out, some
 
 

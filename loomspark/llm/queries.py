@@ -12,6 +12,7 @@ from .common import crc32_mod, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length buckets and token-budget batches of all documents: a row for each."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
@@ -24,12 +25,14 @@ def toxicity_model(spark: SparkSession, sf_dir: str, every: bool = False) -> tox
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and prediction of every document, by a model of labelled documents that aren't held out."""
     docs = table(spark, sf_dir, "documents")
     found = toxicity.score(docs, toxicity_model(spark, sf_dir), carry={"held_out": crc32_mod("doc_id", 5) == 0})
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations that are no prefix of another, as ChatML."""
     return chat.render(table(spark, sf_dir, "conversations"))
 
 
@@ -48,6 +51,7 @@ WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.n = w.n AND p.turns = w.turns)
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles, component and kept of every document, linked at 0.85 or more."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), threshold=85)
 
 
@@ -66,6 +70,7 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.id = d.doc_id
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row that stays, for every document, by whole normalised texts."""
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), digest=True)
 
 
@@ -85,15 +90,18 @@ def tokenizer_path() -> str:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and the decoded text of every document."""
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), digest=True)
 
 
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest of all vectors to each whose id is divisible by 50."""
     vectors = table(spark, sf_dir, "embeddings")
     return ann.neighbours(vectors, vectors.where("vec_id % 50 = 0"))
 
 
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page."""
     found = main_text.main_text(table(spark, sf_dir, "pages"), carry={"url": F.col("url")})
     return found.select("page_id", "url", "text", "n_chars")
 
@@ -113,12 +121,14 @@ def langid_model(spark: SparkSession, sf_dir: str) -> langid.Profiles:
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, by profiles of documents that aren't held out."""
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid_model(spark, sf_dir), carry={"held_out": crc32_mod("doc_id", 3) == 1})
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written to shards and read back from them."""
     manifest = sstable.write(table(spark, sf_dir, "documents"), tokenizer_path())
     return sstable.read(manifest, digest=True).drop("shard")
 

@@ -64,7 +64,9 @@ class Model:
                     if x is None:
                         if len(words) > 300_000:
                             words.clear()
-                        x = words[w] = sum(self.weights.get(f, 0.0) for f in _slots(w))
+                        x = sum(self.weights.get(f, 0.0) for f in _slots(w))
+                        if len(w) <= 64:
+                            words[w] = x
                     if x:
                         z[k] += x
             # log(1 - p) of a sentence is -log(1 + e**z)

@@ -312,6 +312,112 @@ def test_bundles_follow_the_definition():
     assert (got[0] == want).all() and some.tolist() == [True, False] and not got[1].any()
 
 
+def test_long_texts_are_bundled_in_segments(monkeypatch):
+    rng = random.Random(24)
+    texts = ["".join(rng.choice("abc é1.") for _ in range(n)) for n in (5, 900, 0, 1, 333, 40)] + [None, "1"]
+    whole, some = langid.bundles(texts, 64, 1)
+    monkeypatch.setattr(langid, "_SEGMENT", 7)
+    monkeypatch.setattr(langid, "_GRAMS", 5)
+    parts, again = langid.bundles(texts, 64, 1)
+    assert (whole == parts).all() and (some == again).all()
+
+
+def test_language_id_by_brute_force(spark):
+    """Prototypes, cosines and the choice, recomputed with plain loops over letters and trigrams."""
+    rng = random.Random(25)
+    make = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    rows = [(i, make("abcde  " if i % 2 else "cdefg é", rng.randint(1, 60)), "xy"[i % 2]) for i in range(60)]
+    dims, table = 32, langid._vectors(32, 7)
+
+    def bundle(text):
+        letters = re.sub(r"[\W\d_]+", " ", f" {text.lower()} ")
+        out = np.zeros(dims)
+        if letters.strip():
+            for a, b, c in zip(letters, letters[1:], letters[2:], strict=False):
+                out += np.roll(table[ord(a) % 4096], 2).astype(int) * np.roll(table[ord(b) % 4096], 1) * table[ord(c) % 4096]
+        return out
+
+    unit = lambda v: v / (np.linalg.norm(v) or 1)
+    protos = {lang: unit(sum(unit(bundle(t)) for _, t, own in rows if own == lang)) for lang in "xy"}
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), dims=dims)
+    assert all(np.allclose(model.prototypes[i], protos[lang], atol=1e-5) for i, lang in enumerate("xy"))
+    texts = [make("abcdefg é9", rng.randint(1, 30)) for _ in range(80)]
+    got = {r["doc_id"]: r for r in langid.identify(docs_of(spark, texts), model).collect()}
+    for i, t in enumerate(texts):
+        v = unit(bundle(t))
+        cos = {lang: float(v @ p) for lang, p in protos.items()}
+        if not any(c.isalpha() for c in t):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0)
+        elif abs(cos["x"] - cos["y"]) > 1e-5:
+            assert got[i]["lang_pred"] == max(cos, key=cos.get) and abs(got[i]["score"] - max(0, max(cos.values()))) < 1e-5
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    """The noisy-or and the offending spans, from the weights, sentence by sentence."""
+    import math
+
+    rng = random.Random(26)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(40)]
+    weights = {f: rng.uniform(0, 4) for w in words[:15] for f in toxicity._slots(w)}
+    model = toxicity.Model(weights, -5.0)
+    texts = [rng.choice(["", ". ", "!", "\n"]).join(" ".join(rng.choice(words) for _ in range(rng.randint(0, 6))) + rng.choice([".", "?", " ", "|x;"]) for _ in range(rng.randint(0, 6))) for _ in range(120)] + EDGE
+    got = {r["doc_id"]: r for r in toxicity.score(docs_of(spark, texts), model).collect()}
+    for i, t in enumerate(texts):
+        clean, spans, at = 1.0, [], 0
+        for part in re.split(r"([.!?;|\r\n]+)", t or ""):
+            if part and not re.fullmatch(r"[.!?;|\r\n]+", part):
+                own = set(re.findall(r"[^\W\d_]+", part.lower()))
+                z = model.bias + sum(weights.get(f, 0.0) for w in own for f in toxicity._slots(w))
+                p = 1 / (1 + math.exp(-z))
+                clean *= 1 - p
+                if z >= 0:
+                    spans.append((at, at + len(part), p))
+            at += len(part)
+        assert abs(got[i]["score"] - (1 - clean)) < 1e-9
+        assert [(s["start"], s["end"]) for s in got[i]["offending"]] == [s[:2] for s in spans]
+        assert all(abs(s["score"] - w[2]) < 1e-9 for s, w in zip(got[i]["offending"], spans, strict=True))
+
+
+def test_toxicity_learns_along_the_gradient():
+    """One step of training moves each weight as the numerical slope of the likelihood of the
+    document labels, through the noisy-or, says."""
+    import pyarrow as pa
+
+    rng = random.Random(27)
+    bags = [[sorted(rng.sample(range(6), rng.randint(1, 4))) for _ in range(rng.randint(1, 4))] for _ in range(12)]
+    y = [int(i < 5) for i in range(12)]
+    table = pa.table({"slots": pa.array([[x for s in b for x in s] for b in bags], pa.list_(pa.int32())), "sizes": pa.array([[len(s) for s in b] for b in bags], pa.list_(pa.int32())), "y": pa.array(y, pa.int32())})
+
+    def likelihood(w, bias):
+        total = 0.0
+        for b, label in zip(bags, y, strict=True):
+            clean = np.prod([1 / (1 + np.exp(bias + sum(w[x] for x in s))) for s in b])
+            total += (np.log(1 - clean) / sum(y) if label else np.log(clean) / (len(y) - sum(y))) / 2
+        return total
+
+    eps = 1e-5
+    slope = [(likelihood(np.eye(6)[k] * eps, -7.0) - likelihood(-np.eye(6)[k] * eps, -7.0)) / (2 * eps) for k in range(6)]
+    bias_slope = (likelihood(np.zeros(6), -7.0 + eps) - likelihood(np.zeros(6), -7.0 - eps)) / (2 * eps)
+    model = toxicity._train(table, least_docs=1, rounds=1, shrink=0.0, step=0.2)
+    toxic = {x for b, label in zip(bags, y, strict=True) if label for s in b for x in s}
+    seen = {x: sum(any(x in s for s in b) for b, label in zip(bags, y, strict=True) if label) for x in toxic}
+    known = [x for x in toxic if seen[x] >= min(1, max(toxicity.FLOOR, toxicity.SHARE * sum(y)))]
+    for k in known:
+        assert abs(model.weights.get(k, 0.0) - max(0.2 * slope[k] / (abs(slope[k]) + 1e-6), 0)) < 1e-3
+    assert abs(model.bias - (-7.0 + 0.2 * bias_slope / (abs(bias_slope) + 1e-6))) < 1e-3
+
+
+def test_toxicity_sample_is_bounded(spark):
+    rows = [(i, "calm words here. " * 20 + ("idiot. " if i % 10 == 0 else ""), i % 10 == 0) for i in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] * 2 + [(None, "x"), (9_999, "no label")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(y)) for i, _, y in rows] + [(0, 0), (5, None), (None, 1), (8_888, 1)], "doc_id long, toxic int")
+    picked = toxicity.sampled(docs, labels, max_rows=100).collect()
+    assert 60 <= len(picked) <= 140 and 30 <= sum(r["y"] for r in picked) <= 41  # by id, repeats once
+    one = toxicity.fit(docs, labels, max_rows=100, max_chars=2_000)
+    few = toxicity.fit(docs, labels, max_rows=100)
+    assert toxicity.score(docs, few).where("score >= 0.5").select("doc_id").distinct().count() == 40 and isinstance(one, toxicity.Model)
+
+
 def test_toxicity(spark):
     rng = random.Random(8)
     calm, rude = [f"calm{c}" for c in "abcdefghijklmnop"], ["idiot", "moron"]

@@ -359,26 +359,67 @@ def test_queries_and_their_names():
 
 
 def test_pipeline_stages(spark):
+    """Each stage keeps the rows that a plain recomputation of its decision keeps."""
+    import re
+
     import corpus_pipeline as p
 
+    from .test_ops_text import brute_components
+
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    languages, toxic = queries.langid_model(spark, SF), queries.toxicity_model(spark, SF)
+    norm = lambda t: re.sub("[\x20\x09-\x0d]+", " ", t or "")
+
+    def exact(rows):
+        first = {}
+        for i, t in rows:
+            first.setdefault(norm(t), i)
+        return [i for i, t in rows if first[norm(t)] == i]
+
+    def near(rows):
+        _, comps = brute_components([t for _, t in rows], 80)
+        return [rows[k][0] for k in range(len(rows)) if comps[k] == k]
+
+    def spoken(rows):
+        lang, score = languages.predict([t for _, t in rows])
+        return [i for (i, _), name, s in zip(rows, lang, score, strict=True) if name != "und" and s > 0]
+
+    kept_by = {"language_id": spoken, "toxicity": lambda rows: [i for (i, _), s in zip(rows, toxic.score([t for _, t in rows], {})[0], strict=True) if s < 0.5], "exact_dedup": exact, "near_dedup": near}
+    assert [name for name, _ in p.STAGES] == [*kept_by, "packing"]
     for name, stage in p.STAGES[:-1]:
         kept = queries_written(stage(spark, docs, SF), name)
-        assert kept.columns == docs.columns
-        # A stage only takes rows away.
-        assert kept.exceptAll(docs).count() == 0 and kept.count() > 0.6 * docs.count(), name
-        if name == "near_dedup":
-            ids = [r["doc_id"] for r in kept.collect()]
-            from .test_ops_text import brute_components
-
-            rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
-            _, comps = brute_components([t for _, t in rows], 80)
-            assert sorted(ids) == [rows[i][0] for i in range(len(rows)) if comps[i] == i]
+        assert kept.columns == docs.columns and kept.exceptAll(docs).count() == 0
+        rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+        want = kept_by[name](rows)
+        assert sorted(r["doc_id"] for r in kept.collect()) == want and len(want) > 0.6 * len(rows), name
         docs = kept
     packed = p.pack(spark, docs, SF)
     assert packed.count() == docs.count()
 
 
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls in every column, repeats, ties, empty and very long texts, clashing column names; and
+    no rows at all."""
+    import corpus_pipeline as p
+
+    text = spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en' and length(text) > 400").select("text").first()[0]
+    rows = [(None, text), (None, None), (1, None), (2, ""), (3, " \n"), (4, text), (4, text), (4, text + " more"), (5, text.upper()), (6, "x " * 300_000), (7, "1 2 3"), (7, text[::-1])]
+    docs = spark.createDataFrame([(i, t, None, None, None, "c", 1, True) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int, _id string, score int, _maybe boolean")
+    left = {}
+    for name, stage in p.STAGES[:-1]:
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns and kept.schema == docs.schema
+        left[name] = sorted((str(r["doc_id"]), r["text"] or "") for r in kept.collect())
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    all_rows = sorted((str(i), t or "") for i, t in rows)
+    assert left["language_id"] == [r for r in all_rows if any(c.isalpha() for c in r[1])]
+    assert left["exact_dedup"] == sorted([("1", ""), ("3", " \n"), ("4", text), ("4", text + " more"), ("5", text.upper()), ("6", "x " * 300_000), ("7", "1 2 3"), ("7", text[::-1])])
+    # Rows without an id are linked with nothing; 4, its longer version and 5 are one document.
+    assert [i for i, _ in left["near_dedup"]] == ["1", "2", "3", "4", "6", "7", "None", "None"]
+    packed = p.pack(spark, docs, SF)
+    assert packed.count() == len(rows) and p.pack(spark, docs.limit(0), SF).count() == 0
+
+
 def queries_written(df, name):
     from loomspark.llm.common import written
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm import exact_dedup, langid, near_dedup, packing, queries, toxicity
-from loomspark.llm.common import table, written
+from loomspark.llm.common import Scratch, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,12 +28,13 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document of the least id stays."""
+    """Of equal texts the document of the least id stays: one row of each group, null ids last."""
     return exact_dedup.deduplicated(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a similarity of 0.8 or more stays."""
+    """One document of each group linked by a similarity of 0.8 or more stays: one row of the least
+    id. Rows without an id are linked with nothing and stay."""
     return near_dedup.deduplicated(docs, threshold=80)
 
 
@@ -50,7 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; what each but the last keeps is written in the shared folder,
+    and deleted when the next stage has written its own."""
+    docs, scratch, before = table(spark, sf_dir, "documents"), Scratch(spark), ()
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = scratch.write(stage(spark, docs, sf_dir), f"stage-{name}")
+        scratch.drop(*before)
+        before = (f"stage-{name}",)
     return STAGES[-1][1](spark, docs, sf_dir)

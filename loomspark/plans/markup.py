@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html, text, urls
 from ..operators import search
-from ..sources import feeds, robots
+from ..sources import documents, feeds, robots
 from . import query, table
 from .pages import HOST, SCHEME
 
@@ -194,3 +194,28 @@ def str12_scalars(spark, sf_dir):
     reply = F.concat(F.lit('```json\n{"a": '), n.cast("string"), F.lit(', "b": '), (n % 2 == 0).cast("string"), F.lit(', "c": null, "d": " x ", "e": [1]}\n```'))
     m = text.scalar_fields(reply, ["a", "b", "c", "d"])
     return table(spark, sf_dir, "events").select(n, m.alias("m")).select("event_id", *[F.col("m")[c].alias(c) for c in "abcd"])
+
+
+@query(
+    "src15_documents",
+    """SELECT n_nationkey, ['html', 'rtf', 'html', 'pdf', NULL][n_nationkey % 5 + 1] AS kind, ['## ' || n_name || chr(10) || chr(10) || 'See [it](/u) **now**', n_name || chr(10) || chr(10) || 'two', '* ' || n_name || chr(10) || '* b', NULL, NULL][n_nationkey % 5 + 1] AS markdown, n_nationkey % 5 >= 3 AS failed FROM nation""",
+)
+def src15_documents(spark, sf_dir):
+    n, name = F.col("n_nationkey"), F.col("n_name")
+    nth = lambda *v: F.element_at(F.array(*v), (n % len(v) + 1).cast("int"))
+    file = nth(*[F.lit(f) for f in ("a.HTM", "b.rtf", "c.x.html", "d.pdf", "e")])
+    page = F.concat(F.lit("<style>x</style><h2>"), name, F.lit('</h2><p>See <a href="/u">it</a> <b>now</b></p>'))
+    rtf = F.concat(F.lit("{\\rtf1{\\fonttbl x;}"), name, F.lit("\\par two}"))
+    items = F.concat(F.lit("<ul><li>"), name, F.lit("<li>b</ul>"))
+    data = nth(page, rtf, items, F.lit("%PDF-1.4"), F.lit("x")).cast("binary")
+    d = documents.parsed(table(spark, sf_dir, "nation").select(n, file.alias("filename"), data.alias("data")))
+    return d.select("n_nationkey", "kind", "markdown", F.col("error").isNotNull().alias("failed"))
+
+
+@query("src17_pdf_pages", "SELECT user_id, string_agg(CASE WHEN event_id % 3 = 0 THEN 'scan ' || event_id WHEN event_id % 3 = 1 THEN 'a page with text enough ' || event_id ELSE 'short' END, chr(10) || chr(10) ORDER BY event_id) AS text, count(*) AS pages FROM events GROUP BY user_id")
+def src17_pdf_pages(spark, sf_dir):
+    n = F.col("event_id")
+    own = F.when(n % 3 == 0, F.lit(" few ")).when(n % 3 == 1, F.concat(F.lit("a page with text enough "), n.cast("string"))).otherwise(F.lit("short"))
+    scan = F.when(n % 3 < 2, F.concat(F.lit("scan "), n.cast("string")))
+    p = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), n.alias("page"), own.alias("text"), scan.alias("ocr_text"))
+    return documents.pdf_pages(p, "auto", 1 << 60).select(F.col("id").alias("user_id"), "text", "pages")

@@ -37,30 +37,109 @@ def _table(rows: list[list[str]]) -> str:
     return "\n".join([lines[0], "| " + " | ".join(["---"] * width) + " |", *lines[1:]])
 
 
+_MARKS = {"b": "**", "strong": "**", "em": "*", "i": "*", "del": "~~", "s": "~~", "code": "`", "kbd": "`", "samp": "`"}
+_GONE = ("script", "style", "noscript", "head", "template")
+_LISTS = ("ul", "ol")
+
+
+def _inline(e: dom.Element) -> str:
+    """Text with its marks, links and images; white space as single blanks, but for line breaks."""
+    out: list[str] = []
+    for c in e.children:
+        if isinstance(c, str):
+            out.append(re.sub(r"\s+", " ", c))
+        elif c.tag == "br":
+            out.append("  \n")
+        elif c.tag == "img":
+            out.append(f"![{c.attrs.get('alt', '')}]({c.attrs.get('src', '')})")
+        elif c.tag not in _GONE and c.tag not in _LISTS:
+            inner, mark = _inline(c), _MARKS.get(c.tag)
+            bare = inner.strip()
+            if bare and mark:
+                inner = inner[: len(inner) - len(inner.lstrip())] + mark + bare + mark + inner[len(inner.rstrip()) :]
+            elif bare and c.tag == "a" and c.attrs.get("href"):
+                inner = f"[{bare}]({c.attrs['href']})"
+            out.append(inner)
+    return re.sub(r" {2,}(?!\n)", " ", "".join(out))
+
+
+def _items(e: dom.Element) -> list[str]:
+    """Lines of a list; inner lists stand in from their item's text."""
+    lines: list[str] = []
+    for i, item in enumerate(c for c in e.children if not isinstance(c, str) and c.tag == "li"):
+        mark = f"{i + 1}. " if e.tag == "ol" else "* "
+        paragraphs = [c for c in item.children if not isinstance(c, str) and c.tag in ("p", "div")]
+        text = " ".join(x for x in [_inline(item).strip()] if x) if not paragraphs else "\n\n".join(x for x in (_inline(p).strip() for p in paragraphs) if x)
+        lines.append(mark + re.sub(r"\n(?!\n)", "\n" + " " * len(mark), text))
+        for inner in (c for c in item.walk() if c.tag in _LISTS and c is not item):
+            if _owner(inner, item):
+                lines += [" " * len(mark) + line for line in _items(inner)]
+    return lines
+
+
+def _owner(inner: dom.Element, item: dom.Element) -> bool:
+    """Whether the list stands in the item itself, not in a deeper one."""
+    todo = [c for c in item.children if not isinstance(c, str)]
+    while todo:
+        c = todo.pop()
+        if c is inner:
+            return True
+        if c.tag not in _LISTS:
+            todo += [x for x in c.children if not isinstance(x, str)]
+    return False
+
+
 def html_document(data: bytes) -> str:
-    """SRC16: headings with number signs, paragraphs and items; no scripts and styles."""
+    """SRC16: headings with number signs, paragraphs with their links and marks, lists, quotations,
+    code and tables; no scripts and styles."""
     out: list[str] = []
 
     def put(e: dom.Element) -> None:
-        if e.tag in ("script", "style", "noscript", "head"):
+        if e.tag in _GONE:
             return
         if e.tag in dom.HEADINGS:
-            out.append(f"{'#' * int(e.tag[1])} {dom.text_of(e)}")
-        elif e.tag == "li":
-            out.append(f"* {dom.text_of(e)}")
-        elif e.tag in ("p", "td", "th", "pre", "blockquote"):
-            out.append(dom.text_of(e))
+            out.append(f"{'#' * int(e.tag[1])} {_inline(e).strip()}")
+        elif e.tag in _LISTS:
+            out.append("\n".join(_items(e)))
+        elif e.tag == "pre":
+            out.append("```\n" + "".join(x if isinstance(x, str) else dom.text_of(x) for x in e.children).strip("\n") + "\n```")
+        elif e.tag == "hr":
+            out.append("---")
+        elif e.tag == "table":
+            rows = [[_inline(c).strip() for c in r.children if not isinstance(c, str) and c.tag in ("td", "th")] for r in e.walk() if r.tag == "tr"]
+            out.append(_table([r for r in rows if r]))
+        elif e.tag == "blockquote":
+            before = len(out)
+            blocks(e)
+            inner = "\n\n".join(x for x in out[before:] if x.strip())
+            del out[before:]
+            out.append("\n".join(f"> {line}".rstrip() for line in inner.split("\n")))
+        elif e.tag == "p":
+            out.append(_inline(e).strip())
         else:
-            for c in e.children:
-                if isinstance(c, str):
-                    out.append(dom.collapse(c))
-                else:
-                    put(c)
+            blocks(e)
+
+    def blocks(e: dom.Element) -> None:
+        """Runs of text and inline elements as paragraphs, blocks on their own."""
+        run = dom.Element("p", {})
+        for c in [*e.children, None]:
+            inline = isinstance(c, str) or (c is not None and c.tag not in _BLOCKS and not any(x.tag in _BLOCKS for x in c.walk()))
+            if inline:
+                run.children.append(c)
+                continue
+            if run.children:
+                out.append(_inline(run).strip())
+                run = dom.Element("p", {})
+            if c is not None:
+                put(c)
 
     put(dom.parse(data.decode("utf-8", "replace")))
     return "\n\n".join(x for x in out if x.strip("# *"))
 
 
+_BLOCKS = frozenset("p div ul ol li table pre blockquote hr section article main header footer aside nav h1 h2 h3 h4 h5 h6 script style noscript head template body html form dl dt dd figure".split())
+
+
 def _local(tag: str) -> str:
     return tag.rpartition("}")[2]
 

@@ -58,10 +58,29 @@ def test_documents(spark):
     got = {r["filename"]: (r["markdown"], r["error"]) for r in documents.parsed(spark.createDataFrame(rows, "filename string, data binary")).collect()}
     assert got["a.docx"][0] == "## Head\n\nText\n\n| c1 |\n| --- |"
     assert got["b.XLSX"][0] == "## S\n\n| name |  |  |\n| --- | --- | --- |\n| 1 |  | 3 |"
-    assert got["c.odt"][0] == "## head\n\npara" and got["d.rtf"][0] == "Hi bold\n\ntwo é" and got["e.htm"][0] == "## H\n\nP q"
+    assert got["c.odt"][0] == "## head\n\npara" and got["d.rtf"][0] == "Hi bold\n\ntwo é" and got["e.htm"][0] == "## H\n\nP **q**"
     assert all(got[k][0] is None and got[k][1] for k in ("f.pdf", "g", "h.docx", "i.rtf"))
 
 
+def test_html_documents_keep_links_marks_lists_and_tables():
+    page = b"""<head><title>t</title></head><body>lead <i>in</i><h1>Top <em>x</em></h1><p>One <b> bold </b>and <a href="/u">a <code>link</code></a>,<br>next <img src="i.png" alt="pic"></p>
+    <ul><li>a <b>b</b><ul><li>c</li><li>d</li></ul></li><li><p>e</p><p>f</p></li></ul><ol><li>x</li><li>y</li></ol><blockquote><p>said</p><p>twice</p></blockquote><pre>l1
+ l2</pre><hr><table><tr><th>k</th><td><b>v</b></td></tr><tr><td>1</td></tr></table><div>tail<script>no()</script></div></body>"""
+    assert documents.html_document(page).split("\n\n") == [
+        "lead *in*",
+        "# Top *x*",
+        "One **bold** and [a `link`](/u),  \nnext ![pic](i.png)",
+        "* a **b**\n  * c\n  * d\n* e",
+        "  f",
+        "1. x\n2. y",
+        "> said\n>\n> twice",
+        "```\nl1\n l2\n```",
+        "---",
+        "| k | **v** |\n| --- | --- |\n| 1 |  |",
+        "tail",
+    ]
+
+
 def test_pdf_pages_use_recognised_text_where_there_is_little(spark):
     p = spark.createDataFrame([(1, 2, "second page with enough text", "no"), (1, 1, "x", "scan")], "id int, page int, text string, ocr_text string")
     of = lambda mode: documents.pdf_pages(p, mode).first()["text"]

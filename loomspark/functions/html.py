@@ -111,6 +111,15 @@ def attributes(pages: DataFrame, selectors: Sequence[tuple[str, str]], html_col:
     """HTM16: ``pages`` exploded to (selector, attribute, values), a row for each selector; an
     attribute that an element hasn't is looked for as ``data-`` and its name."""
     selectors = list(selectors)
+    names = F.array(*[F.struct(F.lit(c).alias("selector"), F.lit(a).alias("attribute")) for c, a in selectors])
+    zipped = F.arrays_zip(names.alias("n"), attribute_values(F.col(html_col), selectors).alias("v"))
+    return pages.withColumn("_z", F.explode(zipped)).select("*", "_z.n.selector", "_z.n.attribute", F.col("_z.v").alias("values")).drop("_z")
+
+
+def attribute_values(html: Column, selectors: Sequence[tuple[str, str]]) -> Column:
+    """HTM16 as a column: for each (selector, attribute) the values that aren't empty; a page is
+    parsed once for all of them."""
+    selectors = list(selectors)
     for css, _ in selectors:
         dom.compile_selector(css)
 
@@ -125,9 +134,7 @@ def attributes(pages: DataFrame, selectors: Sequence[tuple[str, str]], html_col:
             out.append(rows)
         return pa.array(out, pa.list_(pa.list_(pa.string())))
 
-    names = F.array(*[F.struct(F.lit(c).alias("selector"), F.lit(a).alias("attribute")) for c, a in selectors])
-    zipped = F.arrays_zip(names.alias("n"), values.asNondeterministic()(F.col(html_col)).alias("v"))
-    return pages.withColumn("_z", F.explode(zipped)).select("*", "_z.n.selector", "_z.n.attribute", F.col("_z.v").alias("values")).drop("_z")
+    return values.asNondeterministic()(html)
 
 
 def selected(html: Column, css: str, attribute: str | None = None) -> Column:

@@ -87,13 +87,19 @@ def results(tasks: DataFrame, offset: int = 0, limit: int = 100) -> DataFrame:
     """SRT1 for every job at once: the page [offset, offset + limit) of its ended tasks in order
     of finishing, nulls last, ids as tie-break; next is the offset of a page after it, if any."""
     limit = max(1, min(100, limit))
-    ended = tasks.where(F.col("status").isin("completed", "failed"))
-    order = Window.partitionBy("crawl_id").orderBy(F.col("finished_at").asc_nulls_last(), "id")
+    ended = all_results(tasks)
     total = ended.groupBy("crawl_id").agg(F.count(F.lit(1)).alias("_total"))
-    page = ended.withColumn("position", (F.row_number().over(order) - 1).cast("bigint")).where(f"position >= {offset} and position < {offset + limit}")
+    page = ended.where(f"position >= {offset} and position < {offset + limit}")
     return page.join(total, "crawl_id").withColumn("next", F.when(F.col("_total") > offset + limit, F.lit(offset + limit))).drop("_total")
 
 
+def all_results(tasks: DataFrame) -> DataFrame:
+    """LIM3: what a client has that asks for page after page until there is no next: every ended
+    task of each job, in their order, as ``position``; a table needs no paging."""
+    order = Window.partitionBy("crawl_id").orderBy(F.col("finished_at").asc_nulls_last(), "id")
+    return tasks.where(F.col("status").isin("completed", "failed")).withColumn("position", (F.row_number().over(order) - 1).cast("bigint"))
+
+
 def errors(tasks: DataFrame) -> DataFrame:
     """CRW10, SRT2."""
     failed = tasks.where("status = 'failed'")

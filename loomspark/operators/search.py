@@ -176,8 +176,9 @@ def enriched(pages: DataFrame, wanted: Sequence[str], query: str = "", schema: d
         elif f == "summary":
             out = out.withColumn("summary", text.summary(F.col("markdown")))
         elif f == "attributes":
-            rows = [F.struct(F.lit(c).alias("selector"), F.lit(a).alias("attribute"), F.filter(html.selected(F.col("html"), c, a), lambda v: v.isNotNull() & (v != "")).alias("values")) for c, a in selectors]
-            out = out.withColumn("attributes", F.array(*rows))
+            names = F.array(*[F.struct(F.lit(c).alias("selector"), F.lit(a).alias("attribute")) for c, a in selectors])
+            out = out.withColumn("_values", html.attribute_values(F.col("html"), selectors))
+            out = out.withColumn("attributes", F.zip_with(names, F.col("_values"), lambda n, v: F.struct(n["selector"].alias("selector"), n["attribute"].alias("attribute"), v.alias("values")))).drop("_values")
         elif f in ("answer", "question"):
             out = out.withColumn(f, text.best_passage(F.col("markdown"), query))
         elif f == "highlights":

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
-from ..operators import evaluation, search, validation, workflows
+from ..operators import evaluation, models, search, validation, workflows
 from ..operators import jobs as J
 from ..sources import feeds
 from . import query, table
@@ -319,3 +319,27 @@ def snk1_webhook(spark, sf_dir):
     n = F.col("event_id")
     e = table(spark, sf_dir, "events").select(n, n.cast("string").alias("id"), _nth(n, "started", "page", "paused").alias("type"), F.lit("w").alias("webhook_id"), F.lit(True).alias("success"), F.col("event_type").alias("data"), F.when(n % 3 == 0, F.lit("e")).alias("error"))
     return feeds.webhook(e, "secret").select("event_id", "body", "signature")
+
+
+@query(
+    "str16_prompts",
+    """SELECT doc_id, 'URL:' || chr(10) || source || chr(10) || chr(10) || 'Schema fields and descriptions:' || chr(10) || '{' || chr(10) || '  "company": "who",' || chr(10) || '  "size": "number"' || chr(10) || '}' || chr(10) || chr(10) || 'Return a JSON object with exactly these field names. Use string values when the value is present. Use null when the page does not contain enough evidence.' || chr(10) || chr(10) || 'Page Markdown:' || chr(10) || substr(coalesce(text, ''), 1, 24000) AS fields,
+ 'URLs:' || chr(10) || source || chr(10) || chr(10) || 'Instructions:' || chr(10) || 'Answer this question using only the page content: who is ' || coalesce(lang, 'x') || '?' || chr(10) || chr(10) || 'JSON Schema:' || chr(10) || '{' || chr(10) || '  "properties": {' || chr(10) || '    "answer": {' || chr(10) || '      "type": "string"' || chr(10) || '    }' || chr(10) || '  },' || chr(10) || '  "required": [' || chr(10) || '    "answer"' || chr(10) || '  ],' || chr(10) || '  "type": "object"' || chr(10) || '}' || chr(10) || chr(10) || 'Page Markdown:' || chr(10) || substr(coalesce(text, ''), 1, 24000) AS question FROM documents""",
+)
+def str16_prompts(spark, sf_dir):
+    asked = F.format_string("who is %s?", F.coalesce("lang", F.lit("x")))
+    schema = {"properties": {"company": {"description": "who"}, "size": {"type": "number"}}}
+    return table(spark, sf_dir, "documents").select("doc_id", models.fields_prompt(F.col("source"), schema, F.col("text")).alias("fields"), models.query_prompt(F.col("source"), F.col("text"), asked, "answer").alias("question"))
+
+
+@query(
+    "str16_replies",
+    "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'said ' || event_id ELSE 'the page says' END AS answer, CASE event_id % 4 WHEN 0 THEN 'ACME' WHEN 3 THEN 'Title' END AS company, event_id % 4 >= 2 AS missing FROM events",
+)
+def str16_replies(spark, sf_dir):
+    n = F.col("event_id")
+    inner = F.when(n % 4 == 0, F.concat(F.lit('Sure: {"answer": "said '), n.cast("string"), F.lit('", "company": " ACME "}'))).when(n % 4 == 1, F.lit("I can't")).otherwise(F.lit("  "))
+    reply = F.when(n % 4 < 3, F.to_json(F.struct(F.array(F.struct(F.struct(inner.alias("content")).alias("message"))).alias("choices"))))
+    page = F.lit("# head\n\nother words\n\nthe page says")
+    got = models.fields(reply, {"company": "who"}, page, F.lit("Title"))
+    return table(spark, sf_dir, "events").select(n, models.answer(reply, page, "which page").alias("answer"), got["company"].alias("company"), models.content(reply).isNull().alias("missing"))

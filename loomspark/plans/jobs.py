@@ -86,6 +86,11 @@ def srt1_pagination(spark, sf_dir):
     return J.results(_frames(spark, sf_dir)[1], 1, 2).select("crawl_id", "id", "position", "next")
 
 
+@query("lim3_full_drain", _sql("SELECT crawl_id, id, row_number() OVER (PARTITION BY crawl_id ORDER BY finished_at NULLS LAST, id) - 1 AS position FROM tasks WHERE status IN ('completed', 'failed')"))
+def lim3_full_drain(spark, sf_dir):
+    return J.all_results(_frames(spark, sf_dir)[1]).select("crawl_id", "id", "position")
+
+
 @query("crw10_errors", _sql("SELECT crawl_id, url, coalesce(error_code, 'crawl_failed') AS code, coalesce(error_message, 'Crawl task failed') AS message FROM tasks WHERE status = 'failed'"))
 def crw10_errors(spark, sf_dir):
     return J.errors(_frames(spark, sf_dir)[1]).drop("finished_at")

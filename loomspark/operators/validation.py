@@ -10,10 +10,10 @@ import json
 from collections.abc import Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.urls import admitted, host, scheme
+from ..functions.urls import admitted, host, public_ip, scheme
 
 # Names, ranges and messages of the outer interface.
 FORMATS = ("markdown", "html", "rawHtml", "links", "screenshot", "images", "summary", "attributes", "question", "highlights", "json", "deterministicJson")
@@ -200,6 +200,28 @@ def agent_problems(prompt: Column, urls: Column, credits: Column) -> Column:
     )
 
 
+def resolved(wanted: DataFrame, addresses: DataFrame) -> DataFrame:
+    """FIL14 with a table in the place of a resolver: ``wanted`` (url) with error and message, given
+    addresses (host, address; what has no address at all failed to resolve). Every address of a
+    host must be public."""
+    of = addresses.groupBy(F.lower("host").alias("_host")).agg(F.count("address").alias("_n"), F.bool_and(F.coalesce(public_ip(F.col("address")), F.lit(False))).alias("_public"))
+    met = wanted.withColumn("_host", host(F.col("url"))).join(of, "_host", "left")
+    h = F.col("_host")
+    error = (
+        F.when(h.isNull(), F.lit("invalid_url"))
+        .when((h == "localhost") | h.endswith(".localhost"), F.lit("blocked_by_policy"))
+        .when(F.col("_n").isNull(), F.lit("fetch_failed"))
+        .when((F.col("_n") == 0) | ~F.col("_public"), F.lit("blocked_by_policy"))
+    )
+    message = (
+        F.when(h.isNull(), F.lit("URL host is required"))
+        .when((h == "localhost") | h.endswith(".localhost"), F.lit("Localhost URLs are not allowed"))
+        .when(F.col("_n").isNull(), F.lit("DNS resolution failed"))
+        .when((F.col("_n") == 0) | ~F.col("_public"), F.lit("DNS resolved to a private, reserved, or local network"))
+    )
+    return met.withColumns({"error": error, "message": message}).drop("_host", "_n", "_public")
+
+
 def upload_problem(filename: Column, size: Column) -> Column:
     """SRC21: a file name without folders and of a known kind, and a size declared within bounds."""
     kind = F.lower(F.regexp_extract(filename, r"[^.]\.([^./\\]*)$", 1))

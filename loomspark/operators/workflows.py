@@ -151,6 +151,26 @@ def handoff_valid(now: Column, created_at: Column) -> Column:
     return now <= created_at + F.make_dt_interval(hours=F.lit(4))
 
 
+def handoffs(scrapes: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
+    """SES2: requests (scrape_id, request_id, credential) for a browser session on a scrape
+    (request_id, final_url, rendered, created_at): initial_url and owner_key of the session, or
+    ``not_found`` where the scrape isn't there, wasn't rendered or is older than four hours."""
+    known = scrapes.where("rendered").select(F.col("request_id").alias("scrape_id"), F.col("final_url").alias("_url"), F.col("created_at").alias("_since"))
+    met = requests.join(known, "scrape_id", "left")
+    ok = F.col("_since").isNotNull() & F.coalesce(handoff_valid(now, F.col("_since")), F.lit(False))
+    return met.select("request_id", F.when(ok, F.col("_url")).alias("initial_url"), F.when(ok, X.owner_key(F.col("credential"))).alias("owner_key"), F.when(~ok, F.lit("not_found")).alias("error"))
+
+
+def render_jobs(events: DataFrame) -> DataFrame:
+    """JOB1: events (job_id, ord, event, result, error) to the jobs that are there: (job_id, state,
+    result, error). ``enqueued`` begins a job (anew if its id was used), ``finished`` and ``failed`` end
+    it, ``deleted`` takes it away; what ends a job that was deleted brings it back, as it is written
+    under its id. Of a job's events the last decides."""
+    last = events.groupBy("job_id").agg(F.max_by(F.struct("event", "result", "error"), "ord").alias("_e")).where("_e.event <> 'deleted'")
+    state = F.when(F.col("_e.event") == "enqueued", F.lit("processing")).when(F.col("_e.event") == "failed", F.lit("failed")).otherwise(F.lit("completed"))
+    return last.select("job_id", state.alias("state"), F.when(state == "completed", F.col("_e.result")).alias("result"), F.when(state == "failed", F.col("_e.error")).alias("error"))
+
+
 # The snapshot cache.
 
 

@@ -343,3 +343,41 @@ def str16_replies(spark, sf_dir):
     page = F.lit("# head\n\nother words\n\nthe page says")
     got = models.fields(reply, {"company": "who"}, page, F.lit("Title"))
     return table(spark, sf_dir, "events").select(n, models.answer(reply, page, "which page").alias("answer"), got["company"].alias("company"), models.content(reply).isNull().alias("missing"))
+
+
+@query(
+    "fil14_resolved",
+    """SELECT n_nationkey, CASE n_nationkey % 6 WHEN 1 THEN 'blocked_by_policy' WHEN 2 THEN 'fetch_failed' WHEN 3 THEN 'blocked_by_policy' WHEN 4 THEN 'invalid_url' WHEN 5 THEN 'blocked_by_policy' END AS error FROM nation""",
+)
+def fil14_resolved(spark, sf_dir):
+    n, k = F.col("n_nationkey"), F.col("n_nationkey") % 6
+    at = F.concat(F.lit("Host"), n.cast("string"), F.lit(".org"))
+    url = F.when(k == 4, F.lit("nothing")).when(k == 5, F.lit("http://a.localhost/")).otherwise(F.concat(F.lit("https://"), at, F.lit(":8080/x")))
+    found = F.when(k == 0, F.array(F.lit("8.8.8.8"), F.lit("2606:4700::1"))).when(k == 1, F.array(F.lit("8.8.8.8"), F.lit("::ffff:10.0.0.1"))).when(k == 3, F.array(F.lit("fe80::1"))).otherwise(F.array().cast("array<string>"))
+    nations = table(spark, sf_dir, "nation")
+    return validation.resolved(nations.select(n, url.alias("url")), nations.select(at.alias("host"), F.explode(found).alias("address"))).select("n_nationkey", "error")
+
+
+@query(
+    "ses2_handoffs",
+    f"""WITH s AS (SELECT event_id AS id, ts, 'https://s.org/' || event_id AS url FROM events WHERE event_id % 3 > 0)
+SELECT e.event_id AS request_id, CASE WHEN s.id IS NOT NULL AND TIMESTAMP '2024-01-10 12:00:00' <= s.ts + INTERVAL 4 HOUR THEN s.url END AS initial_url, CASE WHEN s.id IS NOT NULL AND TIMESTAMP '2024-01-10 12:00:00' <= s.ts + INTERVAL 4 HOUR THEN sha256(CASE WHEN e.event_id % 2 = 0 THEN 'k' ELSE 'anonymous' END) END AS owner_key,
+ CASE WHEN s.id IS NOT NULL AND TIMESTAMP '2024-01-10 12:00:00' <= s.ts + INTERVAL 4 HOUR THEN NULL ELSE 'not_found' END AS error FROM events e LEFT JOIN s ON s.id = e.event_id + 1""",
+)
+def ses2_handoffs(spark, sf_dir):
+    e, n = table(spark, sf_dir, "events"), F.col("event_id")
+    scrapes = e.select(n.alias("request_id"), F.concat(F.lit("https://s.org/"), n.cast("string")).alias("final_url"), (n % 3 > 0).alias("rendered"), F.col("ts").alias("created_at"))
+    asked = e.select((n + 1).alias("scrape_id"), n.alias("request_id"), F.when(n % 2 == 0, F.lit("k")).alias("credential"))
+    return workflows.handoffs(scrapes, asked, F.expr("TIMESTAMP '2024-01-10 12:00:00'"))
+
+
+@query(
+    "job1_render_jobs",
+    """WITH e AS (SELECT user_id, event_id, ['enqueued', 'finished', 'failed', 'deleted'][event_id % 4 + 1] AS event, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events)
+SELECT user_id AS job_id, CASE event WHEN 'enqueued' THEN 'processing' WHEN 'failed' THEN 'failed' ELSE 'completed' END AS state, CASE WHEN event = 'finished' THEN 'r' || event_id END AS result, CASE WHEN event = 'failed' THEN 'e' || event_id END AS error FROM e WHERE r = 1 AND event <> 'deleted'""",
+)
+def job1_render_jobs(spark, sf_dir):
+    n = F.col("event_id")
+    text_of = lambda c: F.concat(F.lit(c), n.cast("string"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), n.alias("ord"), _nth(n, "enqueued", "finished", "failed", "deleted").alias("event"), text_of("r").alias("result"), text_of("e").alias("error"))
+    return workflows.render_jobs(e)

@@ -46,28 +46,30 @@ class Quantiser:
         return (np.pad(x, ((0, 0), (0, short))) if short else x).reshape(len(x), -1, PART)
 
     def codes(self, x: np.ndarray, sweeps: int = 3) -> np.ndarray:
-        """uint8 codes (0 to 15), n x parts, of unit vectors x."""
-        p = self.parts(x)
-        code = np.empty(p.shape[:2], np.uint8)
-        along = np.empty(p.shape[:2])  # <residual, x> of each part
-        for s in range(p.shape[1]):
-            r = p[:, s, None, :] - self.centres[s]
-            best = (r**2).sum(axis=2).argmin(axis=1)
-            code[:, s] = best
-            along[:, s] = (r[np.arange(len(x)), best] * p[:, s]).sum(axis=1)
-        total = along.sum(axis=1)
+        """uint8 codes (0 to 15), n x parts, of unit vectors x. In single precision: what that
+        costs in closeness is in the residual, which ``reach`` takes from the codes themselves."""
+        p, centres = self.parts(x).astype(np.float32), self.centres.astype(np.float32)
+        dots = np.einsum("nsd,skd->snk", p, centres, optimize=True)
+        # Of each part, vector and centre, with the residual r: <r, x>, and r's squared length.
+        along_of = (p**2).sum(axis=2).T[:, :, None] - dots
+        length_of = along_of - dots + (centres**2).sum(axis=2)[:, None, :]
+        code = length_of.argmin(axis=2)
+        along = np.take_along_axis(along_of, code[:, :, None], axis=2)[:, :, 0]
+        total, rows = along.sum(axis=0), np.arange(len(x))
         for _ in range(sweeps):
             before = code.copy()
-            for s in range(p.shape[1]):
-                r = p[:, s, None, :] - self.centres[s]
-                own = (r * p[:, s, None, :]).sum(axis=2)
-                rest = total - along[:, s]
-                best = ((r**2).sum(axis=2) + (self.eta - 1) * (rest[:, None] + own) ** 2).argmin(axis=1)
-                code[:, s], along[:, s] = best, own[np.arange(len(x)), best]
-                total = rest + along[:, s]
+            for s in range(len(code)):
+                rest = total - along[s]
+                cost = along_of[s] + rest[:, None]
+                cost *= cost
+                cost *= np.float32(self.eta - 1)
+                cost += length_of[s]
+                code[s] = cost.argmin(axis=1)
+                along[s] = along_of[s][rows, code[s]]
+                total = rest + along[s]
             if (code == before).all():
                 break
-        return code
+        return code.T.astype(np.uint8)
 
     def reach(self, x: np.ndarray, code: np.ndarray) -> np.ndarray:
         """What the score of each coded vector can lack for a query of unit length: the norm of its

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, exact_dedup, langid, main_text, near_dedup, packing, sstable, toxicity
+from . import ann, bpe, byte_bpe, chat, exact_dedup, langid, main_text, near_dedup, packing, sstable, toxicity
 from .common import crc32_mod, table
 
 
@@ -133,8 +133,20 @@ def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read(manifest, digest=True).drop("shard")
 
 
+def ranks_path() -> str:
+    """The public rank file on this machine; it is at the same place on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the byte-level ids and the decoded bytes of every document."""
+    return byte_bpe.encode(table(spark, sf_dir, "documents"), ranks_path(), digest=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_chat, op4_near_dedup, op5_exact_dedup, op6_bpe, op7_ann, op8_main_text, op9_langid, op10_sstable)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_chat, op4_near_dedup, op5_exact_dedup, op6_bpe, op7_ann, op8_main_text, op9_langid, op10_sstable, op13_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, byte_bpe, chat, exact_dedup, langid, main_text, near_dedup, packing, sstable, toxicity
+from . import ann, bpe, byte_bpe, chat, exact_dedup, langid, main_text, near_dedup, packing, sstable, toxicity, trie
 from .common import crc32_mod, table
 
 
@@ -133,6 +133,32 @@ def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read(manifest, digest=True).drop("shard")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of all conversations, rebuilt so that they share beginnings."""
+    return trie.trie(table(spark, sf_dir, "conversations"), share=True)
+
+
+#: crc32 bit by bit: a byte is mixed in, -1 shifts by one bit.
+OP11_SQL = r"""
+WITH o AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS t,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list({'r': r, 't': t} ORDER BY i) AS q FROM o GROUP BY conv_id),
+k AS (SELECT conv_id, q, xor(list_reduce(
+    list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: list_concat([ascii(x)::BIGINT], [-1::BIGINT, -1, -1, -1, -1, -1, -1, -1])))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN (a & 1) = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 6 AS h FROM c),
+s AS (SELECT k.conv_id, list_concat(coalesce(b.q[:k.h], []), k.q[k.h + 1:]) AS q FROM k LEFT JOIN k b ON b.conv_id = k.conv_id - k.conv_id % 100),
+p AS (SELECT conv_id, len(q) AS n, unnest(range(0, len(q) + 1)) AS d, q FROM s),
+v AS (SELECT q[:d] AS pre, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends FROM p GROUP BY 1, 2),
+l AS (SELECT v.*, (n_convs - 1) * coalesce(length(pre[d].t), 0) AS cost, (SELECT count(*) FROM v x WHERE x.d = v.d + 1 AND x.pre[:v.d] = v.pre) AS kids FROM v),
+a AS (SELECT pre[:u] AS pre, u AS d, kids, cost FROM (SELECT l.*, unnest(range(0, d + 1)) AS u FROM l)),
+g AS (SELECT pre, d, count(*) FILTER (WHERE kids = 0) AS n_leaves, sum(cost) AS saved FROM a GROUP BY 1, 2)
+SELECT l.conv_id, l.d AS depth, x.conv_id AS parent_conv_id, l.n_convs, l.kids AS n_children, g.n_leaves::BIGINT AS n_leaves, g.saved::BIGINT AS saved_tokens, l.ends AS ends_sha256
+FROM l JOIN g ON g.pre = l.pre AND g.d = l.d LEFT JOIN v x ON x.d = l.d - 1 AND x.pre = l.pre[:l.d - 1]
+"""
+
+
 def ranks_path() -> str:
     """The public rank file on this machine; it is at the same place on every machine."""
     import public_tokenizers
@@ -146,8 +172,8 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_chat, op4_near_dedup, op5_exact_dedup, op6_bpe, op7_ann, op8_main_text, op9_langid, op10_sstable, op13_byte_bpe)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_chat, op4_near_dedup, op5_exact_dedup, op6_bpe, op7_ann, op8_main_text, op9_langid, op10_sstable, op11_prefix_trie, op13_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": OP3_SQL, "op4_near_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op8_main_text": OP8_SQL}
+    return {"op3_chat": OP3_SQL, "op4_near_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op8_main_text": OP8_SQL, "op11_prefix_trie": OP11_SQL}

@@ -10,8 +10,12 @@ from __future__ import annotations
 
 import html as _html
 import re
+import unicodedata
 from collections.abc import Iterator
-from urllib.parse import urljoin, urlsplit
+from ipaddress import IPv4Address, IPv6Address
+from urllib.parse import unquote, urljoin, urlsplit
+
+from . import hosts
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -535,6 +539,24 @@ def _quote(text: str, keep: str) -> str:
     return "".join(c if c in keep else "".join(f"%{b:02X}" for b in c.encode("utf-8", "replace")) for c in text)
 
 
+def host_form(raw: str) -> str | None:
+    """A host as ``hosts.domain`` and ``hosts.ipv6`` give it, for one link; None if it is none."""
+    if ":" in raw:
+        return f"[{IPv6Address(raw).compressed}]"
+    host = unicodedata.normalize("NFKC", unquote(raw, errors="strict").lower()).lower() if "%" in raw or not raw.isascii() else raw.lower()
+    host = re.sub(f"[{hosts.STOPS}]", ".", re.sub(hosts.IGNORED, "", host))
+    host = ".".join([x if x.isascii() else "xn--" + x.encode("punycode").decode() for x in host.split(".")])
+    if not host or re.search(hosts.FORBIDDEN, host):
+        return None
+    labels = host.removesuffix(".").split(".")
+    if not re.fullmatch("[0-9]+|0x[0-9a-f]*", labels[-1]):
+        return host
+    numbers = [int(x[2:] or "0", 16) if x.startswith("0x") else int(x, 8 if x.startswith("0") else 10) for x in labels]
+    if len(numbers) > 4 or any(n > 255 for n in numbers[:-1]) or numbers[-1] >= 256 ** (5 - len(numbers)):
+        return None
+    return str(IPv4Address(numbers[-1] + sum(n << 24 - 8 * i for i, n in enumerate(numbers[:-1]))))
+
+
 def join(base: str, link: str) -> str | None:
     """The link resolved against the base, in normal form; null unless it is http or https."""
     try:
@@ -544,11 +566,9 @@ def join(base: str, link: str) -> str | None:
         elif re.match(r"[a-zA-Z][a-zA-Z0-9+.\-]*:", link) and not re.match(r"[hH][tT]{2}[pP][sS]?:", link):
             return None
         parts = urlsplit(urljoin(base, link.replace("\\", "/") if "?" not in link and "#" not in link else link))
-        scheme, host = parts.scheme.lower(), (parts.hostname or "").lower()
-        if scheme not in ("http", "https") or not host or re.search(r"[\s<>^|%]", host):
+        scheme, host = parts.scheme.lower(), host_form(parts.hostname or "")
+        if scheme not in ("http", "https") or not host:
             return None
-        if not host.isascii():
-            host = host.encode("idna").decode()
         port = parts.port
     except (ValueError, UnicodeError):
         return None

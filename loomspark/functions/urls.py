@@ -1,8 +1,9 @@
 """URL algebra as Column expressions: everything stays in the JVM.
 
 A URL is taken apart with one pattern per part and put together in the form that the WHATWG
-serialisation gives: scheme and host in lower case, default ports dropped, dot segments resolved,
-blanks and other than ASCII percent-encoded. What doesn't parse is null.
+serialisation gives: scheme and host in lower case, hosts in their ASCII and address forms
+(``hosts``), default ports dropped, dot segments resolved, blanks and other than ASCII
+percent-encoded. What doesn't parse is null.
 """
 
 from __future__ import annotations
@@ -13,7 +14,12 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_HEAD = r"^\s*([A-Za-z][A-Za-z0-9+.\-]*)://(?:[^/?#@\s]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:\s]+)(?::(\d*))?(?=[/?#]|\s*$)"
+from . import hosts
+from .hosts import let as _let
+
+#: A port is a number up to 65535, or nothing.
+_PORT = r"0*(\d{1,4}|[1-5]\d{4}|6[0-4]\d{3}|65[0-4]\d{2}|655[0-2]\d|6553[0-5])"
+_HEAD = rf"^\s*([A-Za-z][A-Za-z0-9+.\-]*)://(?:[^/?#@\s]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:\s]+)(?::(?:{_PORT})?)?(?=[/?#]|\s*$)"
 _NONE: Sequence[str] = ()
 
 # What takes part in the public-address policy and the search categories.
@@ -22,11 +28,6 @@ RESEARCH_SITES = ("arxiv.org", "pubmed.ncbi.nlm.nih.gov", "nature.com")
 BLOCKED_KINDS = ("image", "media", "font")
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once and whose expression isn't repeated in the plan."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _percent(part: Column, more: str = "") -> Column:
     """Percent-encodes all but printable ASCII, and the characters in ``more``."""
     unsafe = rf"[^\x21-\x7E]|[{re.escape(more)}]" if more else r"[^\x21-\x7E]"
@@ -39,7 +40,14 @@ def scheme(url: Column) -> Column:
 
 
 def host(url: Column) -> Column:
-    return F.nullif(F.lower(F.regexp_extract(url, _HEAD, 2)), F.lit(""))
+    """The host in its canonical form (ASCII; addresses dotted or in brackets); null if it is none."""
+    address = lambda h: hosts.ipv6(_groups6(F.substr(h, F.lit(2), F.length(h) - 2)))
+    return _let(F.lower(F.regexp_extract(url, _HEAD, 2)), lambda h: F.when(h.startswith("["), address(h)).when(h != "", hosts.domain(h)))
+
+
+def _canonical_host(url: Column) -> Column:
+    """The host of a URL that is in canonical form already."""
+    return F.nullif(F.regexp_extract(url, r"^https?://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]+)", 1), F.lit(""))
 
 
 def port(url: Column) -> Column:
@@ -119,21 +127,35 @@ def _bare(h: Column) -> Column:
     return F.regexp_replace(h, r"^(?:www\.)+", "")
 
 
+def _scope_base(base: Column) -> Column:
+    """What the scope takes of a base: host, its bare form and path."""
+    return _let(host(base), lambda h: F.struct(h.alias("host"), F.coalesce(_bare(h), F.lit("")).alias("bare"), path(base).alias("path")))
+
+
+def _in_scope(link: Column, base: Column, include_subdomains: bool, allow_external: bool, entire_domain: bool) -> Column:
+    h, b = F.coalesce(_bare(_canonical_host(link)), F.lit("")), base["bare"]
+    same = (h == b) | (h.endswith(F.concat(F.lit("."), b)) if include_subdomains else F.lit(False))
+    below = F.lit(True) if entire_domain else ~same | path(link).startswith(base["path"])
+    return (F.lit(allow_external) | same) & below
+
+
 def in_scope(link: Column, base: Column, include_subdomains: bool = False, allow_external: bool = False, entire_domain: bool = False) -> Column:
     """FIL3, for a canonical link: same site (or its subdomains), and below the base's path by
     plain prefix unless the whole domain is asked for; external links skip the path test."""
-    h, b = F.coalesce(_bare(host(link)), F.lit("")), F.coalesce(_bare(host(base)), F.lit(""))
-    same = (h == b) | (h.endswith(F.concat(F.lit("."), b)) if include_subdomains else F.lit(False))
-    below = F.lit(True) if entire_domain else ~same | path(link).startswith(path(base))
-    return (F.lit(allow_external) | same) & below
+    return _let(_scope_base(base), lambda b: _in_scope(link, b, include_subdomains, allow_external, entire_domain))
 
 
 def scoped_links(links: Column, base: Column, search: str | None = None, ignore_query: bool = False, **scope: bool) -> Column:
     """FIL3 and FIL4 over an array: canonical, in scope, holding the search words; first of each."""
-    found = F.filter(F.transform(links, lambda u: canonical(u, ignore_query)), lambda u: u.isNotNull() & in_scope(u, base, **scope))
-    if search is not None:
-        found = F.filter(found, lambda u: F.lower(u).contains(search.lower()))
-    return F.when(host(base).isNull(), links).otherwise(F.array_distinct(found))
+    wanted = {"include_subdomains": False, "allow_external": False, "entire_domain": False} | scope
+
+    def kept(b: Column) -> Column:
+        found = F.filter(F.transform(links, lambda u: canonical(u, ignore_query)), lambda u: u.isNotNull() & _in_scope(u, b, **wanted))
+        if search is not None:
+            found = F.filter(found, lambda u: F.lower(u).contains(search.lower()))
+        return F.when(b["host"].isNull(), links).otherwise(F.array_distinct(found))
+
+    return _let(_scope_base(base), kept)
 
 
 def site_map(sitemap: Column, anchors: Column, base: Column, limit: int | Column = 100, mode: str = "include", ignore_sitemap: bool = False, **options) -> Column:
@@ -177,7 +199,7 @@ def allowed_by_patterns(url: Column, include: Sequence[str] = _NONE, exclude: Se
     valid_patterns([*include, *exclude])
     target = url if full_url else path(url)
     hit = lambda patterns: F.coalesce(F.greatest(F.lit(False), F.lit(False), *[target.rlike(p) for p in patterns]), F.lit(False))
-    return scheme(url).isNotNull() & ~hit(exclude) & (hit(include) if include else F.lit(True))
+    return host(url).isNotNull() & ~hit(exclude) & (hit(include) if include else F.lit(True))
 
 
 def _on_domain(h: Column, domain: str) -> Column:
@@ -191,22 +213,25 @@ def _any(found: Sequence[Column]) -> Column:
 
 def domain_allowed(url: Column, include: Sequence[str] = _NONE, exclude: Sequence[str] = _NONE) -> Column:
     """FIL7: exact host or subdomain; ``www.`` goes from the filter, not from the host."""
-    h = F.coalesce(host(url), F.lit(""))
-    return (_any([_on_domain(h, d) for d in include]) if include else F.lit(True)) & ~_any([_on_domain(h, d) for d in exclude])
+    judged = lambda h: (_any([_on_domain(h, d) for d in include]) if include else F.lit(True)) & ~_any([_on_domain(h, d) for d in exclude])
+    return _let(F.coalesce(host(url), F.lit("")), judged)
 
 
 def category(url: Column, categories: Sequence[tuple[str, Sequence[str]]]) -> Column:
     """FIL8: the first of (name, sites) that fits, in the order given. Research sites match by
     plain suffix, without a dot before."""
-    h, out = host(url), []
-    for name, sites in categories:
-        if name == "pdf":
-            out.append(F.when(F.lower(path(url)).endswith(".pdf"), F.lit("pdf")))
-        elif name == "github":
-            out.append(F.when(_on_domain(h, "github.com"), F.lit("github")))
-        elif name == "research":
-            out.append(F.when(_any([h.endswith(s) for s in (*sites, *RESEARCH_SITES)]), F.lit("research")))
-    return F.when(h.isNotNull(), F.coalesce(*out, F.lit(None).cast("string")))
+    def first(h: Column) -> Column:
+        out = []
+        for name, sites in categories:
+            if name == "pdf":
+                out.append(F.when(F.lower(path(url)).endswith(".pdf"), F.lit("pdf")))
+            elif name == "github":
+                out.append(F.when(_on_domain(h, "github.com"), F.lit("github")))
+            elif name == "research":
+                out.append(F.when(_any([h.endswith(s) for s in (*sites, *RESEARCH_SITES)]), F.lit("research")))
+        return F.when(h.isNotNull(), F.coalesce(*out, F.lit(None).cast("string")))
+
+    return _let(host(url), first)
 
 
 def unwrapped(href: Column) -> Column:

@@ -44,6 +44,55 @@ def url2_similarity_key(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.similarity_key(F.col("url")).alias("dedup_key"))
 
 
+# Hosts in many forms: an address in four, with what is wrong beside it, and a name with one letter
+# that isn't ASCII. n is the address; the letter is after "caf", and digits of its place follow.
+ADDRESS = "((page_id * 2654435761 + (page_id % 7) * 167772160) % 4294967296)"
+OCTETS = ", ".join(f"(n >> {s}) & 255 AS {c}" for s, c in ((24, "a"), (16, "b"), (8, "c"), (0, "d")))
+HOST_FORMS = ("url", "upper", "decimal", "hexadecimal", "octal", "two_parts", "three_parts", "dot", "percent", "port_zeros", "port_beyond", "address_beyond", "broken_percent", "octet_beyond", "name")
+HOSTS_SQL = rf"""
+WITH p AS (SELECT page_id, {HOST} AS h, {ADDRESS}::BIGINT AS n FROM pages), o AS (SELECT *, {OCTETS} FROM p),
+q AS (SELECT *, a || '.' || b || '.' || c || '.' || d AS ip, (96 + page_id % 20) * (4 + length(page_id::VARCHAR)) + 3 AS e,
+  NOT (a IN (0, 10, 127) OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 192 AND b = 0 AND c = 2) OR (a = 198 AND b IN (18, 19)) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113)) AS ok FROM o),
+f AS (SELECT *, unnest({list(HOST_FORMS)}) AS form FROM q),
+x AS (SELECT page_id, form, ok, CASE WHEN form IN ('url', 'upper', 'port_zeros') THEN h WHEN form IN ('port_beyond', 'address_beyond', 'broken_percent', 'octet_beyond') THEN NULL
+  WHEN form = 'name' THEN 'xn--caf' || page_id || '-' || {{digits}} || '.example' ELSE ip END AS host FROM f)
+SELECT page_id, form, host, 'http://' || host || '/' AS canonical,
+  CASE WHEN host IS NULL THEN 'invalid_url' WHEN NOT ok AND form NOT IN ('url', 'upper', 'port_zeros', 'name') THEN 'blocked_by_policy' END AS error FROM x"""
+_DIGIT = "substr('abcdefghijklmnopqrstuvwxyz0123456789', 1 + {n}, 1)"
+_FIRST = "((e - 1) // 35)"
+HOSTS_SQL = HOSTS_SQL.format(digits=" || ".join(_DIGIT.format(n=f"({n})::INTEGER") for n in ("1 + (e - 1) % 35", f"1 + ({_FIRST} - 1) % 35", f"({_FIRST} - 1) // 35")))
+
+
+@query("url1_hosts", HOSTS_SQL)
+def url1_hosts(spark, sf_dir):
+    """The host, canonical form and admission of every form."""
+    n = F.expr(f"cast({ADDRESS} as bigint)")
+    s = lambda c: c.cast("string")
+    octet = [F.shiftright(n, k).bitwiseAND(255) for k in (24, 16, 8, 0)]
+    ip = F.concat_ws(".", *[s(o) for o in octet])
+    h = F.regexp_extract("url", "://([^/?#:]+)", 1)
+    of = {
+        "url": h,
+        "upper": F.upper(h),
+        "decimal": s(n),
+        "hexadecimal": F.concat(F.lit("0X"), F.hex(n)),
+        "octal": F.concat_ws(".", *[F.concat(F.lit("0"), F.conv(s(o), 10, 8)) for o in octet]),
+        "two_parts": F.concat_ws(".", s(octet[0]), s(n.bitwiseAND(0xFFFFFF))),
+        "three_parts": F.concat_ws(".", s(octet[0]), F.concat(F.lit("0x"), F.lower(F.hex(octet[1]))), s(n.bitwiseAND(0xFFFF))),
+        "dot": F.concat(ip, F.lit(".")),
+        "percent": F.regexp_replace(F.hex(F.encode(ip, "utf-8")), "(..)", "%$1"),
+        "port_zeros": F.concat(h, F.lit(":00080")),
+        "port_beyond": F.concat(h, F.lit(":99999")),
+        "address_beyond": s(n + 4294967296),
+        "broken_percent": F.concat(h, F.lit("%zz")),
+        "octet_beyond": F.concat(F.lit("256."), s(octet[0]), F.lit(".1.1")),
+        "name": F.concat(F.lit("CAF"), F.char(224 + F.col("page_id") % 20), s(F.col("page_id")), F.lit(".example")),
+    }
+    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in HOST_FORMS]), F.array(*[of[k] for k in HOST_FORMS]))).alias("form", "host"))
+    rows = rows.withColumn("u", F.concat(F.lit("http://"), "host", F.lit("/")))
+    return rows.select("page_id", "form", urls.host(F.col("u")).alias("host"), urls.canonical(F.col("u")).alias("canonical"), urls.admitted(F.col("u"))["error"].alias("error"))
+
+
 @query("url_host_rollup", f"SELECT {HOST} AS host, count(*) AS pages, count(DISTINCT {SCHEME}) AS schemes, sum(length(html))::BIGINT AS chars FROM pages GROUP BY 1")
 def url_host_rollup(spark, sf_dir):
     u = F.col("url")

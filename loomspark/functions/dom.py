@@ -542,7 +542,9 @@ def _quote(text: str, keep: str) -> str:
 def host_form(raw: str) -> str | None:
     """A host as ``hosts.domain`` and ``hosts.ipv6`` give it, for one link; None if it is none."""
     if ":" in raw:
-        return f"[{IPv6Address(raw).compressed}]"
+        address = IPv6Address(raw)
+        mapped = address.ipv4_mapped and int(address.ipv4_mapped)
+        return f"[{address.compressed}]" if mapped is None else f"[::ffff:{mapped >> 16:x}:{mapped & 0xFFFF:x}]"
     host = unicodedata.normalize("NFKC", unquote(raw, errors="strict").lower()).lower() if "%" in raw or not raw.isascii() else raw.lower()
     host = re.sub(f"[{hosts.STOPS}]", ".", re.sub(hosts.IGNORED, "", host))
     host = ".".join([x if x.isascii() else "xn--" + x.encode("punycode").decode() for x in host.split(".")])

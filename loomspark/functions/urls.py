@@ -41,8 +41,7 @@ def scheme(url: Column) -> Column:
 
 def host(url: Column) -> Column:
     """The host in its canonical form (ASCII; addresses dotted or in brackets); null if it is none."""
-    address = lambda h: hosts.ipv6(_groups6(F.substr(h, F.lit(2), F.length(h) - 2)))
-    return _let(F.lower(F.regexp_extract(url, _HEAD, 2)), lambda h: F.when(h.startswith("["), address(h)).when(h != "", hosts.domain(h)))
+    return _let(F.lower(F.regexp_extract(url, _HEAD, 2)), lambda h: F.when(h.startswith("["), hosts.address6(h)).when(h != "", hosts.domain(h)))
 
 
 def _canonical_host(url: Column) -> Column:
@@ -260,28 +259,6 @@ def public_ipv4(ip: Column) -> Column:
     return _let(ipv4_number(ip), lambda n: F.when(n.isNotNull(), ~_any([n.between(a, b) for a, b in nets])))
 
 
-def _groups6(ip: Column) -> Column:
-    """The eight numbers of an IPv6 address (array<int>); null if it isn't one."""
-    v4 = F.regexp_extract(ip, r":(\d+\.\d+\.\d+\.\d+)$", 1)
-    number = ipv4_number(v4)
-    tail = F.concat(F.lower(F.hex(F.shiftright(number, 16))), F.lit(":"), F.lower(F.hex(number.bitwiseAND(65535))))
-    plain = F.when(v4 == "", F.lower(ip)).otherwise(F.concat(F.lower(F.substr(ip, F.lit(1), F.length(ip) - F.length(v4))), tail))
-    list_ = lambda c: F.filter(F.split(c, ":"), lambda g: g != "")
-
-    def numbers(s: Column) -> Column:
-        short = s.contains("::")
-        left, right = list_(F.substring_index(s, "::", 1)), F.when(short, list_(F.substring_index(s, "::", -1))).otherwise(F.array().cast("array<string>"))
-        n = F.size(left) + F.size(right)
-        fill = F.array_repeat(F.lit("0"), F.greatest(8 - n, F.lit(0)))
-        whole = F.concat(left, F.when(short, fill).otherwise(F.array().cast("array<string>")), right)
-        # One gap at most, which stands for one group or more; no lone colon at an end.
-        shape = s.rlike(r"^[0-9a-f:]+$") & ~s.rlike(r":::|::.*::|^:(?!:)|(?<!:):$") & F.when(short, n <= 7).otherwise(n == 8)
-        ok = shape & F.forall(whole, lambda g: F.length(g) <= 4)
-        return F.when(ok, F.transform(whole, lambda g: F.conv(g, 16, 10).cast("int")))
-
-    return _let(plain, numbers)
-
-
 def public_ipv6(ip: Column) -> Column:
     """FIL12 for IPv6: not loopback, unique local, link-local, unspecified, multicast or a mapped
     IPv4 address that isn't public. Null if it isn't an address."""
@@ -294,7 +271,7 @@ def public_ipv6(ip: Column) -> Column:
         bad = (zeros(7) & at(7).isin(0, 1)) | (at(0).bitwiseAND(0xFE00) == 0xFC00) | (at(0).bitwiseAND(0xFFC0) == 0xFE80) | (at(0).bitwiseAND(0xFF00) == 0xFF00) | (mapped & ~public_ipv4(dotted))
         return F.when(g.isNotNull(), ~bad)
 
-    return _let(_groups6(ip), judged)
+    return _let(hosts.groups6(ip), judged)
 
 
 def public_ip(ip: Column) -> Column:

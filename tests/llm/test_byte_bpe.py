@@ -69,10 +69,11 @@ def test_merges_take_the_least_rank_leftmost_first():
             parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
         return [ranks[p] for p in parts]
 
-    rng = random.Random(1)
-    for _ in range(2000):
+    rng, merge = random.Random(1), byte_bpe.Merges(ranks)
+    for n in range(2000):
         piece = bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 30)))
-        assert byte_bpe.merge(piece, ranks) == ([ranks[piece]] if piece in ranks else slow(piece))
+        merge.SHORT = n % 2 * 96
+        assert merge(piece) == ([ranks[piece]] if piece in ranks else slow(piece))
 
 
 @pytest.mark.parametrize(("chunk", "overlap"), [(16, 6), (64, 16), (100, 100)])
@@ -85,16 +86,24 @@ def test_chunks_give_what_whole_texts_give(spark, library, chunk, overlap):
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == digests(library, texts[r["doc_id"]]), texts[r["doc_id"]]
 
 
-def test_cuts_are_boundaries_of_the_whole_text(spark, coder):
-    from loomspark.llm.common import Scratch
-
+def test_pieces_are_whole_and_cut_at_boundaries(spark, coder):
     texts = {f"k{i}": t for i, t in enumerate(odd_texts(60)) if len(t) > 40}
-    rows = spark.createDataFrame(list(texts.items()), "key string, text string")
-    found = {r["key"]: r["cuts"] for r in byte_bpe.cut_places(rows, queries.ranks_path(), byte_bpe.PATTERN, 24, 12, Scratch(spark)).collect()}
-    assert sum(map(len, found.values())) > len(texts)
-    for key, cuts in found.items():
-        ends = {m.end() for m in coder.pattern.finditer(byte_bpe.judged(texts[key]))}
-        assert cuts == sorted(set(cuts)) and set(cuts) <= ends
+    rows = spark.createDataFrame([*texts.items(), *list(texts.items())[:9]], "key string, text string")
+    held = byte_bpe.with_marks(byte_bpe.chunks_of(rows, 24, 12), queries.ranks_path(), byte_bpe.PATTERN, 24, 12)
+    ranges = byte_bpe.stitched(held.select("key", "k", "head", "tail", "sure"), 24).collect()
+    alone = 0
+    for key, text in texts.items():
+        own = sorted((r for r in ranges if r["key"] == key), key=lambda r: r["k"])
+        assert [r["k"] for r in own] == list(range(-(-len(text) // 24)))
+        ends = {0, *[m.end() for m in coder.pattern.finditer(byte_bpe.judged(text))]}
+        at = 0
+        for r in own:
+            assert 24 * r["k"] + r["lo"] == at
+            assert (r["piece"] == r["k"]) <= (at in ends)
+            at = len(text) if r["hi"] is None else 24 * r["k"] + r["hi"]
+            alone += r["alone"]
+        assert at == len(text)
+    assert alone > len(texts)
 
 
 def test_edges(spark, library):

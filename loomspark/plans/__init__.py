@@ -28,4 +28,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import admission, jobs, markup, pages, relational, stats, streams  # noqa: E402, F401
+from . import admission, crawls, jobs, markup, pages, relational, stats, streams  # noqa: E402, F401

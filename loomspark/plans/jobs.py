@@ -226,29 +226,31 @@ GRAPH = "SELECT k, CASE WHEN k = 1 THEN 'https://site' || s || '.org/' ELSE 'htt
 
 @query(
     "crw3_frontier",
-    """WITH RECURSIVE w AS (SELECT s AS crawl_id, 1::BIGINT AS k, 0 AS depth FROM generate_series(0, 9) t(s)
+    """WITH RECURSIVE w AS (SELECT s_suppkey AS crawl_id, 1::BIGINT AS k, 0 AS depth FROM supplier
  UNION SELECT crawl_id, n, depth + 1 FROM (SELECT w.*, unnest(CASE WHEN depth = 0 AND crawl_id % 3 > 0 THEN [7, 2 * k, 2 * k + 1] ELSE [2 * k, 2 * k + 1] END) AS n FROM w WHERE k <= 40 AND depth < crawl_id % 5 AND crawl_id <> 4)),
 m AS (SELECT crawl_id, k, min(depth) AS depth FROM w GROUP BY 1, 2)
 SELECT crawl_id, CASE WHEN k = 1 THEN 'https://site' || crawl_id || '.org/' ELSE 'https://site' || crawl_id || '.org/p' || k END AS url, depth FROM m""",
 )
 def crw3_frontier(spark, sf_dir):
     at = lambda s, k: F.when(k == 1, F.concat(F.lit("https://site"), s.cast("string"), F.lit(".org/"))).otherwise(F.concat(F.lit("https://site"), s.cast("string"), F.lit(".org/p"), k.cast("string")))
-    grid = spark.range(10).withColumnRenamed("id", "s").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(40))))
+    sites = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
+    grid = sites.withColumnRenamed("id", "s").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(40))))
     s, k = F.col("s"), F.col("k")
     links = F.array(at(s, 2 * k), at(s, 2 * k + 1), at(s, F.lit(1)), F.lit("https://elsewhere.org/"))
     pages = grid.select(at(s, k).alias("url"), links.alias("links"))
-    maps = spark.range(10).where("id % 3 > 0").select(F.concat(F.lit("https://site"), F.col("id").cast("string"), F.lit(".org/sitemap.xml")).alias("url"), F.array(at(F.col("id"), F.lit(7))).alias("locations"))
+    maps = sites.where("id % 3 > 0").select(F.concat(F.lit("https://site"), F.col("id").cast("string"), F.lit(".org/sitemap.xml")).alias("url"), F.array(at(F.col("id"), F.lit(7))).alias("locations"))
     job = F.when(F.col("id") == 4, F.lit("batch_scrape")).otherwise(F.lit("crawl"))
-    jobs = spark.range(10).select("id", at(F.col("id"), F.lit(1)).alias("url"), job.alias("job_type"), F.lit(1000).alias("page_limit"), (F.col("id") % 5).cast("int").alias("max_depth"))
+    jobs = sites.select("id", at(F.col("id"), F.lit(1)).alias("url"), job.alias("job_type"), F.lit(1000).alias("page_limit"), (F.col("id") % 5).cast("int").alias("max_depth"))
     return frontier.crawl(pages, jobs, entire_domain=True, sitemaps=maps).select("crawl_id", "url", "depth")
 
 
-@query("crw3_sitemap_only", "SELECT s AS crawl_id, p AS url, CASE WHEN p LIKE '%/' THEN 0 ELSE 1 END AS depth FROM (SELECT s, unnest(CASE WHEN s % 3 > 0 THEN ['https://site' || s || '.org/', 'https://site' || s || '.org/p7'] ELSE ['https://site' || s || '.org/'] END) AS p FROM generate_series(0, 9) t(s))")
+@query("crw3_sitemap_only", "SELECT s AS crawl_id, p AS url, CASE WHEN p LIKE '%/' THEN 0 ELSE 1 END AS depth FROM (SELECT s, unnest(CASE WHEN s % 3 > 0 THEN ['https://site' || s || '.org/', 'https://site' || s || '.org/p7'] ELSE ['https://site' || s || '.org/'] END) AS p FROM (SELECT s_suppkey AS s FROM supplier))")
 def crw3_sitemap_only(spark, sf_dir):
     at = F.concat(F.lit("https://site"), F.col("id").cast("string"), F.lit(".org/"))
-    pages = spark.range(10).select(at.alias("url"), F.array(F.concat(at, F.lit("p2"))).alias("links"))
-    maps = spark.range(10).where("id % 3 > 0").select(F.concat(at, F.lit("sitemap.xml")).alias("url"), F.array(F.concat(at, F.lit("p7"))).alias("locations"))
-    jobs = spark.range(10).select("id", at.alias("url"), F.lit(1000).alias("page_limit"), F.lit(3).alias("max_depth"))
+    sites = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
+    pages = sites.select(at.alias("url"), F.array(F.concat(at, F.lit("p2"))).alias("links"))
+    maps = sites.where("id % 3 > 0").select(F.concat(at, F.lit("sitemap.xml")).alias("url"), F.array(F.concat(at, F.lit("p7"))).alias("locations"))
+    jobs = sites.select("id", at.alias("url"), F.lit(1000).alias("page_limit"), F.lit(3).alias("max_depth"))
     return frontier.crawl(pages, jobs, sitemaps=maps, sitemap="only").select("crawl_id", "url", "depth")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import streaming
-from ..operators.frontier import shared_folder
+from ..operators.tables import shared_folder
 from . import query, table
 
 #: The events come in files of so many days each, one micro-batch a file.

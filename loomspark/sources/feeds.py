@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dom, html, text, urls
-from ..operators.frontier import checkpointed
+from ..operators.tables import checkpointed
 
 
 def sitemap_locations(body: Column, limit: int) -> Column:

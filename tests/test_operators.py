@@ -1,11 +1,13 @@
 """Jobs, crawl expansion, monitors, limits, evaluation."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loomspark.operators import evaluation, frontier, jobs, search, workflows
+from loomspark.operators import evaluation, frontier, jobs, search, tables, workflows
 
 T0 = datetime(2026, 1, 1, 12)
 TASK = "id long, crawl_id long, url string, status string, attempts int, next_attempt_at timestamp, lease_expires_at timestamp, created_at timestamp, started_at timestamp, finished_at timestamp, result string, error_code string, error_message string, dedup_key string, depth int"
@@ -80,6 +82,61 @@ def test_crawl_by_breadth(spark):
     assert urls(3, 9, entire_domain=True, exclude=["^/c"]) == [("/", 0), ("/b", 1), ("/d", 2), ("/f", 3)]
 
 
+def one_by_one(links, rules, start, limit, deepest, below):
+    """A crawl that works off its tasks one after the other."""
+    tasks = [(start, 0, rules(start))]
+    for url, depth, ok in tasks:
+        if depth >= deepest or not ok:
+            continue
+        own = [x for x in dict.fromkeys(links.get(url, [])[:limit]) if not below or x[13:].startswith(url[13:])] or [url]
+        for link in own[:limit]:
+            if link not in [t[0] for t in tasks] and len(tasks) < limit:
+                tasks.append((link, depth + 1, rules(link)))
+    return tasks
+
+
+@pytest.mark.parametrize("below", [False, True])
+def test_crawl_goes_as_a_queue_does(spark, below):
+    """Order of discovery to any depth, page limits, robots and the scope of the current page."""
+    rng = random.Random(3 + below)
+    names = [""] + [f"{a}{b}" for a in "abc" for b in ["", *"1234"]] + [f"{a}1/{b}" for a in "abc" for b in range(6)]
+    site = [f"https://a.com/{n}" for n in names]
+    links = {u: [rng.choice(site) for _ in range(rng.randint(0, 6))] for u in site[:-4]}
+    pages = spark.createDataFrame(list(links.items()), "url string, links array<string>").repartition(3)
+    jobs = [(n, rng.choice(site[:9]), rng.choice([1, 3, 7, 12, 30]), rng.choice([0, 1, 2, 5, 5])) for n in range(30)]
+    files = spark.createDataFrame([("https://a.com/robots.txt", "User-agent: *\nDisallow: /b3\nDisallow: /a1/\nAllow: /a1/2$\nDisallow: /c*4\n")], "url string, body string")
+    refused = lambda u: (f := u[14:]).startswith("b3") or (f + "/").startswith("a1/") or (f.startswith("c") and "4" in f)
+    got = frontier.crawl(pages, spark.createDataFrame(jobs, "id long, url string, page_limit int, max_depth int"), entire_domain=not below, robots=files).collect()
+    for n, start, limit, deepest in jobs:
+        own = sorted((r for r in got if r["crawl_id"] == n), key=lambda r: r["ord"])
+        want = one_by_one(links, lambda u: not refused(u), start, limit, deepest, below)
+        assert [(r["url"], r["depth"], r["error"] is None) for r in own] == want
+        assert [r["ord"] for r in own] == list(range(1, len(want) + 1))
+
+
+def test_what_a_round_writes_hangs_on_its_new_rows(spark):
+    """Adding to a set writes a bitmap of fixed size; asking gives exactly what isn't in it."""
+    seen, size = tables.SeenSet(["a", "b"]), []
+    for n in range(4):
+        rows = tables.written(spark.range(n * 2000, n * 2000 + 3000).select((F.col("id") % 7).alias("a"), F.when(F.col("id") % 500 > 0, F.col("id").cast("string")).alias("b")), "rows")
+        new = {(r["a"], r["b"]) for r in seen.new(rows).collect()}
+        want = {(i % 7, str(i) if i % 500 else None) for i in range(n * 2000, n * 2000 + 3000)} - {(i % 7, str(i) if i % 500 else None) for m in range(n) for i in range(m * 2000, m * 2000 + 3000)}
+        assert new == want
+        seen.add(rows)
+        size.append(seen.bits.agg(F.sum(F.length("_bits"))).first()[0])
+    assert max(size) <= tables.BITS // 8
+
+
+def test_numbers_of_a_hot_key(spark):
+    """A key with most of the rows lies in several ranges, and its numbers are those of one window."""
+    rows = spark.range(5000).select(F.when(F.col("id") % 5 > 0, F.lit("hot")).when(F.col("id") % 10 > 0, (F.col("id") % 40).cast("string")).alias("k"), F.pmod(F.hash("id"), F.lit(900)).alias("o"), "id")
+    got = tables.numbered(rows, ["k"], [F.col("o").desc(), F.col("id")], "n")
+    w = Window.partitionBy("k").orderBy(F.desc("o"), "id")
+    assert sorted(tuple(r) for r in got.select("id", "n").collect()) == sorted(tuple(r) for r in rows.select("id", F.row_number().over(w)).collect())
+    where = tables.written(rows.repartitionByRange(4, F.col("k"), F.col("o").desc(), F.col("id")).select("k", F.spark_partition_id().alias("p")), "where")
+    assert where.where("k = 'hot'").select("p").distinct().count() > 1
+
+
 def test_monitor_diffs(spark):
     c = spark.createDataFrame([(1, 1, 1, "alpha\nbeta", '{"title": "a", "n": [1]}'), (1, 2, 2, "alpha\ngamma", '{"title": "b", "n": [1]}'), (1, 3, 3, "alpha\ngamma", '{"title": "b", "n": [1]}')], "monitor_id int, finished_at int, id int, text string, json string")
     got = workflows.check_diffs(c).orderBy("id").collect()

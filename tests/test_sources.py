@@ -1,6 +1,7 @@
 """Robots, feeds, documents, streams, and the entry module."""
 
 import io
+import random
 import zipfile
 
 import pytest
@@ -232,3 +233,21 @@ def test_entry_can_be_read_without_a_session():
 
     root = Path(__file__).resolve().parent.parent
     subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], cwd=root, check=True, timeout=120)
+
+
+def test_rules_as_a_table_decide_as_the_walk_does(spark):
+    """Every file, path and agent: the join by (file, key) gives what trying all rules gives."""
+    rng = random.Random(8)
+    pieces = ["/", "a", "b/", "/a", "*", "$", "é", "?q", "/b*", ".html", "/a/b", "%20", "//"]
+    lines = ["", "# x", "User-agent: *", "user-agent: Loom", "User-Agent : bot # y", "User-agent:", "User-agent: other", "Allow:", "nonsense", "Sitemap: https://x/", " disallow :/a"]
+    line = lambda: rng.choice(lines) if rng.random() < 0.4 else f"{rng.choice(['Allow', 'Disallow', 'DISALLOW'])}: {''.join(rng.choice(pieces) for _ in range(rng.randint(1, 4)))}"
+    bodies = [rng.choice(["\n", "\r\n"]).join(line() for _ in range(rng.randint(0, 14))) for _ in range(60)] + [None, ""]
+    files = [(f"https://h{i}.org/robots.txt", b) for i, b in enumerate(bodies)]
+    paths = ["/", "/a", "/a/", "/a/b", "/a/b/c.html", "/b/a.html?q=1", "/?q", "/%20a", "//a", "/a//b", "/b%C3%A9", "/ab"]
+    rows = spark.createDataFrame([(f"https://h{i}.org{p}", b) for i, b in enumerate(bodies) for p in paths] + [("nonsense", "x"), ("https://none.org/a", None), (None, None)], "url string, body string")
+    for agent in ("LoomBot/1.0", "other", "x"):
+        rules = robots.index(spark.createDataFrame(files, "url string, body string"), agent)
+        got = robots.judged(rows, rules, F.col("url")).select("url", "body", "allowed", robots.allowed(F.col("body"), F.col("url"), agent).alias("walked")).collect()
+        assert len(got) == rows.count()
+        assert [r for r in got if r["allowed"] != r["walked"] and r["url"] != "nonsense"] == []
+        assert {r["allowed"] for r in got} == {True, False, None}

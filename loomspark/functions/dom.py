@@ -1,4 +1,4 @@
-"""A tree builder for a subset of HTML5, selectors, and WHATWG-style URL joining; no Spark here.
+"""A tree builder for a subset of HTML5, and WHATWG-style URL joining; no Spark here.
 
 Covered of the standard's tree construction: implied html, head and body; void and raw-text
 elements; paragraphs, list items, table parts and headings that end implicitly; the list of
@@ -11,6 +11,7 @@ from __future__ import annotations
 import html as _html
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from ipaddress import IPv4Address, IPv6Address
 from urllib.parse import unquote, urljoin, urlsplit
@@ -103,11 +104,57 @@ def text_of(node: Element) -> str:
     return collapse(" ".join(node.texts()))
 
 
+class _Open(list):
+    """The open elements, which knows what it holds: a page may nest a hundred thousand."""
+
+    def __init__(self, elements: list[Element]) -> None:
+        super().__init__(elements)
+        self.held, self.tags = {id(e) for e in elements}, Counter(e.tag for e in elements)
+
+    def _gone(self, e: Element) -> Element:
+        self.held.discard(id(e))
+        self.tags[e.tag] -= 1
+        return e
+
+    def _come(self, e: Element) -> Element:
+        self.held.add(id(e))
+        self.tags[e.tag] += 1
+        return e
+
+    def __contains__(self, e: object) -> bool:
+        return id(e) in self.held
+
+    def append(self, e: Element) -> None:
+        super().append(self._come(e))
+
+    def insert(self, i: int, e: Element) -> None:
+        super().insert(i, self._come(e))
+
+    def pop(self, i: int = -1) -> Element:
+        return self._gone(super().pop(i))
+
+    def remove(self, e: Element) -> None:
+        del self[self.index(e)]
+
+    def __setitem__(self, i: int, e: Element) -> None:
+        self._gone(self[i])
+        super().__setitem__(i, self._come(e))
+
+    def __delitem__(self, i: int | slice) -> None:
+        for e in self[i] if isinstance(i, slice) else [self[i]]:
+            self._gone(e)
+        super().__delitem__(i)
+
+    def index(self, e: Element) -> int:
+        """From the end, where most are that are asked for."""
+        return next(i for i in range(len(self) - 1, -1, -1) if self[i] is e)
+
+
 class _Builder:
     def __init__(self) -> None:
         self.root = Element("html")
         self.head = self.body = None
-        self.open: list[Element] = [self.root]
+        self.open = _Open([self.root])
         self.active: list[Element | None] = []
 
     # What stands open.
@@ -117,6 +164,8 @@ class _Builder:
         return self.open[-1]
 
     def in_scope(self, tag: str, more: frozenset[str] = frozenset()) -> bool:
+        if not self.open.tags[tag]:
+            return False
         for e in reversed(self.open):
             if e.tag == tag:
                 return True
@@ -139,7 +188,7 @@ class _Builder:
                 self.root.append(self.head)
             self.body = Element("body")
             self.root.append(self.body)
-            self.open = [self.root, self.body]
+            self.open = _Open([self.root, self.body])
 
     # Formatting.
 
@@ -275,7 +324,7 @@ class _Builder:
             if self.head is None and self.body is None:
                 self.head = Element("head", attrs)
                 self.root.append(self.head)
-                self.open = [self.root, self.head]
+                self.open = _Open([self.root, self.head])
             return None
         if tag == "body":
             if self.body is not None:
@@ -289,7 +338,7 @@ class _Builder:
                 if self.head is None:
                     self.head = Element("head")
                     self.root.append(self.head)
-                self.open = [self.root, self.head]
+                self.open = _Open([self.root, self.head])
                 return self.put(tag, attrs)
             self.need_body()
         if self.top.tag == "html":
@@ -350,7 +399,7 @@ class _Builder:
         return self.put(tag, attrs)
 
     def in_scope_table(self) -> bool:
-        return any(e.tag == "table" for e in self.open)
+        return self.open.tags["table"] > 0
 
     def end(self, tag: str) -> None:
         if tag in ("html", "body"):
@@ -436,99 +485,6 @@ def parse(page: str) -> Element:
     return b.root
 
 
-# Selectors: type, *, #id, .class, [attr], [attr=v], ~= ^= $= *=, :first-child; descendant, child
-# and sibling combinators; lists by commas.
-
-_SIMPLE = re.compile(r"""\*|[a-zA-Z][\w-]*|#([\w-]+)|\.([\w-]+)|\[\s*([\w:-]+)\s*(?:([~^$*|]?=)\s*(?:"([^"]*)"|'([^']*)'|([^\]\s]+))\s*)?\]|:(first-child|last-child)""")
-
-
-def compile_selector(css: str) -> list[list[tuple[str, list]]]:
-    """Raises ValueError for what isn't a selector of the subset."""
-    out = []
-    for part in css.split(","):
-        part, steps, how = part.strip(), [], " "
-        if not part:
-            raise ValueError(f"invalid selector: {css}")
-        at = 0
-        while at < len(part):
-            gap = re.compile(r"\s*([>+~])\s*|\s+").match(part, at)
-            if gap and at:
-                how, at = (gap[1] or " "), gap.end()
-            tests = []
-            while at < len(part):
-                m = _SIMPLE.match(part, at)
-                if not m:
-                    break
-                if m[1]:
-                    tests.append(("id", m[1]))
-                elif m[2]:
-                    tests.append(("class", m[2]))
-                elif m[3]:
-                    tests.append(("attr", m[3].lower(), m[4], m[5] or m[6] or m[7] or ""))
-                elif m[8]:
-                    tests.append((m[8],))
-                elif m[0] != "*":
-                    tests.append(("tag", m[0].lower()))
-                at = m.end()
-                if m[0] == "*" and not tests:
-                    tests.append(("any",))
-            if not tests:
-                raise ValueError(f"invalid selector: {css}")
-            steps.append((how, tests))
-        out.append(steps)
-    return out
-
-
-def _fits(e: Element, tests: list) -> bool:
-    for t in tests:
-        kind = t[0]
-        if kind == "tag":
-            ok = e.tag == t[1]
-        elif kind == "id":
-            ok = e.attrs.get("id") == t[1]
-        elif kind == "class":
-            ok = t[1] in e.attrs.get("class", "").split()
-        elif kind == "attr":
-            v = e.attrs.get(t[1])
-            ok = v is not None and (
-                t[2] is None or {"=": v == t[3], "~=": t[3] in v.split(), "^=": bool(t[3]) and v.startswith(t[3]), "$=": bool(t[3]) and v.endswith(t[3]), "*=": bool(t[3]) and t[3] in v, "|=": v == t[3] or v.startswith(t[3] + "-")}[t[2]]
-            )
-        elif kind in ("first-child", "last-child"):
-            own = list(e.parent.elements()) if e.parent else [e]
-            ok = own[0 if kind == "first-child" else -1] is e
-        else:
-            ok = True
-        if not ok:
-            return False
-    return True
-
-
-def _matches(e: Element, steps: list, i: int) -> bool:
-    if not _fits(e, steps[i][1]):
-        return False
-    if i == 0:
-        return True
-    how = steps[i][0]
-    if how == ">":
-        return e.parent is not None and _matches(e.parent, steps, i - 1)
-    if how in "+~":
-        own = list(e.parent.elements()) if e.parent else [e]
-        before = own[: next(k for k, x in enumerate(own) if x is e)]
-        return any(_matches(x, steps, i - 1) for x in (before[-1:] if how == "+" else before))
-    up = e.parent
-    while up is not None:
-        if _matches(up, steps, i - 1):
-            return True
-        up = up.parent
-    return False
-
-
-def select(root: Element, css: str) -> list[Element]:
-    """Elements that fit, in page order; the root itself may be one."""
-    lists = compile_selector(css)
-    return [e for e in [root, *root.walk()] if any(_matches(e, s, len(s) - 1) for s in lists)]
-
-
 # URLs.
 
 _KEEP_PATH = "".join(chr(c) for c in range(0x21, 0x7F) if chr(c) not in '"<>`{}#?')

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import dom, markdown
+from .selectors import compiled, select
 
 PARTS = {
     "title": "string",
@@ -87,7 +88,7 @@ def configured(pages: DataFrame, only_main: bool = True, only_clean: bool = Fals
     Selectors are checked when the plan is made."""
     include, exclude = list(include), list(exclude)
     for css in [*include, *exclude]:
-        dom.compile_selector(css)
+        compiled(css)
     kind = pa.struct([("content_html", pa.string()), ("content_markdown", pa.string())])
 
     @F.arrow_udf("struct<content_html: string, content_markdown: string>")
@@ -121,7 +122,7 @@ def attribute_values(html: Column, selectors: Sequence[tuple[str, str]]) -> Colu
     parsed once for all of them."""
     selectors = list(selectors)
     for css, _ in selectors:
-        dom.compile_selector(css)
+        compiled(css)
 
     @F.arrow_udf("array<array<string>>")
     def values(pages: pa.Array) -> pa.Array:
@@ -129,7 +130,7 @@ def attribute_values(html: Column, selectors: Sequence[tuple[str, str]]) -> Colu
         for html in pages.to_pylist():
             page, rows = dom.parse(html or ""), []
             for css, name in selectors:
-                got = [e.attrs.get(name, None if name.startswith("data-") else e.attrs.get(f"data-{name}")) for e in dom.select(page, css)]
+                got = [e.attrs.get(name, None if name.startswith("data-") else e.attrs.get(f"data-{name}")) for e in select(page, css)]
                 rows.append([v for v in got if v])
             out.append(rows)
         return pa.array(out, pa.list_(pa.list_(pa.string())))
@@ -139,13 +140,13 @@ def attribute_values(html: Column, selectors: Sequence[tuple[str, str]]) -> Colu
 
 def selected(html: Column, css: str, attribute: str | None = None) -> Column:
     """Texts (or values of an attribute) of the elements that fit a selector."""
-    dom.compile_selector(css)
+    compiled(css)
 
     @F.arrow_udf("array<string>")
     def run(pages: pa.Array) -> pa.Array:
         out = []
         for page in pages.to_pylist():
-            fit = dom.select(dom.parse(page or ""), css)
+            fit = select(dom.parse(page or ""), css)
             out.append([dom.text_of(e) if attribute is None else e.attrs.get(attribute) for e in fit])
         return pa.array(out, pa.list_(pa.string()))
 

@@ -2,14 +2,17 @@
 
 Rendering is a fold over the tree with one output buffer per block: inline parts are appended to
 the buffer of the block that holds them, and blocks are set off from what stands before them by
-exactly one blank line.
+exactly one blank line. The methods of ``Renderer`` that need the Markdown of an element ask for it
+by ``yield`` and are resumed with it, so a page may nest as deep as it likes.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Generator
 
-from .dom import Element, collapse, join, select, text_of
+from .dom import Element, collapse, join, text_of
+from .selectors import select
 
 #: Bytes of text below which a preferred root may give way to the body.
 LEAST_ROOT = 500
@@ -61,47 +64,69 @@ class _Buffer:
             self.text = (f"{before}\n\n" if before else self.text) + f"{text}\n\n"
 
 
+#: Asks for generators to be run, is resumed with what they return, and returns a text or nothing.
+Steps = Generator["Steps", str | None, str | None]
+
+
+def run(steps: Steps) -> str | None:
+    """What the generator returns, those it asks for run first; on a stack of our own."""
+    stack, value = [steps], None
+    while stack:
+        try:
+            asked = stack[-1].send(value)
+            value = None
+            stack.append(asked)
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+    return value
+
+
 class Renderer:
     """HTM6 to HTM9 for pages of one base URL."""
 
     def __init__(self, base: str) -> None:
         self.base = base
 
-    def inside(self, e: Element, raw: bool = False) -> str:
+    def rendered(self, e: Element) -> str:
+        return run(self.inside(e))
+
+    def inside(self, e: Element, raw: bool = False) -> Steps:
         out = _Buffer()
-        for c in e.children:
-            self.node(c, out, raw)
+        yield self.children(e, out, raw)
         return out.text
 
-    def node(self, x: Element | str, out: _Buffer, raw: bool) -> None:
-        if isinstance(x, str):
-            if raw:
-                out.text += x
+    def children(self, e: Element, out: _Buffer, raw: bool) -> Steps:
+        for c in e.children:
+            if not isinstance(c, str):
+                yield self.node(c, out, raw)
+            elif raw:
+                out.text += c
             else:
-                out.inline(x)
-            return
+                out.inline(c)
+
+    def node(self, x: Element, out: _Buffer, raw: bool) -> Steps:
         tag = x.tag
         if tag in _DROPPED:
             return
         if tag in _BLOCKS:
-            out.block(self.inside(x))
+            out.block((yield self.inside(x)))
         elif len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
-            out.block(f"{'#' * int(tag[1])} {self.inside(x).strip()}")
+            out.block(f"{'#' * int(tag[1])} {(yield self.inside(x)).strip()}")
         elif tag in _MARKS:
-            text = self.inside(x).strip()
+            text = (yield self.inside(x)).strip()
             if text:
                 out.text += _MARKS[tag] + text + _MARKS[tag]
         elif tag == "a":
-            self.link(x, out)
+            yield self.link(x, out)
         elif tag == "br":
             out.text += "\n"
         elif tag == "hr":
             out.block("---")
         elif tag == "code":
             if x.parent is not None and x.parent.tag == "pre":
-                for c in x.children:
-                    self.node(c, out, True)
-            elif text := self.inside(x, True):
+                yield self.children(x, out, True)
+            elif text := (yield self.inside(x, True)):
                 out.text += f"`{text.strip()}`"
         elif tag == "pre":
             text = "".join(x.texts())
@@ -113,29 +138,29 @@ class Renderer:
             if src is not None:
                 out.text += f"![{x.attrs.get('alt', '').strip()}]({src})"
         elif tag in ("ul", "ol"):
-            self.list(x, out)
+            yield self.list(x, out)
         elif tag == "li":
-            out.block(f"- {self.inside(x).strip()}")
+            out.block(f"- {(yield self.inside(x)).strip()}")
         elif tag == "blockquote":
-            out.block("\n".join(f"> {line}" for line in self.inside(x).strip().split("\n")))
+            text = yield self.inside(x)
+            out.block("\n".join(f"> {line}" for line in text.strip().split("\n")))
         elif tag == "table":
             self.table(x, out)
         else:
-            for c in x.children:
-                self.node(c, out, raw)
+            yield self.children(x, out, raw)
 
-    def link(self, x: Element, out: _Buffer) -> None:
-        label, href = self.inside(x).strip(), x.attrs.get("href")
+    def link(self, x: Element, out: _Buffer) -> Steps:
+        label, href = (yield self.inside(x)).strip(), x.attrs.get("href")
         href = resolved(self.base, href) if href is not None else None
         out.text += label if href is None else f"[{label}]({href})" if label else href
 
-    def list(self, x: Element, out: _Buffer) -> None:
+    def list(self, x: Element, out: _Buffer) -> Steps:
         lines, number = [], 0
         for item in x.elements():
             if item.tag != "li":
                 continue
             number += 1
-            first, *more = self.inside(item).strip().split("\n")
+            first, *more = (yield self.inside(item)).strip().split("\n")
             if first or more:
                 lines.append((f"{number}. " if x.tag == "ol" else "- ") + first)
             lines += [f"  {m}" for m in more if m.strip()]
@@ -163,7 +188,7 @@ def title_of(page: Element) -> str | None:
 
 def render(page: Element, root: Element, base: str) -> str:
     """HTM4: the root's Markdown under the page's title, unless it begins with that anyway."""
-    text = blank_collapsed(Renderer(base).inside(root))
+    text = blank_collapsed(Renderer(base).rendered(root))
     if not text:
         text = text_of(root)
     title = title_of(page)

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dom, html, text, urls
+from ..functions import dom, html, selectors, text, urls
 from ..operators.tables import checkpointed
 
 
@@ -51,11 +51,11 @@ def web_results(pages: DataFrame, limit: int, body: str = "payload") -> DataFram
         out = []
         for page in bodies.to_pylist():
             rows = []
-            for box in dom.select(dom.parse(page or ""), ".result"):
-                link = next(iter(dom.select(box, ".result__a")), None)
+            for box in selectors.select(dom.parse(page or ""), ".result"):
+                link = next(iter(selectors.select(box, ".result__a")), None)
                 if link is None or "href" not in link.attrs:
                     continue
-                note = next(iter(dom.select(box, ".result__snippet")), None)
+                note = next(iter(selectors.select(box, ".result__snippet")), None)
                 rows.append({"href": link.attrs["href"], "title": dom.text_of(link), "description": dom.text_of(note) if note is not None else ""})
                 if len(rows) == limit:
                     break

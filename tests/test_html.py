@@ -1,9 +1,12 @@
 """Tree building, roots, Markdown, selectors, the UDFs."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from loomspark.functions import dom, html, markdown
+from loomspark.functions import dom, html, markdown, selectors
 
 ARTICLE = """<html lang="en"><head><title>Ordered &amp; article</title></head><body><nav><a href="/n">nav</a></nav><article><h1>First</h1><p>A <strong>bold</strong> word and <a href="../rel?x=1">a link</a>.</p>
 <h2>Second</h2><blockquote><p>Said one</p><p>Said two</p></blockquote><pre><code>x = 1
@@ -92,11 +95,74 @@ def test_title_is_not_put_before_an_equal_beginning():
 
 def test_selectors():
     page = dom.parse('<div class="a b"><p id=x>1</p><p data-k="v w">2</p><span>3</span></div>')
-    texts = lambda css: [dom.text_of(e) for e in dom.select(page, css)]
+    texts = lambda css: [dom.text_of(e) for e in selectors.select(page, css)]
     assert texts("div.a.b > p") == ["1", "2"] and texts("#x + p") == ["2"] and texts("[data-k~=w]") == ["2"] and texts("p ~ span") == ["3"] and texts("p:first-child, span") == ["1", "3"]
     for bad in ("", "a >", "p,,b", "$"):
         with pytest.raises(ValueError):
-            dom.compile_selector(bad)
+            selectors.compiled(bad)
+
+
+@pytest.mark.parametrize(
+    "css, want",
+    [
+        ("li:nth-child(2n+1)", "1 3 5"), ("li:nth-child(even)", "2 4"), ("li:nth-child(-n+2)", "1 2"), ("li:nth-last-child(1)", "5"), ("li:nth-of-type(3)", "3"), ("li:last-of-type, li:first-of-type", "1 5"), ("li:nth-child(n)", "1 2 3 4 5"), ("li:nth-child(0)", ""),
+        ("li:not(.c):not(:last-child)", "1 2 4"), ("li:is(.c, #four)", "3 4"), ("li:not(.c, #four)", "1 2 5"), ("ul:has(> li.c) > li:first-child", "1"), ("div:has(b) p", ""), ("li:has(b)", "5"), ("li:has(+ .c)", "2"), ("li:has(~ .c)", "1 2"), ("li:has(> i)", ""), ("ul li:only-child", ""), ("b:only-of-type", "5"),
+        ("[TITLE='Up' i]", "1"), ("[title=Up]", ""), ("[title|=up]", "1"), ("li:where(:not(:nth-child(n+3))) ", "1 2"), ("ul  >  li.c  ~  li", "4 5"), ("p:empty", ""), ("u:empty + li", ""), ("html:root li#four", "4"), ("li\\:x, li#four", "4"),
+    ],
+)
+def test_pseudo_classes(css, want):
+    page = dom.parse('<ul><li title="up">1</li><li>2</li><li class="c d">3</li><li id=four>4</li><li><b>5</b></li></ul><p></p>')
+    assert " ".join(dom.text_of(e) for e in selectors.select(page, css)) == want
+
+
+@pytest.mark.parametrize("css", ["", "a >", "> a", "p,,b", "$", "p:not(", "p:not()", "p:nth-child(x)", "p:nope", "p::before", "[a=]", "a)", ":has(> )", "p:first-child(2)"])
+def test_invalid_selectors(css):
+    with pytest.raises(ValueError):
+        selectors.compiled(css)
+
+
+def tried(e, steps):
+    """Matching by trying every ancestor and sibling."""
+    how, tests = steps[-1]
+    if not all(e.tag == t[1] if t[0] == "tag" else t[1] in e.attrs.get("class", "").split() for t in tests):
+        return False
+    if len(steps) == 1:
+        return True
+    own = list(e.parent.elements()) if e.parent else [e]
+    left, up, x = own[: next(i for i, c in enumerate(own) if c is e)], [], e.parent
+    while x is not None:
+        up.append(x)
+        x = x.parent
+    return any(tried(c, steps[:-1]) for c in {" ": up, ">": up[:1], "+": left[-1:], "~": left}[how])
+
+
+def test_selectors_equal_trying_all_ways():
+    rng = random.Random(6)
+    for _ in range(60):
+        parts = []
+        for _ in range(40):
+            tag = rng.choice(["div", "span", "b2"])
+            parts.append(rng.choice([f"<{tag} class={rng.choice('xyz')}>", f"</{tag}>"]))
+        page = dom.parse("".join(parts))
+        for _ in range(8):
+            css = rng.choice([" ", " > ", " + ", " ~ "]).join(rng.choice(["div", "span", ".x", "div.y", ".z"]) for _ in range(rng.randint(1, 4)))
+            assert [id(e) for e in selectors.select(page, css)] == [id(e) for e in [page, *page.walk()] if tried(e, selectors.compiled(css)[0])], css
+
+
+def test_deep_pages_take_seconds(spark):
+    """A hundred thousand levels: rendered, matched, and in one batch with a plain page."""
+    deep, began = 100_000, time.monotonic()
+    for tag in ("div", "b", "span", "em"):
+        assert rendered(f"<main>{f'<{tag}>' * deep}x") .replace("*", "") == "x"
+    lists = "<main>" + "<ul><li>" * 3_000 + "x"
+    assert rendered(lists) == "- " * 3_000 + "x"
+    assert rendered("<main>" + "<blockquote>" * 3_000 + "x").endswith("> x")
+    page = dom.parse("<section>" + "<div>" * deep + "<p>x")
+    assert len(selectors.select(page, "section div div div p")) == 1 and len(selectors.select(page, "section div ~ p")) == 0
+    assert len(selectors.select(page, "div:has(p):not(section > div)")) == deep - 1
+    pages = spark.createDataFrame([("https://e.com/deep", f"<main>{'<div>' * deep}deep</main>"), ("https://e.com/b", "<main><p>plain</main>")], "url string, html string")
+    assert sorted(r["markdown"] for r in html.extracted(pages, ["markdown"]).collect()) == ["deep", "plain"]
+    assert time.monotonic() - began < 120
 
 
 def test_columns(spark):

@@ -3,42 +3,76 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def percentile(value: str, p: float) -> Column:
-    """AGG5: nearest rank; null without values."""
-    return F.expr(f"percentile_disc({p}) within group (order by {value})")
-
-
 def _rate(part: Column, whole: Column, digits: int = 4) -> Column:
     return F.when(whole > 0, F.bround(part / whole, digits)).otherwise(F.lit(0.0))
 
 
-def summary(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """AGG6: samples (success, quality_passed boolean; quality_score; elapsed_ms; error) by keys.
-    Pages per minute are taken over the sum of elapsed_ms, the time of a run one at a time."""
-    n, ok = F.count(F.lit(1)), F.count_if("success")
-    return samples.groupBy(*keys).agg(
+def quantiles(cells: DataFrame, keys: Sequence[str], value: str, weight: str, ps: Sequence[int]) -> DataFrame:
+    """AGG5 by selection: for each key the nearest-rank percentiles (p50, ...) of whole numbers, from
+    cells (keys, value, weight: how many samples have it). Null values don't count.
+
+    Two passes of sums: over ranges of values, each as wide as the square root of the key's span,
+    to find the range that holds a rank; then over the values of that range. No list of values is
+    held, and a window holds a square root of the span at most."""
+    cells = cells.where(F.col(value).isNotNull())
+    spans = cells.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum(weight).alias("_n"))
+    spans = spans.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_lo", "_n", F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("_hi") - F.col("_lo") + 1))).cast("bigint").alias("_step"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    ranged = cells.join(spans, reduce(and_, same)).select(*keys, F.col(value).alias("_v"), F.col(weight).alias("_w"), "_n", F.floor((F.col(value) - F.col("_lo")) / F.col("_step")).alias("_range"))
+    upto = Window.partitionBy(*keys).orderBy("_range")
+    sums = ranged.groupBy(*keys, "_range", "_n").agg(F.sum("_w").alias("_c")).withColumn("_upto", F.sum("_c").over(upto))
+    rank = lambda n: F.greatest(F.lit(1), F.ceil(F.col("p") / 100.0 * n)).cast("bigint")
+    asked = sums.withColumn("p", F.explode(F.array(*[F.lit(p) for p in ps]))).withColumn("_rank", rank(F.col("_n")) - F.col("_upto") + F.col("_c"))
+    asked = asked.where("_rank between 1 and _c").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), "p", "_rank")
+    inside = Window.partitionBy(*keys, "p").orderBy("_v")
+    met = ranged.join(asked, reduce(and_, [*same, F.col("_range") == F.col("_r")])).withColumn("_upto", F.sum("_w").over(inside))
+    met = met.where("_rank between _upto - _w + 1 and _upto")
+    return met.groupBy(*keys).agg(*[F.max(F.when(F.col("p") == p, F.col("_v"))).alias(f"p{p}") for p in ps])
+
+
+def _cells(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sums of the samples alike in keys and elapsed_ms: all that a summary takes."""
+    return samples.groupBy(*keys, "elapsed_ms").agg(F.count(F.lit(1)).alias("n"), F.count_if("success").alias("ok"), F.count_if("quality_passed").alias("passed"), F.sum("quality_score").alias("score"), F.count("quality_score").alias("scored"), F.count("error").alias("errors"))
+
+
+def _summed(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    n, ok, passed = F.sum("n"), F.sum("ok"), F.sum("passed")
+    ps = (50, 95, 99)
+    out = cells.groupBy(*keys).agg(
         n.alias("sample_count"),
         ok.alias("success_count"),
         _rate(ok, n).alias("success_rate"),
-        F.count_if("quality_passed").alias("quality_pass_count"),
-        _rate(F.count_if("quality_passed"), n).alias("quality_pass_rate"),
-        F.bround(F.avg("quality_score"), 4).alias("average_quality_score"),
-        *[percentile("elapsed_ms", p / 100).cast("bigint").alias(f"p{p}_elapsed_ms") for p in (50, 95, 99)],
-        _rate(ok * 60000, F.sum("elapsed_ms"), 2).alias("successful_pages_per_minute"),
-        F.count("error").alias("error_count"),
+        passed.alias("quality_pass_count"),
+        _rate(passed, n).alias("quality_pass_rate"),
+        F.bround(F.sum("score") / F.nullif(F.sum("scored"), F.lit(0)), 4).alias("average_quality_score"),
+        _rate(ok * 60000, F.sum(F.col("elapsed_ms") * F.col("n")), 2).alias("successful_pages_per_minute"),
+        F.sum("errors").alias("error_count"),
     )
+    own = quantiles(cells, keys, "elapsed_ms", "n", ps).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.col(f"p{p}").cast("bigint").alias(f"p{p}_elapsed_ms") for p in ps])
+    joined = out.join(own, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]), "left")
+    return joined.select(*keys, "sample_count", "success_count", "success_rate", "quality_pass_count", "quality_pass_rate", "average_quality_score", *[f"p{p}_elapsed_ms" for p in ps], "successful_pages_per_minute", "error_count")
+
+
+def summary(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """AGG6: samples (success, quality_passed boolean; quality_score; elapsed_ms, whole; error) by
+    keys. Pages per minute are taken over the sum of elapsed_ms, the time of a run one at a time."""
+    return _summed(_cells(samples, keys), keys)
 
 
 def rollup(samples: DataFrame) -> DataFrame:
-    """AGG7: by (provider, case) and by provider, in one pass; percentiles of the upper level come
-    from the samples, not from the lower level. ``case`` is null on the upper level."""
-    both = samples.select("*", F.explode(F.array(F.col("case"), F.lit(None).cast("string"))).alias("_case"))
-    return summary(both.drop("case").withColumnRenamed("_case", "case"), ["provider", "case"])
+    """AGG7: by (provider, case) and by provider; ``case`` is null on the upper level. Samples are
+    counted once by (provider, case, elapsed_ms), and both levels are sums of these counts, so
+    percentiles of the upper level come from the samples, not from the lower level."""
+    cells = _cells(samples, ["provider", "case"])
+    upper = cells.groupBy("provider", "elapsed_ms").agg(*[F.sum(c).alias(c) for c in ("n", "ok", "passed", "score", "scored", "errors")])
+    return _summed(cells, ["provider", "case"]).unionByName(_summed(upper, ["provider"]).withColumn("case", F.lit(None).cast("string")))
 
 
 def cost_per_1000(total: Column, successes: Column, price: Column) -> Column:

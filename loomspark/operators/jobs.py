@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import numbered
+
 # Fixed values of the queue.
 LEASE_SECONDS = 90
 RETRYABLE = ("fetch_failed", "render_failed", "empty_content")
@@ -96,8 +98,9 @@ def results(tasks: DataFrame, offset: int = 0, limit: int = 100) -> DataFrame:
 def all_results(tasks: DataFrame) -> DataFrame:
     """LIM3: what a client has that asks for page after page until there is no next: every ended
     task of each job, in their order, as ``position``; a table needs no paging."""
-    order = Window.partitionBy("crawl_id").orderBy(F.col("finished_at").asc_nulls_last(), "id")
-    return tasks.where(F.col("status").isin("completed", "failed")).withColumn("position", (F.row_number().over(order) - 1).cast("bigint"))
+    ended = tasks.where(F.col("status").isin("completed", "failed"))
+    order = [F.col("finished_at").asc_nulls_last(), F.col("id")]
+    return numbered(ended, ["crawl_id"], order, "position").withColumn("position", F.col("position") - 1)
 
 
 def errors(tasks: DataFrame) -> DataFrame:
@@ -126,8 +129,8 @@ def claimable(jobs: DataFrame, tasks: DataFrame, now: Column) -> DataFrame:
 def claim(jobs: DataFrame, tasks: DataFrame, now: Column) -> DataFrame:
     """CRW5, JON11, WIN3: for each job, the task that would be claimed next: first by due time,
     then creation, then id; with its attempts and lease after the claim."""
-    order = Window.partitionBy("crawl_id").orderBy("next_attempt_at", "created_at", "id")
-    first = claimable(jobs, tasks, now).withColumn("_r", F.row_number().over(order)).where("_r = 1")
+    due = claimable(jobs, tasks, now)
+    first = due.groupBy("crawl_id").agg(F.min_by(F.struct(*[c for c in due.columns if c != "crawl_id"]), F.struct("next_attempt_at", "created_at", "id")).alias("_f")).select("crawl_id", "_f.*")
     return first.select("id", "crawl_id", "url", "depth", (F.col("attempts") + 1).alias("attempts"), (now + seconds(LEASE_SECONDS)).alias("lease_expires_at"), F.coalesce("started_at", now).alias("started_at"))
 
 
@@ -240,12 +243,12 @@ def admit(existing_tasks: DataFrame, found: DataFrame, jobs: DataFrame) -> DataF
     of each, while the job's tasks of any state stay below its page limit."""
     new = found.join(existing_tasks.select("crawl_id", "url"), ["crawl_id", "url"], "left_anti").join(existing_tasks.select("crawl_id", "dedup_key"), ["crawl_id", "dedup_key"], "left_anti")
     for key in ("url", "dedup_key"):
-        new = first_wins(new, ["crawl_id", key], ["ord", "url"]).where("accepted").drop("accepted")
+        # Aggregated before the shuffle, so a key may repeat as often as it likes.
+        new = new.groupBy("crawl_id", key).agg(F.min_by(F.struct(*[c for c in found.columns if c not in ("crawl_id", key)]), F.struct("ord", "url")).alias("_f")).select("crawl_id", key, "_f.*")
     have = existing_tasks.groupBy("crawl_id").agg(F.count(F.lit(1)).alias("_have"))
-    limit = jobs.select(F.col("id").alias("crawl_id"), "page_limit")
-    at = F.row_number().over(Window.partitionBy("crawl_id").orderBy("ord", "url"))
-    new = new.join(limit, "crawl_id").join(have, "crawl_id", "left").withColumn("_at", at)
-    return new.where(F.col("_at") + F.coalesce("_have", F.lit(0)) <= F.col("page_limit")).drop("_at", "_have", "page_limit")
+    limit = jobs.select(F.col("id").alias("crawl_id"), "page_limit").join(have, "crawl_id", "left")
+    new = numbered(new, ["crawl_id"], [F.col("ord"), F.col("url")], "_at").join(limit, "crawl_id")
+    return new.where(F.col("_at") + F.coalesce("_have", F.lit(0)) <= F.col("page_limit")).select(*found.columns)
 
 
 def batch_seed(requests: DataFrame, urls_col: str = "urls", most: int = 1000) -> DataFrame:

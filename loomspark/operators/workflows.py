@@ -232,14 +232,31 @@ class Limits:
         return "ok", 0
 
 
-def limiter(requests: DataFrame, per_minute: int = 120, concurrency: int = 16, key: str = "key", ts: str = "ts", until: str = "active_until") -> DataFrame:
+def segments(rows: DataFrame) -> DataFrame:
+    """(_k, _s, _segment) of rows (_key, _span: number of a span of time, _at, _until): spans of a
+    key with the segment that each belongs to, named by its first span.
+
+    A span begins a segment if nothing before it can count any more: no request within a minute
+    before its first one, and nothing active then, whatever was let in. A limiter's state is empty
+    there, so segments are folded apart. Spans are summed before they meet; a window holds one row
+    a span of a key."""
+    spans = rows.groupBy(F.col("_key").alias("_k"), F.col("_span").alias("_s")).agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"), F.max("_until").alias("_ends"))
+    by = Window.partitionBy("_k").orderBy("_s")
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    empty = (F.col("_first") - F.max("_last").over(before) >= 60_000_000) & F.coalesce(F.max("_ends").over(before) <= F.col("_first"), F.lit(True))
+    spans = spans.withColumn("_new", F.coalesce(empty, F.lit(True)))
+    return spans.withColumn("_segment", F.max(F.when(F.col("_new"), F.col("_s"))).over(by.rowsBetween(Window.unboundedPreceding, 0))).select("_k", "_s", "_segment")
+
+
+def limiter(requests: DataFrame, per_minute: int = 120, concurrency: int = 16, key: str = "key", ts: str = "ts", until: str = "active_until", span_s: int = 600) -> DataFrame:
     """WIN4 exactly: ``requests`` with a decision for each: ``ok``, ``concurrency`` or ``rate``, and
     the seconds after which to try again (``retry_after``). Rejected requests leave no trace, so each
     decision hangs on the ones before: a fold per key, whose state is what was let in within a
     minute or is active.
 
-    Rows are sorted by key and time inside partitions and folded as a stream, so no key is held in
-    memory as a whole. Requests of one instant go by the hash of their other columns, so that a
+    A key's requests are cut into segments (see ``segments``), so that one with most of the rows is
+    many tasks' work. Rows are sorted by segment and time inside partitions and folded as a stream, so
+    none is held in memory as a whole. Requests of one instant go by the hash of their other columns, so that a
     rerun decides alike. A null key is a key like others; rows with a null time come first in it
     and are rejected as ``rate`` without a trace; a null end is never active.
     """
@@ -249,15 +266,18 @@ def limiter(requests: DataFrame, per_minute: int = 120, concurrency: int = 16, k
     # Keys are compared by a rank-free image of theirs that has no null and no loss of kind.
     image = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
     rows = requests.select(F.struct(*names).alias("_row"), image.alias("_key"), micros(ts).alias("_at"), micros(until).alias("_until"), F.xxhash64(*plain).alias("_tie"))
-    rows = rows.repartition("_key").sortWithinPartitions("_key", "_at", "_tie")
+    rows = rows.withColumn("_span", F.floor(F.col("_at") / (span_s * 1_000_000)).cast("bigint"))
+    cuts = segments(rows)
+    rows = rows.join(cuts, (F.col("_key") == F.col("_k")) & F.col("_span").eqNullSafe(F.col("_s"))).drop("_k", "_s", "_span")
+    rows = rows.repartition("_key", "_segment").sortWithinPartitions("_key", "_segment", "_at", "_tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state = None, None
         for batch in batches:
             decisions, waits = [], []
-            for k, at, end in zip(*[batch.column(c).to_pylist() for c in ("_key", "_at", "_until")], strict=True):
-                if state is None or k != current:
-                    current, state = k, Limits(per_minute, concurrency)
+            for k, segment, at, end in zip(*[batch.column(c).to_pylist() for c in ("_key", "_segment", "_at", "_until")], strict=True):
+                if state is None or (k, segment) != current:
+                    current, state = (k, segment), Limits(per_minute, concurrency)
                 decision, wait = ("rate", 1) if at is None else state.decide(at, end)
                 decisions.append(decision)
                 waits.append(wait)

@@ -29,7 +29,8 @@ def _samples(spark, sf_dir):
 
 @query("agg5_percentiles", f"SELECT provider, quantile_disc(elapsed_ms, 0.5) AS p50, quantile_disc(elapsed_ms, 0.95) AS p95, quantile_disc(elapsed_ms, 0.99) AS p99 FROM ({SAMPLES}) GROUP BY provider")
 def agg5_percentiles(spark, sf_dir):
-    return _samples(spark, sf_dir).groupBy("provider").agg(*[E.percentile("elapsed_ms", p / 100).cast("bigint").alias(f"p{p}") for p in (50, 95, 99)])
+    cells = _samples(spark, sf_dir).groupBy("provider", "elapsed_ms").agg(F.count(F.lit(1)).alias("n"))
+    return E.quantiles(cells, ["provider"], "elapsed_ms", "n", (50, 95, 99))
 
 
 @query("agg6_sample_summary", f"SELECT provider, {COLUMNS}, round_even(avg(quality_score), 4) AS average_quality_score, round_even(count(*) FILTER (WHERE success) * 60000 / sum(elapsed_ms), 2) AS successful_pages_per_minute FROM ({SAMPLES}) GROUP BY provider")

@@ -198,3 +198,33 @@ def test_sections_with_ties_and_nulls(spark):
         got[r["k"]] = got.get(r["k"], "") + r["section"]
     of = lambda *urls: "\n\n---\n\n".join(f"# Source: {u}\n\nm" for u in urls)
     assert got == {"a": of(*"yyzxw"), None: of(*"yyzxw"), "n": of("v")}
+
+
+def test_limiter_in_segments_decides_as_one_fold(spark):
+    """A key with most requests is cut where nothing counts any more, and decisions stay the same."""
+    rng, rows = random.Random(12), []
+    for key, n, gap in (("hot", 900, 400), ("busy", 200, 20), (None, 30, 90)):
+        now = 0.0
+        for _ in range(n):
+            now += rng.expovariate(1) * (gap if rng.random() < 0.2 else 3)
+            at = T0 + timedelta(seconds=round(now, 3))
+            rows.append((key, at, at + timedelta(seconds=rng.choice([1, 30, 200])) if rng.random() < 0.9 else None, len(rows)))
+    df = spark.createDataFrame(rows, "key string, ts timestamp, active_until timestamp, n int").repartition(3)
+    ask = dict(per_minute=4, concurrency=3)
+    small, whole = (sorted(map(tuple, workflows.limiter(df, span_s=s, **ask).select("n", "decision", "retry_after").collect())) for s in (60, 10**9))
+    assert small == whole and {d for _, d, _ in small} == {"ok", "rate", "concurrency"}
+    micros = lambda c: F.unix_micros(c)
+    spans = workflows.segments(df.select(F.col("key").alias("_key"), micros("ts").alias("_at"), micros("active_until").alias("_until"), F.floor(micros("ts") / 60_000_000).alias("_span")))
+    assert spans.where("_k = 'hot'").select("_segment").distinct().count() > 20
+
+
+def test_quantiles_by_selection(spark):
+    rng = random.Random(2)
+    rows = [(k, rng.choice([None, rng.randint(-5, 5), rng.randint(0, 10**9), 7])) for k in ("a", "b", None) for _ in range(rng.randint(1, 400))] + [("one", 3), ("none", None)]
+    cells = spark.createDataFrame(rows, "k string, v bigint").groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+    got = {r["k"]: r for r in evaluation.quantiles(cells, ["k"], "v", "n", (1, 50, 95, 99, 100)).collect()}
+    for k in {r[0] for r in rows} - {"none"}:
+        own = sorted(v for x, v in rows if x == k and v is not None)
+        for p in (1, 50, 95, 99, 100):
+            assert got[k][f"p{p}"] == own[max(0, -(-p * len(own) // 100) - 1)], (k, p)
+    assert "none" not in got

@@ -124,15 +124,20 @@ def prometheus(metrics: DataFrame) -> DataFrame:
 
 
 def payload(content: Column) -> Column:
-    """JSN6: a provider's reply as (title, provider, rendered, status): the ``data`` object inside
-    it if there is one, with first known names."""
+    """JSN6: a provider's reply as (title, provider, rendered, status). Its page is the object
+    ``data``, or the reply itself where that isn't one. Title and provider are those of the page's
+    metadata, else the page's, else the reply's; status the page's, else the reply's; empty ones and
+    0 count as missing. Rendered is that of the metadata, else the page's."""
     v = F.try_parse_json(content)
-    get = lambda path, kind="string": F.coalesce(F.try_variant_get(v, f"$.data.{path}", kind), F.try_variant_get(v, f"$.{path}", kind))
+    get = lambda path, kind="string": F.try_variant_get(v, f"$.{path}", kind)
+    inner = F.coalesce(F.schema_of_variant(get("data", "variant")).startswith("OBJECT"), F.lit(False))
+    page = lambda path, kind="string": F.when(inner, get(f"data.{path}", kind)).otherwise(get(path, kind))
+    named = lambda name: F.coalesce(F.nullif(page(f"metadata.{name}"), F.lit("")), F.nullif(page(name), F.lit("")), get(name))
     return F.struct(
-        F.coalesce(get("title"), get("metadata.title")).alias("title"),
-        F.coalesce(get("metadata.provider"), get("provider")).alias("provider"),
-        F.coalesce(get("metadata.rendered", "boolean"), get("rendered", "boolean")).alias("rendered"),
-        F.coalesce(get("metadata.statusCode", "int"), get("status_code", "int")).alias("status"),
+        named("title").alias("title"),
+        named("provider").alias("provider"),
+        F.coalesce(page("metadata.rendered", "boolean"), page("rendered", "boolean")).alias("rendered"),
+        F.coalesce(F.nullif(page("status", "int"), F.lit(0)), get("status", "int")).alias("status"),
     )
 
 

@@ -21,14 +21,12 @@ def _list(values) -> str:
     return "[" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
-KINDS = [kind for kind, *_ in search.ERRORS] + ["something else"]
-
-
-def _text(v) -> str:
-    return "NULL" if v is None else f"'{v}'"
-
-
-ERRORS_SQL = ", ".join(f"('{k}', {status}, {_text(code)}, {_text(said)}, {str(again).lower()})" for k, status, code, said, again in search.ERRORS)
+#: What each kind of error is sent as, written out: the query is judged by it.
+ERRORS_SQL = """('invalid_url', 400, 'invalid_url', NULL, false), ('blocked', 403, 'blocked_by_policy', NULL, false), ('fetch_failed', 502, 'fetch_failed', NULL, true), ('render_failed', 502, 'render_failed', NULL, true),
+ ('empty_content', 422, 'empty_content', 'empty_content: No content could be extracted', false), ('storage_unavailable', 503, 'crawl_storage_unavailable', NULL, true), ('invalid_crawl', 400, 'invalid_crawl_request', NULL, false), ('conflict', 409, 'idempotency_key_already_used', NULL, false),
+ ('storage_failed', 500, 'crawl_storage_failed', NULL, true), ('llm_provider', 400, 'unsupported_llm_provider', NULL, false), ('llm_key', 400, 'missing_llm_api_key', NULL, false), ('llm_failed', 502, 'llm_request_failed', NULL, true), ('llm_response', 502, 'llm_response_invalid', NULL, false),
+ ('workflow', 503, 'workflow_storage_error', NULL, true), ('unauthorized', 401, 'unauthorized', 'Invalid web extraction API key', false), ('not_found', 404, 'crawl_not_found', 'Crawl job not found', false), ('invalid_request', 400, 'invalid_request', NULL, false), ('internal', 500, 'internal_error', NULL, false)"""
+KINDS = "invalid_url blocked fetch_failed render_failed empty_content storage_unavailable invalid_crawl conflict storage_failed llm_provider llm_key llm_failed llm_response workflow unauthorized not_found invalid_request internal".split() + ["something else"]
 
 
 @query(
@@ -323,8 +321,8 @@ def snk1_webhook(spark, sf_dir):
 
 @query(
     "str16_prompts",
-    """SELECT doc_id, 'URL:' || chr(10) || source || chr(10) || chr(10) || 'Schema fields and descriptions:' || chr(10) || '{' || chr(10) || '  "company": "who",' || chr(10) || '  "size": "number"' || chr(10) || '}' || chr(10) || chr(10) || 'Return a JSON object with exactly these field names. Use string values when the value is present. Use null when the page does not contain enough evidence.' || chr(10) || chr(10) || 'Page Markdown:' || chr(10) || substr(coalesce(text, ''), 1, 24000) AS fields,
- 'URLs:' || chr(10) || source || chr(10) || chr(10) || 'Instructions:' || chr(10) || 'Answer this question using only the page content: who is ' || coalesce(lang, 'x') || '?' || chr(10) || chr(10) || 'JSON Schema:' || chr(10) || '{' || chr(10) || '  "properties": {' || chr(10) || '    "answer": {' || chr(10) || '      "type": "string"' || chr(10) || '    }' || chr(10) || '  },' || chr(10) || '  "required": [' || chr(10) || '    "answer"' || chr(10) || '  ],' || chr(10) || '  "type": "object"' || chr(10) || '}' || chr(10) || chr(10) || 'Page Markdown:' || chr(10) || substr(coalesce(text, ''), 1, 24000) AS question FROM documents""",
+    """SELECT doc_id, 'Page address:' || chr(10) || source || chr(10) || chr(10) || 'Fields, and what each means:' || chr(10) || '{' || chr(10) || '  "company": "who",' || chr(10) || '  "size": "number"' || chr(10) || '}' || chr(10) || chr(10) || 'The object has these fields and no others; each is a text, or null where the page doesn''t say.' || chr(10) || chr(10) || 'Page:' || chr(10) || substr(coalesce(text, ''), 1, 24000) AS fields,
+ 'Page addresses:' || chr(10) || source || chr(10) || chr(10) || 'Task:' || chr(10) || 'Answer from the page alone: who is ' || coalesce(lang, 'x') || '?' || chr(10) || chr(10) || 'Schema:' || chr(10) || '{' || chr(10) || '  "properties": {' || chr(10) || '    "answer": {' || chr(10) || '      "type": "string"' || chr(10) || '    }' || chr(10) || '  },' || chr(10) || '  "required": [' || chr(10) || '    "answer"' || chr(10) || '  ],' || chr(10) || '  "type": "object"' || chr(10) || '}' || chr(10) || chr(10) || 'Pages:' || chr(10) || substr(coalesce(text, ''), 1, 24000) AS question FROM documents""",
 )
 def str16_prompts(spark, sf_dir):
     asked = F.format_string("who is %s?", F.coalesce("lang", F.lit("x")))

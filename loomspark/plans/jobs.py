@@ -70,7 +70,9 @@ def crw9_status(spark, sf_dir):
         f""", u AS (SELECT * FROM tasks QUALIFY count(*) OVER (PARTITION BY id) = 1), d AS (SELECT crawl_id, id, status, row_number() OVER (PARTITION BY crawl_id ORDER BY finished_at NULLS LAST, id) AS r, count(*) OVER (PARTITION BY crawl_id) AS n FROM u WHERE status IN ('completed', 'failed')),
  p AS (SELECT crawl_id, coalesce(string_agg(CASE WHEN status = 'completed' THEN '{{{{"n":' || id || '}}}}' END, ';' ORDER BY r) FILTER (WHERE r <= 2), '') AS data, max(n) AS n FROM d GROUP BY 1)
  SELECT j.id, true AS success, CASE WHEN j.status = 'queued' THEN 'scraping' ELSE j.status END AS status, coalesce(total, 0) AS total, coalesce(completed, 0) AS completed, coalesce(completed, 0) AS credits_used, epoch(expires_at)::BIGINT AS expires_at,
- coalesce(p.data, '') AS data, CASE WHEN p.n > 2 THEN '/v2/crawl/' || j.id || '?skip=2&limit=2' END AS next FROM jobs j LEFT JOIN ({COUNTS.replace('FROM tasks', 'FROM u')}) c ON c.crawl_id = j.id LEFT JOIN p ON p.crawl_id = j.id"""
+ coalesce(p.data, '') AS data, CASE WHEN p.n > 2 THEN '/v2/crawl/' || j.id || '?skip=2&limit=2' END AS next,
+ '{{{{"success":true,"id":"' || j.id || '","status":"' || CASE WHEN j.status = 'queued' THEN 'scraping' ELSE j.status END || '","total":' || coalesce(total, 0) || ',"completed":' || coalesce(completed, 0) || ',"creditsUsed":' || coalesce(completed, 0) || ',"expiresAt":' || coalesce('"' || strftime(expires_at, '%Y-%m-%dT%H:%M:%SZ') || '"', 'null')
+ || ',"data":[' || replace(coalesce(p.data, ''), ';', ',') || '],"next":' || CASE WHEN p.n > 2 THEN '"/v2/crawl/' || j.id || '?skip=2&limit=2"' ELSE 'null' END || '}}}}' AS body FROM jobs j LEFT JOIN ({COUNTS.replace('FROM tasks', 'FROM u')}) c ON c.crawl_id = j.id LEFT JOIN p ON p.crawl_id = j.id"""
     ).replace("{{", "{").replace("}}", "}"),
 )
 def jsn3_envelope(spark, sf_dir):
@@ -78,7 +80,7 @@ def jsn3_envelope(spark, sf_dir):
     # Some ids of the stand-in repeat, which a task's id doesn't.
     t = t.join(t.groupBy("id").count().where("count = 1"), "id", "left_semi")
     t = t.withColumn("result", F.when(F.col("status") == "completed", F.concat(F.lit('{"n":'), F.col("id").cast("string"), F.lit("}"))))
-    return J.envelope(j, t, limit=2).drop("body").withColumns({"data": F.array_join("data", ";"), "expires_at": F.unix_timestamp("expires_at")})
+    return J.envelope(j, t, limit=2).withColumns({"data": F.array_join("data", ";"), "expires_at": F.unix_timestamp("expires_at")})
 
 
 @query("srt1_pagination", _sql("SELECT crawl_id, id, position, CASE WHEN n > 3 THEN 3 END AS next FROM (SELECT crawl_id, id, row_number() OVER (PARTITION BY crawl_id ORDER BY finished_at NULLS LAST, id) - 1 AS position, count(*) OVER (PARTITION BY crawl_id) AS n FROM tasks WHERE status IN ('completed', 'failed')) WHERE position >= 1 AND position < 3"))

@@ -39,14 +39,12 @@ def htm20_blank_pages(spark, sf_dir):
     return html.extracted(p, ["markdown"]).where(text.trimmed(F.col("markdown")) == "").select("page_id", F.lit("empty_content").alias("error"))
 
 
-@query("htm23_enrichment", "SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 0 ELSE 2 END AS n_images, CASE WHEN page_id % 7 = 0 THEN '' ELSE '#top,/a?x=1#f,../up,javascript:x()' END AS hrefs, page_id % 7 = 0 AS blank, false AS has_html FROM pages")
+@query("htm23_enrichment", "SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 0 ELSE 2 END AS n_images, CASE WHEN page_id % 7 = 0 THEN '' ELSE '/a?x=1#f,#top,javascript:x(),/a?x=1#f,../up' END AS hrefs, page_id % 7 = 0 AS blank, false AS has_html FROM pages")
 def htm23_enrichment(spark, sf_dir):
     p = html.extracted(_pages(spark, sf_dir), ["title", "markdown"])
     e = search.enriched(p, ["images", "summary", "attributes", "deterministicJson"], schema={"properties": {"title": {"type": "string"}}}, selectors=[("article > a", "href")])
-    hrefs = F.array_join(F.sort_array(F.array_distinct(F.col("attributes")[0]["values"])), ",")
-    order = F.when(hrefs != "", F.lit("#top,/a?x=1#f,../up,javascript:x()")).otherwise(F.lit(""))
-    same = F.when(F.array_sort(F.split(order, ",")) == F.array_sort(F.split(hrefs, ",")), order).otherwise(hrefs)
-    return e.select("page_id", F.size("images").alias("n_images"), same.alias("hrefs"), (F.col("deterministicJson")["title"] == "empty").alias("blank"), F.lit("html" in e.columns).alias("has_html"))
+    hrefs = F.array_join(F.col("attributes")[0]["values"], ",")
+    return e.select("page_id", F.size("images").alias("n_images"), hrefs.alias("hrefs"), (F.col("deterministicJson")["title"] == "empty").alias("blank"), F.lit("html" in e.columns).alias("has_html"))
 
 
 @query("htm2_included_content", "SELECT page_id, CASE WHEN page_id % 7 = 0 THEN '' ELSE '<a href=\"/a?x=1#f\">A</a>' || chr(10) || '<a href=\"#top\">t</a>' || chr(10) || chr(10) || '<a href=\"/a?x=1#f\">again</a>' || chr(10) || '<a href=\"../up\">up</a>' END AS content FROM pages")

@@ -116,11 +116,28 @@ def win6_engine_choice(spark, sf_dir):
     return E.chosen_engine(c, "user_id").where("engine is not null").select("user_id", "engine", "score")
 
 
-@query("jsn6_payload", "SELECT event_id, event_type AS title, 'http' AS provider, true AS rendered, 200 AS status FROM events")
+#: Replies of every shape; {t} is a type of event, {n} a number.
+REPLIES = (
+    '{"data": {"title": "page {t}", "metadata": {"title": "{t}", "provider": "http", "rendered": false}, "rendered": true, "status": 2{n}}, "title": "reply", "status": 500}',
+    '{"data": {"title": "{t}", "metadata": {"title": "", "provider": null}, "provider": "browser", "rendered": true}, "status": 3{n}}',
+    '{"data": {"metadata": 7, "status": 0}, "title": "{t}", "provider": "tls", "rendered": true, "status": 4{n}}',
+    '{"data": "text", "title": "{t}", "metadata": {"provider": "cache", "rendered": true}, "status": 5{n}}',
+    '{"title": "", "metadata": {}, "rendered": false}',
+    "[1]",
+    "not json",
+)
+
+
+@query(
+    "jsn6_payload",
+    """SELECT event_id, CASE k WHEN 4 THEN '' WHEN 5 THEN NULL WHEN 6 THEN NULL ELSE event_type END AS title, CASE k WHEN 0 THEN 'http' WHEN 1 THEN 'browser' WHEN 2 THEN 'tls' WHEN 3 THEN 'cache' END AS provider,
+ CASE WHEN k IN (0, 4) THEN false WHEN k IN (1, 3) THEN true END AS rendered, CASE WHEN k < 4 THEN (k + 2) * 100 + 10 + event_id % 90 END AS status FROM (SELECT *, event_id % 7 AS k FROM events)""",
+)
 def jsn6_payload(spark, sf_dir):
-    meta = F.struct(F.lit("http").alias("provider"), F.lit(True).alias("rendered"), F.lit(200).alias("statusCode"))
-    body = F.to_json(F.struct(F.struct(F.col("event_type").alias("title"), meta.alias("metadata")).alias("data")))
-    return table(spark, sf_dir, "events").select("event_id", E.payload(body).alias("p")).select("event_id", "p.*")
+    n = F.col("event_id")
+    reply = F.element_at(F.array(*[F.lit(r) for r in REPLIES]), (n % 7 + 1).cast("int"))
+    body = F.replace(F.replace(reply, F.lit("{t}"), F.col("event_type")), F.lit("{n}"), (10 + n % 90).cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", E.payload(body).alias("p")).select("event_id", "p.title", "p.provider", "p.rendered", F.col("p.status").cast("bigint").alias("status"))
 
 
 @query("set3_key_union", """SELECT event_id, array_to_string(list_filter(['/' || event_type, '/both/x', CASE WHEN event_id % 2 = 0 THEN '/n' END, CASE WHEN event_id % 3 > 0 THEN '/same' END, '/zz'], lambda x: x IS NOT NULL), ' ') AS paths FROM (SELECT event_id, '!' || event_type AS event_type FROM events)""")

@@ -36,10 +36,10 @@ import pyarrow as pa
 import xxhash
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, shared_path, written
+from .common import Scratch, pieces, shared_path, written
 
 MAGIC = b"LOOMSST1"
 _FOOTER = struct.Struct("<QQQQQQI8s")
@@ -330,15 +330,24 @@ class Bounds:
         self.ids, self.hashes = array("q", [i or 0 for i, _ in bounds]), array("q", [h for _, h in bounds])
 
     @classmethod
-    def of(cls, sample: list[tuple[int | None, int, int]], shards: int) -> Bounds:
-        """From (id, hash, rows with them) of a sample: shards of about as many sampled rows."""
-        sample = sorted(sample, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
-        total, at, bounds = sum(x[2] for x in sample), 0, []
-        for i, h, n in sample:
-            at += n
-            while len(bounds) < shards - 1 and at * shards >= total * (len(bounds) + 1):
-                bounds.append((i, h))
-        return cls(bounds)
+    def of(cls, sample: DataFrame, shards: int, scratch: Scratch) -> Bounds:
+        """From (_id, _h, n: rows with them) of a sample: shards of about as many sampled rows. The
+        sample is sorted by ranges and summed in them and over them; the driver gets the bounds, at
+        most ``shards - 1`` rows."""
+        at = F.monotonically_increasing_id()
+        rows = sample.repartitionByRange("_id", "_h").sortWithinPartitions("_id", "_h")
+        rows = scratch.write(rows.select("_id", "_h", "n", F.shiftright(at, 33).alias("part"), at.alias("at")), "sample")
+        parts = rows.groupBy("part").agg(F.sum("n").alias("c"))
+        # A row for each range of the sort.
+        parts = scratch.write(parts.select("part", "c", (F.sum("c").over(Window.orderBy("part")) - F.col("c")).alias("before")), "parts")
+        total = parts.agg(F.sum("c")).first()[0]
+        inside = F.sum("n").over(Window.partitionBy("part").orderBy("at"))
+        upto = rows.join(F.broadcast(parts.select("part", "before")), "part").withColumn("upto", F.col("before") + inside)
+        passed = lambda c: F.floor(c * shards / total)
+        ends = upto.withColumn("ends", F.least(passed(F.col("upto")), F.lit(shards - 1)) - F.least(passed(F.col("upto") - F.col("n")), F.lit(shards - 1))).where("ends > 0")
+        found = sorted(ends.select("_id", "_h", "ends").collect(), key=lambda r: (r["_id"] is not None, r["_id"] or 0, r["_h"]))
+        scratch.drop("sample", "parts")
+        return cls([(r["_id"], r["_h"]) for r in found for _ in range(r["ends"])])
 
     def shard(self, doc_id: int | None, h: int, deal: int) -> int:
         """The shard of a row; ``deal`` spreads rows alike in both over the shards that they fill."""
@@ -350,7 +359,7 @@ class Bounds:
         return lo + deal % (hi - lo + 1) if hi - lo > 1 else lo
 
 
-def write(docs: DataFrame, path: str, end_id: int = 1, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", shard_rows: int = 16_384) -> DataFrame:
+def write(docs: DataFrame, path: str, end_id: int = 1, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", shard_rows: int = 1 << 20, shard_bytes: int = 64 << 20) -> DataFrame:
     """Encodes and writes ``docs`` as shards in ``folder`` (a new one in the shared folder by
     default); returns the manifest (shard, file, first, last, entries, tokens; first and last id),
     a row for each shard that has documents.
@@ -358,19 +367,20 @@ def write(docs: DataFrame, path: str, end_id: int = 1, folder: str | None = None
     ``end_id`` ends every document. Null text: that id alone. Null ids come first; documents with
     one id go by a hash of their text. An empty table gives no shards; other columns of ``docs``
     aren't read. Texts are encoded where they are read; what is dealt out by range of (id, hash) are
-    token ids. The ranges come from a sample of ids and hashes, about 32 a shard, 4,096 at least,
-    chosen by hash and counted, so a row repeated any number of times is one row of the sample.
+    token ids. A shard takes about ``shard_bytes`` of text and ``shard_rows`` rows at most. The ranges
+    come from a sample of ids and hashes, one in 512 but 4,096 at least, chosen by hash and counted, so
+    a row repeated any number of times is one row of the sample; the sample stays on the executors.
     """
-    spark = docs.sparkSession
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     folder = folder or shared_path(spark, "shards")
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("text")).withColumn("_h", F.xxhash64("text"))
-    total = docs.count()
-    shards = max(1, -(-total // shard_rows))
-    share = float(1 << 40) * min(1.0, max(32 * shards, 4_096) / max(1, total))
-    bounds = Bounds([])
-    if shards > 1:
-        counted = rows.select("_id", "_h").where(F.pmod(F.xxhash64("_h", "_id"), F.lit(1 << 40)) < share).groupBy("_id", "_h").agg(F.count(F.lit(1)).alias("n")).toArrow()
-        bounds = Bounds.of(list(zip(*[c.to_pylist() for c in counted.columns], strict=True)), shards)
+    total, seen = docs.count(), Observation()
+    share = float(1 << 40) * min(1.0, max(total / 512, 4_096, 32 * total / shard_rows) / max(1, total))
+    sizes = rows.observe(seen, F.sum(F.octet_length("text").cast("bigint")).alias("bytes"))
+    counted = scratch.write(sizes.select("_id", "_h").where(F.pmod(F.xxhash64("_h", "_id"), F.lit(1 << 40)) < share).groupBy("_id", "_h").agg(F.count(F.lit(1)).alias("n")), "counted")
+    shards = max(1, -(-total // shard_rows), -(-((total and seen.get["bytes"]) or 0) // shard_bytes))
+    bounds = Bounds.of(counted, shards, scratch) if shards > 1 else Bounds([])
+    scratch.drop("counted")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, at = encoder(path, end_id), TaskContext.get().partitionId()

@@ -27,7 +27,7 @@ def _events(spark, sf_dir: str) -> DataFrame:
     part = F.floor(F.datediff("ts", F.lit(FIRST)) / DAYS)
     for p in [r[0] for r in rows.select(part.alias("p")).distinct().orderBy("p").collect()]:
         rows.where(part == p).coalesce(1).write.mode("append").parquet(folder)
-    return streaming.file_stream(spark, folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    return streaming.file_stream(spark, folder, schema=rows.schema).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def drained(df: DataFrame, mode: str = "append") -> DataFrame:

@@ -3,25 +3,33 @@
 State is kept per key and by event time: timers fire as the watermark passes them, so a replay
 gives what the first run gave. Rows of a key that come in one micro-batch are put in order of time
 before they are judged, whatever chunks they come in.
+
+``feed`` and ``limited`` keep their state row by row, in maps and lists of a store that reads and writes
+what a batch touches (RocksDB, which ``row_state`` sets for the session): a batch costs what its own
+rows cost, however much a key has seen.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from ..operators.jobs import LEASE_SECONDS
 from ..operators.workflows import Limits
 
 
-def file_stream(spark: SparkSession, folder: str, per_trigger: int = 1, name: str = "*.parquet") -> DataFrame:
-    """Parquet files of a folder as they come, those whose name fits; their schema is that of the
-    ones there now."""
-    schema = spark.read.option("pathGlobFilter", name).option("recursiveFileLookup", True).parquet(folder).schema
+def file_stream(spark: SparkSession, folder: str, per_trigger: int = 1, name: str = "*.parquet", schema: StructType | None = None) -> DataFrame:
+    """Parquet files of a folder as they come, those whose name fits; without a schema, with that
+    of the ones there now."""
+    if schema is None:
+        schema = spark.read.option("pathGlobFilter", name).option("recursiveFileLookup", True).parquet(folder).schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).option("pathGlobFilter", name).option("recursiveFileLookup", True).parquet(folder)
 
 
@@ -41,34 +49,87 @@ def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(frames), ignore_index=True).sort_values("us", kind="stable")
 
 
+def row_state(spark: SparkSession) -> None:
+    """State by row needs this store; queries that run, and their checkpoints, keep theirs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _struct(**fields: object) -> StructType:
+    return StructType([StructField(n, t) for n, t in fields.items()])
+
+
+class _Timed(StatefulProcessor):
+    """Keeps one timer a key, so that a later one replaces it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.timer = handle.getValueState("timer", _struct(ms=LongType()))
+
+    def after(self, us: int, timers: object) -> None:
+        """The key's timer: at this event time, after the watermark as it must be."""
+        at = max(us // 1000, timers.getCurrentWatermarkInMs() + 1)
+        if self.timer.exists():
+            old = self.timer.get()[0]
+            if old == at:
+                return
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
+
+    def close(self) -> None:
+        pass
+
+
+class _Feed(_Timed):
+    """What has been sent of a job: a map of ids, asked and written one by one."""
+
+    def __init__(self, keep_us: int) -> None:
+        self.keep_us = keep_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.sent = handle.getMapState("sent", _struct(id=StringType()), _struct(yes=BooleanType()))
+        self.phase = handle.getValueState("phase", _struct(done=BooleanType()))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        frame, out = _in_order(rows), []
+        known = self.phase.exists()
+        done, at = known and self.phase.get()[0], int(frame["us"].max())
+        if not done:
+            fresh = [r for r in dict.fromkeys(frame["request_id"].dropna()) if not (known and self.sent.containsKey((r,)))]
+            out = [("document", [r], at) for r in fresh] if known else [("catchup", fresh, at)]
+            done = bool(frame["terminal"].any())
+            if done:
+                out.append(("done", [], at))
+                self.sent.clear()
+            else:
+                for r in fresh:
+                    self.sent.updateValue((r,), (True,))
+            self.phase.update((done,))
+        self.after(at + self.keep_us, timerValues)
+        # Lists go as JSON, and texts as plain objects: the way out of the worker knows no others.
+        texts = {"job_id": [key[0]] * len(out), "type": [o[0] for o in out], "ids": [json.dumps(o[1]) for o in out]}
+        if out:
+            yield pd.DataFrame({**{n: pd.Series(v, dtype=object) for n, v in texts.items()}, "at": [o[2] for o in out]})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        for state in (self.sent, self.phase, self.timer):
+            state.clear()
+        return iter(())
+
+
 def feed(events: DataFrame, key: str = "job_id", late: str = "10 minutes", keep_s: int = 3600) -> DataFrame:
     """STM1, the protocol: events (job_id, request_id or null, ts, terminal boolean) to messages
     (job_id, type, request_ids, at). What is there when a job is first seen comes as one
     ``catchup``; after that each page not sent yet is a ``document``; the row that ends a job gives
-    ``done``, after which nothing follows. State of a job is its sent ids; it goes ``keep_s`` of
-    event time after its last row.
+    ``done``, after which nothing follows. State of a job is a map of its sent ids, of which a batch
+    touches those that it has, and none after ``done``; it goes ``keep_s`` of event time after the
+    job's last row. Rows later than ``late`` go.
     """
-
-    def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        sent, done = (set(state.get[0]), state.get[1]) if state.exists else (set(), False)
-        rows, out = _in_order(frames), []
-        at = int(rows["us"].max())
-        if not done:
-            fresh = [r for r in dict.fromkeys(rows["request_id"].dropna()) if r not in sent]
-            out = [("document", [r], at) for r in fresh] if state.exists else [("catchup", fresh, at)]
-            sent.update(fresh)
-            if done := bool(rows["terminal"].any()):
-                out.append(("done", [], at))
-        state.update((sorted(sent), done))
-        _after(state, at + keep_s * 1_000_000)
-        yield pd.DataFrame({"job_id": [k[0]] * len(out), "type": [o[0] for o in out], "request_ids": [o[1] for o in out], "at": [o[2] for o in out]})
-
+    row_state(events.sparkSession)
     rows = events.select(F.col(key).cast("string").alias("job_id"), F.col("request_id").cast("string").alias("request_id"), "ts", F.unix_micros("ts").alias("us"), F.coalesce("terminal", F.lit(False)).alias("terminal")).where("ts is not null").withWatermark("ts", late)
-    out = rows.groupBy("job_id").applyInPandasWithState(fold, "job_id string, type string, request_ids array<string>, at bigint", "sent array<string>, done boolean", "append", GroupStateTimeout.EventTimeTimeout)
-    return out.withColumn("at", F.timestamp_micros("at"))
+    out = rows.groupBy("job_id").transformWithStateInPandas(_Feed(keep_s * 1_000_000), "job_id string, type string, ids string, at bigint", "Append", "EventTime")
+    return out.select("job_id", "type", F.from_json("ids", "array<string>").alias("request_ids"), F.timestamp_micros("at").alias("at"))
 
 
 def windowed(events: DataFrame, key: str, ts: str = "ts", width: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -112,24 +173,41 @@ def sessions(events: DataFrame, key: str, ts: str = "ts", gap_s: int = 1800, ttl
     return out.withColumns({c: F.timestamp_micros(c) for c in ("started_at", "ended_at")})
 
 
+class _Limited(_Timed):
+    """When requests of a key were let in within the last minute: a list that never holds more than
+    ``per_minute``."""
+
+    def __init__(self, per_minute: int, idle_us: int) -> None:
+        self.per_minute, self.idle_us = per_minute, idle_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.recent = handle.getListState("recent", _struct(us=LongType()))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        limits = Limits(self.per_minute, 1 << 62, sorted(r[0] for r in self.recent.get()) if self.recent.exists() else ())
+        times = _in_order(rows)["us"].tolist()
+        ok = [limits.decide(t)[0] == "ok" for t in times]
+        if limits.recent:
+            self.recent.put([(t,) for t in limits.recent])
+        elif self.recent.exists():
+            self.recent.clear()
+        self.after(times[-1] + self.idle_us, timerValues)
+        yield pd.DataFrame({"key": pd.Series([key[0]] * len(times), dtype=object), "ts": times, "allowed": ok})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        self.recent.clear()
+        self.timer.clear()
+        return iter(())
+
+
 def limited(requests: DataFrame, per_minute: int, key: str = "key", ts: str = "ts", idle_s: int = 300, late: str = "10 minutes") -> DataFrame:
     """STM3: the sliding limiter with state: let in unless the key had ``per_minute`` let in within
     60 seconds; keys idle for ``idle_s`` of event time are forgotten, rows later than ``late`` go, as
     do rows without a time. A null key is a key like others."""
-
-    def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        limits = Limits(per_minute, 1 << 62, state.get[0] if state.exists else ())
-        times = _in_order(frames)["us"].tolist()
-        ok = [limits.decide(t)[0] == "ok" for t in times]
-        state.update((list(limits.recent),))
-        _after(state, times[-1] + idle_s * 1_000_000)
-        yield pd.DataFrame({"key": [k[0]] * len(times), "ts": times, "allowed": ok})
-
+    row_state(requests.sparkSession)
     rows = requests.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("ts"), F.unix_micros(ts).alias("us")).where("ts is not null").withWatermark("ts", late)
-    out = rows.groupBy("key").applyInPandasWithState(fold, "key string, ts bigint, allowed boolean", "recent array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    out = rows.groupBy("key").transformWithStateInPandas(_Limited(per_minute, idle_s * 1_000_000), "key string, ts bigint, allowed boolean", "Append", "EventTime")
     return out.withColumn("ts", F.timestamp_micros("ts"))
 
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bitmap, marked, one_of_each
+from .common import Scratch, bitmap, marked
 
 PREFIX = 256
 _KEY = ["_n", "_p", "_h"]
@@ -104,6 +104,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = marked(docs.toDF(*names), bits, own_id)
     clear, doubtful = rows.where("not _maybe").select(*names), rows.where("_maybe")
     doubtful = doubtful.withColumn("_t", normalised(own_text)).select(*names, *_keys(F.col("_t"), prefix), F.unhex(F.sha2("_t", 256)).alias("_h"))
-    judged = doubtful.join(groups, _KEY, "left").where(f"_repeats is null or {own_id} <=> _keep")
-    one = judged.where("_repeats is null or _repeats = 1").select(*names)
-    return clear.union(one).union(one_of_each(judged.where("_repeats > 1"), _KEY, names)).toDF(*docs.columns)
+    # Rows alike in text and id are one row of each task before they meet.
+    plain = [c for c in names if docs.schema[names.index(c)].dataType.typeName() not in ("map", "variant")]
+    one = doubtful.groupBy(*_KEY, F.col(own_id).alias("_own")).agg(F.min_by(F.struct(*names), F.xxhash64(*plain)).alias("_one"))
+    judged = one.join(groups, _KEY, "left").where("_repeats is null or _own <=> _keep")
+    return clear.union(judged.select("_one.*")).toDF(*docs.columns)

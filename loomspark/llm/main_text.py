@@ -56,18 +56,18 @@ IMPLIED = {
 }
 #: Words of class, id or role that name what isn't article text; whole words only.
 UNWANTED = frozenset(
-    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer header masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted related respond share sharing shoutbox sidebar social sponsor sponsored subscribe toolbar complementary contentinfo search".split()
+    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs ccpa comment comments commentlist consent cookie cookies discussion disqus footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted related replies reply respond responses share sharing shoutbox sidebar social sponsor sponsored subscribe toolbar complementary contentinfo search".split()
 )
 #: Words one of which a whole name must hold ...
 BOXES = frozenset(
-    "ad ads advert advertisement adverts advertising breadcrumb breadcrumbs comment comments commentlist complementary contentinfo disqus menu menubar modal nav navbar navigation newsletter pager pagination popup promoted related respond share sharing shoutbox sidebar social sponsor sponsored toolbar".split()
+    "ad ads advert advertisement adverts advertising breadcrumb breadcrumbs ccpa comment comments commentlist complementary contentinfo disqus gdpr menu menubar modal nav navbar navigation newsletter pager pagination popup promoted related replies reply respond responses share sharing shoutbox sidebar social sponsor sponsored toolbar".split()
 )
 #: ... and words that may stand beside these in it.
 BESIDE = frozenset(
     "area articles banner bar block body bottom box button buttons container content entry even footer form header icons inner item items left links list main media meta odd outer panel post posts primary right secondary section site slot text thread top tree unit widget widgets wrap wrapper".split()
 )
 #: Reader comments: an article element of such a name is one.
-COMMENTS = frozenset("comment comments commentlist disqus respond shoutbox".split())
+COMMENTS = frozenset("comment comments commentlist disqus replies reply respond responses shoutbox".split())
 #: Notices about cookies: a name of both.
 COOKIES = frozenset("cookie cookies".split())
 NOTICES = frozenset("banner bar consent info message modal notice policy popup text".split())
@@ -75,6 +75,14 @@ ADVERTS = frozenset("ad ads advert advertisement adverts advertising sponsored".
 #: Elements of the text itself, as are all that aren't blocks.
 HEADS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 TEXT = HEADS | frozenset("blockquote dd dt figcaption li p pre summary td th tr".split())
+#: Roles of boxes that stand over the page or tell of its state.
+OVERLAYS = frozenset("alert alertdialog dialog status".split())
+#: Links that answer a comment, whole.
+REPLY = re.compile(r"(?:reply|reply to .{1,40}|antworten|répondre|responder|responder a .{1,40})", re.I)
+#: Elements that may be one comment of a list.
+ITEMS = frozenset("article dd div li section".split())
+#: Elements that go with the text beside them, whatever their points.
+PROSE = HEADS | frozenset("blockquote dl figure ol p pre table ul".split())
 #: Names of articles.
 ARTICLES = frozenset("article entry post story".split())
 #: Words that speak for a box even so.
@@ -84,6 +92,7 @@ _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)
 #: Attributes in order, each a whole name with its value; quoted values are passed over whole.
 _ATTR = re.compile(r"""([^\s"'/=>][^\s/=>]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _NAME = re.compile(r"[A-Za-z][a-z]*")
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!important\s*)?(?:;|$)", re.I)
 
 
 class Node:
@@ -103,8 +112,12 @@ class Node:
                 if name in ("class", "id", "role"):
                     found.update(x.lower() for x in _NAME.findall(a or b or c))
                     whole.update((a or b or c).split())
+                    if name == "role" and (a or b or c).strip().lower() in OVERLAYS:
+                        self.hidden = True
                 elif name == "hidden" or (name == "aria-hidden" and (a or b or c).strip().lower() == "true"):
                     self.hidden = True
+                elif name == "style" and _UNSEEN.search(a or b or c):
+                    self.hidden = True
             self.names, self.whole = frozenset(found), frozenset(whole)
 
     def unwanted(self, inside: bool, headed: bool, holds: Callable[[Node], bool]) -> bool:
@@ -123,7 +136,8 @@ class Node:
             return self.tag not in HEADS and any(x.lower() in ADVERTS for x in self.whole)
         if not self.names & UNWANTED:
             return False
-        sure = any(map(_box, self.whole))
+        # A paper has a section of that name too, but inside.
+        sure = any(map(_box, self.whole)) or (not inside and any(_words(x) & {"discussion"} and _words(x) <= {"discussion"} | BESIDE for x in self.whole))
         if not sure and (inside or self.names & WANTED):
             return False
         # What no word speaks for goes whole; a name that could be a layout's, if no article is in it.
@@ -232,8 +246,44 @@ def _plain(text: str) -> str:
     return " ".join(html.unescape(text).split()) if "&" in text else " ".join(text.split())
 
 
+def _uncommented(root: Node) -> None:
+    """Takes out reader comments that no name gives away: lists whose items mostly hold a link or
+    button to reply. What holds half of the page's text, or its headline, stays."""
+    order = _measure(root)
+    items: dict[int, Node] = {}
+    for node in order:
+        if node.tag in ("a", "button") and node.size <= 60 and REPLY.fullmatch(_plain(_text(node))):
+            up = node.parent
+            while up is not None and up.tag not in ITEMS:
+                up = up.parent
+            # The item is what stands in a list with others like it.
+            while up is not None and up.parent is not None and sum(1 for c in up.parent.children if not isinstance(c, str) and c.tag in ITEMS) == 1 and up.parent.tag in ITEMS and up.parent.size == up.size:
+                up = up.parent
+            if up is not None:
+                items[id(up)] = up
+    if not items:
+        return
+    headed = {}
+    for node in reversed(order):
+        headed[id(node)] = node.tag in ("h1", "main") or any(headed.get(id(c)) for c in node.children if not isinstance(c, str))
+    lists = {id(x.parent): x.parent for x in items.values() if x.parent is not None}
+    for box in lists.values():
+        own = [c for c in box.children if not isinstance(c, str) and c.tag not in HEADS and c.tag != "form"]
+        marked = [c for c in own if id(c) in items and 2 * c.size < root.size and not headed[id(c)]]
+        if 2 * len(marked) >= len(own) and 2 * box.size < root.size and not headed[id(box)] and box.parent is not None:
+            box.parent.children = [c for c in box.parent.children if c is not box]
+        elif marked:
+            gone = {id(c) for c in marked}
+            box.children = [c for c in box.children if isinstance(c, str) or id(c) not in gone]
+
+
+def _text(node: Node) -> str:
+    return "".join([c if isinstance(c, str) else "".join(x for x in c.children if isinstance(x, str)) for c in node.children])
+
+
 def _clean(root: Node) -> None:
     """Takes unwanted parts out, with an explicit stack: pages may be deep."""
+    _uncommented(root)
 
     def holds(node: Node) -> bool:
         """An article that isn't a comment, a main element or a headline within; found for all
@@ -381,9 +431,11 @@ def extract(page: str | None) -> str:
     while up is not None and up.tag not in ("article", "main"):
         up = up.parent
     best = up or best
+    best = _lifted(best)
     if best.parent is None or best.tag in ("body", "html"):
         return "\n".join(_blocks(best))
     share = best.points * 0.2
+    own = best.tag in ("article", "main")
     keep = []
     for other in best.parent.children:
         if other is best:
@@ -395,11 +447,25 @@ def extract(page: str | None) -> str:
             alike = other.tag == "article" == best.tag or (bool(other.names) and other.names == best.names)
             prose = other.tag == "p" and ((other.size > 80 and links < 0.25) or (0 < other.size <= 80 and links == 0 and re.search(r"[.!?](\s|$)", " ".join(_blocks(other)))))
             headline = other.tag in ("h1", "h2", "h3") and links < 0.25
-            if other.points >= (share if alike else max(10.0, share)) or prose or headline:
+            # An article element has its text in it; beside another container, text is judged by links alone.
+            text = not own and other.size > other.linked and links < 0.25 and (other.tag in PROSE or (other.tag in ("div", "section") and other.size - other.linked >= 80))
+            if other.points >= (share if alike else max(10.0, share)) or prose or headline or text:
                 keep.append(other)
     return "\n".join(x for k in keep for x in _blocks(k))
 
 
+def _lifted(best: Node) -> Node:
+    """The outermost container around ``best`` all of whose parts are text: nothing that is mostly
+    links stands beside it on the way. An article or main element stays, as does what is in the
+    body itself."""
+    while best.tag not in ("article", "main", "body", "html") and best.parent is not None and best.parent.tag not in ("body", "html"):
+        beside = [c for c in best.parent.children if not isinstance(c, str) and c is not best and c.size]
+        if any(2 * c.linked >= c.size for c in beside):
+            break
+        best = best.parent
+    return best
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", carry: dict[str, Column] | None = None) -> DataFrame:
     """One row per row of ``pages``: id, the columns of ``carry``, text and n_chars.
 

@@ -424,3 +424,45 @@ def queries_written(df, name):
     from loomspark.llm.common import written
 
     return written(df, name)
+
+
+AROUND = '<html><body><nav><a href="/">Home</a> <a href="/x">More</a></nav>{}<footer>Imprint, all rights</footer></body></html>'
+LONG = "This is a long sentence of the article, with commas, and enough words to be taken for prose by anyone."
+
+
+@pytest.mark.parametrize(
+    "box",
+    [
+        '<section class="responses"><div><p>Nice one, thank you for this, I liked it a lot, really.</p></div></section>',
+        '<div class="replies"><p>I do not agree with this at all, and I will say why, at length, here.</p></div>',
+        '<ol class="reply-list"><li>Ann: I think so too, and so does my neighbour, who reads this.</li></ol>',
+        '<section id="discussion"><div>Bob wrote that he had seen it before, and that it was better then.</div></section>',
+        '<div class="q1"><div><b>Ann</b> <time>today</time><p>A remark, rather long, as remarks go, on this article.</p><a href="#r">Reply</a></div><div><b>Bo</b><p>Another remark, also long, and with commas, too.</p><button>Reply</button></div></div>',
+        '<div role="dialog"><p>Please subscribe to our letter, it is free, and comes each week.</p></div>',
+        '<div role="alert">We use a new layout, tell us what you think, please, and thank you.</div>',
+        '<div class="gdpr"><p>We store data on your device, for several purposes, with partners.</p></div>',
+        '<div style="color:red; display: none"><p>Nobody sees this text, as it is hidden, but it is long, very long.</p></div>',
+        '<p style="visibility:hidden">Nobody sees this text either, hidden as it is, though it takes room.</p>',
+    ],
+)
+def test_main_text_leaves_out_comments_and_notices(box):
+    for article in (f"<article><h1>Head</h1><p>{LONG}</p><p>{LONG} Again.</p></article>{{}}", f"<div><h1>Head</h1><p>{LONG}</p><p>{LONG} Again.</p></div>{{}}", f"<article><h1>Head</h1><p>{LONG}</p><p>{LONG} Again.</p>{{}}</article>"):
+        if "discussion" in box and article.endswith("{}</article>"):
+            continue  # a paper's section has that name too
+        assert main_text.extract(AROUND.format(article.format(box))) == f"Head\n{LONG}\n{LONG} Again."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<div><section><h2>One</h2><p>{LONG}</p></section><section><h2>Two</h2><p>{LONG}</p></section><section><p>Three, short.</p></section></div>", f"One\n{LONG}\nTwo\n{LONG}\nThree, short."),
+        (f"<div><p class=lead>In short</p><div><p>{LONG}</p><p>{LONG}</p></div><ul><li>first point</li><li>second</li></ul></div>", f"In short\n{LONG}\n{LONG}\nfirst point\nsecond"),
+        (f"<div><div><p>{LONG}</p><p>{LONG}</p></div><pre>x = 1</pre></div>", f"{LONG}\n{LONG}\nx = 1"),
+        (f"<div><div><p>{LONG}</p><p>{LONG}</p></div><table><tr><td>a</td><td>b</td></tr></table></div>", f"{LONG}\n{LONG}\na\nb"),
+        (f'<div><div><p>{LONG}</p><p>{LONG}</p></div><ul><li><a href="/1">other page</a></li><li><a href="/2">one more</a></li></ul></div>', f"{LONG}\n{LONG}"),
+        (f"<article><h1>Paper</h1><section id=discussion><h2>Discussion</h2><p>{LONG}</p></section></article>", f"Paper\nDiscussion\n{LONG}"),
+        (f'<article><p>{LONG}</p><p>{LONG}</p><p>Write to us. <a href="/m">Reply</a></p></article>', f"{LONG}\n{LONG}\nWrite to us. Reply"),
+    ],
+)
+def test_main_text_keeps_all_of_the_article(page, want):
+    assert main_text.extract(AROUND.format(page)) == want

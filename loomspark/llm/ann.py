@@ -10,7 +10,10 @@ byte can have, for each pair of parts and query: one addition per byte, vector a
 the best ``rerank`` of each block of vectors and computes their exact cosine in double precision on
 the original vectors. That is a first batch: a vector's cosine is at most its quantised score plus
 the norm of its residual, so every vector whose sum reaches the exact score of the last one wanted
-is reranked too. Nothing else can be among the nearest, and the answer is exact.
+may be among the nearest. That norm is wide, so the residual has a code of its own, of eight bits a
+component, whose score is added for these vectors only; what it leaves over is a hundredth of the
+norm, and what still reaches the bar, a few vectors, is reranked. Nothing else can be among the
+nearest, and the answer is exact.
 
 Equal vectors are scanned once, with the least ids that could be asked for, so a vector that a
 third of the rows hold costs no more than another. Vectors are dealt into blocks of bounded size
@@ -71,6 +74,10 @@ class Quantiser:
                 break
         return code.T.astype(np.uint8)
 
+    def decoded(self, code: np.ndarray) -> np.ndarray:
+        """The vectors that the codes stand for, padded to whole parts."""
+        return self.centres[np.arange(code.shape[1])[None, :], code].reshape(len(code), -1)
+
     def reach(self, x: np.ndarray, code: np.ndarray) -> np.ndarray:
         """What the score of each coded vector can lack for a query of unit length: the norm of its
         residual, and a little for single-precision scores."""
@@ -162,6 +169,13 @@ class Block:
         self.first = np.array([i[0] for i in ids])
         codes = model.codes(x)
         self.codes, self.reach = packed(codes), model.reach(x, codes)
+        # The residual in whole steps of its greatest component.
+        rest = x - model.decoded(codes)[:, : x.shape[1]]
+        self.step = np.maximum(np.abs(rest).max(axis=1), 1e-30) / 127
+        self.fine = np.rint(rest / self.step[:, None]).astype(np.int8)
+        left = rest - self.fine * self.step[:, None]
+        self.left = np.sqrt((left * left).sum(axis=1)) + (codes.shape[1] + 2 * x.shape[1] + 8) * 2.0**-22
+        self.reckoned = 0
 
     def nearest(self, a: np.ndarray, k: int, rerank: int, chunk: int) -> Iterator[list[tuple[list[int], float]]]:
         """For each query, the k vectors of greatest cosine: their ids and that, ties to smaller ids."""
@@ -174,12 +188,15 @@ class Block:
                 more = score + self.reach >= bar
                 more[near] = False
                 more = np.flatnonzero(more)
+                finer = score[more] + (self.fine[more].astype(np.float32) @ q.astype(np.float32)) * self.step[more]
+                more = more[finer + self.left[more] >= bar]
+                self.reckoned += len(near) + len(more)
                 near, exact = np.concatenate([near, more]), np.concatenate([exact, (self.x[more] * q).sum(axis=1)])
             yield [(self.ids[near[t]], float(exact[t])) for t in np.lexsort((self.first[near], -exact))[:k]]
 
 
 def neighbours(
-    vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = 8_192, eta: float = 3.0, rerank: int = 64, block_rows: int = 16_384, block_queries: int = 256, chunk: int = 512
+    vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = 8_192, eta: float = 3.0, rerank: int = 64, block_rows: int = 16_384, block_floats: int = 1 << 20, block_queries: int = 256, chunk: int = 512
 ) -> DataFrame:
     """(query_id, rank from 1, id, score): the k of ``vectors`` nearest to each of ``queries`` by
     cosine, itself (its id) excepted; nearest first, ties to smaller ids, fewer if there are fewer.
@@ -191,7 +208,8 @@ def neighbours(
 
     A quantiser is fitted for each length that queries have, on about ``sample`` vectors, those
     least by a hash of the id; every vector is coded and scanned, and the result is that of exact
-    search. ``rerank`` sizes the first batch of exact scores and cuts nothing.
+    search. ``rerank`` sizes the first batch of exact scores and cuts nothing. A block has
+    ``block_rows`` vectors, or fewer long ones: ``block_floats`` components.
     """
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession)
     kind = "query_id bigint, rank int, " + f"{id_col} bigint, score double"
@@ -220,7 +238,7 @@ def neighbours(
     # Equal vectors once, with the k + 1 least ids: no more can be among the k of any query.
     least = rows.withColumn("_r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("_r") <= k + 1)
     least = least.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    blocks = F.element_at(F.create_map(*[F.lit(x) for d, n in totals.items() for x in (d, -(-n // block_rows))]), F.size("v"))
+    blocks = F.element_at(F.create_map(*[F.lit(x) for d, n in totals.items() for x in (d, -(-n // min(block_rows, max(64, block_floats // d))))]), F.size("v"))
     left = least.select(F.size("v").alias("d"), F.pmod(F.xxhash64(F.element_at("ids", 1)), blocks).cast("int").alias("i"), F.lit(None).cast("bigint").alias("q"), "ids", "v")
     right = keys.where(F.size("v").isin(list(totals))).select(F.size("v").alias("d"), F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)).alias("i"), "q", F.lit(None).cast("array<bigint>").alias("ids"), "v")
 

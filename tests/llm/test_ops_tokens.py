@@ -466,3 +466,18 @@ def test_main_text_leaves_out_comments_and_notices(box):
 )
 def test_main_text_keeps_all_of_the_article(page, want):
     assert main_text.extract(AROUND.format(page)) == want
+
+
+def test_few_vectors_are_reranked():
+    """The answer is exact, and what the codes can't rule out is a small share, at any length."""
+    rng = np.random.default_rng(5)
+    for dims, n in ((64, 12_000), (768, 1_365)):
+        x = rng.normal(size=(n, dims))
+        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+        block = ann.Block(ann.fit(x[:1_000], rounds=3), [[i] for i in range(n)], x)
+        asked = x[:40]
+        for i, found in enumerate(block.nearest(asked, 6, 16, 512)):
+            want = np.lexsort((np.arange(n), -(x @ x[i])))[:6]
+            assert [f[0][0] for f in found] == want.tolist()
+        print(dims, block.reckoned / 40 / n)
+        assert block.reckoned < 0.05 * 40 * n

@@ -215,7 +215,9 @@ def _links(source: DataFrame, classes: DataFrame, threshold: int, width: int, sc
     # A bucket needs two members; its leader is the class of least id, of several the least class.
     heads = write(slots.groupBy("key").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1"), "heads")
     members = write(marked(slots, write(bitmap(heads, "key"), "bits"), "key").where("_maybe").join(heads, "key").select("key", "cls", "size", (F.col("rep") == F.col("least")).alias("first")), "members")
-    members = write(members.drop("first").join(members.where("first").groupBy("key").agg(F.min("cls").alias("lead")), "key"), "buckets")
+    # Written, so that the join with them can be split where a bucket is large.
+    leads = write(members.where("first").groupBy("key").agg(F.min("cls").alias("lead")), "leads")
+    members = write(members.drop("first").join(leads, "key"), "buckets")
     wanted = members.select("cls").distinct()
     some = write(marked(classes, write(bitmap(members, "cls"), "bits"), "cls").where("_maybe").join(wanted, "cls", "left_semi").select("cls", "rep", "n", "s1", "s2", "regs"), "registers")
     names = some.select(F.col("rep").alias("_id"), "n", "s1", "s2", "cls")
@@ -257,7 +259,7 @@ def _links(source: DataFrame, classes: DataFrame, threshold: int, width: int, sc
     cells = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "cls")
     late = cells.select("cls", "n", "comp", "block", "regs", "i", "j", "key", "short").mapInArrow(_compare_cells(threshold), "a bigint, b bigint").distinct()
     found = write(links.union(confirmed(write(late, "late"))), "all-links")
-    scratch.drop("heads", "bits", "members", "buckets", "parts", "registers", "shingles", "plausible", "links", "first", "late", *_labels(scratch))
+    scratch.drop("heads", "bits", "members", "leads", "buckets", "parts", "registers", "shingles", "plausible", "links", "first", "late", *_labels(scratch))
     return found
 
 
@@ -287,10 +289,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = rows.where("cls is not null").join(same.select("_id", "a"), "_id").where("cls <> a").select("a", F.col("cls").alias("b")).distinct()
     linked = scratch.write(links.union(same), "edges")
     nodes = linked.select(F.col("a").alias("_id")).union(linked.select(F.col("b").alias("_id"))).distinct()
-    comps = components(nodes, linked, scratch).select(F.col("_id").alias("cls"), "comp").join(classes.select("cls", "rep"), "cls")
-    least = comps.groupBy("comp").agg(F.min("rep").alias("_least"))
+    comps = scratch.write(components(nodes, linked, scratch).select(F.col("_id").alias("cls"), "comp").join(classes.select("cls", "rep"), "cls"), "members")
+    least = scratch.write(comps.groupBy("comp").agg(F.min("rep").alias("_least")), "leads")
     least = scratch.write(comps.join(least, "comp").select("cls", "_least"), "components")
-    scratch.drop("classes", "all-links", "edges", *_labels(scratch))
+    scratch.drop("classes", "all-links", "edges", "members", "leads", *_labels(scratch))
 
     out = rows.join(least, "cls", "left")
     comp = F.when(F.col("cls").isNull(), F.col("_id")).otherwise(F.coalesce("_least", "rep"))
@@ -315,6 +317,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = [f"_k{i}" for i in range(len(docs.columns))]
     own = F.col(names[docs.columns.index(id_col)]).cast("bigint")
     rows = marked(docs.toDF(*names).withColumn("_of", own), scratch.write(bitmap(fate, "_of"), "doubtful"), "_of")
-    clear, doubtful = rows.where("not _maybe").select(*names), rows.where("_maybe").join(fate, "_of", "left")
-    one = one_of_each(doubtful.where("_stays"), ["_of"], names)
-    return clear.union(doubtful.where("_stays is null").select(*names)).union(one).toDF(*docs.columns)
+    # Repeats of an id meet once they are one row of each task; those without an id stay as they are.
+    clear, doubtful = rows.where("not _maybe or _of is null").select(*names), rows.where("_maybe and _of is not null")
+    one = one_of_each(doubtful, ["_of"], names).withColumn("_of", own).join(fate, "_of", "left")
+    return clear.union(one.where("coalesce(_stays, true)").select(*names)).toDF(*docs.columns)

@@ -54,7 +54,8 @@ def highlights(text: Column, query: str, most: int = 5, chars: int = 500) -> Col
     return F.slice(F.filter(found, lambda p: p != ""), 1, most)
 
 
-def _passages(markdown: Column) -> Column:
+def passages(markdown: Column) -> Column:
+    """The parts between blank lines, trimmed, without empty ones and headings."""
     return F.filter(F.transform(F.split(markdown, "\n\n"), trimmed), lambda p: (p != "") & ~p.startswith("#"))
 
 
@@ -66,13 +67,13 @@ def term_overlap(passage: Column, query: str) -> Column:
 
 def best_passage(markdown: Column, query: str, chars: int = 2000) -> Column:
     """STR4, WIN7: the passage with most terms, of equals the last; without passages, all."""
-    ranked = F.transform(_passages(markdown), lambda p, i: F.struct(term_overlap(p, query).alias("n"), i.alias("i"), p.alias("p")))
+    ranked = F.transform(passages(markdown), lambda p, i: F.struct(term_overlap(p, query).alias("n"), i.alias("i"), p.alias("p")))
     return F.substring(F.coalesce(F.array_max(ranked)["p"], trimmed(markdown)), 1, chars)
 
 
 def summary(markdown: Column, chars: int = 500) -> Column:
     """STR5: the first passage that isn't a heading, else all."""
-    return F.substring(F.coalesce(F.try_element_at(_passages(markdown), F.lit(1)), trimmed(markdown)), 1, chars)
+    return F.substring(F.coalesce(F.try_element_at(passages(markdown), F.lit(1)), trimmed(markdown)), 1, chars)
 
 
 def first_email(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import html, quality, text, urls
-from ..operators import search
+from ..operators import postings, search
 from ..sources import feeds, robots
 from . import query, table
 
@@ -275,6 +275,26 @@ def str4_best_passage(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.best_passage(markdown_col(), "The QUE license of").alias("passage"))
 
 
+#: Three long words of each turn are a query; a word counts wherever it stands.
+TURN_QUERIES = "SELECT conv_id * 1000 + turn AS query_id, array_to_string(list_filter(regexp_extract_all(text, '[\\p{L}\\p{N}]+'), lambda w: length(w) >= 8)[:3], ' ') AS query FROM conversations"
+
+
+@query(
+    "str4_many_queries",
+    f"""WITH q AS ({TURN_QUERIES}), t AS (SELECT DISTINCT query_id, lower(unnest(string_split(query, ' '))) AS term FROM q WHERE query <> ''),
+p AS (SELECT doc_id, i - 1 AS pos, ps[i] AS passage FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, {PASSAGES} AS ps FROM documents))),
+u AS (SELECT DISTINCT term FROM t), h AS (SELECT term, doc_id, pos, passage FROM u JOIN p ON contains(lower(passage), term)),
+o AS (SELECT query_id, doc_id, pos, passage, count(*) AS overlap FROM t JOIN h USING (term) GROUP BY ALL)
+SELECT query_id, doc_id, overlap, pos, substr(passage, 1, 100) AS passage FROM o QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY overlap DESC, pos DESC) = 1""",
+)
+def str4_many_queries(spark, sf_dir):
+    """The best passage of every document for every one of many queries that it fits."""
+    words = F.filter(F.regexp_extract_all(F.col("text"), F.lit(r"[\p{L}\p{N}]+"), 0), lambda w: F.length(w) >= 8)
+    asked = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.array_join(F.slice(words, 1, 3), " ").alias("query"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", markdown_col().alias("text"))
+    return postings.best_passages(docs, asked, "doc_id", chars=100).withColumn("pos", F.col("pos").cast("bigint"))
+
+
 @query("str5_summary", f"SELECT doc_id, substr(coalesce({PASSAGES}[1], regexp_replace({MARKDOWN}, '^\\s+|\\s+$', '', 'g')), 1, 500) AS summary FROM documents")
 def str5_summary(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.summary(markdown_col()).alias("summary"))

@@ -1,9 +1,12 @@
 """Text, search, quality."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from loomspark.functions import quality, text
-from loomspark.operators import search
+from loomspark.operators import postings, search
 
 
 def one(spark, column):
@@ -79,3 +82,26 @@ def test_nulls(spark):
     n = F.lit(None).cast("string")
     for c in (text.collapsed(n), text.highlights(n, "abc"), text.summary(n), text.best_passage(n, "abc"), text.first_email(n), text.decoded_base64(n), text.rendered_html(n)):
         assert one(spark, c) is None
+
+
+def test_many_queries_find_what_each_finds(spark):
+    """Every query over every document: overlap and passage as trying all of them gives."""
+    rng = random.Random(9)
+    parts = ["the", "ther", "Über", "ÜBER", "x", "ab", "abc", "中文字", "aaaa", "he t"]
+    said = lambda n: " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    docs = [(i, "\n\n".join(rng.choice(["", "# ", " "]) + said(rng.randint(0, 4)) for _ in range(rng.randint(0, 5)))) for i in range(40)] + [(100, None), (101, ""), (None, "the")]
+    queries = [(i, said(rng.randint(0, 3))) for i in range(30)] + [(100, None), (101, "zz, the! the_abc"), (102, "nowhere")]
+    d, q = spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(queries, "query_id long, query string")
+    got = {(r["query_id"], r["id"]): (r["overlap"], r["passage"]) for r in postings.best_passages(d, q).collect()}
+    want = {}
+    for n, query in queries:
+        terms = {t.lower() for t in re.findall(r"[^\W_]+", query or "") if len(t) >= 3}
+        for i, body in docs:
+            best = (0, "")
+            for p in [x.strip() for x in (body or "").split("\n\n")]:
+                if p and not p.startswith("#") and (k := sum(t in p.lower() for t in terms)) and k >= best[0]:
+                    best = (k, p)
+            if best[0] and i is not None:
+                want[n, i] = best
+    assert got == want and len(want) > 100
+    assert postings.best_passages(d.limit(0), q).count() == 0 and postings.best_passages(d, q.limit(0)).count() == 0

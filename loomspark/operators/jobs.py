@@ -109,6 +109,18 @@ def errors(tasks: DataFrame) -> DataFrame:
     return failed.select("crawl_id", "url", F.coalesce("error_code", F.lit("crawl_failed")).alias("code"), F.coalesce("error_message", F.lit("Crawl task failed")).alias("message"), "finished_at")
 
 
+def listed_errors(tasks: DataFrame) -> DataFrame:
+    """SRT2: failed tasks of each job as a client lists them: by their end, nulls last, then id;
+    ``position`` from 1. A job's list may be long: see ``tables.numbered``."""
+    failed = tasks.where("status = 'failed'").select("crawl_id", "id", "url", "finished_at")
+    return numbered(failed, ["crawl_id"], [F.col("finished_at").asc_nulls_last(), F.col("id")], "position")
+
+
+def listed_crawls(jobs: DataFrame) -> DataFrame:
+    """SRT2: active crawls in the order of their creation, ``position`` from 1 in the whole list."""
+    return numbered(active_crawls(jobs).withColumn("_all", F.lit(1)), ["_all"], [F.col("created_at"), F.col("id")], "position").drop("_all")
+
+
 def active_crawls(jobs: DataFrame) -> DataFrame:
     """CRW11, SRT2."""
     return jobs.where((F.col("job_type") == "crawl") & F.col("status").isin(*ACTIVE_JOB) & ~F.col("cancel_requested")).orderBy("created_at", "id")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..operators import evaluation, models, search, validation, workflows
 from ..operators import jobs as J
+from ..operators.tables import shared_folder
 from ..sources import feeds
 from . import query, table
 from .jobs import NOW_SQL, _now
@@ -319,15 +322,32 @@ def snk1_webhook(spark, sf_dir):
     return feeds.webhook(e, "secret").select("event_id", "body", "signature")
 
 
+@query(
+    "snk2_report",
+    """WITH r AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT 'samples' AS part, '{"user_id":' || user_id || ',"event_type":"' || event_type || '","n":' || n || '}' AS line FROM r
+UNION ALL SELECT 'summary', '| ' || user_id || ' | ' || event_type || ' | ' || n || ' |' FROM r UNION ALL SELECT 'summary', '| user_id | event_type | n |' UNION ALL SELECT 'summary', '| --- | --- | --- |'
+UNION ALL SELECT 'report', '{"rows":' || count(*) || ',"columns":"user_id,event_type,n"}' FROM r""",
+)
+def snk2_report(spark, sf_dir):
+    """A report's three files, read back line by line."""
+    rows = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    folder = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    feeds.report(rows, folder, ["user_id", "event_type"])
+    lines = [spark.read.text(f"{folder}/{part}").select(F.lit(part).alias("part"), F.col("value").alias("line")) for part in ("samples", "summary", "report")]
+    return lines[0].union(lines[1]).union(lines[2])
+
+
 @query(
     "str16_prompts",
     """SELECT doc_id, 'Page address:' || chr(10) || source || chr(10) || chr(10) || 'Fields, and what each means:' || chr(10) || '{' || chr(10) || '  "company": "who",' || chr(10) || '  "size": "number"' || chr(10) || '}' || chr(10) || chr(10) || 'The object has these fields and no others; each is a text, or null where the page doesn''t say.' || chr(10) || chr(10) || 'Page:' || chr(10) || substr(coalesce(text, ''), 1, 24000) AS fields,
- 'Page addresses:' || chr(10) || source || chr(10) || chr(10) || 'Task:' || chr(10) || 'Answer from the page alone: who is ' || coalesce(lang, 'x') || '?' || chr(10) || chr(10) || 'Schema:' || chr(10) || '{' || chr(10) || '  "properties": {' || chr(10) || '    "answer": {' || chr(10) || '      "type": "string"' || chr(10) || '    }' || chr(10) || '  },' || chr(10) || '  "required": [' || chr(10) || '    "answer"' || chr(10) || '  ],' || chr(10) || '  "type": "object"' || chr(10) || '}' || chr(10) || chr(10) || 'Pages:' || chr(10) || substr(coalesce(text, ''), 1, 24000) AS question FROM documents""",
+ 'Page addresses:' || chr(10) || source || chr(10) || chr(10) || 'Task:' || chr(10) || 'Answer from the page alone: who is ' || coalesce(lang, 'x') || '?' || chr(10) || chr(10) || 'Schema:' || chr(10) || '{' || chr(10) || '  "properties": {' || chr(10) || '    "answer": {' || chr(10) || '      "type": "string"' || chr(10) || '    }' || chr(10) || '  },' || chr(10) || '  "required": [' || chr(10) || '    "answer"' || chr(10) || '  ],' || chr(10) || '  "type": "object"' || chr(10) || '}' || chr(10) || chr(10) || 'Pages:' || chr(10) || substr(coalesce(text, ''), 1, 24000) AS question,
+ 'Page addresses:' || chr(10) || source || chr(10) || chr(10) || 'Task:' || chr(10) || 'Quote the passages of the page that fit best: ' || coalesce(lang, 'x') || chr(10) || chr(10) || 'Schema:' || chr(10) || '{' || chr(10) || '  "properties": {' || chr(10) || '    "highlights": {' || chr(10) || '      "type": "string"' || chr(10) || '    }' || chr(10) || '  },' || chr(10) || '  "required": [' || chr(10) || '    "highlights"' || chr(10) || '  ],' || chr(10) || '  "type": "object"' || chr(10) || '}' || chr(10) || chr(10) || 'Pages:' || chr(10) || substr(coalesce(text, ''), 1, 24000) AS passages FROM documents""",
 )
 def str16_prompts(spark, sf_dir):
     asked = F.format_string("who is %s?", F.coalesce("lang", F.lit("x")))
     schema = {"properties": {"company": {"description": "who"}, "size": {"type": "number"}}}
-    return table(spark, sf_dir, "documents").select("doc_id", models.fields_prompt(F.col("source"), schema, F.col("text")).alias("fields"), models.query_prompt(F.col("source"), F.col("text"), asked, "answer").alias("question"))
+    return table(spark, sf_dir, "documents").select("doc_id", models.fields_prompt(F.col("source"), schema, F.col("text")).alias("fields"), models.query_prompt(F.col("source"), F.col("text"), asked, "answer").alias("question"), models.query_prompt(F.col("source"), F.col("text"), F.coalesce("lang", F.lit("x")), "highlights").alias("passages"))
 
 
 @query(

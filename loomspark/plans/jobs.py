@@ -98,6 +98,16 @@ def crw10_errors(spark, sf_dir):
     return J.errors(_frames(spark, sf_dir)[1]).drop("finished_at")
 
 
+@query("srt2_listed_errors", _sql("SELECT crawl_id, id, row_number() OVER (PARTITION BY crawl_id ORDER BY finished_at NULLS LAST, id) AS position FROM tasks WHERE status = 'failed'"))
+def srt2_listed_errors(spark, sf_dir):
+    return J.listed_errors(_frames(spark, sf_dir)[1]).select("crawl_id", "id", "position")
+
+
+@query("srt2_listed_crawls", _sql("SELECT id, row_number() OVER (ORDER BY created_at, id) AS position FROM jobs WHERE job_type = 'crawl' AND status IN ('queued', 'scraping') AND NOT cancel_requested"))
+def srt2_listed_crawls(spark, sf_dir):
+    return J.listed_crawls(_frames(spark, sf_dir)[0]).select("id", "position")
+
+
 @query("crw11_active_crawls", _sql("SELECT id, status FROM jobs WHERE job_type = 'crawl' AND status IN ('queued', 'scraping') AND NOT cancel_requested"))
 def crw11_active_crawls(spark, sf_dir):
     return J.active_crawls(_frames(spark, sf_dir)[0]).select("id", "status")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import html, text, urls
@@ -210,6 +214,46 @@ def src15_documents(spark, sf_dir):
     return d.select("n_nationkey", "kind", "markdown", F.col("error").isNotNull().alias("failed"))
 
 
+def _zipped(parts):
+    """Binary column of a zip of (name, text) pairs, whose texts are columns."""
+    names = [n for n, _ in parts]
+
+    @F.arrow_udf("binary")
+    def run(texts: pa.Array) -> pa.Array:
+        out = []
+        for row in texts.to_pylist():
+            held = io.BytesIO()
+            with zipfile.ZipFile(held, "w") as z:
+                for name, text_ in zip(names, row, strict=True):
+                    z.writestr(name, text_)
+            out.append(held.getvalue())
+        return pa.array(out, pa.binary())
+
+    return run(F.array(*[c for _, c in parts]))
+
+
+@query(
+    "src18_office",
+    """WITH k AS (SELECT s_suppkey, s_name AS n, s_nationkey AS c, unnest(['docx', 'odt', 'xlsx']) AS kind FROM supplier)
+SELECT s_suppkey, kind, CASE kind WHEN 'docx' THEN '## ' || n || chr(10) || chr(10) || 'Supplier ' || s_suppkey || chr(10) || chr(10) || '| name | nation |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n || ' | ' || c || ' |'
+ WHEN 'odt' THEN '## ' || n || chr(10) || chr(10) || 'from ' || c ELSE '## Sheet ' || c || chr(10) || chr(10) || '| name |  | nation |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| ' || n || ' |  | ' || c || ' |' END AS markdown FROM k""",
+)
+def src18_office(spark, sf_dir):
+    """SRC18, SRC19: a document, a text and a workbook of every supplier."""
+    n, name, nation = (F.col(c).cast("string") for c in ("s_suppkey", "s_name", "s_nationkey"))
+    xml = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    cell = lambda x: xml("<w:tc><w:p><w:r><w:t>", x, "</w:t></w:r></w:p></w:tc>")
+    row = lambda *cells: xml("<w:tr>", *map(cell, cells), "</w:tr>")
+    docx = xml('<w:document xmlns:w="http://w"><w:body><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>', name, "</w:t></w:r></w:p><w:tbl>", row("name", "nation"), row(name, nation), "</w:tbl><w:p><w:r><w:t>Supplier ", n, "</w:t></w:r></w:p></w:body></w:document>")
+    odt = xml('<d xmlns:t="u"><t:p>from ', nation, '</t:p><t:h t:outline-level="2">', name, "</t:h></d>")
+    sheet = xml('<w><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row><row><c r="A2" t="s"><v>2</v></c><c r="C2"><v>', nation, "</v></c></row></sheetData></w>")
+    book = [("xl/workbook.xml", xml('<workbook xmlns:r="http://r"><sheets><sheet name="Sheet ', nation, '" r:id="r1"/></sheets></workbook>')), ("xl/_rels/workbook.xml.rels", xml('<R><x Id="r1" Target="worksheets/s.xml"/></R>')), ("xl/sharedStrings.xml", xml("<sst><si><t>name</t></si><si><t>nation</t></si><si><t>", name, "</t></si></sst>")), ("xl/worksheets/s.xml", sheet)]
+    made = {"docx": [("word/document.xml", docx)], "odt": [("content.xml", odt)], "xlsx": book}
+    s = table(spark, sf_dir, "supplier")
+    files = [s.select("s_suppkey", F.concat(F.lit("f."), F.lit(kind)).alias("filename"), _zipped(parts).alias("data")) for kind, parts in made.items()]
+    return documents.parsed(files[0].union(files[1]).union(files[2])).select("s_suppkey", "kind", "markdown")
+
+
 @query("src17_pdf_pages", "SELECT user_id, string_agg(CASE WHEN event_id % 3 = 0 THEN 'scan ' || event_id WHEN event_id % 3 = 1 THEN 'a page with text enough ' || event_id ELSE 'short' END, chr(10) || chr(10) ORDER BY event_id) AS text, count(*) AS pages FROM events GROUP BY user_id")
 def src17_pdf_pages(spark, sf_dir):
     n = F.col("event_id")

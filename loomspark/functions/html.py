@@ -62,9 +62,11 @@ def _arrow(kind: str) -> pa.DataType:
     return pa.list_(pa.string()) if kind.startswith("array") else pa.string()
 
 
-def extracted(pages: DataFrame, parts: Sequence[str] = tuple(PARTS), url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extracted(pages: DataFrame, parts: Sequence[str] = tuple(PARTS), url_col: str = "url", html_col: str = "html", whole_references: bool = False) -> DataFrame:
     """``pages`` with the wanted parts as columns. Only those are computed: a UDF's result can't
-    be pruned from outside. Null html is an empty page; a null url resolves nothing."""
+    be pruned from outside. Null html is an empty page; a null url resolves nothing.
+    ``whole_references``: in text, character references without their semicolon (cut ones) stay as
+    they are; by default they are decoded as browsers do."""
     wanted = list(parts)
     if unknown := [p for p in wanted if p not in PARTS]:
         raise ValueError(f"unknown parts: {unknown}")
@@ -74,7 +76,7 @@ def extracted(pages: DataFrame, parts: Sequence[str] = tuple(PARTS), url_col: st
     def page_parts(urls: pa.Array, pages: pa.Array) -> pa.Array:
         out = []
         for url, html in zip(urls.to_pylist(), pages.to_pylist(), strict=True):
-            page = dom.parse(html or "")
+            page = dom.parse(html or "", whole_references)
             out.append({p: _MAKE[p](page, url or "") for p in wanted})
         return pa.array(out, kind)
 
@@ -83,9 +85,9 @@ def extracted(pages: DataFrame, parts: Sequence[str] = tuple(PARTS), url_col: st
     return pages.withColumn("_parts", found).select("*", *[F.col(f"_parts.{p}").alias(p) for p in wanted]).drop("_parts")
 
 
-def configured(pages: DataFrame, only_main: bool = True, only_clean: bool = False, include: Sequence[str] = (), exclude: Sequence[str] = (), url_col: str = "url", html_col: str = "html") -> DataFrame:
+def configured(pages: DataFrame, only_main: bool = True, only_clean: bool = False, include: Sequence[str] = (), exclude: Sequence[str] = (), url_col: str = "url", html_col: str = "html", whole_references: bool = False) -> DataFrame:
     """HTM2 and HTM5: adds content_html, and its content_markdown under the page's own title.
-    Selectors are checked when the plan is made."""
+    Selectors are checked when the plan is made. ``whole_references``: see ``extracted``."""
     include, exclude = list(include), list(exclude)
     for css in [*include, *exclude]:
         compiled(css)
@@ -95,7 +97,7 @@ def configured(pages: DataFrame, only_main: bool = True, only_clean: bool = Fals
     def content(urls: pa.Array, pages: pa.Array) -> pa.Array:
         out = []
         for url, html in zip(urls.to_pylist(), pages.to_pylist(), strict=True):
-            page = dom.parse(html or "")
+            page = dom.parse(html or "", whole_references)
             chosen = markdown.configured(page, only_main, only_clean, include, exclude)
             part = dom.parse(chosen)
             text, title = markdown.render(part, markdown.content_root(part), url or ""), markdown.title_of(page)
@@ -154,12 +156,12 @@ def selected(html: Column, css: str, attribute: str | None = None) -> Column:
 
 
 def unescaped(text: Column) -> Column:
-    """STR13: character references decoded."""
-    import html as _html
+    """STR13: character references decoded, as the reference's decoder of texts does: whole ones,
+    with their semicolon; all else stays. (In pages, the parser decodes as browsers do.)"""
 
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else _html.unescape(t) for t in texts.to_pylist()], pa.string())
+        return pa.array([None if t is None else dom.whole_references(t) for t in texts.to_pylist()], pa.string())
 
     # Most texts have none, and needn't leave the JVM's memory as text.
     some = F.when(text.contains("&"), text)

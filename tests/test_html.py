@@ -196,3 +196,33 @@ def test_attributes_fall_back_to_data(spark):
 
 def test_entities(spark):
     assert spark.createDataFrame([("&lt;a&gt; &eacute;",), (None,)], "s string").select(html.unescaped(F.col("s"))).collect() == [("<a> é",), (None,)]
+
+
+def test_entities_need_their_semicolon(spark):
+    texts = ["x&amp", "a&ampb; &copy 1 &copy;", "&#65; &#x42; &#65 &#xD800; &#1114112; &#0;", "&amp;lt; &nosuch; &;", "&NotEqualTilde;"]
+    got = spark.createDataFrame([(t,) for t in texts], "s string").select(html.unescaped(F.col("s"))).collect()
+    assert [r[0] for r in got] == ["x&amp", "a&ampb; &copy 1 ©", "A B &#65 &#xD800; &#1114112; \0", "&lt; &nosuch; &;", "≂̸"]
+
+
+def test_cut_references_stay_where_asked(spark):
+    page = '<html lang="en"><title>R&amp;D&amp</title><article><h1>R&amp;D&amp</h1><p>x &copy y &copy; z</p></article>'
+    pages = spark.createDataFrame([("https://a.org/", page)], "url string, html string")
+    parts = lambda **o: tuple(html.extracted(pages, ["title", "text", "markdown"], **o).select("title", "text", "markdown").first())
+    assert parts() == ("R&D&", "R&D& x © y © z", "# R&D&\n\nx © y © z")
+    assert parts(whole_references=True) == ("R&D&amp", "R&D&amp x &copy y © z", "# R&D&amp\n\nx &copy y © z")
+    kept = html.configured(pages, only_main=False, only_clean=True, whole_references=True).first()["content_html"]
+    assert "R&amp;D&amp;amp" in kept
+
+
+@pytest.mark.parametrize("name", ["str13_entities"])
+def test_pages_with_cut_references_match_their_sql(spark, tmp_path, name):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    head = "R&amp;D &copy; x&amp"
+    page = f'<html lang="en"><head><title>{head}</title></head><body><article><h1>{head}</h1>\n<p>{head}&amp;&amp; y</p></article></body></html>'
+    spark.createDataFrame([(1, "https://a.org/", page)], "page_id bigint, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert [tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).collect()] == con.execute(entry.oracle_sql()[name]).fetchall()

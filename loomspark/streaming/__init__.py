@@ -12,6 +12,7 @@ rows cost, however much a key has seen.
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -49,6 +50,15 @@ def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(frames), ignore_index=True).sort_values("us", kind="stable")
 
 
+def _passed(state: GroupState, rows: list) -> tuple[list, list]:
+    """Those of the rows (times, or lists that begin with them) that the watermark has passed, so
+    that none can come before them any more, and those that wait; both in order of time."""
+    time = lambda r: r[0] if isinstance(r, list) else r
+    rows, passed = sorted(rows, key=time), state.getCurrentWatermarkMs() * 1000
+    n = bisect_left(rows, passed, key=time)
+    return rows[:n], rows[n:]
+
+
 def row_state(spark: SparkSession) -> None:
     """State by row needs this store; queries that run, and their checkpoints, keep theirs."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -137,14 +147,16 @@ def windowed(events: DataFrame, key: str, ts: str = "ts", width: str = "1 hour",
     return events.withWatermark(ts, late).groupBy(F.window(ts, width), key).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-def sessions(events: DataFrame, key: str, ts: str = "ts", gap_s: int = 1800, ttl_s: int = 14_400, late: str = "2 hours") -> DataFrame:
+def sessions(events: DataFrame, key: str, ts: str = "ts", gap_s: int = 1800, ttl_s: int = 14_400, late: str = "2 hours", early: bool = True) -> DataFrame:
     """STM5: (key, started_at, ended_at, reason, n): spans of activity. A session ends ``gap_s``
     after its last activity (``idle``) or ``ttl_s`` after its start (``ttl``), whichever is first; what
     comes at that moment or later starts another. Ended sessions come out once the watermark has
-    passed their end, or with the rows that show it."""
+    passed their end, or with the rows that show it; those rows may be overtaken by late ones.
+    Without ``early``, rows wait for the watermark, so that late ones take their places and nothing
+    hangs on how rows fall into batches: just what ended before the watermark comes out."""
 
     def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, last, n = state.get if state.exists else (None, None, 0)
+        start, last, n, kept = state.get if state.exists else (None, None, 0, "[]")
         gap, ttl, out = gap_s * 1_000_000, ttl_s * 1_000_000, []
 
         def end() -> int:
@@ -153,23 +165,31 @@ def sessions(events: DataFrame, key: str, ts: str = "ts", gap_s: int = 1800, ttl
         def close() -> None:
             out.append((start, end(), "ttl" if start + ttl <= last + gap else "idle", n))
 
-        if state.hasTimedOut:
+        if early and state.hasTimedOut:
             close()
             state.remove()
         else:
-            for now in _in_order(frames)["us"].tolist():
+            came = [] if state.hasTimedOut else _in_order(frames)["us"].tolist()
+            due, waiting = (came, []) if early else _passed(state, json.loads(kept) + came)
+            for now in due:
                 if start is not None and now >= end():
                     close()
                     start = None
                 if start is None:
                     start, last, n = now, now, 0
                 last, n = max(now, last), n + 1
-            state.update((start, last, n))
-            _after(state, end())
+            if not early and start is not None and end() // 1000 < state.getCurrentWatermarkMs():
+                close()
+                start = None
+            if start is None and not waiting:
+                state.remove()
+            else:
+                state.update((start, last, n, json.dumps(waiting)))
+                _after(state, min(waiting[:1] + ([] if start is None else [end()])))
         yield pd.DataFrame({"key": [k[0]] * len(out), **{c: [o[i] for o in out] for i, c in enumerate(("started_at", "ended_at", "reason", "n"))}})
 
     rows = events.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("ts"), F.unix_micros(ts).alias("us")).where("ts is not null").withWatermark("ts", late)
-    out = rows.groupBy("key").applyInPandasWithState(fold, "key string, started_at bigint, ended_at bigint, reason string, n bigint", "start bigint, last bigint, n bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    out = rows.groupBy("key").applyInPandasWithState(fold, "key string, started_at bigint, ended_at bigint, reason string, n bigint", "start bigint, last bigint, n bigint, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
     return out.withColumns({c: F.timestamp_micros(c) for c in ("started_at", "ended_at")})
 
 
@@ -211,52 +231,57 @@ def limited(requests: DataFrame, per_minute: int, key: str = "key", ts: str = "t
     return out.withColumn("ts", F.timestamp_micros("ts"))
 
 
-def task_timers(events: DataFrame, lease_s: int = LEASE_SECONDS, late: str = "10 minutes", ended_s: int = 3600) -> DataFrame:
+def task_timers(events: DataFrame, lease_s: int = LEASE_SECONDS, late: str = "10 minutes", ended_s: int = 3600, early: bool = True) -> DataFrame:
     """STM4: events (task_id, event, ts) to the timers that fire: (task_id, event, at, attempts).
 
     ``claimed`` gives a lease and counts an attempt, ``renewed`` prolongs it; a lease that runs out
     fires ``lease_expired``, and the task may be claimed again; before, a claim doesn't count. ``failed`` waits the delay of its
     attempts and then fires ``retry_due``. ``finished`` ends a task: what follows doesn't count. A
-    timer that a later row of the batch overtakes fires before that row counts.
+    timer that a later row of the batch overtakes fires before that row counts. A finished task is
+    forgotten ``ended_s`` later; others stay, as their attempts count on. Without ``early``, rows wait
+    for the watermark as in ``sessions``, and just the timers before it fire.
     """
 
     def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        phase, until, attempts = state.get if state.exists else ("queued", 0, 0)
-        out, last = [], until
+        phase, until, attempts, kept = state.get if state.exists else ("queued", 0, 0, "[]")
+        out, runs = [], ("active", "waiting")
 
         def fire() -> None:
             nonlocal phase
             out.append(({"active": "lease_expired", "waiting": "retry_due"}[phase], until, attempts))
             phase = "queued"
 
-        if state.hasTimedOut:
-            if phase in ("active", "waiting"):
+        came = []
+        if not state.hasTimedOut:
+            rows = _in_order(frames)
+            came = [list(r) for r in zip(rows["us"].tolist(), rows["event"].tolist(), strict=True)]
+        due, waiting = (came, []) if early else _passed(state, json.loads(kept) + came)
+        for now, event in due:
+            if phase in runs and now >= until:
                 fire()
-            else:
-                state.remove()
+            if phase == "finished":
+                continue
+            if event == "claimed" and phase == "queued":
+                phase, until, attempts = "active", now + lease_s * 1_000_000, attempts + 1
+            elif event == "renewed" and phase == "active":
+                until = now + lease_s * 1_000_000
+            elif event == "failed" and phase == "active":
+                phase, until = "waiting", now + 1_000_000 * min(300, 5 * 2 ** min(max(attempts - 1, 0), 6))
+            elif event == "finished":
+                phase, until = "finished", now + ended_s * 1_000_000
+        passed = until // 1000 < state.getCurrentWatermarkMs()
+        if phase in runs and passed and (state.hasTimedOut or not early):
+            fire()
+        if phase == "finished" and passed and state.hasTimedOut and not waiting:
+            state.remove()
         else:
-            rows = _in_order(frames)
-            for now, event in zip(rows["us"].tolist(), rows["event"].tolist(), strict=True):
-                last = now
-                if phase in ("active", "waiting") and now >= until:
-                    fire()
-                if phase == "finished":
-                    continue
-                if event == "claimed" and phase == "queued":
-                    phase, until, attempts = "active", now + lease_s * 1_000_000, attempts + 1
-                elif event == "renewed" and phase == "active":
-                    until = now + lease_s * 1_000_000
-                elif event == "failed" and phase == "active":
-                    phase, until = "waiting", now + 1_000_000 * min(300, 5 * 2 ** min(max(attempts - 1, 0), 6))
-                elif event == "finished":
-                    phase = "finished"
-        if state.exists or not state.hasTimedOut:
-            state.update((phase, until, attempts))
-            _after(state, until if phase in ("active", "waiting") else last + ended_s * 1_000_000)
+            state.update((phase, until, attempts, json.dumps(waiting)))
+            if times := [r[0] for r in waiting[:1]] + ([] if phase == "queued" else [until]):
+                _after(state, min(times))
         yield pd.DataFrame({"task_id": [k[0]] * len(out), **{c: [o[i] for o in out] for i, c in enumerate(("event", "at", "attempts"))}})
 
     rows = events.select(F.col("task_id").cast("string").alias("task_id"), "event", "ts", F.unix_micros("ts").alias("us")).where("ts is not null").withWatermark("ts", late)
-    out = rows.groupBy("task_id").applyInPandasWithState(fold, "task_id string, event string, at bigint, attempts int", "phase string, until bigint, attempts int", "append", GroupStateTimeout.EventTimeTimeout)
+    out = rows.groupBy("task_id").applyInPandasWithState(fold, "task_id string, event string, at bigint, attempts int", "phase string, until bigint, attempts int, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
     return out.withColumn("at", F.timestamp_micros("at"))
 
 

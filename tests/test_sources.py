@@ -251,3 +251,12 @@ def test_rules_as_a_table_decide_as_the_walk_does(spark):
         assert len(got) == rows.count()
         assert [r for r in got if r["allowed"] != r["walked"] and r["url"] != "nonsense"] == []
         assert {r["allowed"] for r in got} == {True, False, None}
+
+
+def test_sessions_wait_for_the_watermark_where_asked(spark, tmp_path):
+    """What a later row shows doesn't come out before the watermark; a late row takes its place."""
+    batches = [[("a", "10:00:00"), ("a", "10:40:00")], [("a", "10:10:00"), ("b", "11:20:00")], [("b", "11:50:00"), ("c", "11:50:00")], [("d", "13:00:00")]]
+    got = _replayed(spark, tmp_path, "settled", batches, "key string, ts string", lambda s: streaming.sessions(s, "key", gap_s=900, ttl_s=7200, late="1 hour", early=False))
+    short = [sorted((r[0], f"{r[1]:%H:%M}", f"{r[2]:%H:%M}", r[3], r[4]) for r in b) for b in got]
+    assert sum(short, []) == [("a", "10:00", "10:25", "idle", 2), ("a", "10:40", "10:55", "idle", 1), ("b", "11:20", "11:35", "idle", 1)]
+    assert short[:2] == [[], []]

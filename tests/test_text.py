@@ -105,3 +105,32 @@ def test_many_queries_find_what_each_finds(spark):
                 want[n, i] = best
     assert got == want and len(want) > 100
     assert postings.best_passages(d.limit(0), q).count() == 0 and postings.best_passages(d, q.limit(0)).count() == 0
+
+
+def test_terms_are_found_inside_words_whatever_they_hold(spark):
+    """Against all pairs: terms at any place of a word, of any length, with marks and signs."""
+    words = ["international", "nation", "Internationale", "nátion", "ΟΔΟΣ", "İstanbul", "𝐀𝐁𝐂𝐃", "snake_nation_case", "abc", "xabcx", "ABCDEFGHIJ", "zabcdefghijz", "abcdefghxj"]
+    d = spark.createDataFrame([(i, f"- {w}, x\n\n{w}{words[i - 1]}.") for i, w in enumerate(words)], "id bigint, text string")
+    q = spark.createDataFrame([(i, w) for i, w in enumerate([*words, "nation abc", "fghij case", "ab"])], "query_id bigint, query string")
+    got = {(r["query_id"], r["id"]): (r["overlap"], r["pos"], r["passage"]) for r in postings.best_passages(d, q).collect()}
+    asked = postings.terms(q, "query_id", "query").select("query_id", "term")
+    held = d.select("id", F.posexplode(text.passages(F.col("text"))).alias("pos", "passage"))
+    pairs = asked.crossJoin(held).where(F.contains(F.lower("passage"), F.col("term"))).groupBy("query_id", "id", "pos", "passage").count()
+    want = pairs.groupBy("query_id", "id").agg(F.max(F.struct("count", "pos", "passage")).alias("b")).collect()
+    assert got == {(r["query_id"], r["id"]): tuple(r["b"]) for r in want} and len(got) > 40
+
+
+def test_postings_list_words_that_hold_a_term_alone(spark, monkeypatch):
+    """Frequent letters in common make no candidates: work grows with hits."""
+    listed = {}
+
+    def counted(df, name, to=postings.written):
+        out = to(df, name)
+        listed[name] = out.count()
+        return out
+
+    monkeypatch.setattr(postings, "written", counted)
+    d = spark.createDataFrame([(i, f"thethethe{i:04d} theethere") for i in range(300)], "id bigint, text string")
+    q = spark.createDataFrame([(i, f"thethethe{i:04d}") for i in range(0, 300, 30)], "query_id bigint, query string")
+    assert postings.best_passages(d, q).count() == 10
+    assert listed["postings"] == 10 and listed["hits"] == 10

@@ -140,9 +140,10 @@ def claimable(jobs: DataFrame, tasks: DataFrame, now: Column) -> DataFrame:
 
 def claim(jobs: DataFrame, tasks: DataFrame, now: Column) -> DataFrame:
     """CRW5, JON11, WIN3: for each job, the task that would be claimed next: first by due time,
-    then creation, then id; with its attempts and lease after the claim."""
+    then creation, then id (of rows that share one, by attempts and depth, so that nothing hangs
+    on their order); with its attempts and lease after the claim."""
     due = claimable(jobs, tasks, now)
-    first = due.groupBy("crawl_id").agg(F.min_by(F.struct(*[c for c in due.columns if c != "crawl_id"]), F.struct("next_attempt_at", "created_at", "id")).alias("_f")).select("crawl_id", "_f.*")
+    first = due.groupBy("crawl_id").agg(F.min_by(F.struct(*[c for c in due.columns if c != "crawl_id"]), F.struct("next_attempt_at", "created_at", "id", "attempts", "depth")).alias("_f")).select("crawl_id", "_f.*")
     return first.select("id", "crawl_id", "url", "depth", (F.col("attempts") + 1).alias("attempts"), (now + seconds(LEASE_SECONDS)).alias("lease_expires_at"), F.coalesce("started_at", now).alias("started_at"))
 
 

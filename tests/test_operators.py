@@ -228,3 +228,11 @@ def test_quantiles_by_selection(spark):
         for p in (1, 50, 95, 99, 100):
             assert got[k][f"p{p}"] == own[max(0, -(-p * len(own) // 100) - 1)], (k, p)
     assert "none" not in got
+
+
+def test_claims_of_tasks_that_share_an_id_hang_on_no_order(spark):
+    t = "timestamp'1995-06-01'"
+    j = spark.sql(f"SELECT 1L AS id, false AS cancel_requested, 'queued' AS status, {t} AS last_task_started_at, 0L AS delay_ms, 1 AS max_concurrency")
+    rows = spark.range(8).selectExpr("7L AS id", "1L AS crawl_id", "'u' AS url", "1 AS depth", "'queued' AS status", "cast((id * 3 + 2) % 8 as int) AS attempts", f"{t} AS next_attempt_at", f"{t} AS created_at", f"{t} AS lease_expires_at", f"{t} AS started_at")
+    claimed = [jobs.claim(j, rows.coalesce(1).orderBy(o), F.expr("timestamp'1995-06-15'")).first()["attempts"] for o in (F.asc("attempts"), F.desc("attempts"))]
+    assert claimed == [1, 1]

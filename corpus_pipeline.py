@@ -14,16 +14,21 @@ from loomspark.llm import exact_dedup, langid, near_dedup, packing, queries, tox
 from loomspark.llm.common import Scratch, table
 
 
+def _carried(docs: DataFrame) -> dict:
+    """All columns by number; the text, which an operator has anyway, is passed on by it."""
+    return {"carry": {f"_k{i}": F.col(c) for i, c in enumerate(docs.columns) if c != "text"}, "text_as": f"_k{docs.columns.index('text')}"}
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go that have no letter (``und``), a null text, or no likeness to any language."""
-    found = langid.identify(docs, queries.langid_model(spark, sf_dir), carry={f"_k{i}": F.col(c) for i, c in enumerate(docs.columns)})
+    found = langid.identify(docs, queries.langid_model(spark, sf_dir), **_carried(docs))
     kept = found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") > 0))
     return kept.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go that are toxic with a probability of 0.5 or more."""
-    found = toxicity.score(docs, queries.toxicity_model(spark, sf_dir), carry={f"_k{i}": F.col(c) for i, c in enumerate(docs.columns)})
+    found = toxicity.score(docs, queries.toxicity_model(spark, sf_dir), **_carried(docs))
     return found.where("score < 0.5").select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -111,6 +112,21 @@ def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512, of: str = "text",
             yield batch.slice(start)
 
 
+_BLANK = re.compile(r"\s")
+
+
+def parts(text: str, start: int, end: int, size: int) -> Iterator[tuple[int, int]]:
+    """text[start:end] as (start, end) of parts of ``size`` characters or some more: they end before a
+    blank, so no word is cut, and lower-casing, which looks at a word's neighbours, gives the same."""
+    while end - start > size:
+        blank = _BLANK.search(text, start + size, end)
+        cut = blank.start() if blank else end
+        yield start, cut
+        start = cut
+    if start < end:
+        yield start, end
+
+
 def crc32_mod(column: str | Column, n: int) -> Column:
     """crc32 of the column as text, modulo n; null for null."""
     column = F.col(column) if isinstance(column, str) else column

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import parts, pieces
 
 SLOTS = 4096
 UNDETERMINED = "und"
@@ -49,11 +49,14 @@ def _vectors(dims: int, seed: int) -> np.ndarray:
 def _slots(text: str | None) -> np.ndarray | None:
     """Letter vectors of a text, in order, as int16; 32, a blank, for each run of other characters
     and at both ends. None if it has no letter."""
-    cp = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    own = _letters()[cp]
+    text, found = text or "", []
+    for a, b in parts(text, 0, len(text), _SEGMENT):
+        cp = np.frombuffer(text[a:b].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        own = _letters()[cp]
+        found.append((np.where(own, cp & np.uint32(SLOTS - 1), 32).astype(np.int16), own))
+    slot, own = map(np.concatenate, zip(*found, strict=True)) if len(found) > 1 else found[0] if found else (np.zeros(0), np.zeros(0))
     if not own.any():
         return None
-    slot = np.where(own, cp & np.uint32(SLOTS - 1), 32).astype(np.int16)
     keep = np.ones(len(slot), bool)
     keep[1:] = own[1:] | own[:-1]  # one blank for each run
     slot, ends = slot[keep], own[keep]
@@ -155,16 +158,17 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     return Profiles(names, proto, dims, seed)
 
 
-def identify(docs: DataFrame, model: Profiles, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
-    """One row per row of ``docs``: id, the columns of ``carry``, lang_pred, score.
+def identify(docs: DataFrame, model: Profiles, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, Column] | None = None, text_as: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: id, the columns of ``carry``, lang_pred, score; and the text as
+    ``text_as``, if that is given, so that ``carry`` needn't hold it a second time.
 
     A text that is null, empty or without a letter gets ``und`` with score 0; ids may be null or
     repeated; an empty table gives an empty result; other columns of ``docs`` are not read.
     """
     carry = carry or {}
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), *[c.alias(f"_c{i}") for i, c in enumerate(carry.values())])
-    kinds = [f.dataType.simpleString() for f in rows.schema if f.name not in ("text",)]
-    names = [n for n in rows.columns if n != "text"]
+    names = [n for n in rows.columns if n != "text" or text_as]
+    kinds = [rows.schema[n].dataType.simpleString() for n in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
@@ -172,4 +176,5 @@ def identify(docs: DataFrame, model: Profiles, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([*[piece.column(n) for n in names], pa.array(lang, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
     out = rows.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)) + ", lang_pred string, score double")
-    return out.select(F.col("_id").alias(id_col), *[F.col(f"_c{i}").alias(n) for i, n in enumerate(carry)], "lang_pred", "score")
+    texts = [F.col("text").alias(text_as)] if text_as else []
+    return out.select(F.col("_id").alias(id_col), *[F.col(f"_c{i}").alias(n) for i, n in enumerate(carry)], "lang_pred", "score", *texts)

@@ -8,14 +8,17 @@ and the model then says which sentences of a document offend.
 Sentences end at ``.``, ``!``, ``?``, ``;``, ``|`` or a line end. Words are runs of letters,
 lower-cased. A word counts as itself and by its first four and six letters, so that inflected and
 compound forms share evidence; these features are hashed into 2**18 slots, and a sentence has a
-slot or hasn't.
+slot or hasn't. A text may be of any length: sentences are scored some at a time, and a long one is
+lower-cased in parts.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +27,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, written
+from .common import parts, pieces, written
 
 SLOTS = 1 << 18
 #: A slot in so large a share of the toxic rows, and in so many of them, may have a weight.
 SHARE, FLOOR = 0.02, 3
+#: Sentences of a text that are scored together, and characters of one that are lower-cased
+#: together; they bound a worker's memory.
+_SENTENCES, _PART = 1 << 16, 1 << 18
 _SENTENCE = re.compile(r"[^.!?;|\r\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -38,9 +44,14 @@ def _slots(word: str) -> list[int]:
     return [xxhash.xxh32_intdigest(f.encode("utf-8", "surrogatepass")) & (SLOTS - 1) for f in forms]
 
 
-def sentences(text: str | None) -> list[tuple[int, int]]:
+def sentences(text: str | None) -> Iterator[tuple[int, int]]:
     """(start, end) in characters of each sentence."""
-    return [m.span() for m in _SENTENCE.finditer(text or "")]
+    return (m.span() for m in _SENTENCE.finditer(text or ""))
+
+
+def _words(text: str, start: int, end: int) -> Iterator[set[str]]:
+    """The words of a sentence, lower-cased; where it is long, those of one part after the other."""
+    return (set(_WORD.findall(text[a:b].lower())) for a, b in parts(text, start, end, _PART))
 
 
 @dataclass(frozen=True)
@@ -52,27 +63,48 @@ class Model:
     weights: dict[int, float]
     bias: float
 
-    def score(self, texts: list[str | None], words: dict[str, float]) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
-        """(noisy-or of each text, its offending sentences). words: remembers weights of words."""
+    def weight(self, word: str, words: dict[str, float]) -> float:
+        """The sum of a word's features. words: remembers it."""
+        x = words.get(word)
+        if x is None:
+            if len(words) > 300_000:
+                words.clear()
+            x = sum(self.weights.get(f, 0.0) for f in _slots(word))
+            if len(word) <= 64:
+                words[word] = x
+        return x
+
+    def _long(self, text: str, start: int, end: int, words: dict[str, float]) -> float:
+        """Evidence in a long sentence; of its words only those with a weight are kept, to tell repeats."""
+        found: dict[str, float] = {}
+        for own in _words(text, start, end):
+            found |= {w: x for w in own if w not in found and (x := self.weight(w, words))}
+        return sum(found.values())
+
+    def score(self, texts: list[str | None], words: dict[str, float]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(noisy-or of each text, its offending sentences: start, end, p). words: remembers weights of words."""
         scores, found = np.zeros(len(texts)), []
         for i, text in enumerate(texts):
-            spans = sentences(text)
-            z = np.full(len(spans), self.bias)
-            for k, (a, b) in enumerate(spans):
-                for w in set(_WORD.findall(text[a:b].lower())):
-                    x = words.get(w)
-                    if x is None:
-                        if len(words) > 300_000:
-                            words.clear()
-                        x = sum(self.weights.get(f, 0.0) for f in _slots(w))
-                        if len(w) <= 64:
-                            words[w] = x
-                    if x:
-                        z[k] += x
-            # log(1 - p) of a sentence is -log(1 + e**z)
-            less = np.logaddexp(0, z)
-            scores[i] = -np.expm1(-less.sum())
-            found.append([(*spans[k], float(1 / (1 + np.exp(-z[k])))) for k in np.flatnonzero(z >= 0).tolist()])
+            less, own = 0.0, [np.zeros((0, 3))]
+            for spans in batched(sentences(text), _SENTENCES):
+                z = np.full(len(spans), self.bias)
+                for k, (a, b) in enumerate(spans):
+                    if b - a > _PART:
+                        z[k] += self._long(text, a, b, words)
+                        continue
+                    for w in set(_WORD.findall(text[a:b].lower())):
+                        x = words.get(w)
+                        if x is None:
+                            x = self.weight(w, words)
+                        if x:
+                            z[k] += x
+                # log(1 - p) of a sentence is -log(1 + e**z)
+                less += np.logaddexp(0, z).sum()
+                bad = np.flatnonzero(z >= 0)
+                if len(bad):
+                    own.append(np.column_stack((np.array([spans[k] for k in bad.tolist()]), 1 / (1 + np.exp(-z[bad])))))
+            scores[i] = -np.expm1(-less)
+            found.append(np.concatenate(own))
         return scores, found
 
 
@@ -102,8 +134,9 @@ def fit(
     """Trains on at most about ``max_rows`` labelled documents, chosen by a hash of the id so that
     the choice doesn't hang on order or partitions: toxic ones, of which half of them may be (more
     if there aren't so many others), then others; of either label those of least hash that hold
-    ``max_chars // 2`` characters together (one at least), which bounds the driver's memory where
-    texts are long. ``labels``: a table of id and label; the columns of ``docs`` by default.
+    ``max_chars // 2`` characters together, which bounds the driver's memory where texts are long. A
+    text longer than that by itself takes no part; where all texts of a label are, the shortest does.
+    ``labels``: a table of id and label; the columns of ``docs`` by default.
 
     Left out: rows with a null id or label, and ids in one of the two tables only. An id repeated
     in ``labels`` has the greatest of its labels; one repeated in ``docs`` counts once, with the
@@ -118,20 +151,28 @@ def fit(
     """
     rows = sampled(docs, labels, text_col, label_col, id_col, max_rows)
     # At most about max_rows rows of two numbers.
-    lengths = rows.select("y", "h", F.length("text").alias("n")).toArrow().to_pandas().sort_values(["y", "h"])
-    before = lengths.groupby("y")["n"].cumsum() - lengths["n"]
-    beyond = lengths[before >= max(1, max_chars // 2)].groupby("y")["h"].min().to_dict()
-    for y, h in beyond.items():
-        rows = rows.where((F.col("y") != int(y)) | (F.col("h") < int(h)))
+    lengths = rows.select("y", "h", F.length("text").cast("bigint").alias("n")).toArrow().to_pandas()
+    most = max(1, max_chars // 2)
+    for y, own in lengths.groupby("y"):
+        fit = own[own["n"] <= most].sort_values("h")
+        if fit.empty:
+            taken = F.col("h") == int(own.sort_values(["n", "h"])["h"].iloc[0])
+        else:
+            beyond = fit[fit["n"].cumsum() > most]["h"]
+            taken = (F.length("text") <= most) & (F.col("h") < (1 << 40 if beyond.empty else int(beyond.iloc[0])))
+        rows = rows.where((F.col("y") != int(y)) | taken)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
-            bags, sizes = [], []
+            slots, sizes, ends = array("i"), array("i"), [(0, 0)]
             for text in piece.column(0).to_pylist():
-                own = [sorted({f for w in _WORD.findall(text[a:b].lower()) for f in _slots(w)}) for a, b in sentences(text)]
-                bags.append([x for s in own for x in s])
-                sizes.append([len(s) for s in own])
-            yield pa.RecordBatch.from_arrays([pa.array(bags, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32())), piece.column(1)], ["slots", "sizes", "y"])
+                for a, b in sentences(text):
+                    own = {f for words in _words(text, a, b) for w in words for f in _slots(w)}
+                    slots.extend(sorted(own))
+                    sizes.append(len(own))
+                ends.append((len(slots), len(sizes)))
+            lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.array(x, np.int32))) for at, x in zip(zip(*ends, strict=True), (slots, sizes), strict=True)]
+            yield pa.RecordBatch.from_arrays([*lists, piece.column(1)], ["slots", "sizes", "y"])
 
     got = rows.select("text", "y").mapInArrow(features, "slots array<int>, sizes array<int>, y int").toArrow()
     return _train(got, least_docs, rounds, shrink, step)
@@ -175,16 +216,17 @@ def _train(got: pa.Table, least_docs: int, rounds: int, shrink: float, step: flo
     return Model({int(s): float(x) for s, x in zip(known, w, strict=True) if abs(x) > 1e-3}, float(bias))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, Column] | None = None, text_as: str | None = None) -> DataFrame:
     """One row per row of ``docs``: id, the columns of ``carry``, score (0 to 1), and offending:
-    an array of (start, end, score) of the sentences that are toxic with p of 0.5 or more.
+    an array of (start, end, score) of the sentences that are toxic with p of 0.5 or more; and the
+    text as ``text_as``, if that is given, so that ``carry`` needn't hold it a second time.
 
     A null or empty text has no sentences and score 0; ids may be null or repeated; an empty
     table gives an empty result; other columns of ``docs`` are not read.
     """
     carry = carry or {}
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), *[c.alias(f"_c{i}") for i, c in enumerate(carry.values())])
-    names = [n for n in rows.columns if n != "text"]
+    names = [n for n in rows.columns if n != "text" or text_as]
     kinds = [rows.schema[n].dataType.simpleString() for n in names]
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
@@ -192,8 +234,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         words: dict[str, float] = {}
         for piece in pieces(batches):
             scores, found = model.score(piece.column("text").to_pylist(), words)
-            found = [[{"start": a, "end": b, "score": p} for a, b, p in x] for x in found]
-            yield pa.RecordBatch.from_arrays([*[piece.column(n) for n in names], pa.array(scores), pa.array(found, spans)], [*names, "score", "offending"])
+            whole = np.concatenate(found)
+            whole = pa.StructArray.from_arrays([pa.array(whole[:, 0].astype(np.int32)), pa.array(whole[:, 1].astype(np.int32)), pa.array(whole[:, 2])], fields=list(spans.value_type))
+            offending = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), whole)
+            yield pa.RecordBatch.from_arrays([*[piece.column(n) for n in names], pa.array(scores), offending], [*names, "score", "offending"])
 
     out = rows.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)) + ", score double, offending array<struct<start:int,end:int,score:double>>")
-    return out.select(F.col("_id").alias(id_col), *[F.col(f"_c{i}").alias(n) for i, n in enumerate(carry)], "score", "offending")
+    texts = [F.col("text").alias(text_as)] if text_as else []
+    return out.select(F.col("_id").alias(id_col), *[F.col(f"_c{i}").alias(n) for i, n in enumerate(carry)], "score", "offending", *texts)

@@ -455,3 +455,41 @@ def test_toxicity_where_toxic_labels_are_rare(spark):
     test = spark.createDataFrame([(i, f"{plain()} {w} {rng.choice(words)}.") for i, w in enumerate(bad)] + [(100 + i, plain()) for i in range(100)], "doc_id long, text string")
     found = {r["doc_id"] for r in toxicity.score(test, model).where("score >= 0.5").collect()}
     assert len([i for i in found if i < 100]) >= 14 and len([i for i in found if i >= 100]) <= 5
+
+
+def test_toxicity_sample_is_not_filled_by_long_texts(spark):
+    """Texts beyond the bound by themselves take no part, so they don't displace the others."""
+    calm = "calm words stand here and there. "
+    bad = [c * 3 + "zorg" for c in "abcdefghijkl"]
+    rows = [(i, calm + (f"you {bad[i // 2 % 12]}." if i % 2 else "and so on."), i % 2) for i in range(200)]
+    rows += [(1_000 + i, calm * 700, i % 2) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    found = toxicity.score(df, toxicity.fit(df, max_chars=16_000)).where("score >= 0.5 and doc_id < 1000").collect()
+    assert {r["doc_id"] for r in found} == {i for i, _, y in rows if y and i < 200}
+    # Where all are longer, the shortest of each label is left.
+    assert isinstance(toxicity.fit(df.where("doc_id >= 1000"), max_chars=1_000), toxicity.Model)
+
+
+@pytest.mark.parametrize("text", ["a." * 400_000, "ab " * 700_000, "x\n" * 400_000])
+def test_toxicity_of_a_long_text_needs_little_memory(text):
+    import tracemalloc
+
+    model = toxicity.Model(dict.fromkeys(toxicity._slots("ab"), 1.0), -20.0)
+    tracemalloc.start()
+    scores, found = model.score([text], {})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25_000_000 and 0 < scores[0] < 0.5 and not len(found[0])
+
+
+def test_toxicity_in_parts_equals_the_whole(monkeypatch):
+    rng = random.Random(28)
+    words = ["ΟΔΟΣ", "Σ'Α", "İstanbul", "straße", "abcdefgh", "Abcdxyz", "x1y", "é", "ab"]
+    weights = {f: rng.uniform(0, 3) for w in words for one in re.findall(r"[^\W\d_]+", w.lower()) for f in toxicity._slots(one)}
+    model = toxicity.Model(weights, -6.0)
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", "\xa0", "-", ". ", "\n"]) for _ in range(rng.randint(0, 80))) for _ in range(60)]
+    whole, spans = model.score(texts, {})
+    monkeypatch.setattr(toxicity, "_SENTENCES", 2)
+    monkeypatch.setattr(toxicity, "_PART", 7)
+    got, own = model.score(texts, {})
+    assert np.allclose(got, whole, atol=1e-12) and all(np.allclose(a, b) for a, b in zip(own, spans, strict=True)) and any(map(len, spans))
